@@ -8,6 +8,7 @@ remains) is compatible with it is the last token of that prefix. Back-pointers g
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import unicodedata
 from dataclasses import dataclass, field
@@ -223,24 +224,23 @@ class Encoder:
         head, *rest = text.split(" ")
         return [*self.pre_tokens(head), *[" " + x for x in rest]]
 
-    def learn(self, pieces: set[str]) -> None:
-        """Put the packed ids of all pieces into known."""
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Packed ids of all pieces."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {s: np.uint32(i).astype("<u4").tobytes() for s, i in self.special_id.items()}
         known, old = self.known, self.old
-        todo = []
-        for p in pieces - known.keys():
-            if (x := old.get(p)) is not None:
-                known[p] = x
-            else:
-                todo.append(p)
+        found = dict(zip(pieces, map(known.get, pieces), strict=True))
         parts = {}
-        for p in todo:
-            word = p.rstrip(".,")
-            if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and (word.isascii() or unicodedata.category(max(word)) != "Cn"):
-                parts[p] = [word, p[len(word) :]] if word != p else [word]
-            else:
-                parts[p] = self.pre_tokens(p)
+        for p, x in found.items():
+            if x is None:
+                if (x := old.get(p)) is not None:
+                    known[p] = found[p] = x
+                    continue
+                word = p.rstrip(".,")
+                if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and (word.isascii() or unicodedata.category(max(word)) != "Cn"):
+                    parts[p] = (word, p[len(word) :]) if word != p else (word,)
+                else:
+                    parts[p] = self.pre_tokens(p)
         words = sorted({w.encode() for ws in parts.values() for w in ws if w not in known})
         packed = self.packed
         for w, ids in zip(words, self.encode_sorted(words), strict=True):
@@ -248,12 +248,13 @@ class Encoder:
         for p, ws in parts.items():
             if len(ws) != 1:
                 known[p] = b"".join([known[w] for w in ws])
+            found[p] = known[p]
+        return found
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text, as packed little-endian unsigned 32-bit integers; a null text has none."""
         lists = [self.pieces(t) for t in texts]
-        self.learn({p for x in lists for p in x})
-        get = self.known.__getitem__
+        get = self.learn({p for x in lists for p in x}).__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
     def encode(self, text: str | None) -> bytes:
@@ -295,6 +296,7 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n])
 
     def run(batches):
+        gc.disable()  # the encoder's tables hold no cycles, and walking them takes longer than encoding
         e = encoder(shared.value)
         for batch in batches:
             ids = e.encode_many(batch.column(n).to_pylist())
