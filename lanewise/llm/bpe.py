@@ -308,9 +308,10 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
     return rows.mapInArrow(run, f"{kinds}, ids binary" + ", decoded string" * decoded)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
     return encoded.select(
         "doc_id",
+        *more,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
