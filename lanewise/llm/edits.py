@@ -11,7 +11,7 @@ from . import bpe
 from .common import arrow_map, ready, table
 
 #: Pre-tokens in a leaf of the tree; an edit splits a leaf that grows beyond twice as many.
-LEAF = 32
+LEAF = 8
 
 
 class CountTree:

@@ -74,7 +74,7 @@ _KNOWN = ", ".join(f"'{s}': '{k}'" for s, k in _ID.items())
 _RULES = ", ".join("case when regexp_matches(',' || array_to_string(ids, ',') || ',', ',(?:[^,]+,)*?{}') then '{}' end".format("(?:[^,]+,)*?".join(f"{x}," for x in r), k) for k, r in RULES.items())
 OP6_SQL = f"""
 with s as (select doc_id, case when regexp_matches(lower(coalesce(text, '')), 'licen|permission|copyright|warranty|redistribut') then
-    list_filter([map {{{_KNOWN}}}[trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))] for x in regexp_split_to_array(lower(coalesce(text, '')), '{SPLIT}')], x -> x is not null)
+    list_filter([map {{{_KNOWN}}}[trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))] for x in regexp_split_to_array(lower(coalesce(text, '')), '{SPLIT}')], lambda x: x is not null)
     else [] end ids from documents),
-f as (select doc_id, ids, list_filter([{_RULES}], x -> x is not null) found from s)
+f as (select doc_id, ids, list_filter([{_RULES}], lambda x: x is not null) found from s)
 select doc_id, coalesce(array_to_string(ids, ','), '') sentence_ids, coalesce(array_to_string(found, ','), '') licences, len(found)::bigint n_licences from f"""

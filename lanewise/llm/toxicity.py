@@ -21,7 +21,9 @@ from .common import arrow_map, held_out, ready, table
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": ""}
 SEPARATORS = " .-_*"
 #: Log costs of the channel: for a sign that stands for a letter, a repeated letter, a separator.
-SIGN, REPEAT, GAP = -1.0, -1.0, -0.5
+SIGN, GAP = -1.0, -0.5
+#: Log costs of a repeated letter: a token is read under each, since doubled letters are both a disguise and a spelling.
+REPEATS = (-1.0, -9.0)
 _SPACED = r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ ._*-]{1,2}[A-Za-z0-9@$!|]){3,40}(?![A-Za-z0-9@$!|])"
 _MIXED = r"[A-Za-z0-9@$!|+*]*(?:[A-Za-z][0-9@$!|+*._-]|[0-9@$!|][A-Za-z]|([A-Za-z])\1\1)[A-Za-z0-9@$!|+*._-]*"
 #: Tokens that have another reading than their letters.
@@ -60,9 +62,16 @@ class Decoder:
         self.words, self.bias, self.known = self.weights.keys(), bias, {}
 
     def restore(self, token: str) -> bytes:
-        """The likeliest letters of a disguised token. States are the last two letters read; each character moves, repeats or is dropped."""
+        """The likeliest letters of a disguised token, by each cost of repetition. States are the last two letters read; each character moves, repeats or is dropped."""
         if (x := self.known.get(token)) is not None:
             return x
+        best = b" ".join(dict.fromkeys(self.read(token, cost) for cost in REPEATS))
+        if len(self.known) > 200_000:
+            self.known.clear()
+        self.known[token] = best
+        return best
+
+    def read(self, token: str, repeat: float) -> bytes:
         model, states = self.model, {(0, 0): (0.0, "")}
         for c in token.lower():
             after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -80,13 +89,9 @@ class Decoder:
                     k = ord(x) - 96
                     offer((b, k), score + cost + model[a][b][k], text + x)
                     if k == b:
-                        offer((a, b), score + REPEAT + cost, text)
+                        offer((a, b), score + repeat + cost, text)
             states = after or {(0, 0): (max(s for s, _ in states.values()), max(states.values())[1] + " ")}
-        best = max((score + self.model[a][b][0], text) for (a, b), (score, text) in states.items())[1].encode()
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[token] = best
-        return best
+        return max((score + self.model[a][b][0], text) for (a, b), (score, text) in states.items())[1].encode()
 
     def restored_words(self, text: bytes) -> set[bytes]:
         words = set(text.translate(PLAIN).split())
