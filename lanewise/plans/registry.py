@@ -1,2 +1,265 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""One query for each core operator over the driver's tables, and its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lanewise.functions import rng
+from lanewise.operators import element, geometry, lost
+from lanewise.sources import arrow_io
+
+QUERIES, SQL = {}, {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _elements(spark: SparkSession, d: str, name: str, key: str, x: str, label: str | None = None) -> DataFrame:
+    return element.elements(_t(spark, d, name), F.col(key), F.col(x), F.col(label) if label else None)
+
+
+@query("select o_orderkey + 1 ix, o_orderstatus as name, o_totalprice * 2 as value from orders")
+def map_list_values(spark, d):
+    return element.map_columns(_elements(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus"), lambda x: x * 2)
+
+
+@query("select c_custkey + 1 ix, abs(c_acctbal) as value from customer")
+def map_template_scalar(spark, d):
+    return element.map_columns(_elements(spark, d, "customer", "c_custkey", "c_acctbal"), F.abs, "double")
+
+
+@query("select o_orderkey + 1 ix, cast(o_totalprice > 1000 as double) as value from orders")
+def map_template_widen(spark, d):
+    return element.map_columns(_elements(spark, d, "orders", "o_orderkey", "o_totalprice"), lambda x: x > 1000, "double")
+
+
+@query("select p_partkey + 1 ix, 'lo' as row_name, p_size::bigint as value from part union all select p_partkey + 1, 'hi', p_size * 2 from part")
+def map_template_matrix(spark, d):
+    m = element.map_columns(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: F.array(x, x * 2), "int", 2)
+    return m.select("ix", F.posexplode("value").alias("k", "v")).select("ix", F.element_at(F.array(F.lit("lo"), F.lit("hi")), F.col("k") + 1).alias("row_name"), F.col("v").cast("long").alias("value"))
+
+
+@query("select c_custkey + 1 ix, upper(c_name) as value from customer")
+def map_template_char(spark, d):
+    return element.map_columns(_elements(spark, d, "customer", "c_custkey", "c_name"), F.upper, "string")
+
+
+@query("select event_id + 1 ix, user_id * 3 as value from events")
+def map_template_int64(spark, d):
+    return element.map_columns(_elements(spark, d, "events", "event_id", "user_id"), lambda x: x * 3, "bigint")
+
+
+@query("select o_orderkey + 1 ix, o_totalprice as value from orders where false")
+def map_empty(spark, d):
+    return element.map_columns(_elements(spark, d, "orders", "o_orderkey", "o_totalprice").where("false"), lambda x: x, "double")
+
+
+@query("select 1::bigint ix, 'p_size' as name, max(p_size)::double as value from part union all select 2, 'p_retailprice', max(p_retailprice) from part")
+def map_over_columns(spark, d):
+    return element.over_columns(_t(spark, d, "part"), ["p_size", "p_retailprice"], lambda c: F.max(c).cast("double"))
+
+
+@query("select o_orderkey + 1 ix, o_orderkey * 2 + 1 as value, cast(null as varchar) as error from orders")
+def map_python(spark, d):
+    return element.map_python(_elements(spark, d, "orders", "o_orderkey", "o_orderkey"), lambda x: 2 * x + 1, "bigint")
+
+
+@query("with n as (select count(*) n from orders), k as (select unnest(range(1, 8)) k, n from n) select k, (k-1)*(n//7) + least(k-1, n%7) + 1 as lo, k*(n//7) + least(k, n%7) as hi from k")
+def chunk_ranges(spark, d):
+    return geometry.balanced_frame(spark, _t(spark, d, "orders").count(), 7)
+
+
+@query("select ntile(7) over (order by o_orderkey) as chunk, o_orderkey + 1 ix from orders")
+def chunk_membership(spark, d):
+    t = _t(spark, d, "orders")
+    ix = F.col("o_orderkey") + 1
+    return t.select(geometry.chunk_of(ix, t.count(), 7).alias("chunk"), ix.alias("ix"))
+
+
+@query("select o_orderkey // 58 as morsel, min(o_orderkey) + 1 as lo, max(o_orderkey) + 1 as hi from orders group by 1")
+def morsel_spans(spark, d):
+    t, size = _t(spark, d, "orders"), 58
+    return t.groupBy(F.floor(F.col("o_orderkey") / size).alias("morsel")).agg((F.min("o_orderkey") + 1).alias("lo"), (F.max("o_orderkey") + 1).alias("hi"))
+
+
+@query("select w.workers::bigint as workers, greatest(1, least(n, 32 * w.workers))::bigint as chunks, greatest(1, least(n, 32 * w.workers, 2 * w.workers))::bigint as in_flight from (select count(*) n from nation), (values (1), (2), (4)) w(workers)")
+def stream_window(spark, d):
+    n = _t(spark, d, "nation").count()
+    return spark.createDataFrame([(w, *geometry.stream_window(n, w)) for w in (1, 2, 4)], "workers long, chunks long, in_flight long")
+
+
+@query("select l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_extendedprice / l_quantity as unit_price from lineitem")
+def enrich_frame(spark, d):
+    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
+
+
+@query("""with c as (select event_id + 1 ix, cast(round(value * 100) as bigint) v from events where event_id < 5999), s as (select ix, sum(v) over w as s1, sum(v * v) over w as s2
+ from c window w as (order by ix rows between current row and 999 following)) select ix, s1::bigint as s1, s2::bigint as s2 from s where ix <= 5000""")
+def sliding_window(spark, d):
+    """Sums of the 1,000 values from each of the first 5,000 starts. Blocks of 1,000 elements and their copies for the block before
+    them make the window a partitioned one: no task holds the whole table."""
+    v = _t(spark, d, "events").where("event_id < 5999").select((F.col("event_id") + 1).alias("ix"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    block = F.floor((F.col("ix") - 1) / 1000)
+    rows = v.select("ix", "v", F.explode(F.array(block, block - 1)).alias("block"))
+    w = Window.partitionBy("block").orderBy("ix").rowsBetween(0, 999)
+    out = rows.select("ix", "block", F.sum("v").over(w).alias("s1"), F.sum(F.col("v") * F.col("v")).over(w).alias("s2"))
+    return out.where((block == F.col("block")) & (F.col("ix") <= 5000)).select("ix", "s1", "s2")
+
+
+@query("select l_returnflag, sum(cast(round(l_quantity * 100) as bigint))::bigint as cents, count(*) as n from lineitem group by 1")
+def group_mean(spark, d):
+    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(F.round(F.col("l_quantity") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
+
+
+@query("select l_suppkey, round(sum(sqrt(l_extendedprice)), 4) as total from lineitem group by 1")
+def nested_map_sum(spark, d):
+    """A map inside each part and a sum: one plan with partial sums before the one shuffle."""
+    return _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(F.sqrt("l_extendedprice")), 4).alias("total"))
+
+
+@query("select sum(s)::bigint as total, count(*) as parts from (select o_orderkey % 10 p, sum(o_orderkey + 1) s from orders group by 1)")
+def nested_tasks(spark, d):
+    return _t(spark, d, "orders").groupBy((F.col("o_orderkey") % 10).alias("p")).agg(F.sum(F.col("o_orderkey") + 1).alias("s")).agg(F.sum("s").alias("total"), F.count("*").alias("parts"))
+
+
+@query("select quantile_cont(p_retailprice, 0.25) as q1, quantile_cont(p_retailprice, 0.5) as q2, quantile_cont(p_retailprice, 0.75) as q3 from part")
+def quantiles(spark, d):
+    q = F.percentile("p_retailprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return _t(spark, d, "part").agg(q.alias("q")).select(*[F.col("q")[k].alias(f"q{k + 1}") for k in range(3)])
+
+
+@query("select p_partkey + 1 ix, round(ln(p_retailprice), 9) as value from part")
+def spec_log(spark, d):
+    m = element.map_python(_elements(spark, d, "part", "p_partkey", "p_retailprice"), element.call("math.log"), "double")
+    return m.select("ix", F.round("value", 9).alias("value"))
+
+
+@query("select p_partkey + 1 ix, p_size::bigint * 2 + 1 as value from part")
+def source_task(spark, d):
+    return element.map_python(_elements(spark, d, "part", "p_partkey", "p_size"), element.call(source="y = x * 2\ny + 1"), "bigint").select("ix", "value")
+
+
+@query("select vec_id + 1 ix, round(list_sum([x::double for x in embedding]) + 100, 6) as value from embeddings")
+def list_fold(spark, d):
+    f = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) + 100, 6)
+    return element.map_columns(_elements(spark, d, "embeddings", "vec_id", "embedding"), f, "double")
+
+
+@query("select 42::bigint as seed, unnest([1,2,3,4,5,6])::bigint as word, unnest([-2133391687, 507561766, 1260545903, 1362917092, -1772566379, -1344458670])::bigint as value")
+def rng_base(spark, d):
+    return spark.createDataFrame([(42, k, w) for k, w in enumerate(rng.base(42), 1)], "seed long, word long, value long")
+
+
+@query()
+def rng_streams(spark, d):
+    return rng.streams(_elements(spark, d, "orders", "o_orderkey", "o_orderkey"), 42)
+
+
+@query("select count(*) as n, true as same from orders")
+def rng_offset_split(spark, d):
+    """Two halves with offsets give the streams of the whole."""
+    t = _elements(spark, d, "orders", "o_orderkey", "o_orderkey")
+    whole = rng.streams(t, 42)
+    late = rng.streams(t.where("ix > 100").select((F.col("ix") - 100).alias("ix"), "x"), (42, 100)).select((F.col("ix") + 100).alias("ix"), F.col("state").alias("s2"))
+    early = rng.streams(t.where("ix <= 100"), (42, 0)).select("ix", F.col("state").alias("s2"))
+    return whole.join(early.union(late), "ix").agg(F.count("*").alias("n"), F.bool_and(F.col("state") == F.col("s2")).alias("same"))
+
+
+#: A task log from the events: groups of tasks by user, an end for each task, some failed.
+_LOG = "select user_id as grp, event_id, row_number() over (partition by user_id order by event_id) as pos, cast(round(value * 100) as bigint) as ended, event_type = 'error' or event_id % 37 = 0 as failed from events"
+
+
+def _log(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    return _t(spark, d, "events").select(F.col("user_id").alias("grp"), "event_id", F.row_number().over(w).alias("pos"), F.round(F.col("value") * 100).cast("long").alias("ended"), ((F.col("event_type") == "error") | (F.col("event_id") % 37 == 0)).alias("failed"))
+
+
+@query(f"select grp, arg_min(pos, ended * 1000000 + pos)::bigint as position, min(ended) as ended from ({_LOG}) group by 1")
+def collect_any(spark, d):
+    return _log(spark, d).groupBy("grp").agg(F.min_by(F.col("pos").cast("long"), F.col("ended") * 1000000 + F.col("pos")).alias("position"), F.min("ended").alias("ended"))
+
+
+@query(f"select grp, string_agg(event_id::varchar, ',' order by pos) as ids, count(*) as n from ({_LOG}) group by 1")
+def collect_all(spark, d):
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "event_id"))), lambda x: x["event_id"].cast("string"))
+    return _log(spark, d).groupBy("grp").agg(F.concat_ws(",", ids).alias("ids"), F.count("*").alias("n"))
+
+
+@query(f"select grp, min(pos) filter (failed)::bigint as index from ({_LOG}) group by 1")
+def collect_all_error_index(spark, d):
+    return _log(spark, d).groupBy("grp").agg(F.min(F.when(F.col("failed"), F.col("pos"))).cast("long").alias("index"))
+
+
+@query("select min(o_orderkey) + 1 as ix, 'ValueError: ' || min(o_orderkey) as error from orders where o_orderkey % 1000 = 999")
+def first_error_index(spark, d):
+    def f(x):
+        if x % 1000 == 999:
+            raise ValueError(x)
+        return x
+
+    return element.first_error(element.map_python(_elements(spark, d, "orders", "o_orderkey", "o_orderkey"), f, "bigint"))
+
+
+_SPANS = "select user_id as run, event_id % 97 as start, 1 + event_id % 3 as cnt from events where event_type = 'click'"
+
+
+@query(f"""with done as ({_SPANS}), runs as (select distinct run from done),
+m as (select run, unnest(range(0, 100)) g from runs), c as (select distinct run, unnest(range(start, start + cnt)) g from done),
+l as (select m.run, m.g from m anti join c on m.run = c.run and m.g = c.g), i as (select run, g, g - row_number() over (partition by run order by g) k from l)
+select run, min(g) * 4 + 1 as lo, max(g) * 4 + 4 as hi from i group by run, k""")
+def lost_ranges(spark, d):
+    spans = _t(spark, d, "events").where("event_type = 'click'").select(F.col("user_id").alias("run"), (F.col("event_id") % 97).alias("start"), (1 + F.col("event_id") % 3).alias("count"))
+    runs = spans.select("run").distinct().select("run", F.lit(100).alias("cursor"), F.lit(4).alias("size"), F.lit(400).alias("n"))
+    return lost.lost_ranges(spans, runs)
+
+
+@query("select s.status, count(e.event_id) as n from (values (0, 'free'), (1, 'pending'), (2, 'running'), (3, 'ok'), (4, 'err'), (5, 'cancel'), (6, 'died'), (7, 'lost')) s(code, status) join events e on e.event_id % 8 = s.code group by 1")
+def task_state_counts(spark, d):
+    states = F.array(*map(F.lit, ("free", "pending", "running", "ok", "err", "cancel", "died", "lost")))
+    return _t(spark, d, "events").select(F.element_at(states, (F.col("event_id") % 8 + 1).cast("int")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("select user_id as worker, count(*) as injected, count(*) filter (event_type <> 'view') as claimed, count(*) - count(*) filter (event_type <> 'view') as queued from events group by 1")
+def pool_stats(spark, d):
+    claimed = F.count_if(F.col("event_type") != "view")
+    return _t(spark, d, "events").groupBy(F.col("user_id").alias("worker")).agg(F.count("*").alias("injected"), claimed.alias("claimed"), (F.count("*") - claimed).alias("queued"))
+
+
+@query("select event_id // 256 as batch, min(event_id) as first, max(event_id) as last, count(*) as n from events group by 1")
+def stream_batches(spark, d):
+    return _t(spark, d, "events").groupBy(F.floor(F.col("event_id") / 256).alias("batch")).agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"))
+
+
+@query("select event_id as seq, user_id as value from events where event_id >= 100 order by seq limit 64")
+def recv_batch_n(spark, d):
+    return _t(spark, d, "events").where("event_id >= 100").select(F.col("event_id").alias("seq"), F.col("user_id").alias("value")).orderBy("seq").limit(64)
+
+
+@query("select p_partkey, p_size::double as wide, p_name as s, cast(null as integer) as least from part")
+def arrow_landing(spark, d):
+    return _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("wide"), F.col("p_name").alias("s"), F.nullif(F.lit(-(2**31)), F.lit(-(2**31))).alias("least"))
+
+
+@query("select level, row_number() over (order by f) as code from (select p_brand as level, min(p_partkey) f from part group by 1)")
+def factor_levels(spark, d):
+    return arrow_io.factor_levels(_t(spark, d, "part"), "p_partkey", "p_brand")
+
+
+def queries() -> dict:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
