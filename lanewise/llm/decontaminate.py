@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -73,65 +74,72 @@ class Windows:
 _built: dict[str, object] = {}
 
 
-def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def windows_of(shared: tuple[int, list]) -> Windows:
+    """The windows of broadcast items, built once for each worker."""
+    if _built.get("of") is not shared:
+        _built["of"], _built["windows"] = shared, Windows(shared[1], shared[0])
+    return _built["windows"]
+
+
+def item_parts(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
+    """The items as (item, text), dealt by hash into as many frames as it takes for each to hold about pass_bytes of text. A null id counts as empty."""
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, -(-size // pass_bytes))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return [items] if parts == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """doc_id, n_words, hit (numbers of the words inside an occurring window) and items (ids as sorted strings) of each row's whole text.
 
     Null texts have no words; an item without words has no window; an item with a null id counts under the empty string.
-    The items are read to the driver and broadcast, if their texts come to PASS_BYTES at most; beyond that the documents are
-    matched in as many passes as it takes, each with a bounded part of the items, and the passes are united by document row.
+    The items are read to the driver and broadcast, if their texts come to pass_bytes at most; beyond that the documents go
+    through as many passes as it takes, one after the other without a shuffle, each with a bounded part of the items.
     """
     spark = docs.sparkSession
     ready(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // PASS_BYTES))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-
-    def one(bench: DataFrame) -> DataFrame:
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    parts = item_parts(benchmark, pass_bytes)
+    for k, bench in enumerate(parts):
         shared = spark.sparkContext.broadcast((window, [tuple(r) for r in bench.collect()]))
 
-        def match(batch: pa.RecordBatch) -> dict[str, list]:
-            n, own = shared.value
-            if _built.get("of") is not own:
-                _built["of"], _built["windows"] = own, Windows(own, n)
-            found = _built["windows"]
-            out = {"doc_id": batch.column(0), "n_words": [], "hit": [], "items": []}
-            for text in batch.column(1).to_pylist():
-                n, at, own = found.hits(text)
+        def match(batch: pa.RecordBatch, shared=shared, first=not k) -> dict[str, list]:
+            windows = windows_of(shared.value)
+            before = itertools.repeat(((), ())) if first else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            out = {"doc_id": batch.column(0), "text": batch.column(1), "n_words": [], "hit": [], "items": []}
+            for text, (hit, items) in zip(batch.column(1).to_pylist(), before, strict=False):
+                n, at, own = windows.hits(text)
                 out["n_words"].append(n)
-                out["hit"].append(sorted({x for k, m in at for x in range(k, k + m)}))
-                out["items"].append(sorted(own))
+                out["hit"].append(sorted({x for k, m in at for x in range(k, k + m)}.union(hit)))
+                out["items"].append(sorted(own.union(items)))
             return out
 
-        return arrow_map(rows, match, "doc_id long, n_words long, hit array<int>, items array<string>")
-
-    if parts == 1:
-        return one(items)
-    passes = [one(items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)).withColumn("_row", F.monotonically_increasing_id()) for k in range(parts)]
-    out = passes[0]
-    for p in passes[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("_row", "doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("_row")
+        text = "" if k + 1 == len(parts) else "text binary, "
+        found = arrow_map(found, match, f"doc_id long, {text}n_words long, hit array<int>, items array<string>")
+    return found
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs, all columns, in which no window of an item occurs."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of docs, all columns, in which no window of an item occurs. The items' size is bounded as in report: a row that one pass keeps
+    goes on to the next."""
     spark = docs.sparkSession
     ready(spark)
-    shared = spark.sparkContext.broadcast((window, [tuple(r) for r in benchmark.select(F.col("item_id").cast("string"), "text").collect()]))
-    at = docs.columns.index("text")
+    at, schema = docs.columns.index("text"), docs.schema
+    for bench in item_parts(benchmark, pass_bytes):
+        shared = spark.sparkContext.broadcast((window, [tuple(r) for r in bench.collect()]))
 
-    def keep(batches):
-        found = Windows(shared.value[1], shared.value[0])
-        for batch in batches:
-            ok = [not found.hits(t.encode() if t else None)[1] for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(ok, pa.bool_()))
+        def keep(batches, shared=shared):
+            windows = windows_of(shared.value)
+            for batch in batches:
+                ok = [not windows.hits(t.encode() if t else None)[1] for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(ok, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(keep, schema)
+    return docs
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,6 +114,9 @@ def test_decontaminate_equals_brute_force(spark, odd, empty):
     want = {(i, *(b := decontaminate.brute(t, named))[:2], len(b[2]), b[3], b[1] > 0) for i, t in docs}
     assert {tuple(r) for r in decontaminate.digest(decontaminate.report(frame, bench)).collect()} == want
     assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()} == {w[0] for w in want if not w[-1]}
+    assert len(decontaminate.item_parts(bench, 100)) > 2
+    assert {tuple(r) for r in decontaminate.digest(decontaminate.report(frame, bench, pass_bytes=100)).collect()} == want
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench, pass_bytes=100).collect()} == {w[0] for w in want if not w[-1]}
     assert decontaminate.report(odd, bench).count() == len(ODD) and decontaminate.report(empty, bench).count() == 0
 
 
