@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ SIGN, GAP = -1.0, -0.5
 #: Log costs of a repeated letter: a token is read under each, since doubled letters are both a disguise and a spelling.
 REPEATS = (-1.0, -9.0)
 _SPACED = r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ ._*-]{1,2}[A-Za-z0-9@$!|]){3,40}(?![A-Za-z0-9@$!|])"
-_MIXED = r"[A-Za-z0-9@$!|+*]*(?:[A-Za-z][0-9@$!|+*._-]|[0-9@$!|][A-Za-z]|([A-Za-z])\1\1)[A-Za-z0-9@$!|+*._-]*"
-#: Tokens that have another reading than their letters.
-DISGUISED = re.compile(f"{_SPACED}|{_MIXED}".encode())
+_MIXED = r"[A-Za-z0-9@$!|+*]*(?:[A-Za-z](?:[0-9@$|+]|[!*._-]+[A-Za-z0-9@$|])|[0-9@$!|][A-Za-z]|([A-Za-z])\1\1)[A-Za-z0-9@$!|+*._-]*"
+#: Spaced letters, and parts of a token that have another reading than their letters. Signs that only end a word disguise nothing.
+SPACED, MIXED = re.compile(_SPACED.encode()), re.compile(_MIXED.encode())
+#: What every such part holds; most tokens don't.
+TRIGGER = re.compile(rb"[0-9@$!|+*_-]|\.[A-Za-z0-9@$|]|([A-Za-z])\1\1")
 #: a-z, and everything else a blank; bytes from 0x80 on stay, as parts of words.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], np.int32)
@@ -61,15 +64,18 @@ class Decoder:
         self.weights = {w.encode(): x for w, x in lexicon.items()}
         self.words, self.bias, self.known = self.weights.keys(), bias, {}
 
-    def restore(self, token: str) -> bytes:
-        """The likeliest letters of a disguised token, by each cost of repetition. States are the last two letters read; each character moves, repeats or is dropped."""
-        if (x := self.known.get(token)) is not None:
-            return x
-        best = b" ".join(dict.fromkeys(self.read(token, cost) for cost in REPEATS))
-        if len(self.known) > 200_000:
-            self.known.clear()
-        self.known[token] = best
-        return best
+    def restore(self, token: bytes) -> list[bytes]:
+        """The likeliest words of a disguised token, by each cost of repetition. States are the last two letters read; each character moves, repeats or is dropped."""
+        plain = token.decode().rstrip(".!-_*+|$")
+        return b" ".join(dict.fromkeys(self.read(plain, cost) for cost in REPEATS)).split()
+
+    def restored(self, token: bytes) -> Sequence[bytes]:
+        """The words restored from the disguised parts of a token, mostly none; remembered."""
+        if (x := self.known.get(token)) is None:
+            if len(self.known) > 400_000:
+                self.known.clear()
+            x = self.known[token] = [w for m in MIXED.finditer(token) for w in self.restore(m[0])] if TRIGGER.search(token) else ()
+        return x
 
     def read(self, token: str, repeat: float) -> bytes:
         model, states = self.model, {(0, 0): (0.0, "")}
@@ -95,8 +101,13 @@ class Decoder:
 
     def restored_words(self, text: bytes) -> set[bytes]:
         words = set(text.translate(PLAIN).split())
-        for m in DISGUISED.finditer(text):
-            words.update(self.restore(m[0].decode().rstrip(".!-_*+|$")).split())
+        tokens = set(text.split())
+        if any(len(t) == 1 for t in tokens) or b"." in text or b"_" in text or b"*" in text or b"-" in text:
+            for m in SPACED.finditer(text):
+                words.update(self.restore(m[0]))
+        for t in tokens:
+            if x := self.restored(t):
+                words.update(x)
         return words
 
     def score(self, text: bytes | None) -> float:
@@ -105,6 +116,16 @@ class Decoder:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
+_decoders: list = [None, None]
+
+
+def decoder(shared: tuple) -> Decoder:
+    """One for each worker process and model, with what it remembers."""
+    if _decoders[0] is not shared:
+        _decoders[:] = shared, Decoder(*shared)
+    return _decoders[1]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], float]:
     """The letter model, the words' weights and the bias. Labels are learned from at most SAMPLE labelled rows outside the held-out
     fold, chosen by the hash of their id; rows without a label, an id or a document don't count. Without any, every score is 0."""
@@ -118,10 +139,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
         return model, {}, -30.0
     small = spark.createDataFrame(chosen, "id long, toxic int")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(small), "id").select("text", "toxic")
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model, {}, 0.0))
 
     def words(batch: pa.RecordBatch) -> dict[str, list]:
-        d, out, kind = Decoder(shared.value, {}, 0.0), [], []
+        d, out, kind = decoder(shared.value), [], []
         for t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found = [w.decode("utf-8", "replace") for w in d.restored_words(t or b"") if len(w) > 2]
             out.append(["", *found])
@@ -147,7 +168,7 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(train(docs, labels))
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        d = Decoder(*shared.value)
+        d = decoder(shared.value)
         s = [d.score(t) for t in batch.column(2).to_pylist()]
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": s, "predicted": [int(x >= 0.5) for x in s]}
 
@@ -160,7 +181,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches):
-        d = Decoder(*shared.value)
+        d = decoder(shared.value)
         for batch in batches:
             yield batch.filter(pa.array([d.score(t.encode() if t else None) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
