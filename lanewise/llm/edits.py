@@ -3,6 +3,10 @@ only the pre-tokens that it touches with their neighbours, and changes the sums
 
 from __future__ import annotations
 
+import gc
+import itertools
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,35 +14,38 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import arrow_map, ready, table
 
-#: Pre-tokens in a leaf of the tree; an edit splits a leaf that grows beyond twice as many.
+#: Parts in a leaf of the tree: a part is a pre-token, or a run of them from one blank to the next.
 LEAF = 8
 
 
 class CountTree:
-    """Leaves hold lists of pre-tokens and their sums; inner levels hold sums of 16 below, of characters and of tokens."""
+    """Leaves hold lists of parts and their sums; inner levels hold sums of 16 below, of characters and of tokens.
+
+    parts and packed (their ids, by part) may be given by a caller that has learned many texts at once."""
 
     WIDTH = 16
 
-    def __init__(self, text: str, encoder: bpe.Encoder):
+    def __init__(self, text: str, encoder: bpe.Encoder, parts: list[str] | None = None, packed: dict[str, bytes] | None = None):
         self.encoder = encoder
-        words = encoder_words(encoder, text)
-        self.leaves = [words[k : k + LEAF] for k in range(0, len(words), LEAF)] or [[]]
+        parts = encoder.pieces(text) if parts is None else parts
+        packed = encoder.learn(set(parts)) if packed is None else packed
+        self.margin = max((len(s) for s, _ in encoder.special), default=0)
         self.encoded = 0
-        self.build()
-
-    def counted(self, words: list[str]) -> int:
-        if not words:
-            return 0
-        found = self.encoder.learn(set(words))
-        return sum(len(found[w]) for w in words) // 4
-
-    def build(self) -> None:
-        found = self.encoder.learn({w for leaf in self.leaves for w in leaf})
-        size = {w: len(x) // 4 for w, x in found.items()}
-        self.levels = [[(sum(map(len, leaf)), sum(size[w] for w in leaf)) for leaf in self.leaves]]
-        while len(self.levels[-1]) > 1:
-            below = self.levels[-1]
-            self.levels.append([tuple(map(sum, zip(*below[k : k + self.WIDTH], strict=True))) for k in range(0, len(below), self.WIDTH)])
+        starts = range(0, len(parts), LEAF)
+        self.leaves = [parts[k : k + LEAF] for k in starts] or [[]]
+        if parts:
+            size = np.fromiter(map(len, map(packed.__getitem__, parts)), np.int64, len(parts)) >> 2
+            chars = np.fromiter(map(len, parts), np.int64, len(parts))
+            self.sums(np.add.reduceat(chars, starts).tolist(), np.add.reduceat(size, starts).tolist())
+        else:
+            self.sums([0], [0])
+
+    def sums(self, chars: list[int], tokens: list[int]) -> None:
+        """All levels from the sums of the leaves."""
+        self.levels, w = [(chars, tokens)], self.WIDTH
+        while len(chars) > 1:
+            chars, tokens = ([sum(x[k : k + w]) for k in range(0, len(x), w)] for x in (chars, tokens))
+            self.levels.append((chars, tokens))
 
     @property
     def chars(self) -> int:
@@ -46,66 +53,80 @@ class CountTree:
 
     @property
     def tokens(self) -> int:
-        return self.levels[-1][0][1]
+        return self.levels[-1][1][0]
 
     def find(self, at: int) -> tuple[int, int]:
         """The leaf that holds a character, and the character's place in it; the last leaf for the end."""
         k = 0
-        for level in reversed(self.levels[:-1]):
+        for chars, _ in reversed(self.levels[:-1]):
             k *= self.WIDTH
-            while k + 1 < len(level) and at >= level[k][0]:
-                at -= level[k][0]
+            while k + 1 < len(chars) and at >= chars[k]:
+                at -= chars[k]
                 k += 1
         return k, at
 
     def edit(self, start: int, end: int, text: str) -> None:
-        """Replace the characters from start to end. The region grows leaf by leaf on either side until the pre-tokens at its borders come
-        out as they were: then what lies beyond cannot change."""
-        a, left = self.find(start)
-        b, right = self.find(end)
-        a, b = max(0, a - 1), min(len(self.leaves) - 1, b + 1)
-        before = sum(self.levels[0][k][0] for k in range(a, self.find(start)[0]))
+        """Replace the characters from start to end. The region grows leaf by leaf until its borders hold and a special token's length lies
+        between them and the edit: then what lies beyond cannot change. The left border holds when two characters after it stay, since a
+        border inside white space has but one blank after it; the right one when the last part begins where it did."""
+        (a, left), (b, right) = self.find(start), self.find(end)
+        chars = self.levels[0][0]
+        left, right = left + sum(chars[max(0, a - 1) : a]), right + sum(chars[max(0, a - 1) : b])
+        a, b = max(0, a - 1), min(len(chars) - 1, b + 1)
         while True:
             old = [w for leaf in self.leaves[a : b + 1] for w in leaf]
             joined = "".join(old)
-            span = sum(self.levels[0][k][0] for k in range(a, self.find(end)[0])) + right
-            new = encoder_words(self.encoder, joined[: before + left] + text + joined[span:])
-            grow = False
-            if a and (not new or not old or new[0] != old[0] or before + left < len(old[0])):
-                a -= 1
-                before += self.levels[0][a][0]
-                grow = True
-            if b + 1 < len(self.leaves) and (not new or not old or new[-1] != old[-1] or span > len(joined) - len(old[-1]) or not steady(old[-1])):
-                b += 1
-                grow = True
-            if not grow:
+            new = self.encoder.pieces(joined[:left] + text + joined[right:])
+            up = a > 0 and left < max(2, self.margin)
+            down = b + 1 < len(chars) and not (old and len(joined) - right >= max(len(old[-1]), self.margin) and steady(old[-1]) and parted(new, len(old[-1])))
+            if not up and not down:
                 break
+            if up:
+                a -= 1
+                left, right = left + chars[a], right + chars[a]
+            b += down
         self.encoded += sum(map(len, new))
-        parts = [new[k : k + LEAF] for k in range(0, len(new), LEAF)] or [[]]
-        if len(parts) == b + 1 - a:
-            for k, words in enumerate(parts, a):
-                self.leaves[k] = words
-                self.change(k, sum(map(len, words)), self.counted(words))
+        self.put(a, b + 1, new)
+
+    def put(self, a: int, b: int, new: list[str]) -> None:
+        """The parts of the leaves from a to b, b exclusive. They keep these leaves while none grows beyond twice its size; else the leaves
+        split, and the sums above them are added anew, without a text being read again."""
+        found = self.encoder.learn(set(new))
+        n = b - a if len(new) <= 2 * LEAF * (b - a) else -(-len(new) // LEAF)
+        q, r = divmod(len(new), n)
+        cuts = [k * q + min(k, r) for k in range(n + 1)]
+        parts = [new[x:y] for x, y in itertools.pairwise(cuts)]
+        chars = [sum(map(len, x)) for x in parts]
+        tokens = [sum(len(found[w]) for w in x) // 4 for x in parts]
+        if n == b - a:
+            for k, (leaf, c, t) in enumerate(zip(parts, chars, tokens, strict=True), a):
+                self.leaves[k] = leaf
+                self.change(k, c, t)
         else:
-            self.leaves[a : b + 1] = parts
-            self.build()
+            below = self.levels[0]
+            self.leaves[a:b] = parts
+            self.sums(below[0][:a] + chars + below[0][b:], below[1][:a] + tokens + below[1][b:])
 
     def change(self, k: int, chars: int, tokens: int) -> None:
-        dc, dt = chars - self.levels[0][k][0], tokens - self.levels[0][k][1]
-        for level in self.levels:
-            level[k] = (level[k][0] + dc, level[k][1] + dt)
+        dc, dt = chars - self.levels[0][0][k], tokens - self.levels[0][1][k]
+        for c, t in self.levels:
+            c[k] += dc
+            t[k] += dt
             k //= self.WIDTH
 
 
-def steady(word: str) -> bool:
-    """Whether what follows a pre-token at a border does not change it when the text before the border does: white space looks ahead."""
-    return not word.isspace()
+def steady(part: str) -> bool:
+    """Whether what follows a part at a border does not change it when the text before the border does: white space looks ahead."""
+    return not part[-1].isspace()
 
 
-def encoder_words(encoder: bpe.Encoder, text: str) -> list[str]:
-    if encoder.split_special and any(s in text for s, _ in encoder.special):
-        return [w for x in encoder.split_special.split(text) if x for w in ([x] if x in encoder.special_id else encoder.pre_tokens(x))]
-    return encoder.pre_tokens(text)
+def parted(parts: list[str], n: int) -> bool:
+    """Whether a part begins n characters before the end."""
+    for w in reversed(parts):
+        if n <= 0:
+            break
+        n -= len(w)
+    return n == 0
 
 
 def counts_after(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -118,10 +139,14 @@ def counts_after(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast(bpe.load(path or bpe.default_path()))
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
+        gc.disable()  # trees and tables hold no cycles, and walking them takes longer than counting
         e = bpe.encoder(shared.value)
         out: dict[str, list] = {"doc_id": batch.column(0), "n_tokens": [], "n_tokens_edited": [], "n_chars_edited": [], "encoded_chars": []}
-        for text, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            tree = CountTree(text or "", e)
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        lists = [e.pieces(x) for x in texts]
+        packed = e.learn({w for x in lists for w in x})
+        for text, parts, changes in zip(texts, lists, batch.column(2).to_pylist(), strict=True):
+            tree = CountTree(text, e, parts, packed)
             out["n_tokens"].append(tree.tokens)
             for c in changes or ():
                 start = max(0, min(c["start"] or 0, tree.chars))
