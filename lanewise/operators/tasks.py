@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import asyncio
 import contextvars
+import itertools
+import time
 from collections.abc import Callable
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from concurrent.futures import TimeoutError as Late
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import TIMEOUT, Cancelled, EngineError, Stopped
 
@@ -16,6 +20,7 @@ from .errors import TIMEOUT, Cancelled, EngineError, Stopped
 class Task:
     def __init__(self, future: Future):
         self.future, self.spent, self.dropped = future, False, False
+        self.id, self.pool = 0, None
 
     def __repr__(self) -> str:
         return f"<task {'spent' if self.spent else 'cancelled' if self.dropped else 'done' if self.future.done() else 'pending'}>"
@@ -24,11 +29,36 @@ class Task:
 class Pool:
     def __init__(self, spark: SparkSession, workers: int = 4):
         self.spark, self.workers, self.executor, self.stopped = spark, workers, ThreadPoolExecutor(workers), False
+        self.ids, self.events, self.watcher = itertools.count(1), [], None
+
+    def note(self, event: str, task: int) -> None:
+        """Keep what happened to a task: submit, start, done, error or drop. A watcher that fails changes nothing."""
+        self.events.append((len(self.events) + 1, task, event, time.time()))
+        if self.watcher:
+            try:
+                self.watcher(event, task)
+            except Exception:  # noqa: BLE001
+                self.watcher = None
 
     def submit(self, f: Callable, /, **args) -> Task:
         if self.stopped:
             raise Stopped("the pool has stopped")
-        return Task(self.executor.submit(f, **args))
+        n = next(self.ids)
+
+        def run():
+            self.note("start", n)
+            try:
+                value = f(**args)
+            except BaseException:
+                self.note("error", n)
+                raise
+            self.note("done", n)
+            return value
+
+        self.note("submit", n)
+        task = Task(self.executor.submit(run))
+        task.id, task.pool = n, self
+        return task
 
     def submit_batch(self, fs: list[Callable], /, **args) -> list[Task]:
         return [self.submit(f, **args) for f in fs]
@@ -90,9 +120,53 @@ def cancel(task: Task) -> bool:
         return False
     task.future.cancel()
     task.dropped = True
+    if task.pool:
+        task.pool.note("drop", task.id)
     return True
 
 
+def trace(pool: Pool, f: Callable[[str, int], None] | None) -> None:
+    """Call f with each event and task id from now on; None ends it."""
+    pool.watcher = f
+
+
+def event_frame(pool: Pool) -> DataFrame:
+    """(seq, task, event, at) of all events so far."""
+    return pool.spark.createDataFrame(list(pool.events), "seq long, task long, event string, at double")
+
+
+def dump(events: DataFrame) -> DataFrame:
+    """(task, state) from events (seq, task, event): a drop decides, else the last event does."""
+    state = F.create_map(*[F.lit(x) for pair in (("submit", "pending"), ("start", "running"), ("done", "ok"), ("error", "err")) for x in pair])
+    last = events.groupBy("task").agg(F.max_by("event", "seq").alias("last"), F.bool_or(F.col("event") == "drop").alias("dropped"))
+    return last.select("task", F.when(F.col("dropped"), "cancel").otherwise(state[F.col("last")]).alias("state"))
+
+
+def info(events: DataFrame) -> DataFrame:
+    """(state, n) over the tasks of events."""
+    return dump(events).groupBy("state").agg(F.count("*").alias("n"))
+
+
+async def collect_async(task: Task, timeout: float | None = None):
+    """collect() without holding up the event loop; a wait that ends early gives TIMEOUT and leaves the task as it is."""
+    await asyncio.wait([asyncio.wrap_future(task.future)], timeout=timeout) if not task.dropped else None
+    return collect(task, 0)
+
+
+async def collect_all_async(tasks: list[Task], timeout: float | None = None):
+    """collect_all() without holding up the event loop."""
+    waits = [asyncio.wrap_future(t.future) for t in tasks if not t.dropped]
+    await asyncio.wait(waits, timeout=timeout) if waits else None
+    return collect_all(tasks, 0)
+
+
+async def collect_any_async(tasks: list[Task], timeout: float | None = None):
+    """collect_any() without holding up the event loop."""
+    waits = [asyncio.wrap_future(t.future) for t in tasks if not t.dropped]
+    await asyncio.wait(waits, timeout=timeout, return_when=asyncio.FIRST_COMPLETED) if waits else None
+    return collect_any(tasks, 0)
+
+
 _current: contextvars.ContextVar[Pool | None] = contextvars.ContextVar("pool", default=None)
 
 

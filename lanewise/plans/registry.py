@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions import rng
-from lanewise.operators import element, geometry, lost
+from lanewise.functions import codec, rng
+from lanewise.operators import element, geometry, lost, tasks
 from lanewise.sources import arrow_io
 
 QUERIES, SQL = {}, {}
@@ -257,6 +258,27 @@ def factor_levels(spark, d):
     return arrow_io.factor_levels(_t(spark, d, "part"), "p_partkey", "p_brand")
 
 
+@query("""select c_custkey + 1 ix, '490104' || lpad(lower(to_hex(octet_length(encode(c_name)))), 2, '0') || '000000' || lower(hex(encode(c_name))) as stream from customer""")
+def codec_text(spark, d):
+    rows = _elements(spark, d, "customer", "c_custkey", "c_name")
+    return codec.pack(rows).select("ix", F.lower(F.hex("stream")).alias("stream"))
+
+
+@query("select o_orderkey + 1 ix, o_totalprice as x from orders")
+def codec_round_trip(spark, d):
+    return codec.unpack(codec.pack(_elements(spark, d, "orders", "o_orderkey", "o_totalprice")), "double", pa.float64())
+
+
+@query("""select event_id // 4 as task, case min(event_id % 3) filter (where event_id % 4 = 3) when 0 then 'ok' when 1 then 'err' else 'cancel' end as state
+ from events where event_id < 4 * ((select max(event_id) + 1 from events) // 4) group by 1""")
+def task_dump(spark, d):
+    """Four events a task: submit, start twice (a task that was moved), and what its last event's number says."""
+    n = _t(spark, d, "events").agg((F.floor((F.max("event_id") + 1) / 4) * 4).alias("n"))
+    k, how = F.col("event_id") % 4, F.element_at(F.array(*map(F.lit, ("done", "error", "drop"))), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = _t(spark, d, "events").crossJoin(F.broadcast(n)).where("event_id < n")
+    return tasks.dump(rows.select(F.floor(F.col("event_id") / 4).alias("task"), F.col("event_id").alias("seq"), F.when(k == 0, "submit").when(k < 3, "start").otherwise(how).alias("event")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
