@@ -82,16 +82,17 @@ def prefix_tree(conversations: DataFrame, path: str | None = None) -> tuple[Data
 
     def tokens(batch: pa.RecordBatch) -> dict[str, list]:
         e = bpe.encoder(shared.value)
-        path, depth, role, text = (c.to_pylist() for c in batch.columns)
+        path, depth, role, text, shard = (c.to_pylist() for c in batch.columns)
         parts = e.encode_many([s for r, t in zip(role, text, strict=True) for s in segments(r, t)])
         three = list(zip(parts[::3], parts[1::3], parts[2::3], strict=True))
-        return {"path": path, "depth": depth, "tokens": [b"".join(x) for x in three], "n_tokens": [len(b"".join(x)) // 4 for x in three],
+        return {"path": path, "depth": depth, "shard": shard, "tokens": [b"".join(x) for x in three], "n_tokens": [len(b"".join(x)) // 4 for x in three],
                 "loss_from": [len(x[0]) // 4 if r == LEARNED_ROLE else 0 for x, r in zip(three, role, strict=True)],
                 "loss_to": [len(x[0] + x[1]) // 4 if r == LEARNED_ROLE else 0 for x, r in zip(three, role, strict=True)]}
 
-    made = arrow_map(plain, tokens, "path binary, depth int, tokens binary, n_tokens int, loss_from int, loss_to int")
+    # The deal by range looks at its input twice, so the texts are encoded after it.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = cut(made.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("shard", F.spark_partition_id()))
+    dealt = plain.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("shard", F.spark_partition_id())
+    sorted_ = cut(arrow_map(dealt, tokens, "path binary, depth int, tokens binary, n_tokens int, loss_from int, loss_to int, shard int"))
     # One row of each shard comes to the driver: its tokens and its first path, whose ancestors may lie in earlier shards.
     shards = sorted_.groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.min("path").alias("first")).orderBy("shard").collect()
     start, total = {}, 0
