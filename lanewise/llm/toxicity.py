@@ -2,7 +2,8 @@
 
 Viterbi decoding walks the lattice of a token's characters: a digit or sign may stand for a letter, a letter may be
 repeated, a separator may have been put between letters. A character language model over all documents weighs the
-readings. Words in plain letters have one reading and skip the lattice.
+readings. Words in plain letters have one reading and skip the lattice. Weighed words are sought by the same channel
+backwards too: a token or a run of spaced letters counts as a word that the channel turns into it.
 """
 
 from __future__ import annotations
@@ -26,11 +27,18 @@ SIGN, GAP = -1.0, -0.5
 #: Log costs of a repeated letter: a token is read under each, since doubled letters are both a disguise and a spelling.
 REPEATS = (-1.0, -9.0)
 _SPACED = r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ ._*-]{1,2}[A-Za-z0-9@$!|]){3,40}(?![A-Za-z0-9@$!|])"
+_RUN = r"(?<![A-Za-z0-9@$!|+])[A-Za-z0-9@$!|+](?:[ \t._*-]{1,3}[A-Za-z0-9@$!|+]){2,}(?![A-Za-z0-9@$+])"
 _MIXED = r"[A-Za-z0-9@$!|+*]*(?:[A-Za-z](?:[0-9@$|+]|[!*._-]+[A-Za-z0-9@$|])|[0-9@$!|][A-Za-z]|([A-Za-z])\1\1)[A-Za-z0-9@$!|+*._-]*"
 #: Spaced letters, and parts of a token that have another reading than their letters. Signs that only end a word disguise nothing.
 SPACED, MIXED = re.compile(_SPACED.encode()), re.compile(_MIXED.encode())
 #: What every such part holds; most tokens don't.
 TRIGGER = re.compile(rb"[0-9@$!|+*_-]|\.[A-Za-z0-9@$|]|([A-Za-z])\1\1")
+#: Letters, digits or signs with separators between each two, three at least, and what a plain token holds if a letter may have been repeated.
+RUN, DOUBLED = re.compile(_RUN.encode()), re.compile(rb"([a-z])\1", re.I)
+PART, JOINT, REPEATED = re.compile(rb"[A-Za-z0-9@$!|+*._\x80-\xff-]+"), re.compile(rb"[._*-]+"), re.compile(rb"(.)\1+", re.S)
+#: Each sign as a letter it may stand for, i and l as one, so that words and their disguises have equal keys; separators are deleted.
+_KEYS = {**{k: v[0] for k, v in LEET.items() if v}, "l": "i", "L": "i", **{chr(b): chr(b + 32) for b in range(65, 91) if b != 76}}
+KEYS, DELETED = bytes(ord(_KEYS.get(chr(b), chr(b))) if b < 128 else b for b in range(256)), b" \t._*-"
 #: a-z, and everything else a blank; bytes from 0x80 on stay, as parts of words.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], np.int32)
@@ -58,11 +66,28 @@ def letter_model(docs: DataFrame) -> np.ndarray:
     return np.log(counts / counts.sum(axis=2, keepdims=True))
 
 
+def key(form: bytes) -> bytes:
+    return REPEATED.sub(rb"\1", form.translate(KEYS, DELETED))
+
+
+def disguises(word: bytes) -> re.Pattern[bytes]:
+    """All that the channel makes of a word: signs for letters, letters repeated, separators between."""
+    out = []
+    for m in re.finditer(rb"(.)\1*", word, re.S):
+        letters = m[1] + "".join(k for k, v in LEET.items() if m[1].decode("latin-1") in v).encode()
+        out.append(b"(?:[%s][ \t._*-]*){%d,}" % (re.escape(letters), len(m[0])))
+    return re.compile(b"".join(out), re.I)
+
+
 class Decoder:
     def __init__(self, model: np.ndarray, lexicon: dict[str, float], bias: float):
         self.model = model.tolist()
         self.weights = {w.encode(): x for w, x in lexicon.items()}
         self.words, self.bias, self.known = self.weights.keys(), bias, {}
+        self.keys: dict[bytes, list[bytes]] = {}
+        for w in self.words:
+            self.keys.setdefault(key(w), []).append(w)
+        self.forms = {w: disguises(w) for w in self.words}
 
     def restore(self, token: bytes) -> list[bytes]:
         """The likeliest words of a disguised token, by each cost of repetition. States are the last two letters read; each character moves, repeats or is dropped."""
@@ -74,9 +99,29 @@ class Decoder:
         if (x := self.known.get(token)) is None:
             if len(self.known) > 400_000:
                 self.known.clear()
-            x = self.known[token] = [w for m in MIXED.finditer(token) for w in self.restore(m[0])] if TRIGGER.search(token) else ()
+            signs = TRIGGER.search(token)
+            x = [w for m in MIXED.finditer(token) for w in self.restore(m[0])] if signs else ()
+            if self.keys and (signs or DOUBLED.search(token)):
+                x = [*x, *self.disguised(token)]
+            self.known[token] = x
         return x
 
+    def disguised(self, token: bytes) -> Sequence[bytes]:
+        """The weighed words that the channel turns into a token or a part of it, its last signs read as letters or left out."""
+        out = []
+        for part in PART.findall(token):
+            for form in {part, part.rstrip(b".!-_*+|$"), *JOINT.split(part)}:
+                out += [w for w in self.keys.get(key(form), ()) if self.forms[w].fullmatch(form)]
+        return out
+
+    def spaced(self, run: bytes) -> Sequence[bytes]:
+        """The weighed words in a run of spaced letters: anywhere in it, but those of three letters only as all of it, beside an article or pronoun."""
+        k, out = key(run), []
+        for keyed, words in self.keys.items():
+            if keyed in k:
+                out += [w for w in words if (self.forms[w].search(run) if len(w) > 3 else re.fullmatch(rb"(?:[ai][ \t._*-]+)?" + self.forms[w].pattern + rb"(?:[ai])?[!|]?", run, re.I))]
+        return out
+
     def read(self, token: str, repeat: float) -> bytes:
         model, states = self.model, {(0, 0): (0.0, "")}
         for c in token.lower():
@@ -105,6 +150,9 @@ class Decoder:
         if any(len(t) == 1 for t in tokens) or b"." in text or b"_" in text or b"*" in text or b"-" in text:
             for m in SPACED.finditer(text):
                 words.update(self.restore(m[0]))
+            if self.keys:
+                for m in RUN.finditer(text):
+                    words.update(self.spaced(m[0]))
         for t in tokens:
             if x := self.restored(t):
                 words.update(x)
