@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, held_out, ready, table
+from .common import arrow_map, cut, held_out, ready, table
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": ""}
@@ -44,6 +44,8 @@ PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], np.int32)
 #: Labelled rows that training reads at most, and words that it weighs at most.
 SAMPLE, WORDS = 20_000, 400
+#: How sharply weights fall below the z of chance.
+SHRINK = 6
 
 
 def letter_model(docs: DataFrame) -> np.ndarray:
@@ -198,13 +200,16 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
         return {"words": out, "toxic": kind}
 
     each = arrow_map(texts, words, "words array<string>, toxic int").select(F.explode("words").alias("word"), "toxic")
-    counts = each.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    counts = cut(each.groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")))
     p, n = (counts.where("word = ''").select("p", "n").first() or (0, 0))
-    # Weigh words that are clearly likelier in toxic rows: the log ratio of smoothed rates, for significant words only.
-    rate = F.log((F.col("p") + 0.1) / (p + 1.0)) - F.log((F.col("n") + 0.1) / (n + 1.0))
+    # Every word likelier in toxic rows is weighed: its log ratio of smoothed rates, shrunk as far as its z is what the likeliest of
+    # so many words reaches by chance (z^2 of twice the log of their number), whatever the number of labels.
+    rate = F.log((F.col("p") + 0.5) / (p + 1.0)) - F.log((F.col("n") + 0.5) / (n + 1.0))
     sure = F.col("p") - F.lit(p / max(1, p + n)) * (F.col("p") + F.col("n"))
     z = sure / F.sqrt((F.col("p") + F.col("n")) * F.lit(max(1e-6, p / max(1, p + n) * (1 - p / max(1, p + n)))))
-    top = counts.where("word <> '' and p >= 3").select("word", rate.alias("w"), z.alias("z")).where("z > 6 and w > 1.5").orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    named = counts.where("word <> ''")
+    chance = 2 * math.log(max(2, named.count()))
+    top = named.where("p > 0").select("word", (rate / (1 + F.pow(chance / (z * z), F.lit(SHRINK)))).alias("w"), z.alias("z")).where("z > 0 and w > 0").orderBy(F.desc("w"), "word").limit(WORDS).collect()
     lexicon = {r["word"]: float(r["w"]) for r in top}
     return model, lexicon, math.log((p * 0.1 + 0.01) / (n + 1.0))
 

@@ -18,3 +18,14 @@ def test_disguised_forms(tables):
         assert d.score(t.encode()) >= 0.5, t
     for t in ("the good doggy", "bath b a t h", "a b c d e f g", "x a b a d e", "10 0 0 1 4", "idol", "mormon", "trashes", "1.5 + 3.7 = 5.2"):
         assert d.score(t.encode()) < 0.5, t
+
+
+def test_smallest_table_trains(tables):
+    docs, labels = tables
+    model, lexicon, bias = toxicity.train(docs, labels)
+    d = toxicity.Decoder(model, lexicon, bias)
+    assert {"moron", "trash", "scum", "loser", "disgusting"} <= lexicon.keys()
+    assert d.score(b"") < 0.5 and d.score(b"you moron, what trash and scum") >= 0.5
+    got = toxicity.scores(docs, labels).join(labels, "doc_id")
+    caught, false, toxic = got.agg(F.sum(F.expr("cast(predicted = 1 and toxic = 1 as int)")), F.sum(F.expr("cast(predicted = 1 and toxic = 0 as int)")), F.sum("toxic")).first()
+    assert caught * 2 > toxic and false <= 2
