@@ -4,6 +4,7 @@ identifiers and the surrounding text, cannot compress."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 import zstandard
@@ -18,9 +19,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Candidates of the novelty test, and the words that make their surroundings sensitive.
-CANDIDATE = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"passw|secret|token|api.?key|private.?key|credential|bearer|auth", re.A | re.I)
-TAIL = re.compile(r"[A-Za-z0-9+/_=-]*")
+#: Pieces of a name, and those that can be read: with a vowel and no five consonants in a row.
+PIECE, DIGIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+"), re.compile(r"[0-9]")
+READABLE = re.compile(r"(?=.*[aeiouy])(?!.*[^aeiouy]{5}).{3,}", re.I)
 AROUND = 64
 #: Marginal compressed bytes for each character from which a candidate counts as novel.
 NOVELTY = 0.55
@@ -35,6 +38,12 @@ def novelty(before: str, candidate: str, after: str) -> float:
     return (len(z.compress(around + candidate.encode())) - len(z.compress(around))) / len(candidate)
 
 
+def readable(candidate: str) -> bool:
+    """Whether a candidate without digits is mostly made of words: the compressor cannot tell a word it has not seen from a key."""
+    pieces = PIECE.findall(candidate)
+    return not DIGIT.search(candidate) and sum(len(x) for x in pieces if READABLE.fullmatch(x)) * 10 >= sum(map(len, pieces)) * 6
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed. A null text has none."""
     if not text:
@@ -42,16 +51,13 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if SENSITIVE.search(text):
-        done = 0
-        for s in SENSITIVE.finditer(text):
-            for m in CANDIDATE.finditer(text, max(done, s.start()), s.end() + AROUND):
-                # the window may cut a candidate short: take all of it
-                a, b = m.start(), m.end()
-                b = TAIL.match(text, b).end()
-                done = b
-                if not any(x <= a and b <= y for _, x, y in spans) and novelty(text[max(0, a - AROUND) : a], text[a:b], text[b : b + AROUND]) >= NOVELTY:
-                    spans.append(("novel", a, b))
+    if words := [m.span() for m in SENSITIVE.finditer(text)]:
+        ends, fixed = [b for _, b in words], list(spans)
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            k = bisect_left(ends, a - AROUND)
+            if k < len(ends) and words[k][0] <= b + AROUND and not any(x <= a and b <= y for _, x, y in fixed) and not readable(m[0]) and novelty(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= NOVELTY:
+                spans.append(("novel", a, b))
     return sorted(set(spans), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -1,0 +1,20 @@
+from lanewise.llm import secrets
+
+
+def novel(text):
+    return [text[a:b] for k, a, b in secrets.scan(text) if k == "novel"]
+
+
+def test_novel_secrets_on_either_side():
+    key = "Zq8xT1vB9nL3wK7pR2yMc4D"
+    assert novel(f"{key} is my password") == [key]
+    assert novel("my password " + "is, as you know, " * 3 + key) == [key]
+    assert novel("the secret " + "x " * 25 + "abcdefghXkWvPtRmLnBcDf7GhJk") == ["abcdefghXkWvPtRmLnBcDf7GhJk"]
+    assert novel("bearer QzXkWvPtRmLnBcDfGhJkSwYq") == ["QzXkWvPtRmLnBcDfGhJkSwYq"]
+    assert secrets.redact(f"{key} is my password") == "<secret> is my password"
+
+
+def test_words_and_far_strings_are_not_novel():
+    key = "Zq8xT1vB9nL3wK7pR2yMc4D"
+    assert novel(f"{key} " + "and so on " * 7 + "password") == []
+    assert novel("the token of responsibilities, verantwortungsvolle my_internal_service_name getAccessTokenFromServer ----------------") == []
