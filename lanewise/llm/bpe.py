@@ -1,8 +1,9 @@
 """Byte-level BPE by one dynamic program over the prefixes of each pre-token.
 
-Every prefix of a pre-token has exactly one encoding, and so one last token. A suffix automaton over the
-vocabulary lists the tokens that end at each position; the one whose predecessor (the last token of what
-remains) is compatible with it is the last token of that prefix. Back-pointers give the ids.
+Every prefix of a pre-token has exactly one encoding, and so one last token. An automaton that matches suffixes (its states are the
+prefixes of tokens, with links to their longest suffixes among them, after Aho and Corasick) lists the tokens that end at each
+position; the one whose predecessor (the last token of what remains) is compatible with it is the last token of that prefix.
+Back-pointers give the ids.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import pick, small, table
 
 #: Fixed by the byte-level BPE format: the pre-token pattern of the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PRE = regex.compile(PATTERN)
 #: A blank inside a run of white space: only there does a piece that begins at a blank depend on its neighbours.
 _INNER = regex.compile(r"\s (?!\S)")
-#: Pieces that one generation of a worker's memory holds, about 130 MB; two are kept.
-CACHE = 700_000
+#: Bytes that one generation of a worker's memory of pieces holds; two are kept. What an entry takes besides its text and ids, and the
+#: longest piece that is remembered.
+CACHE, ENTRY, LONGEST = 130_000_000, 150, 1000
 
 
 def byte_letters() -> dict[str, int]:
@@ -83,6 +85,7 @@ class Encoder:
         self.table = [self.out.get(i, b"") for i in range(max(self.out) + 1)]
         self.packed = [np.uint32(i).astype("<u4").tobytes() for i in range(len(self.table))]
         self.known, self.old, self.kinds = {s: np.uint32(i).astype("<u4").tobytes() for s, i in v.special}, {}, {}
+        self.held = 0
 
     @functools.cached_property
     def probe(self):
@@ -92,7 +95,7 @@ class Encoder:
         return ByteLevel(add_prefix_space=False)
 
     def build(self, ids: list[int]) -> None:
-        """The suffix automaton: states are prefixes of tokens, step leads from a state and a byte to the next state,
+        """The automaton: states are prefixes of tokens, step leads from a state and a byte to the next state,
         ends lists the tokens that end in a state, longest first. Only tokens that the merges can produce enter."""
         step, at, edges, level = {}, {0: None}, [], [0]
         for i in ids:
@@ -226,29 +229,33 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> dict[str, bytes]:
         """Packed ids of all pieces."""
-        if len(self.known) > CACHE:
-            self.old, self.known = self.known, {s: np.uint32(i).astype("<u4").tobytes() for s, i in self.special_id.items()}
+        if self.held > CACHE:
+            self.old, self.known, self.held = self.known, {s: np.uint32(i).astype("<u4").tobytes() for s, i in self.special_id.items()}, 0
         known, old = self.known, self.old
         found = dict(zip(pieces, map(known.get, pieces), strict=True))
-        parts = {}
+        parts, new = {}, {}
         for p, x in found.items():
             if x is None:
                 if (x := old.get(p)) is not None:
-                    known[p] = found[p] = x
+                    new[p] = found[p] = x
                     continue
                 word = p.rstrip(".,")
                 if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()) and (word.isascii() or unicodedata.category(max(word)) != "Cn"):
                     parts[p] = (word, p[len(word) :]) if word != p else (word,)
                 else:
                     parts[p] = self.pre_tokens(p)
-        words = sorted({w.encode() for ws in parts.values() for w in ws if w not in known})
+        words = sorted({w.encode() for ws in parts.values() for w in ws if w not in known and w not in new})
         packed = self.packed
         for w, ids in zip(words, self.encode_sorted(words), strict=True):
-            known[w.decode()] = b"".join([packed[i] for i in ids])
+            new[w.decode()] = b"".join([packed[i] for i in ids])
         for p, ws in parts.items():
             if len(ws) != 1:
-                known[p] = b"".join([known[w] for w in ws])
-            found[p] = known[p]
+                new[p] = b"".join([new[w] if w in new else known[w] for w in ws])
+            found[p] = new[p] if p in new else known[p]
+        for p, x in new.items():
+            if len(p) <= LONGEST:
+                known[p] = x
+                self.held += len(p) + len(x) + ENTRY
         return found
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
@@ -288,11 +295,9 @@ def encode_texts(docs: DataFrame, path: str | None = None, keep: tuple[str, ...]
     A null text counts as empty and has no ids. Rows stay as they are: repeated rows give repeated results, other
     columns are not read. The vocabulary is read on the driver from path and broadcast: its size is fixed (under 3 MB).
     """
-    spark = docs.sparkSession
-    ready(spark)
-    shared = spark.sparkContext.broadcast(load(path or default_path()))
+    shared = docs.sparkSession.sparkContext.broadcast(load(path or default_path()))
     n = len(keep)
-    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rows = small(pick(docs, *keep, "text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n])
 
     def run(batches):

@@ -1,49 +1,40 @@
-"""Helpers that the text operators share: sessions, tables, Arrow maps, checkpoints."""
+"""Helpers that the text operators share: tables, Arrow maps, checkpoints."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewise.session import cut, forget, ship, with_batches
+
+__all__ = ["BATCH_ROWS", "arrow_map", "cut", "forget", "fresh", "held_out", "pick", "ready", "ship", "small", "table"]
+
 #: Rows of one Arrow batch. Long texts make large rows, so batches hold few of them.
 BATCH_ROWS = 256
 
-_shipped: set[str] = set()
-
 
 def ready(spark: SparkSession) -> None:
-    """Give the session what the operators need, once: code on every executor, small batches, a checkpoint folder."""
-    sc = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if sc.applicationId not in _shipped:
-        root = Path(__file__).resolve().parent.parent
-        out = Path(tempfile.mkdtemp(prefix="lanewise-")) / "lanewise.zip"
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(out))
-        _shipped.add(sc.applicationId)
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lanewise-checkpoints"))
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from the shared checkpoint folder, with the lineage cut."""
-    ready(df.sparkSession)
-    return df.checkpoint(eager=True)
+def small(df: DataFrame) -> DataFrame:
+    """The frame with small Arrow batches and this library on the executors."""
+    ship(df.sparkSession)
+    return with_batches(df, BATCH_ROWS)
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only these columns, found by place: an extra column that differs from one of them in case alone does not clash."""
+    lower = [c.lower() for c in df.columns]
+    at = [df.columns.index(n) if n in df.columns else lower.index(n.lower()) for n in names]
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{k}").alias(n) for k, n in zip(at, names, strict=True)])
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -61,7 +52,6 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to the columns of its result."""
-    ready(df.sparkSession)
     names = [x.strip().split()[0] for x in schema.split(",")]
     kinds = [_KINDS[x.strip().split()[1]] for x in schema.split(",")]
 
@@ -71,7 +61,7 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]],
                 out = rows(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], k) for n, k in zip(names, kinds, strict=True)], names=names)
 
-    return df.mapInArrow(run, schema)
+    return small(df).mapInArrow(run, schema)
 
 
 _KINDS = {

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, table
+from .common import pick, small, table
 
 BUCKETS = 128
 #: Largest difference: three for each bucket and the cap of the length's part.
@@ -52,21 +52,29 @@ def edited(text: str, other: str) -> str:
 
 def neighbours(docs: DataFrame, per_shard: int = 2000) -> DataFrame:
     """Rows (shard, id, seq, text, guest) such that within a shard, ordered by id and seq downwards with guests last, each row's next
-    document follows it. Ids are cut into ranges; the first document of the next range is sent to the range before it as a guest,
+    document follows it. Ids, and the texts of an id with very many rows, are cut into ranges; the first document of the next range is sent to the range before it as a guest,
     so no row sees more than its own range and nothing is sorted in one place. Texts are dealt once."""
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    base = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     n, low, high = base.agg(F.count("*"), F.min("id"), F.max("id")).first()
     if not n:
-        return base.select(F.lit(0).alias("shard"), "id", F.lit(0).cast("long").alias("seq"), "text", F.lit(False).alias("guest")).where("false")
+        return base.select(F.struct(F.lit(0).alias("rank"), F.lit(0).alias("part")).alias("shard"), "id", F.lit(0).cast("long").alias("seq"), "text", F.lit(False).alias("guest")).where("false")
     want = max(1, min(20_000, n // per_shard))
-    cuts = sorted(set(base.agg(F.percentile_approx("id", [k / want for k in range(1, want)] or [0.5], 100_000)).first()[0] or [])) if want > 1 else []
-    shard = F.coalesce(F.when(F.lit(bool(cuts)), F.expr(f"aggregate(array({','.join(map(str, cuts or [0]))}), 0, (s, c) -> s + int(id >= c))")).otherwise(F.lit(0)), F.lit(-1)) if len(cuts) <= 64 else F.coalesce(_ranked(cuts), F.lit(-1))
-    rows = base.withColumn("shard", shard).withColumn("seq", F.xxhash64("text"))
-    first = {r[0]: (r[1]["id"], r[1]["seq"]) for r in rows.groupBy("shard").agg(F.max(F.struct("id", "seq")).alias("top")).collect()}
+    # Ids with more rows than two shards should hold are shards of their own, cut by the hash of the text: there are few of them.
+    heavy = {r[0]: -(-r[1] * want // n) for r in base.groupBy("id").count().where(F.col("count") > 2 * n / want).collect()} if want > 1 else {}
+    cuts = set(base.agg(F.percentile_approx("id", [k / want for k in range(1, want)], 100_000)).first()[0] or []) if want > 1 else set()
+    cuts = sorted({x for x in cuts | {y for h in heavy if h is not None for y in (h, h + 1)} if x < 1 << 63})
+    rows = base.withColumn("seq", F.xxhash64("text"))
+    part = F.lit(0)
+    if heavy:
+        parts = F.broadcast(docs.sparkSession.createDataFrame(list(heavy.items()), "heavy long, parts int"))
+        rows = rows.join(parts, F.col("id").eqNullSafe(F.col("heavy")), "left")
+        part = F.coalesce(F.floor((F.col("seq") / 2.0**64 + 0.5) * F.col("parts")), F.lit(0))
+    rows = rows.select("id", "seq", "text", F.struct(F.coalesce(_ranked(cuts), F.lit(-1)).cast("int").alias("rank"), part.cast("int").alias("part")).alias("shard"))
+    first = {tuple(r[0]): (r[1]["id"], r[1]["seq"]) for r in rows.groupBy("shard").agg(F.max(F.struct("id", "seq")).alias("top")).collect()}
     order = sorted(first, reverse=True)
     guest_of = {first[order[(k + 1) % len(order)]]: s for k, s in enumerate(order)}
     spark = docs.sparkSession
-    guests = spark.createDataFrame([(i, q, s) for (i, q), s in guest_of.items()], "id long, seq long, to int")
+    guests = spark.createDataFrame([(i, q, s) for (i, q), s in guest_of.items()], "id long, seq long, to struct<rank:int,part:int>")
     sent = rows.join(F.broadcast(guests), (rows["id"].eqNullSafe(guests["id"])) & (rows["seq"] == guests["seq"])).select(F.col("to").alias("shard"), rows["id"], rows["seq"], "text", F.lit(True).alias("guest"))
     return rows.select("shard", "id", "seq", "text", F.lit(False).alias("guest")).union(sent)
 
@@ -89,7 +97,6 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     The next document is the one of the next smaller doc_id, after the smallest the one of the largest; a single document follows
     itself. Null texts are empty. Null ids come last. Rows that repeat an id are ordered by the hash of their texts, downwards; equal rows
     are interchangeable. Other columns are not read."""
-    ready(docs.sparkSession)
     placed = neighbours(docs).repartition("shard").sortWithinPartitions("shard", "guest", F.desc_nulls_last("id"), F.desc("seq"))
 
     def run(batches):
@@ -111,6 +118,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         lost = None
         for batch in batches:
             for shard, i, text, guest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                shard = (shard["rank"], shard["part"])
                 if guest and lost == shard:  # one guest is enough: rows equal to it came along
                     continue
                 now = (shard, i, text, digest(text.encode()))
@@ -120,7 +128,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
             if out:
                 yield flush()
 
-    return placed.select("shard", "id", "text", "guest").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return small(placed.select("shard", "id", "text", "guest")).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 _KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

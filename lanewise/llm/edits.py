@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow_map, ready, table
+from .common import arrow_map, pick, table
 
 #: Parts in a leaf of the tree: a part is a pre-token, or a run of them from one blank to the next.
 LEAF = 8
@@ -90,7 +90,7 @@ class CountTree:
 
     def put(self, a: int, b: int, new: list[str]) -> None:
         """The parts of the leaves from a to b, b exclusive. They keep these leaves while none grows beyond twice its size; else the leaves
-        split, and the sums above them are added anew, without a text being read again."""
+        split, and the sums right of them are added anew, without a text being read again."""
         found = self.encoder.learn(set(new))
         n = b - a if len(new) <= 2 * LEAF * (b - a) else -(-len(new) // LEAF)
         q, r = divmod(len(new), n)
@@ -103,9 +103,25 @@ class CountTree:
                 self.leaves[k] = leaf
                 self.change(k, c, t)
         else:
-            below = self.levels[0]
             self.leaves[a:b] = parts
-            self.sums(below[0][:a] + chars + below[0][b:], below[1][:a] + tokens + below[1][b:])
+            self.grow(a, b, chars, tokens)
+
+    def grow(self, a: int, b: int, chars: list[int], tokens: list[int]) -> None:
+        """Other sums, more or fewer, for the leaves from a to b, b exclusive: sums left of them stay as they are."""
+        (c, t), w = self.levels[0], self.WIDTH
+        c[a:b], t[a:b] = chars, tokens
+        self.sums_from(a // w)
+
+    def sums_from(self, k: int) -> None:
+        """Add up again from node k of the first inner level on: what lies left of it is unchanged."""
+        w = self.WIDTH
+        for low, (c, t) in zip(self.levels, self.levels[1:], strict=False):
+            n = -(-len(low[0]) // w)
+            for x, y in zip(low, (c, t), strict=True):
+                y[k:] = [sum(x[j * w : j * w + w]) for j in range(k, n)]
+            k //= w
+        while len(self.levels[-1][0]) > 1:
+            self.levels.append(tuple([sum(x[j : j + w]) for j in range(0, len(x), w)] for x in self.levels[-1]))
 
     def change(self, k: int, chars: int, tokens: int) -> None:
         dc, dt = chars - self.levels[0][0][k], tokens - self.levels[0][1][k]
@@ -133,10 +149,10 @@ def counts_after(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_tokens_edited, n_chars_edited, encoded_chars (characters encoded again) of each row's whole text.
 
     The edits column of docs (array of {start, end, text} in code points, applied in order, places cut to the text's length) says what
-    changes. Null texts are empty, null edits none."""
-    spark = docs.sparkSession
-    ready(spark)
-    shared = spark.sparkContext.broadcast(bpe.load(path or bpe.default_path()))
+    changes. Null texts are empty, null edits none; a place that is null or outside the text counts as the nearest one in it, a null text
+    of an edit as empty, and an end before the start as the start. Repeated rows give repeated results, other columns are not read."""
+    docs = pick(docs, "doc_id", "text", "edits")
+    shared = docs.sparkSession.sparkContext.broadcast(bpe.load(path or bpe.default_path()))
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
         gc.disable()  # trees and tables hold no cycles, and walking them takes longer than counting

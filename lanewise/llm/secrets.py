@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ready, table
+from .common import arrow_map, pick, small, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed by the query's contract.
@@ -87,12 +87,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         found = [scan(t) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "spans": [joined(x) for x in found], "base": [joined([y for y in x if y[0] != "novel"]) for x in found]} | {f"n_{k}": [sum(y[0] == k for y in x) for x in found] for k in KINDS}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, spans string, base string, n_assign long, n_access long, n_hex long, n_novel long")
+    return arrow_map(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, spans string, base string, n_assign long, n_access long, n_hex long, n_novel long")
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with each span replaced in text, and n_chars as the new text has it."""
-    ready(docs.sparkSession)
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -106,7 +105,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 cols[size] = pa.array([n if a == b else len(b) for n, a, b in zip(cols[size].to_pylist(), old, new, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return small(docs).mapInArrow(run, docs.schema)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

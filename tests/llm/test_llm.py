@@ -5,7 +5,6 @@ import random
 import duckdb
 import numpy as np
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -57,47 +56,6 @@ def test_bpe_odd_rows(odd, empty, encoder):
     assert bpe.encode_texts(empty).count() == 0
 
 
-def brute_components(rows):
-    prints = {}
-    for i, t in rows:
-        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
-        s = [b" ".join(w[k : k + 3]) for k in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
-        h = [xxhash.xxh64_intdigest(x, 42) for x in s]
-        prints[i] = sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
-    root = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a, b in itertools.combinations(prints, 2):
-            if (prints[a] ^ prints[b]).bit_count() <= 2 and root[a] != root[b]:
-                root[a] = root[b] = min(root[a], root[b])
-                changed = True
-    return {(i, f"{prints[i]:016x}", root[i]) for i in prints}
-
-
-def test_simhash_equals_brute_force(spark):
-    g = random.Random(2)
-    base = [" ".join(g.choice(["The", "cat", "sat", "on", "mat", "ein", "é"]) for _ in range(g.randint(0, 300))) for _ in range(30)]
-    rows = list(enumerate(base + [b + " end" for b in base] + base[:5] + ["", None]))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {tuple(r) for r in got.collect()} == brute_components(rows)
-
-
-def test_trie_finds_every_close_pair():
-    g = random.Random(3)
-    values = sorted({g.randrange(1 << 16) for _ in range(400)} | {k << 4 for k in range(200)})
-    got = {tuple(sorted(p)) for p in simhash.Trie(np.array(values, np.uint16)).close(2)}
-    assert got == {(a, b) for a, b in itertools.combinations(range(len(values)), 2) if (values[a] ^ values[b]).bit_count() <= 2}
-
-
-def test_simhash_odd_rows(odd, empty):
-    rows = simhash.near_duplicates(odd).collect()
-    assert len(rows) == len(ODD) and simhash.near_duplicates(empty).count() == 0
-    assert {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16} == {1}
-    kept = simhash.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 9]
-
-
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in simhash.components(e).collect()} == {(k, 0) for k in range(1, 41)} | {(101, 100)}
