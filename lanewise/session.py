@@ -7,6 +7,7 @@ import contextlib
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -76,6 +77,18 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bucketed(df: DataFrame, n: int, *columns: str) -> DataFrame:
+    """The same rows written to the checkpoint folder in n buckets by the columns' hash: joins on these columns don't move them again."""
+    checkpoint_folder(df.sparkSession)
+    spark, name = df.sparkSession, f"lanewise_{uuid.uuid4().hex}"
+    at = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
+    df.write.format("parquet").bucketBy(n, *columns).option("compression", "zstd").option("path", at).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  resolved, so the name can go: the files stay until the application ends
+    spark.sql(f"drop table {name}")
+    return out
+
+
 def with_batches(df: DataFrame, rows: int) -> DataFrame:
     """The same plan in a session of its own whose Arrow batches hold at most so many rows. The caller's session stays as it is."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
