@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewise.session import cut, forget, ship, with_batches
 
-__all__ = ["BATCH_ROWS", "arrow_map", "cut", "forget", "fresh", "held_out", "pick", "ready", "ship", "small", "table"]
+__all__ = ["BATCH_ROWS", "arrow_map", "cut", "forget", "fresh", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table"]
 
 #: Rows of one Arrow batch. Long texts make large rows, so batches hold few of them.
 BATCH_ROWS = 256
@@ -45,6 +45,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key of more than this part of all rows is joined by broadcast: there are at most as many of them.
+HOT = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """The inner join of left, of total rows, with right, which has one row for each key and in n how many rows of left have it. Keys
+    with a large part of all rows, at most HOT of them, are broadcast, so that their rows are not dealt to one task."""
+    hot, cold = right.where(F.col(n) * HOT >= total), right.where(F.col(n) * HOT < total)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
+def partitions(df: DataFrame, each: int = 4 << 20) -> int:
+    """Partitions for a shuffle of the frame as the session has them set, fewer for a small input."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each)))
+
+
 def held_out(doc_id: Column, folds: int = 5) -> Column:
     """True for rows whose crc32 of the id's text leaves no remainder; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds) == 0, F.lit(False))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, forget, fresh, pick, ready, table
+from .common import arrow_map, cut, forget, fresh, join_hot, pick, ready, table
 
 #: Maps A-Z to a-z, every other byte to itself.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -241,10 +241,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-#: A fingerprint of more than this part of all rows is joined by broadcast: there are at most as many of them.
-HOT = 1000
-
-
 def grouped(prints: DataFrame, order: str = "doc_id", subtree: int = SUBTREE) -> DataFrame:
     """The rows of prints (fp and the column order) with component_id: the least value of order that links reach, nulls last."""
     nodes = cut(prints.groupBy("fp").agg(F.min(order).alias("least"), F.count("*").alias("n")))
@@ -252,9 +248,7 @@ def grouped(prints: DataFrame, order: str = "doc_id", subtree: int = SUBTREE) ->
     rooted = nodes.join(components(links(nodes.select("fp"), subtree)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(ids, "root").select("fp", "n", "component_id"))
-    hot = F.broadcast(named.where(F.col("n") * HOT >= total).select("fp", "component_id"))
-    cold = named.where(F.col("n") * HOT < total).select("fp", "component_id")
-    return prints.join(hot, "fp").unionByName(prints.join(cold, "fp"))
+    return join_hot(prints, named, ["fp"], total).drop("n")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, subtree: int = SUBTREE) -> DataFrame:

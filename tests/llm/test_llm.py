@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lanewise.llm import bpe, chat, decontaminate, digest, edits, licences, pseudo, secrets, simhash, toxicity
+from lanewise.llm import bpe, decontaminate, digest, edits, licences, pseudo, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ID string"
 ODD = [(1, "", "en", "s", 0, "x"), (2, None, None, None, None, None), (3, "a", "en", "s", 1, "x"), (3, "a", "en", "s", 1, "x"), (None, "b b b", "en", "s", 5, "x"), (9, "x" * 50_000, "en", "s", 50_000, "x")]
@@ -127,26 +127,6 @@ def test_toxicity(spark, empty):
     assert {r["score"] < 0.5 for r in toxicity.scores(docs, labels.limit(0)).select("score").distinct().collect()} == {True}
 
 
-def test_chat_tree(spark):
-    rows = [(c, k, r, t) for c in range(6) for k, (r, t) in enumerate([("system", "be good"), ("user", "hi <x> \\ ### b: </turn>"), ("assistant", f"a{c % 3}"), ("user", None)])]
-    frame = spark.createDataFrame(rows + [(None, 0, None, "x"), (8, None, "assistant", "")], "conv_id long, turn long, role string, text string")
-    nodes, leaves = chat.prefix_tree(frame)
-    n = {bytes(r["key"]): r for r in nodes.collect()}
-    assert len(n) == 2 + 3 * 2 + 2
-    spans = sorted((r["emitted"], r["emitted"] + r["n_tokens"]) for r in n.values())
-    assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in itertools.pairwise(spans))
-    for r in n.values():
-        up = [n[bytes(a)] for a in r["ancestors"]]
-        assert r["position"] == sum(x["n_tokens"] for x in up) == sum(i["hi"] - i["lo"] for i in r["attends"])
-        covered = {p for i in r["attends"] for p in range(i["lo"], i["hi"])}
-        assert covered == {p for x in up for p in range(x["emitted"], x["emitted"] + x["n_tokens"])}
-        assert all(x["emitted"] < r["emitted"] for x in up)
-    out = {r["conv_id"]: r for r in chat.read_back(nodes, leaves).collect()}
-    text = "".join(f"{r}\n{t or ''}\n" for c, _, r, t in rows if c == 4)
-    assert out[4]["turns_sha256"] == hashlib.sha256(text.encode()).hexdigest() and out[4]["loss_chars"] == 2
-    assert len(out) == 8 and chat.parse("".join(chat.segments(chat.PLANTED, chat.PLANTED))) == [(chat.PLANTED, chat.PLANTED)]
-
-
 def test_edits_equal_counting_anew(encoder, library):
     g = random.Random(6)
     piece = lambda n: "".join(g.choice("ab c'd  \n\té1!. ") for _ in range(g.randint(0, n)))
