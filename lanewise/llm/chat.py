@@ -70,15 +70,16 @@ class Tree(NamedTuple):
     nodes: DataFrame
     leaves: DataFrame
     paths: DataFrame
+    buckets: int
 
 
 _TURNS = "c long, a boolean, depth int, k1 long, k2 long, p1 long, p2 long, tokens binary, n_tokens int, loss_from int, loss_to int, position long, last boolean"
 _TYPES = [pa.int64(), pa.bool_(), pa.int32(), *[pa.int64()] * 4, pa.binary(), *[pa.int32()] * 3, pa.int64(), pa.bool_()]
 
 
-def encoded_turns(conversations: DataFrame, path: str) -> DataFrame:
-    """Each turn with its tokens and the key of its prefix (k1, k2; that of the prefix before it p1, p2), in buckets by conversation. A
-    conversation's turns pass one task in order, a batch at a time."""
+def encoded_turns(conversations: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """Each turn with its tokens and the key of its prefix (k1, k2; that of the prefix before it p1, p2), in buckets by conversation, and
+    the number of buckets. A conversation's turns pass one task in order, a batch at a time."""
     shared = conversations.sparkSession.sparkContext.broadcast(bpe.load(path))
     source = pick(conversations, "conv_id", "turn", "role", "text")
     conv, none = F.col("conv_id").cast("long"), F.lit("")
@@ -108,7 +109,7 @@ def encoded_turns(conversations: DataFrame, path: str) -> DataFrame:
         if held:
             yield as_batch([(*held[:-1], True)])
 
-    return bucketed(small(dealt).mapInArrow(run, _TURNS), n, *CONV)
+    return bucketed(small(dealt).mapInArrow(run, _TURNS), n, *CONV), n
 
 
 def halves(key: bytes) -> tuple[int, int]:
@@ -165,7 +166,7 @@ def prefix_tree(conversations: DataFrame, path: str | None = None) -> Tree:
 
     Turns are ordered by turn, role, text, nulls first; null roles and texts are empty; rows with a null conv_id are one conversation;
     repeated rows are repeated turns; an empty table has no nodes. Other columns are not read."""
-    turns = encoded_turns(conversations, path or bpe.default_path())
+    turns, n = encoded_turns(conversations, path or bpe.default_path())
     ends = turns.where("last").select(*CONV, "k1", "k2", (F.col("depth") + 1).cast("long").alias("n_turns"), (F.col("position") + F.col("n_tokens")).alias("total"))
     firsts = cut(ends.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("a", "c")).alias("by"), F.min("n_turns").alias("n_turns"), F.min("total").alias("total")))
     n_rows, n_convs = firsts.agg(F.sum("n_turns"), F.sum("n")).first()
@@ -190,11 +191,11 @@ def prefix_tree(conversations: DataFrame, path: str | None = None) -> Tree:
         (s, x) -> if(x.lo = x.hi, s, if(size(s) > 0 and element_at(s, -1).hi = x.lo, concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).lo as lo, x.hi as hi))), concat(s, array(x)))))""")
     held = turns.join(paths, CONV, "left").where("pieces is not null").withColumn("own", own).where("own.oc = c and own.oa = a").withColumn("emitted", F.expr("own.offset + position - own.position"))
     nodes = held.select(*CONV, whole("k1", "k2").alias("key"), F.when(F.col("depth") > 0, whole("p1", "p2")).alias("parent"), "depth", "tokens", "n_tokens", "loss_from", "loss_to", "position", "emitted", attends.alias("attends"))
-    return Tree(nodes, leaves, paths)
+    return Tree(nodes, leaves, paths, n)
 
 
 def gathered(tree: Tree) -> DataFrame:
-    """c, a, depth, tokens, loss_from, loss_to: the nodes of each distinct conversation, its own ones where they are, the others asked for
+    """to_c, to_a, depth, tokens, loss_from, loss_to: the nodes of each distinct conversation, its own ones where they are, the others asked for
     from the conversations that hold them. Where very many ask one conversation, its nodes are dealt in copies."""
     node = tree.nodes.select(*CONV, "depth", "tokens", "loss_from", "loss_to")
     asked = cut(tree.paths.select(*CONV, F.explode(F.expr("filter(pieces, x -> x.oc <> c or x.oa <> a)")).alias("x")).select(F.col("c").alias("to_c"), F.col("a").alias("to_a"), F.col("x.oc").alias("c"), F.col("x.oa").alias("a"), "x.first", "x.until"))
@@ -204,9 +205,11 @@ def gathered(tree: Tree) -> DataFrame:
     given = node.join(per.select(*CONV, "deepest", "copies"), CONV).where("depth < deepest").withColumn("copy", F.explode(F.expr("sequence(0, copies - 1)"))).drop("deepest", "copies")
     wanted = join_hot(asked, per.select(*CONV, "n", "copies"), CONV, total).withColumn("copy", F.expr("cast(pmod(xxhash64(to_c, to_a), copies) as int)"))
     moved = given.join(wanted.select(*CONV, "copy", "to_c", "to_a", "first", "until"), [*CONV, "copy"]).where("depth >= first and depth < until")
-    moved = moved.select(F.col("to_c").alias("c"), F.col("to_a").alias("a"), "depth", "tokens", "loss_from", "loss_to")
-    n = partitions(node)
-    return node.unionByName(moved.repartition(n, *CONV)).repartition(n, *CONV).sortWithinPartitions(*CONV, "depth")
+    rest, to = ["depth", "tokens", "loss_from", "loss_to"], ["to_c", "to_a"]
+    # Both sides are dealt alike, so the conversations' own nodes stay where they are; new names, since the planner compares qualified ones.
+    n = tree.buckets
+    own = node.select(F.col("c").alias("to_c"), F.col("a").alias("to_a"), *rest)
+    return own.unionByName(moved.select(*to, *rest).repartition(n, *to)).repartition(n, *to).sortWithinPartitions(*to, "depth")
 
 
 def read_back(tree: Tree, path: str | None = None) -> DataFrame:
