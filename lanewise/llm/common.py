@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewise.session import cut, forget, ship, with_batches
 
-__all__ = ["BATCH_ROWS", "arrow_map", "cut", "forget", "fresh", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table"]
+__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table"]
 
 #: Rows of one Arrow batch. Long texts make large rows, so batches hold few of them.
 BATCH_ROWS = 256
@@ -82,6 +82,12 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]],
     return small(df).mapInArrow(run, schema)
 
 
+def carry(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow over all columns, which keep their places, types and names, even names that differ in case alone."""
+    flat = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return small(flat).mapInArrow(run, flat.schema).toDF(*df.columns)
+
+
 _KINDS = {
     "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
     "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()),

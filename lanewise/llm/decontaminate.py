@@ -1,160 +1,226 @@
-"""Benchmark decontamination by a broadcast set of hashed word windows, with every hit verified word by word."""
+"""Benchmark decontamination by a broadcast set of hashed word windows, with every hit verified byte by byte."""
 
 from __future__ import annotations
 
-import hashlib
-import itertools
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ready, table
+from .common import arrow_map, carry, pick, table
 
 #: Words are runs of 0-9, a-z and bytes from 0x80 on, after A-Z became a-z.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Test items of more bytes than this in all are dealt over several passes, each with a set of this size.
-PASS_BYTES = 64_000_000
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Test items of more bytes than this in all are dealt over several passes. An item has at most a window for each two of its bytes, and a
+#: window takes 24 bytes and up to 4 of the bit table, so a pass holds at most 16 times as much in the driver and in each worker.
+PASS_BYTES = 16_000_000
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 20
+#: An odd number has an inverse among the numbers of 64 bits, so the hash of a part follows from those of two prefixes.
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, b in enumerate((BASE, _INVERSE)):
+            steps = np.full(size, b, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers
+
+
+def normal(text: bytes | None) -> bytes:
+    """The words, a blank between each two."""
+    return b" ".join((text or b"").translate(WORDS).split())
+
+
+def borders(words: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a normal text begins and ends."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blanks = np.flatnonzero(np.frombuffer(words, np.uint8) == 32)
+    return np.concatenate([[0], blanks + 1]), np.append(blanks, len(words))
+
+
+def hashes(words: bytes, starts: np.ndarray, ends: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first window's number, hashes) of the windows of n words, block by block."""
+    k, most = 0, len(starts) - n + 1
+    while k < most:
+        until = max(k + 1, min(most, int(np.searchsorted(starts, starts[k] + BLOCK))))
+        lo, hi = int(starts[k]), int(ends[until + n - 2])
+        power, inverse = powers(hi - lo + 1)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum((np.frombuffer(words, np.uint8, hi - lo, lo).astype(np.uint64) + np.uint64(1)) * power[: hi - lo], out=sums[1:])
+        a, b = starts[k:until] - lo, ends[k + n - 1 : until + n - 1] - lo
+        h = (sums[b] - sums[a]) * inverse[a]
+        h ^= h >> np.uint64(29)
+        yield k, h * np.uint64(0xBF58476D1CE4E5B9)
+        k = until
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(WORDS).split()
-
-
-def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-
-
-def rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each window of n words."""
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out *= _MIX
-        out += h[k : len(h) - n + 1 + k]
+class Windows:
+    """The windows of the test items by length: hashes in order, each with the place of its words and the items that hold it, and a bit
+    table that most document windows miss. Windows of one hash but other words are kept apart by their words."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int):
+        texts = [normal(t.encode() if t else None) for _, t in items]
+        self.names = sorted({i for i, _ in items})
+        at = {x: k for k, x in enumerate(self.names)}
+        self.words, base = b"\n".join(texts), 0
+        found: dict[int, list] = {}
+        for (item, _), t in zip(items, texts, strict=True):
+            starts, ends = borders(t)
+            if n := min(window, len(starts)):
+                for k, h in hashes(t, starts, ends, n):
+                    a, b = starts[k : k + len(h)] + base, ends[k + n - 1 : k + n - 1 + len(h)] + base
+                    found.setdefault(n, []).append((h, a, b, np.full(len(h), at[item], np.int32)))
+            base += len(t) + 1
+        self.tables = {}
+        self.apart: dict[bytes, set[int]] = {}
+        for n, parts in found.items():
+            h, a, b, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((own, h))
+            h, a, b, own = h[order], a[order], b[order], own[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            head = np.repeat(first, np.diff(np.append(first, len(h))))
+            for k in np.flatnonzero(head != np.arange(len(h))).tolist():
+                if (w := self.words[a[k] : b[k]]) != self.words[a[head[k]] : b[head[k]]]:
+                    self.apart.setdefault(w, set()).add(int(own[k]))
+                    own[k] = -1
+            bits = max(16, int(len(first) * 16).bit_length())
+            seen = np.zeros(1 << bits, bool)
+            seen[h[first] >> np.uint64(64 - bits)] = True
+            self.tables[n] = (seen, np.uint64(64 - bits), h[first], np.append(first, len(h)), a[first], b[first], own)
+
+    def hits(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+        """Number of words; the words inside hit windows as ascending ranges (first, end exclusive); items."""
+        words = normal(text)
+        starts, ends = borders(words)
+        found, items = [], set()
+        for n, (seen, shift, known, at, a, b, own) in self.tables.items():
+            for first, h in hashes(words, starts, ends, n):
+                maybe = np.flatnonzero(seen[h >> shift])
+                if not len(maybe):
+                    continue
+                place = np.searchsorted(known, h[maybe])
+                sure = (place < len(known)) & (known[np.minimum(place, len(known) - 1)] == h[maybe])
+                for k, p in zip((maybe[sure] + first).tolist(), place[sure].tolist(), strict=True):
+                    w = words[starts[k] : ends[k + n - 1]]
+                    if w == self.words[a[p] : b[p]]:
+                        items.update(own[at[p] : at[p + 1]].tolist())
+                    elif w in self.apart:
+                        items |= self.apart[w]
+                    else:
+                        continue
+                    found.append((k, k + n))
+        return len(starts), merged(found), {self.names[k] for k in items if k >= 0}
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
     return out
 
 
-class Windows:
-    """The windows of the test items by length, with a bit table that most document windows miss."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int):
-        self.of: dict[tuple[bytes, ...], set] = {}
-        for item, text in items:
-            w = words_of(text.encode() if text else None)
-            n = min(window, len(w))
-            for k in range(len(w) - n + 1 if n else 0):
-                self.of.setdefault(tuple(w[k : k + n]), set()).add(item)
-        self.tables = {}
-        for n in sorted({len(k) for k in self.of}):
-            own = np.concatenate([rolled(hashes_of(list(k)), n) for k in self.of if len(k) == n])
-            bits = max(16, int(len(own) * 16).bit_length())
-            t = np.zeros(1 << bits, bool)
-            t[own >> np.uint64(64 - bits)] = True
-            self.tables[n] = (t, np.uint64(64 - bits))
-
-    def hits(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set]:
-        """Words, the windows hit (first word, words), items."""
-        w = words_of(text)
-        if not w:
-            return 0, [], set()
-        h, found, items = hashes_of(w), [], set()
-        for n, (t, shift) in self.tables.items():
-            if len(w) >= n:
-                for k in np.nonzero(t[rolled(h, n) >> shift])[0].tolist():
-                    if (own := self.of.get(tuple(w[k : k + n]))) is not None:
-                        found.append((k, n))
-                        items |= own
-        return len(w), found, items
-
-
-#: The items that this worker has built windows of, and the windows.
-_built: dict[str, object] = {}
-
-
-def windows_of(shared: tuple[int, list]) -> Windows:
-    """The windows of broadcast items, built once for each worker."""
-    if _built.get("of") is not shared:
-        _built["of"], _built["windows"] = shared, Windows(shared[1], shared[0])
-    return _built["windows"]
-
-
-def item_parts(benchmark: DataFrame, pass_bytes: int) -> list[DataFrame]:
-    """The items as (item, text), dealt by hash into as many frames as it takes for each to hold about pass_bytes of text. A null id counts as empty."""
+def passes(benchmark: DataFrame, window: int, pass_bytes: int) -> Iterator[object]:
+    """The items' windows, broadcast, in as many parts as it takes for each to hold about pass_bytes of text. A null id counts as empty."""
+    benchmark = pick(benchmark, "item_id", "text")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-size // pass_bytes))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    return [items] if parts == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
+    for k in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
+        yield benchmark.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], window))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """doc_id, n_words, hit (numbers of the words inside an occurring window) and items (ids as sorted strings) of each row's whole text.
+    """doc_id, n_words, n_hit, spans (the words inside an occurring window, as first, end, first, end, ...) and items (ids as sorted strings)
+    of each row's whole text.
 
-    Null texts have no words; an item without words has no window; an item with a null id counts under the empty string.
-    The items are read to the driver and broadcast, if their texts come to pass_bytes at most; beyond that the documents go
-    through as many passes as it takes, one after the other without a shuffle, each with a bounded part of the items.
+    Null texts have no words; an item without words has no window; an item with a null id counts under the empty string, items that share
+    an id count once. Repeated rows give repeated results; an empty table of either kind gives no hits. Other columns are not read.
+    The items' windows are broadcast, if their texts come to pass_bytes at most; beyond that the documents go through as many passes as
+    it takes, one after the other without a shuffle, each with a bounded part of the items.
     """
-    spark = docs.sparkSession
-    ready(spark)
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    parts = item_parts(benchmark, pass_bytes)
-    for k, bench in enumerate(parts):
-        shared = spark.sparkContext.broadcast((window, [tuple(r) for r in bench.collect()]))
-
-        def match(batch: pa.RecordBatch, shared=shared, first=not k) -> dict[str, list]:
-            windows = windows_of(shared.value)
-            before = itertools.repeat(((), ())) if first else zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
-            out = {"doc_id": batch.column(0), "text": batch.column(1), "n_words": [], "hit": [], "items": []}
-            for text, (hit, items) in zip(batch.column(1).to_pylist(), before, strict=False):
-                n, at, own = windows.hits(text)
+    found = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    for shared in passes(benchmark, window, pass_bytes):
+
+        def match(batch: pa.RecordBatch, shared=shared) -> dict[str, list]:
+            windows, out = shared.value, {"doc_id": batch.column(0), "text": batch.column(1), "n_words": [], "n_hit": [], "spans": [], "items": []}
+            before = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) if batch.num_columns > 2 else [((), ())] * batch.num_rows
+            for text, (spans, items) in zip(batch.column(1).to_pylist(), before, strict=True):
+                n, ranges, own = windows.hits(text)
+                ranges = merged([*ranges, *zip(spans[::2], spans[1::2], strict=True)])
                 out["n_words"].append(n)
-                out["hit"].append(sorted({x for k, m in at for x in range(k, k + m)}.union(hit)))
+                out["n_hit"].append(sum(b - a for a, b in ranges))
+                out["spans"].append([x for r in ranges for x in r])
                 out["items"].append(sorted(own.union(items)))
             return out
 
-        text = "" if k + 1 == len(parts) else "text binary, "
-        found = arrow_map(found, match, f"doc_id long, {text}n_words long, hit array<int>, items array<string>")
-    return found
+        found = arrow_map(found, match, "doc_id long, text binary, n_words long, n_hit long, spans array<int>, items array<string>")
+    return found.drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", "n_words", F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of docs, all columns, in which no window of an item occurs. The items' size is bounded as in report: a row that one pass keeps
-    goes on to the next."""
-    spark = docs.sparkSession
-    ready(spark)
-    at, schema = docs.columns.index("text"), docs.schema
-    for bench in item_parts(benchmark, pass_bytes):
-        shared = spark.sparkContext.broadcast((window, [tuple(r) for r in bench.collect()]))
+    """The rows of docs, all columns, in which no window of an item occurs: rows with null or empty texts stay. The items' size is bounded as
+    in report: a row that one pass keeps goes on to the next."""
+    at = docs.columns.index("text")
+    for shared in passes(benchmark, window, pass_bytes):
 
         def keep(batches, shared=shared):
-            windows = windows_of(shared.value)
             for batch in batches:
-                ok = [not windows.hits(t.encode() if t else None)[1] for t in batch.column(at).to_pylist()]
+                ok = [not shared.value.hits(t.encode() if t else None)[1] for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(ok, pa.bool_()))
 
-        docs = docs.mapInArrow(keep, schema)
+        docs = carry(docs, keep)
     return docs
 
 
-def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+def without(text: str | None, windows: Windows) -> str | None:
+    """The text without the words inside hit windows, nor what stands between them."""
+    raw = (text or "").encode()
+    ranges = windows.hits(raw)[1]
+    if not ranges:
+        return text
+    places = [m.span() for m in _WORD.finditer(raw)]
+    out, at = [], 0
+    for a, b in ranges:
+        out.append(raw[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*out, raw[at:]]).decode()
+
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """docs with the words inside occurring windows cut from text; every row and other column stays as it is."""
+    at = docs.columns.index("text")
+    for shared in passes(benchmark, window, pass_bytes):
 
-def brute(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str], str]:
-    """What op9 returns for a text, by comparing every window with every item; for tests."""
-    w, hit, ids = words_of(text.encode() if text else None), set(), set()
-    for item, t in items:
-        v = words_of(t.encode() if t else None)
-        n = min(window, len(v))
-        grams = {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else set()
-        for k in range(len(w) - n + 1 if n else 0):
-            if tuple(w[k : k + n]) in grams:
-                hit |= set(range(k, k + n))
-                ids.add(item)
-    return len(w), len(hit), sorted(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        def run(batches, shared=shared):
+            for batch in batches:
+                cols = list(batch.columns)
+                cols[at] = pa.array([without(t, shared.value) for t in cols[at].to_pylist()], cols[at].type)
+                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+        docs = carry(docs, run)
+    return docs
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))

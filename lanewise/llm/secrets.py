@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pick, small, table
+from .common import arrow_map, carry, pick, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed by the query's contract.
@@ -105,7 +105,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 cols[size] = pa.array([n if a == b else len(b) for n, a, b in zip(cols[size].to_pylist(), old, new, strict=True)], cols[size].type)
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
 
-    return small(docs).mapInArrow(run, docs.schema)
+    return carry(docs, run)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, held_out, pick, ready, small, table
+from .common import arrow_map, carry, cut, held_out, pick, ready, table
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": ""}
@@ -238,7 +238,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([d.score(t.encode() if t else None) < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return small(docs).mapInArrow(keep, docs.schema)
+    return carry(docs, keep)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,12 @@ import hashlib
 import itertools
 import random
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lanewise.llm import bpe, decontaminate, digest, edits, licences, pseudo, secrets, simhash, toxicity
+from lanewise.llm import bpe, digest, edits, pseudo, secrets, simhash, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ID string"
 ODD = [(1, "", "en", "s", 0, "x"), (2, None, None, None, None, None), (3, "a", "en", "s", 1, "x"), (3, "a", "en", "s", 1, "x"), (None, "b b b", "en", "s", 5, "x"), (9, "x" * 50_000, "en", "s", 50_000, "x")]
@@ -61,23 +60,6 @@ def test_components_of_a_chain(spark):
     assert {tuple(r) for r in simhash.components(e).collect()} == {(k, 0) for k in range(1, 41)} | {(101, 100)}
 
 
-def test_decontaminate_equals_brute_force(spark, odd, empty):
-    g = random.Random(4)
-    word = lambda: g.choice(["A", "b", "é7", "the", "x9", "of"])
-    items = [(k, " ".join(word() for _ in range(g.choice([0, 2, 9, 10, 14])))) for k in range(12)] + [(50, None)]
-    docs = [(k, ", ".join(word() for _ in range(g.randint(0, 60))) + (" " + items[k % 12][1] if k % 3 == 0 else "")) for k in range(40)] + [(99, None)]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    named = [(str(i), t) for i, t in items]
-    want = {(i, *(b := decontaminate.brute(t, named))[:2], len(b[2]), b[3], b[1] > 0) for i, t in docs}
-    assert {tuple(r) for r in decontaminate.digest(decontaminate.report(frame, bench)).collect()} == want
-    assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench).collect()} == {w[0] for w in want if not w[-1]}
-    assert len(decontaminate.item_parts(bench, 100)) > 2
-    assert {tuple(r) for r in decontaminate.digest(decontaminate.report(frame, bench, pass_bytes=100)).collect()} == want
-    assert {r["doc_id"] for r in decontaminate.drop_contaminated(frame, bench, pass_bytes=100).collect()} == {w[0] for w in want if not w[-1]}
-    assert decontaminate.report(odd, bench).count() == len(ODD) and decontaminate.report(empty, bench).count() == 0
-
-
 def test_digest_equals_brute_force(spark, odd, empty):
     g = random.Random(5)
     docs = [(k * 3, "".join(g.choice("abc défß\n") for _ in range(g.randint(0, 90)))) for k in range(60)] + [(500, None), (501, "")]
@@ -141,17 +123,6 @@ def test_edits_equal_counting_anew(encoder, library):
             assert (tree.chars, tree.tokens) == (len(text), len(library.encode(text, add_special_tokens=False).ids))
 
 
-def test_licences(spark, odd, empty):
-    d = duckdb.connect()
-    rows = [(1, "x\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License. Foo. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."), (3, None), (4, "")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {tuple(r) for r in licences.find_licences(frame).collect()}
-    d.sql("create table documents as select * from (values (1, ?), (2, ?), (3, null), (4, '')) t(doc_id, text)", params=[rows[0][1], rows[1][1]])
-    assert got == set(d.sql(licences.OP6_SQL).fetchall())
-    assert {r[0]: r[2] for r in got} == {1: "MIT", 2: "Apache-2.0,Apache-2.0-header", 3: "", 4: ""}
-    assert licences.find_licences(odd).count() == len(ODD) and licences.find_licences(empty).count() == 0
-
-
 def test_pseudo_likelihood(spark, odd, empty):
     g = random.Random(8)
     line = "the cat sat on the mat and the dog ran to the house".split()
