@@ -26,7 +26,7 @@ SEPARATORS = " .-_*"
 SIGN, GAP = -1.0, -0.5
 #: Log costs of a repeated letter: a token is read under each, since doubled letters are both a disguise and a spelling.
 REPEATS = (-1.0, -9.0)
-_SPACED = r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ ._*-]{1,2}[A-Za-z0-9@$!|]){3,40}(?![A-Za-z0-9@$!|])"
+_SPACED = r"(?<![A-Za-z0-9@$!|])[A-Za-z0-9@$!|](?:[ ._*-]{1,2}[A-Za-z0-9@$!|]){3,}(?![A-Za-z0-9@$!|])"
 _RUN = r"(?<![A-Za-z0-9@$!|+])[A-Za-z0-9@$!|+](?:[ \t._*-]{1,3}[A-Za-z0-9@$!|+]){2,}(?![A-Za-z0-9@$+])"
 _MIXED = r"[A-Za-z0-9@$!|+*]*(?:[A-Za-z](?:[0-9@$|+]|[!*._-]+[A-Za-z0-9@$|])|[0-9@$!|][A-Za-z]|([A-Za-z])\1\1)[A-Za-z0-9@$!|+*._-]*"
 #: Spaced letters, and parts of a token that have another reading than their letters. Signs that only end a word disguise nothing.
@@ -42,8 +42,8 @@ KEYS, DELETED = bytes(ord(_KEYS.get(chr(b), chr(b))) if b < 128 else b for b in
 #: a-z, and everything else a blank; bytes from 0x80 on stay, as parts of words.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 CODES = np.array([b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 0 for b in range(256)], np.int32)
-#: Labelled rows that training reads at most, and words that it weighs at most.
-SAMPLE, WORDS = 20_000, 400
+#: Labelled rows that training reads at most, and the least weight that counts: words below it say nothing that chance does not.
+SAMPLE, LEAST = 20_000, 0.1
 #: How sharply weights fall below the z of chance.
 SHRINK = 6
 
@@ -60,7 +60,7 @@ def letter_model(docs: DataFrame) -> np.ndarray:
         k = np.nonzero(total)[0]
         return {"code": k.astype(np.int32), "n": total[k]}
 
-    found = arrow_map(docs.select(F.col("text").cast("binary")), rows, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    found = arrow_map(pick(docs, "text").select(F.col("text").cast("binary")), rows, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     counts = np.full(27**3, 0.1)
     for code, n in found:
         counts[code] += n
@@ -89,7 +89,12 @@ class Decoder:
         self.keys: dict[bytes, list[bytes]] = {}
         for w in self.words:
             self.keys.setdefault(key(w), []).append(w)
-        self.forms = {w: disguises(w) for w in self.words}
+        self.forms: dict[bytes, re.Pattern[bytes]] = {}
+
+    def form(self, word: bytes) -> re.Pattern[bytes]:
+        if (x := self.forms.get(word)) is None:
+            x = self.forms[word] = disguises(word)
+        return x
 
     def restore(self, token: bytes) -> list[bytes]:
         """The likeliest words of a disguised token, by each cost of repetition. States are the last two letters read; each character moves, repeats or is dropped."""
@@ -113,7 +118,7 @@ class Decoder:
         out = []
         for part in PART.findall(token):
             for form in {part, part.rstrip(b".!-_*+|$"), *JOINT.split(part)}:
-                out += [w for w in self.keys.get(key(form), ()) if self.forms[w].fullmatch(form)]
+                out += [w for w in self.keys.get(key(form), ()) if self.form(w).fullmatch(form)]
         return out
 
     def spaced(self, run: bytes) -> Sequence[bytes]:
@@ -121,30 +126,45 @@ class Decoder:
         k, out = key(run), []
         for keyed, words in self.keys.items():
             if keyed in k:
-                out += [w for w in words if (self.forms[w].search(run) if len(w) > 3 else re.fullmatch(rb"(?:[ai][ \t._*-]+)?" + self.forms[w].pattern + rb"(?:[ai])?[!|]?", run, re.I))]
+                out += [w for w in words if (self.form(w).search(run) if len(w) > 3 else re.fullmatch(rb"(?:[ai][ \t._*-]+)?" + self.form(w).pattern + rb"(?:[ai])?[!|]?", run, re.I))]
         return out
 
     def read(self, token: str, repeat: float) -> bytes:
-        model, states = self.model, {(0, 0): (0.0, "")}
+        """The likeliest reading under one cost of repetition, by back-pointers: a node is a letter read and the node before it."""
+        model, letter, before = self.model, [""], [0]
+        states = {(0, 0): (0.0, 0)}
         for c in token.lower():
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-
-            def offer(key, score, text, after=after):
-                if (old := after.get(key)) is None or score > old[0]:
-                    after[key] = (score, text)
-
+            after: dict[tuple[int, int], tuple[float, int, str]] = {}
             letters = c if "a" <= c <= "z" else LEET.get(c, "")
             cost = 0.0 if letters == c else SIGN
-            for (a, b), (score, text) in states.items():
-                if c in SEPARATORS or (not letters and b):
-                    offer((a, b), score + GAP, text)
+            skip = c in SEPARATORS
+            for (a, b), (score, node) in states.items():
+                if (skip or (not letters and b)) and ((old := after.get((a, b))) is None or score + GAP > old[0]):
+                    after[a, b] = (score + GAP, node, "")
                 for x in letters:
                     k = ord(x) - 96
-                    offer((b, k), score + cost + model[a][b][k], text + x)
-                    if k == b:
-                        offer((a, b), score + repeat + cost, text)
-            states = after or {(0, 0): (max(s for s, _ in states.values()), max(states.values())[1] + " ")}
-        return max((score + self.model[a][b][0], text) for (a, b), (score, text) in states.items())[1].encode()
+                    s = score + cost + model[a][b][k]
+                    if (old := after.get((b, k))) is None or s > old[0]:
+                        after[b, k] = (s, node, x)
+                    s = score + repeat + cost
+                    if k == b and ((old := after.get((a, b))) is None or s > old[0]):
+                        after[a, b] = (s, node, "")
+            if not after:  # nothing can be read here: a word ends
+                score, node = max(states.values())
+                after = {(0, 0): (score, node, " ")}
+            states = {}
+            for key_, (score, node, x) in after.items():
+                if x:
+                    letter.append(x)
+                    before.append(node)
+                    node = len(letter) - 1
+                states[key_] = (score, node)
+        _, node = max((score + model[a][b][0], node) for (a, b), (score, node) in states.items())
+        out = []
+        while node:
+            out.append(letter[node])
+            node = before[node]
+        return "".join(reversed(out)).encode()
 
     def restored_words(self, text: bytes) -> set[bytes]:
         words = set(text.translate(PLAIN).split())
@@ -181,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     fold, chosen by the hash of their id; rows without a label, an id or a document don't count. Without any, every score is 0."""
     spark = docs.sparkSession
     ready(spark)
+    docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "toxic")
     model = letter_model(docs)
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     sample = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -209,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, flo
     z = sure / F.sqrt((F.col("p") + F.col("n")) * F.lit(max(1e-6, p / max(1, p + n) * (1 - p / max(1, p + n)))))
     named = counts.where("word <> ''")
     chance = 2 * math.log(max(2, named.count()))
-    top = named.where("p > 0").select("word", (rate / (1 + F.pow(chance / (z * z), F.lit(SHRINK)))).alias("w"), z.alias("z")).where("z > 0 and w > 0").orderBy(F.desc("w"), "word").limit(WORDS).collect()
+    top = named.where("p > 0").select("word", (rate / (1 + F.pow(chance / (z * z), F.lit(SHRINK)))).alias("w"), z.alias("z")).where(F.col("z") > 0).where(F.col("w") >= LEAST).collect()
     lexicon = {r["word"]: float(r["w"]) for r in top}
     return model, lexicon, math.log((p * 0.1 + 0.01) / (n + 1.0))
 
@@ -225,11 +246,13 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         s = [d.score(t) for t in batch.column(2).to_pylist()]
         return {"doc_id": batch.column(0), "held_out": batch.column(1), "score": s, "predicted": [int(x >= 0.5) for x in s]}
 
+    docs = pick(docs, "doc_id", "text")
     return arrow_map(docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("binary")), rows, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that score below 0.5."""
+    """The rows of docs, all columns, that score below 0.5. Rows with null or empty texts score by the bias alone and stay, unless most of the
+    labelled rows are toxic; repeated rows and rows without an id are judged each by its text."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
 

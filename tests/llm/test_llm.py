@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lanewise.llm import bpe, digest, edits, pseudo, secrets, simhash, toxicity
+from lanewise.llm import bpe, digest, edits, pseudo, secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ID string"
 ODD = [(1, "", "en", "s", 0, "x"), (2, None, None, None, None, None), (3, "a", "en", "s", 1, "x"), (3, "a", "en", "s", 1, "x"), (None, "b b b", "en", "s", 5, "x"), (9, "x" * 50_000, "en", "s", 50_000, "x")]
@@ -94,21 +94,6 @@ def test_secrets(odd, empty):
     assert secrets.redact_secrets(odd).columns == odd.columns
 
 
-def test_toxicity(spark, empty):
-    sf = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model, lexicon, bias = toxicity.train(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
-    d = toxicity.Decoder(model, lexicon, bias)
-    assert len(lexicon) >= 5 and d.score(b"") < 0.5 and d.score(b"the cat and the dog") < 0.5
-    for s in ("you idiot", "you 1d1ot", "you i d i o t", "what a m0r0n", "stuuuupid", "w.o.r.t.h.l.e.s.s", "tr@sh"):
-        assert d.score(s.encode()) >= 0.5, s
-    got = toxicity.scores(docs, labels).join(labels, "doc_id").where("held_out")
-    right, n = got.agg(F.sum((F.col("predicted") == F.col("toxic")).cast("int")), F.count("*")).first()
-    assert right / n > 0.9
-    assert toxicity.scores(empty, labels).count() == 0
-    assert {r["score"] < 0.5 for r in toxicity.scores(docs, labels.limit(0)).select("score").distinct().collect()} == {True}
-
-
 def test_edits_equal_counting_anew(encoder, library):
     g = random.Random(6)
     piece = lambda n: "".join(g.choice("ab c'd  \n\té1!. ") for _ in range(g.randint(0, n)))
