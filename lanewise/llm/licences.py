@@ -6,6 +6,8 @@ enumerators are dropped and spellings unified before a sentence is looked up, so
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +105,8 @@ RULES = {
     "CC-BY-SA-4.0": [["cc-by-sa-name"], ["spdx-CC-BY-SA-4.0"]],
     "CC-BY-NC-4.0": [["cc-by-nc-name"], ["spdx-CC-BY-NC-4.0"]],
 }
-#: Only texts with one of these are looked at closely: each sentence, name and identifier stands in a text that has one.
-HINT = "licen[sc]e|(released|distributed|published|available|provided|covered) (under|by|with)|permission|copyright|warrant|redistribut|unencumbered|free software"
+#: Every rule needs a sentence with one of these: texts without any are not looked at closely, and have no identifiers.
+HINTS = ["licen", "permission", "redistribut", "unencumbered", "released under", "distributed under", "published under", "available under"]
 #: What is done to a text in lower case before it is split, in order: comment marks, SPDX lines, line breaks before a sentence that begins a
 #: notice and after a copyright line, blank lines, other line breaks, definitions in brackets, enumerators in brackets, abbreviations. Their patterns mean the same to Java and to DuckDB.
 STEPS = [
@@ -125,7 +127,7 @@ SPLIT = "[.!?:;]+(?: |$)"
 #: What is done to a sentence of letters and digits: spelling, enumerators.
 WORDS = [("[^a-z0-9]+", " "), ("licen[cs]e", "license"), (r"\bsub ?license", "sublicense"), ("non infringement", "noninfringement"), (r"\bas is\b", "as is"), ("^ *[0-9]{1,2} ", ""), (r"\band distribute this\b", "and or distribute this"), ("non ?commercial 4 0", "noncommercial 4 0"), ("share ?alike", "sharealike"), (r"\bv([0-9])", "v \\1"), (r"([0-9]) or later\b", "\\1 orlater")]
 #: A sentence that names its licence: what stands before the name, and what may stand after it.
-NAMED = r"^(?:.* )?(?:licensed|released|distributed|published|available|provided|covered) (?:under|by|with) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:a )?(.+?)(?: only| orlater| or any later version| or at your option any later version)?$"
+NAMED = r"^(?:.* )?(?:licensed|released|distributed|published|available) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:a )?(.+?)(?: only| orlater| or any later version| or at your option any later version)?$"
 _ID = {s: k for k, s in SENTENCES.items()} | {f"name {n}": k for k, names in NAMES.items() for n in names} | {f"spdx {n}".replace("or later", "orlater"): f"spdx-{k}" for k, names in SPDX.items() for n in names}
 
 
@@ -146,20 +148,23 @@ def plain_sentences(text: Column) -> Column:
     return F.transform(F.split(text, SPLIT), words)
 
 
-def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order: whole sentences by a table, licences that a sentence names by theirs, those with
-    a varying part by their pattern. An SPDX line gives one for each licence of its expression."""
+def sentence_ids(low: Column) -> Column:
+    """Identifiers of the known sentences of a text in lower case, in order: whole sentences by a table, licences that a sentence names by
+    theirs, those with a varying part by their pattern. An SPDX line gives one for each licence of its expression."""
     known = F.create_map(*[F.lit(x) for s, k in _ID.items() for x in (s, k)])
 
     def look(s: Column) -> Column:
-        name = F.regexp_extract(s, NAMED, 1)
-        found = F.coalesce(F.element_at(known, s), F.element_at(known, F.concat(F.lit("name "), name)))
+        found = F.coalesce(F.element_at(known, s), F.element_at(known, F.concat(F.lit("name "), F.regexp_extract(s, NAMED, 1))))
         for k, pattern in PATTERNS.items():
             found = F.coalesce(found, F.when(s.rlike(pattern), F.lit(k)))
         return found
 
-    parts = F.flatten(F.transform(plain_sentences(F.lower(text)), lambda s: F.when(s.startswith("spdx "), F.transform(F.split(F.substring(s, F.lit(6), F.length(s)), " (?:or|and) "), lambda x: F.concat(F.lit("spdx "), x))).otherwise(F.array(s))))
-    return F.when(F.lower(text).rlike(HINT), F.filter(F.transform(parts, look), lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
+    def expression(s: Column) -> Column:
+        return F.transform(F.split(F.substring(s, F.lit(6), F.length(s)), " (?:or|and) "), lambda x: F.concat(F.lit("spdx "), x))
+
+    parts = F.flatten(F.transform(plain_sentences(low), lambda s: F.when(s.startswith("spdx "), expression(s)).otherwise(F.array(s))))
+    hint = functools.reduce(Column.__or__, [low.contains(h) for h in HINTS])
+    return F.when(hint, F.filter(F.transform(parts, look), lambda k: k.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def _sequence(rule: list[str]) -> str:
@@ -173,8 +178,8 @@ def rule_found(ids: Column, rules: list[list[str]]) -> Column:
 def find_licences(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids and licences (both joined by commas, in order and as rules are listed) and n_licences of each row's whole
     text. Null and empty texts have none; repeated rows give repeated results; other columns are not read."""
-    docs = pick(docs, "doc_id", "text")
-    ids = docs.select(F.col("doc_id").cast("long"), sentence_ids(F.coalesce("text", F.lit(""))).alias("ids"))
+    docs = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    ids = docs.select("doc_id", sentence_ids(F.col("low")).alias("ids"))
     found = F.filter(F.array(*[F.when(rule_found(F.col("ids"), r), F.lit(k)) for k, r in RULES.items()]), lambda k: k.isNotNull())
     found = F.when(F.size("ids") > 0, found).otherwise(F.array().cast("array<string>"))
     return ids.select("doc_id", "ids", found.alias("found")).select("doc_id", F.concat_ws(",", "ids").alias("sentence_ids"), F.concat_ws(",", "found").alias("licences"), F.size("found").cast("long").alias("n_licences"))
@@ -199,7 +204,7 @@ _VARYING = " ".join(f"when regexp_matches(x, {_quoted(p)}) then {_quoted(k)}" fo
 _RULES = ", ".join(f"case when regexp_matches(',' || array_to_string(ids, ',') || ',', {_quoted('|'.join(map(_sequence, r)))}) then {_quoted(k)} end" for k, r in RULES.items())
 OP6_SQL = f"""
 with t as (select doc_id, lower(coalesce(text, '')) t from documents),
-s as (select doc_id, case when regexp_matches(t, {_quoted(HINT)}) then list_transform(regexp_split_to_array({_replaced("t", STEPS)}, {_quoted(SPLIT)}), lambda x: trim({_replaced("x", WORDS)})) else [] end s from t),
+s as (select doc_id, case when {' or '.join(f'contains(t, {_quoted(h)})' for h in HINTS)} then list_transform(regexp_split_to_array({_replaced("t", STEPS)}, {_quoted(SPLIT)}), lambda x: trim({_replaced("x", WORDS)})) else [] end s from t),
 p as (select doc_id, flatten(list_transform(s, lambda x: case when starts_with(x, 'spdx ') then list_transform(regexp_split_to_array(substr(x, 6), ' (?:or|and) '), lambda y: 'spdx ' || y) else [x] end)) p from s),
 k as (select doc_id, map {{{_KNOWN}}} known, p from p),
 i as (select doc_id, list_filter(list_transform(p, lambda x: coalesce(known[x], known['name ' || regexp_extract(x, {_quoted(NAMED)}, 1)], case {_VARYING} end)), lambda x: x is not null) ids from k),
