@@ -1,169 +1,543 @@
-"""Masked pseudo-likelihood: a window network predicts every token from the tokens on both sides.
-
-Tokens are words, as classes of a fixed number: the most frequent words of all documents, the rest by hash. The windows
-of the whole corpus are counted (distributed, summed by window), which bounds what training reads by the number of
-different windows; the network is trained in numpy on all of them by their counts, and a document's score is the sum of
-the conditional log-probabilities of its tokens.
+"""Masked pseudo-likelihood: every word is predicted from the words on both sides, and a document's score is the sum of the conditional
+log-probabilities of its words.
+
+The network reads two words on either side. It knows the most frequent words of the corpus by themselves; any other word is the
+network's rare word times its spelling under a letter model, so that every word has a probability and no two share one by being
+thrown together. The softmax is a binary tree in which frequent words lie near the root. It is trained in numpy on every window of the
+corpus: each task trains a copy on its documents, and the copies are averaged row by row, weighed by how often each was trained.
+
+Beside it stands a memory of all windows of the corpus, which grows with the corpus: a word seen n times between the same four
+neighbours, m times any word, has the probability (n - 1 + P) / (m - 1 + 1), P being the network's; the occurrence that is scored does
+not count itself. The windows are dealt by their context as packed arrays of 12 bytes each, counted in numpy, and what they change is
+dealt back to the documents. A window that very many documents of a task share is dealt once for all of them.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ready, table
+from .common import cut, partitions, pick, ready, small, table
 from .simhash import LOWER
 
-#: Classes: 0 is outside the text, then FREQUENT words, then HASHED classes for all others.
-FREQUENT, HASHED = 79, 48
-CLASSES = 1 + FREQUENT + HASHED
-HIDDEN, EPOCHS, RATE, SEED = 24, 12, 0.05, 7
-
-
-class Classes:
-    def __init__(self, frequent: list[bytes]):
-        self.of = {w: k for k, w in enumerate(frequent, 1)}
-
-    def codes(self, text: bytes | None) -> np.ndarray:
-        words = (text or b"").translate(LOWER).split()
-        of = self.of
-        if len(of) > 500_000:  # words learned since; the frequent ones come first
-            for w in list(of)[FREQUENT:]:
-                del of[w]
-        for w in {w for w in words if w not in of}:
-            of[w] = 1 + FREQUENT + xxhash.xxh32_intdigest(w) % HASHED
-        return np.fromiter(map(of.__getitem__, words), np.int32, len(words))
-
-
-_classes: list = [None, None]
-
-
-def classes(frequent: list[bytes]) -> Classes:
-    """One for each worker process and list."""
-    if _classes[0] != frequent:
-        _classes[:] = frequent, Classes(frequent)
-    return _classes[1]
-
-
-def windows(codes: np.ndarray) -> np.ndarray:
-    """(left, token, right) of each token as one number."""
-    p = np.concatenate([[0], codes, [0]]).astype(np.int64)
-    return (p[:-2] * CLASSES + p[1:-1]) * CLASSES + p[2:]
-
+#: Words that the network knows by themselves, its width, and windows scored and trained at once.
+KNOWN, WIDTH, CHUNK, STEP = 1 << 15, 8, 1 << 12, 1 << 10
+RATE, SEED = 0.3, 7
+#: Numbers of the rare word and of what lies outside a text; known words follow.
+RARE, OUTSIDE = 0, 1
+SIDES = (-2, -1, 1, 2)
+#: Letters of the spelling model: the end of a word, a to z, any of the other bytes.
+LETTERS, OTHERS = 28, 224
+_LETTER = np.array([0 if b in b" \t\n\x0b\x0c\r" else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 for b in range(256)], np.int32)
+#: Windows that a task gathers before it deals them, documents at most among them, and copies of a window from which it is dealt once.
+GATHERED, MOST_DOCS, SHARED = 1 << 20, 1 << 15, 64
+ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("word", "<u2"), ("doc", "<u2"), ("p", "<f2")])
+CHANGE = np.dtype([("row", "<i8"), ("by", "<f4")])
+#: Kinds of rows between the stages.
+WINDOWS, SHARED_WINDOWS, MEMBERS, TOTALS, CHANGES, REPLIES = range(6)
+_ROWS = "part int, kind int, key long, doc_id long, n long, value double, blob binary"
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary()]
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").translate(LOWER).split()
+
+
+def spelling_counts(text: bytes) -> np.ndarray:
+    """How often each letter follows two others inside words; before a word's first letter there is nothing."""
+    c = np.concatenate([[0, 0], _LETTER[np.frombuffer(text, np.uint8)], [0]])
+    a, b, c = np.where(c[1:-1] == 0, 0, c[:-2]), c[1:-1], c[2:]
+    inside = (b != 0) | (c != 0)  # white space after white space ends no word
+    return np.bincount(((a * LETTERS + b) * LETTERS + c)[inside], minlength=LETTERS**3)
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    n = counts.reshape(LETTERS, LETTERS, LETTERS) + 0.1
+    p = np.log(n / n.sum(axis=2, keepdims=True))
+    p[:, :, 27] -= np.log(OTHERS)
+    return p
+
+
+class Lexicon:
+    """What a worker knows of words: the network's number, a hash, and the log-probability of the spelling for rare words."""
+
+    MOST = 500_000
+
+    def __init__(self, known: list[bytes], letters: np.ndarray):
+        self.known, self.letters = known, letters
+        self.first = dict(zip(known, range(2, 2 + len(known)), strict=True))
+        self.clear()
+
+    def clear(self) -> None:
+        self.of: dict[bytes, int] = {}
+        self.numbers, self.hashes, self.spelt = np.zeros(0, np.uint16), np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.add(self.known, range(2, 2 + len(self.known)))
+
+    def add(self, words, numbers=None) -> None:
+        words = list(words)
+        self.of.update(zip(words, range(len(self.of), len(self.of) + len(words)), strict=True))
+        self.numbers = np.append(self.numbers, np.fromiter(numbers, np.uint16, len(words)) if numbers is not None else np.zeros(len(words), np.uint16))
+        self.hashes = np.append(self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) | np.uint64(1))
+        self.spelt = np.append(self.spelt, np.zeros(len(words), np.float32) if numbers is not None else self.spell(words))
+
+    def spell(self, words: list[bytes]) -> np.ndarray:
+        """The log-probability of each word's letters and its end."""
+        c = np.concatenate([[0, 0], _LETTER[np.frombuffer(b"\n".join([*words, b""]), np.uint8)]])
+        each = self.letters[np.where(c[1:-1] == 0, 0, c[:-2]), c[1:-1], c[2:]]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        return np.add.reduceat(each, np.append(0, ends[:-1])).astype(np.float32)
+
+    def plain(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The network's numbers of all words, with two places outside before and after each text, and where the words are."""
+        get, rare, outside = self.first.get, itertools.repeat(RARE), [OUTSIDE] * 2
+        flat = list(outside)
+        ends = []
+        for t in texts:
+            flat += map(get, words_of(t), rare)
+            ends.append(len(flat))
+            flat += outside
+        numbers = np.array(flat, np.uint16)
+        words = np.ones(len(flat), bool)
+        words[:2] = False
+        ends = np.array(ends, np.int64)
+        words[ends] = words[ends + 1] = False
+        return numbers, np.flatnonzero(words)
+
+    def windows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All words of the texts with two places outside before and after each text, -1 there; where the words are; how many each has."""
+        lists = [words_of(t) for t in texts]
+        if len(self.of) > self.MOST:
+            self.clear()
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        every = [w for x in lists for w in x]
+        found = np.fromiter(map(self.of.get, every, itertools.repeat(-1)), np.int64, len(every))
+        if len(new := np.flatnonzero(found < 0)):
+            self.add(sorted({every[k] for k in new.tolist()}))
+            found[new] = [self.of[every[k]] for k in new.tolist()]
+        at = 2 + np.arange(len(every)) + 2 * np.repeat(np.arange(len(lists)), sizes)
+        flat = np.full(len(every) + 2 * len(lists) + 2, -1, np.int64)
+        flat[at] = found
+        return flat, at, sizes
+
+    def looked(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The network's numbers and the hashes of words and of places outside."""
+        numbers, hashes = np.append(self.numbers, np.uint16(OUTSIDE)), np.append(self.hashes, np.uint64(0))
+        return numbers[flat], hashes[flat]
 
-def frequent_words(docs: DataFrame) -> list[bytes]:
-    """The most frequent words of all documents, most frequent first, ties by bytes."""
 
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        from collections import Counter
-
-        n: Counter[bytes] = Counter()
-        for t in batch.column(0).to_pylist():
-            n.update((t or b"").translate(LOWER).split())
-        return {"word": list(n), "n": list(n.values())}
-
-    found = arrow_map(docs.select(F.col("text").cast("binary")), rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in found.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+class Network:
+    """Embeddings of the neighbours, weighed by side, a hidden layer, and a binary tree of logistic units over the known and the rare word."""
 
+    def __init__(self, counts: np.ndarray, seed: int = SEED):
+        """counts: of the rare word, of nothing, of the known words."""
+        self.size = len(counts)
+        g = np.random.default_rng(seed)
+        self.embed = g.normal(0, 0.3, (self.size, WIDTH)).astype(np.float32)
+        self.side = np.full((len(SIDES), WIDTH), 0.5, np.float32) + g.normal(0, 0.1, (len(SIDES), WIDTH)).astype(np.float32)
+        self.plant(counts)
+        self.units = np.zeros((max(1, self.size - 2), WIDTH + 1), np.float32)
+        self.units[:, WIDTH] = self.odds
+
+    def plant(self, counts: np.ndarray) -> None:
+        """The tree by Huffman's rule: paths from the root, as units and turns (1 or -1), for each word."""
+        heap = [(int(n) + 1, k, k) for k, n in enumerate(counts) if k != OUTSIDE]
+        heapq.heapify(heap)
+        below, mass, at = {}, {}, self.size
+        while len(heap) > 1:
+            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+            below[at], mass[at] = (x, y), (a, b)
+            heapq.heappush(heap, (a + b, at, at))
+            at += 1
+        self.odds = np.zeros(max(1, self.size - 2), np.float32)
+        paths: dict[int, tuple[list[int], list[int]]] = {}
+        stack = [(heap[0][2], [], [])]
+        while stack:
+            x, units, turns = stack.pop()
+            if x < self.size:
+                paths[x] = (units, turns)
+                continue
+            unit, (a, b) = x - self.size, mass[x]
+            self.odds[unit] = np.log(a / b)
+            stack += [(below[x][0], [*units, unit], [*turns, 1]), (below[x][1], [*units, unit], [*turns, -1])]
+        each = [paths.get(k, ([], [])) for k in range(self.size)]
+        self.depth = np.array([len(u) for u, _ in each])
+        self.start = np.concatenate([[0], np.cumsum(self.depth)[:-1]])
+        self.path = np.array([x for u, _ in each for x in u], np.uint16)
+        self.turn = np.array([x for _, t in each for x in t], np.float32)
+
+    def hidden(self, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.stack([numbers[at + k] for k in SIDES], axis=1)
+        return near, np.tanh(np.einsum("nkw,kw->nw", self.embed[near], self.side))
+
+    def steps(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The path entries of the words one after the other, which word each is of, and where each word's begin."""
+        depth = self.depth[words]
+        ends = np.cumsum(depth)
+        first = ends - depth
+        word = np.repeat(np.arange(len(words)), depth)
+        return (self.start[words] - first)[word] + np.arange(ends[-1]), word, first
+
+    def log_probabilities(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of the words at these places given those on both sides."""
+        out = np.zeros(len(at), np.float32)
+        if self.size < 3:
+            return out
+        for k in range(0, len(at), CHUNK):
+            own = at[k : k + CHUNK]
+            _, h = self.hidden(numbers, own)
+            entry, word, first = self.steps(numbers[own])
+            u = self.units[self.path[entry]]
+            z = (np.einsum("mw,mw->m", u[:, :WIDTH], h[word]) + u[:, WIDTH]) * self.turn[entry]
+            out[k : k + CHUNK] = np.add.reduceat(-np.log1p(np.exp(np.minimum(-z, 80))), first)
+        return out
 
-def window_counts(docs: DataFrame, frequent: list[bytes]) -> DataFrame:
-    """window, n over every token of all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    def learner(self) -> Learner:
+        return Learner(self)
 
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        c = classes(shared.value)
-        parts = [windows(c.codes(t)) for t in batch.column(0).to_pylist()]
-        w, n = np.unique(np.concatenate(parts), return_counts=True)
-        return {"window": w, "n": n.astype(np.int64)}
 
-    return arrow_map(docs.select(F.col("text").cast("binary")), rows, "window long, n long").groupBy("window").agg(F.sum("n").alias("n"))
+class Learner:
+    """Gradient steps on a copy of a network, with a step size for each row that falls with what the row has been moved."""
 
+    def __init__(self, net: Network):
+        self.net = net
+        self.embed, self.units, self.side = net.embed.copy(), net.units.copy(), net.side.copy()
+        self.moved = [np.full(len(x), 1e-2, np.float32) for x in (self.embed, self.units)]
+        self.seen = [np.zeros(len(x), np.float32) for x in (self.embed, self.units)]
 
-class Network:
-    """Embeddings of the two neighbours, by side, one hidden layer, a softmax over classes."""
+    def move(self, which: int, rows: np.ndarray, first: np.ndarray, sums: np.ndarray) -> None:
+        """Add the sums of gradients to rows; first is where each row's entries began."""
+        self.moved[which][rows] += np.einsum("nw,nw->n", sums, sums) / sums.shape[1]
+        (self.embed, self.units)[which][rows] += (RATE / np.sqrt(self.moved[which][rows]))[:, None] * sums
+        self.seen[which][rows] += first
 
-    def __init__(self, seed: int = SEED):
-        g = np.random.default_rng(seed)
-        self.left, self.right = (g.normal(0, 0.1, (CLASSES, HIDDEN)).astype(np.float32) for _ in range(2))
-        self.out, self.bias = g.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32), np.zeros(CLASSES, np.float32)
-
-    def log_probabilities(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.tanh(self.left[left] + self.right[right])
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        return h, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def train(self, window: np.ndarray, n: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> None:
-        """Adam over the contexts, each with the counts of all tokens seen in it, so that every token of the corpus weighs alike."""
-        if not len(window):
+    def learn(self, numbers: np.ndarray, at: np.ndarray) -> None:
+        net = self.net
+        if net.size < 3:
+            return
+        for k in range(0, len(at), STEP):
+            own = at[k : k + STEP]
+            near = np.stack([numbers[own + s] for s in SIDES], axis=1)
+            h = np.tanh(np.einsum("nkw,kw->nw", self.embed[near], self.side))
+            entry, word, first = net.steps(numbers[own])
+            unit = net.path[entry]
+            u, turn = self.units[unit], net.turn[entry]
+            z = np.einsum("mw,mw->m", u[:, :WIDTH], h[word]) + u[:, WIDTH]
+            off = turn / (1 + np.exp(np.clip(turn * z, -30, 30)))
+            u *= off[:, None]
+            back = np.add.reduceat(u[:, :WIDTH], first, axis=0) * (1 - h * h)
+            order, rows, first, n = grouped(unit)
+            off, sums = off[order], np.empty((len(rows), WIDTH + 1), np.float32)
+            sums[:, :WIDTH] = np.add.reduceat(h[word[order]] * off[:, None], first, axis=0)
+            sums[:, WIDTH] = np.add.reduceat(off, first)
+            self.move(1, rows, n, sums)
+            order, rows, first, n = grouped(near.T.reshape(-1))
+            side, word = np.divmod(order, len(own))
+            self.move(0, rows, n, np.add.reduceat(back[word] * self.side[side], first, axis=0))
+
+
+def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the entries by row, the rows, where each begins in that order, and how many entries it has."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    return order, rows[first], first, np.diff(np.append(first, len(rows)))
+
+
+_worker: list = [None, None]
+
+
+def lexicon(shared) -> Lexicon:
+    """One for each worker process and corpus."""
+    if _worker[0] is not shared.value[1]:
+        _worker[:] = shared.value[1], Lexicon(*shared.value[:2])
+    return _worker[1]
+
+
+def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
+    """The known words, most frequent first, ties by bytes; counts of the network's words; spelling counts; words in all. Counts cover every
+    document; the known words and 28^3 spelling counts come to the driver."""
+
+    def run(batches):
+        words: Counter[bytes] = Counter()
+        letters, total = np.zeros(LETTERS**3, np.int64), 0
+
+        def out(kind, keys, counts):
+            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    words.update(words_of(t))
+                    letters += spelling_counts(t)
+            if len(words) > 400_000:
+                total += words.total()
+                yield out(0, list(words), list(words.values()))
+                words.clear()
+        total += words.total()
+        yield out(0, list(words), list(words.values()))
+        used = np.flatnonzero(letters)
+        yield out(1, [int(k).to_bytes(4, "big") for k in used], letters[used])
+        yield out(2, [b""], [total])
+
+    found = small(pick(docs, "text").select(F.col("text").cast("binary"))).mapInArrow(run, "kind int, key binary, n long")
+    top = found.groupBy("kind", "key").agg(F.sum("n").alias("n")).orderBy(F.desc("kind"), F.desc("n"), "key").limit(1 + LETTERS**3 + KNOWN)
+    known, counts, letters, total = [], [], np.zeros(LETTERS**3), 0
+    for kind, key, n in top.collect():
+        if kind == 2:
+            total = n
+        elif kind == 1:
+            letters[int.from_bytes(key, "big")] = n
+        elif len(known) < KNOWN:
+            known.append(bytes(key))
+            counts.append(n)
+    return known, np.array([total - sum(counts), 0, *counts]), letters, total
+
+
+#: Rows of a network's matrix that are averaged together.
+BLOCK = 1024
+
+
+def trained(docs: DataFrame, words, counts: np.ndarray) -> Network:
+    """The network after one pass over every document. Each task's copy is summed with the others' block by block, weighed by row; the sums,
+    whose size the number of known words bounds, come to the driver."""
+    net = Network(counts)
+    shared = docs.sparkSession.sparkContext.broadcast((*words, net))
+
+    def run(batches):
+        learner, lex = shared.value[2].learner(), lexicon(shared)
+        for batch in batches:
+            learner.learn(*lex.plain(batch.column(0).to_pylist()))
+        for which, (rows, seen) in enumerate(zip((learner.embed, learner.units), learner.seen, strict=True)):
+            for k in range(0, len(rows), BLOCK):
+                n = seen[k : k + BLOCK, None]
+                if n.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([which << 20 | k // BLOCK], pa.int32()), pa.array([np.concatenate([rows[k : k + BLOCK] * n, n], axis=1).astype("<f4").tobytes()], pa.binary())], names=["block", "sums"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x, "<f4").astype(np.float64)
+                sums[block] = sums[block] + x if block in sums else x
+        for block, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "sums"])
+
+    parts = small(pick(docs, "text").select(F.col("text").cast("binary"))).mapInArrow(run, "block int, sums binary")
+    for block, sums in parts.repartition("block").mapInArrow(add, "block int, sums binary").collect():
+        rows = (net.embed, net.units)[block >> 20]
+        x = np.frombuffer(sums).reshape(-1, rows.shape[1] + 1)
+        k = (block & (1 << 20) - 1) * BLOCK
+        moved = x[:, -1] > 0
+        rows[k : k + len(x)][moved] = (x[moved, :-1] / x[moved, -1:]).astype(np.float32)
+    return net
+
+
+def contexts(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of the two words on either side, and 16 of the word between them."""
+    h = np.zeros(len(at), np.uint64)
+    for k, side in enumerate(SIDES):
+        h = (h ^ hashes[at + side] * np.uint64(2 * k + 0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(31)
+    return h, (hashes[at] >> np.uint64(48)).astype(np.uint16)
+
+
+def part_of(rows: np.ndarray, parts: int) -> np.ndarray:
+    return ((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def batch_of(**columns) -> pa.RecordBatch:
+    n = max(len(x) for x in columns.values())
+    names = [x.split()[0] for x in _ROWS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * n), t) for k, t in zip(names, _TYPES, strict=True)], names=names)
+
+
+def sliced(part: np.ndarray, kind: int, packed: np.ndarray, key: int | None = None) -> pa.RecordBatch:
+    """One row for each part, with the part's entries; parts ascend."""
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    ends = np.append(first[1:], len(part))
+    return batch_of(part=part[first], kind=[kind] * len(first), key=[key] * len(first), blob=[packed[a:b].tobytes() for a, b in zip(first, ends, strict=True)])
+
+
+class Gatherer:
+    """The windows of a task's documents until they are dealt."""
+
+    def __init__(self, parts: int, base: int):
+        self.parts, self.next = parts, base
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.held, self.size = self.next, [], 0
+
+    def full(self, docs: int, words: int) -> bool:
+        return self.size and (self.size + words > GATHERED or self.next - self.first + docs > MOST_DOCS)
+
+    def add(self, context: np.ndarray, word: np.ndarray, doc: np.ndarray, p: np.ndarray, docs: int) -> None:
+        self.held.append((context, word, doc + (self.next - self.first), p))
+        self.next += docs
+        self.size += len(context)
+
+    def deal(self) -> Iterator[pa.RecordBatch]:
+        """Windows by context; those that many of these documents share once, with the list of the documents dealt apart."""
+        if self.size:
+            context, word, doc, p = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            order = np.lexsort((word, context))
+            context, word, doc, p = (x[order] for x in (context, word, doc, p))
+            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
+            n = np.diff(np.append(first, len(context)))
+            part = ((context >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+            alone = np.repeat(n < SHARED, n)
+            packed = np.zeros(len(context), ENTRY)
+            packed["high"], packed["low"], packed["word"], packed["doc"], packed["p"] = context & np.uint64(0xFFFFFFFF), context >> np.uint64(32) & np.uint64(0xFFFF), word, doc, p
+            if alone.any():
+                yield sliced(part[alone], WINDOWS, packed[alone], self.first)
+            for k, size in zip(first[n >= SHARED].tolist(), n[n >= SHARED].tolist(), strict=True):
+                key = self.first << 21 | k
+                yield batch_of(part=[part[k]], kind=[SHARED_WINDOWS], key=[key], n=[size], blob=[packed[k : k + 1].tobytes()])
+                docs, times = np.unique(doc[k : k + size], return_counts=True)
+                members = np.zeros(len(docs), CHANGE)
+                members["row"], members["by"] = docs + self.first, times
+                yield batch_of(part=[key % self.parts], kind=[MEMBERS], key=[key], blob=[members.tobytes()])
+        self.clear()
+
+
+def dealt(docs: DataFrame, words, net: Network, parts: int) -> DataFrame:
+    """Each document's sum under the network alone, and all windows of all documents, by part."""
+    shared = docs.sparkSession.sparkContext.broadcast((*words, net))
+
+    def run(batches):
+        lex, net = lexicon(shared), shared.value[2]
+        held = Gatherer(parts, TaskContext.get().partitionId() << 33)
+        for batch in batches:
+            flat, at, sizes = lex.windows(batch.column(1).to_pylist())
+            numbers, hashes = lex.looked(flat)
+            # Rounded as the windows carry it, so that what they change fits what is summed here.
+            p = (net.log_probabilities(numbers, at) + lex.spelt[flat[at]]).astype(np.float16)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            if held.full(len(sizes), len(at)):
+                yield from held.deal()
+            rows = held.next + np.arange(len(sizes))
+            held.add(*contexts(hashes, at), doc, p, len(sizes))
+            yield batch_of(part=part_of(rows, parts), kind=[TOTALS] * len(rows), key=rows, doc_id=batch.column(0), n=sizes, value=np.bincount(doc, p.astype(np.float64), len(sizes)))
+        yield from held.deal()
+
+    return small(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, _ROWS)
+
+
+def changes(key: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By how much the memory changes each window's log-probability, and which windows it does, from keys (48 bits of context, 16 of the
+    word) in order, how often each entry stands, and the network's log-probabilities."""
+    total = np.concatenate([[0], np.cumsum(n)])
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        ends = np.append(first[1:], len(x))
+        return np.repeat(total[ends] - total[first], ends - first)
+
+    same, near = sums(key), sums(key >> np.uint64(16))
+    again = near > 1
+    q = np.exp(p[again])
+    return np.log((same[again] - 1 + q) / near[again]) - p[again], again
+
+
+def remembered(windows: DataFrame, parts: int) -> DataFrame:
+    """Windows that recur, as changes of documents' sums; totals and members as they are."""
+
+    def run(batches):
+        entries, docs, shared = [], [], []
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            if (rest := (kinds == TOTALS) | (kinds == MEMBERS)).any():
+                yield batch.filter(pa.array(rest))
+            for kind, key, n, blob in zip(kinds.tolist(), *(batch.column(k).to_pylist() for k in (2, 4, 6)), strict=True):
+                if kind == WINDOWS:
+                    entries.append(np.frombuffer(blob, ENTRY))
+                    docs.append(np.full(len(entries[-1]), key, np.int64))
+                elif kind == SHARED_WINDOWS:
+                    shared.append((blob, key, n))
+        alone = sum(map(len, entries))
+        e = np.concatenate([*entries, np.frombuffer(b"".join(x[0] for x in shared), ENTRY)])
+        if not len(e):
             return
-        context = window // CLASSES // CLASSES * CLASSES + window % CLASSES
-        token = window // CLASSES % CLASSES
-        keys, at = np.unique(context, return_inverse=True)
-        seen = np.zeros((len(keys), CLASSES), np.float32)
-        np.add.at(seen, (at, token), n.astype(np.float32))
-        self.bias[:] = np.log((seen.sum(axis=0) + 0.1) / (seen.sum() + 0.1 * CLASSES))
-        g, step = np.random.default_rng(SEED), 0
-        params = [self.left, self.right, self.out, self.bias]
-        m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        mean = seen.sum() / len(keys)
-        for _ in range(epochs):
-            order = g.permutation(len(keys))
-            for k in range(0, len(keys), 512):
-                own = order[k : k + 512]
-                left, right, want = keys[own] // CLASSES, keys[own] % CLASSES, seen[own] / mean
-                h, lp = self.log_probabilities(left, right)
-                d = np.exp(lp) * want.sum(axis=1, keepdims=True) - want
-                back = (d @ self.out.T) * (1 - h * h)
-                grads = [np.zeros_like(self.left), np.zeros_like(self.right), h.T @ d, d.sum(axis=0)]
-                np.add.at(grads[0], left, back)
-                np.add.at(grads[1], right, back)
-                step += 1
-                for p, q, a, b in zip(params, grads, m, v, strict=True):
-                    q /= len(own)
-                    a += 0.1 * (q - a)
-                    b += 0.001 * (q * q - b)
-                    p -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-
-    def table(self) -> np.ndarray:
-        """Log-probability of every window, by its number."""
-        left, right = np.divmod(np.arange(CLASSES * CLASSES), CLASSES)
-        lp = self.log_probabilities(left, right)[1].reshape(CLASSES, CLASSES, CLASSES)
-        return np.ascontiguousarray(lp.transpose(0, 2, 1)).reshape(-1)
-
-
-def train(docs: DataFrame) -> tuple[list[bytes], np.ndarray]:
-    ready(docs.sparkSession)
-    frequent = frequent_words(docs)
-    # At most CLASSES cubed rows (2.1 million, 34 MB), whatever the corpus.
-    counts = window_counts(docs, frequent).toArrow()
-    window, n = counts["window"].to_numpy(), counts["n"].to_numpy()
-    order = np.argsort(window)
-    net = Network()
-    net.train(window[order], n[order])
-    return frequent, net.table()
+        entries.clear()
+        row = np.concatenate([*docs, np.array([x[1] for x in shared], np.int64)])
+        docs.clear()
+        row[:alone] += e["doc"][:alone]
+        n = np.ones(len(e), np.int64)
+        n[alone:] = [x[2] for x in shared]
+        key = e["low"].astype(np.uint64) << np.uint64(48) | e["high"].astype(np.uint64) << np.uint64(16) | e["word"]
+        order = np.argsort(key)
+        by, again = changes(key[order], n[order], e["p"][order].astype(np.float64))
+        at = order[again]
+        of_all = at >= alone
+        if of_all.any():
+            yield batch_of(part=[0] * int(of_all.sum()), kind=[REPLIES] * int(of_all.sum()), key=row[at[of_all]], value=by[of_all])
+        rows, place = np.unique(row[at[~of_all]], return_inverse=True)
+        if len(rows):
+            yield changed(rows, np.bincount(place, by[~of_all]), parts)
+
+    return windows.repartition(parts, "part").mapInArrow(run, _ROWS)
+
+
+def changed(rows: np.ndarray, by: np.ndarray, parts: int) -> pa.RecordBatch:
+    part = part_of(rows, parts)
+    order = np.argsort(part, kind="stable")
+    packed = np.zeros(len(rows), CHANGE)
+    packed["row"], packed["by"] = rows[order], by[order]
+    return sliced(part[order], CHANGES, packed)
+
+
+def answered(found: DataFrame, parts: int) -> DataFrame:
+    """The changes of windows that many documents share, for each of these documents."""
+    members, replies = found.where(F.col("kind") == MEMBERS).select("key", "blob"), found.where(F.col("kind") == REPLIES).select("key", "value")
+
+    def run(batches):
+        for batch in batches:
+            for blob, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                m = np.frombuffer(blob, CHANGE)
+                yield changed(m["row"], m["by"] * value, parts)
+
+    return members.join(replies, "key").select("blob", "value").mapInArrow(run, _ROWS)
 
 
 def pseudo_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, score (sum of the conditional log-probabilities) and mean_score of each row's whole text. A text without words, or
-    a null one, has 0 tokens, score 0 and mean 0. Repeated rows count each time, in training too. Other columns are not read."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        c, t = classes(shared.value[0]), shared.value[1]
-        out: dict[str, list] = {"doc_id": batch.column(0), "n_tokens": [], "score": [], "mean_score": []}
-        for text in batch.column(1).to_pylist():
-            codes = c.codes(text)
-            s = float(t[windows(codes)].sum(dtype=np.float64)) if len(codes) else 0.0
-            out["n_tokens"].append(len(codes))
-            out["score"].append(s)
-            out["mean_score"].append(s / max(1, len(codes)))
-        return out
-
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), rows, "doc_id long, n_tokens long, score double, mean_score double")
+    """doc_id, n_tokens (words), score (sum of the conditional log-probabilities) and mean_score of each row's whole text. A text without words,
+    or a null one, has 0 tokens, score 0 and mean 0. Repeated rows count each time, in training and in the memory too, and score alike but
+    for rounding; an empty table has no scores. Other columns are not read."""
+    spark = docs.sparkSession
+    ready(spark)
+    known, counts, letters, _ = counted(docs)
+    words = (known, spelling(letters))
+    net = trained(docs, words, counts)
+    parts = partitions(docs)
+    found = cut(remembered(dealt(docs, words, net, parts), parts))
+
+    def run(batches):
+        totals, packed = [], []
+        for batch in batches:
+            own = pa.compute.equal(batch.column(1), TOTALS)
+            totals.append(batch.filter(own))
+            packed += [np.frombuffer(x, CHANGE) for x in batch.filter(pa.compute.invert(own)).column(6).to_pylist()]
+        if not totals or not (t := pa.Table.from_batches(totals)).num_rows:
+            return
+        t = t.sort_by("key")
+        rows, sums = t["key"].to_numpy(), t["value"].to_numpy().copy()
+        if packed:
+            each = np.concatenate(packed)
+            np.add.at(sums, np.searchsorted(rows, each["row"]), each["by"])
+        n = t["n"].to_numpy()
+        yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["n"].combine_chunks(), pa.array(sums), pa.array(sums / np.maximum(1, n))], names=["doc_id", "n_tokens", "score", "mean_score"])
+
+    every = found.where(F.col("kind").isin(TOTALS, CHANGES)).unionByName(answered(found, parts))
+    return every.repartition(parts, "part").mapInArrow(run, "doc_id long, n_tokens long, score double, mean_score double")
 
 
 def op3_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:

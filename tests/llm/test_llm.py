@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lanewise.llm import bpe, digest, edits, pseudo, secrets, simhash
+from lanewise.llm import bpe, digest, edits, secrets, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ID string"
 ODD = [(1, "", "en", "s", 0, "x"), (2, None, None, None, None, None), (3, "a", "en", "s", 1, "x"), (3, "a", "en", "s", 1, "x"), (None, "b b b", "en", "s", 5, "x"), (9, "x" * 50_000, "en", "s", 50_000, "x")]
@@ -106,18 +106,3 @@ def test_edits_equal_counting_anew(encoder, library):
             text = text[:a] + new + text[b:]
             tree.edit(a, b, new)
             assert (tree.chars, tree.tokens) == (len(text), len(library.encode(text, add_special_tokens=False).ids))
-
-
-def test_pseudo_likelihood(spark, odd, empty):
-    g = random.Random(8)
-    line = "the cat sat on the mat and the dog ran to the house".split()
-    docs = spark.createDataFrame([(k, " ".join(line * 5)) for k in range(50)], "doc_id long, text string")
-    frequent, table = pseudo.train(docs)
-    c = pseudo.Classes(frequent)
-    mixed = line * 5
-    g.shuffle(mixed)
-    score = lambda w: table[pseudo.windows(c.codes(" ".join(w).encode()))].mean()
-    assert score(line * 5) > score(mixed) + 0.5
-    counts = {r["window"]: r["n"] for r in pseudo.window_counts(docs, frequent).collect()}
-    assert sum(counts.values()) == 50 * 5 * len(line)
-    assert pseudo.pseudo_scores(odd).count() == len(ODD) and pseudo.pseudo_scores(empty).count() == 0
