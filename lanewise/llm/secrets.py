@@ -3,8 +3,9 @@ identifiers and the surrounding text, cannot compress."""
 
 from __future__ import annotations
 
+import itertools
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -31,10 +32,14 @@ IDENTIFIERS = "self return import class def function const static public private
 _PRIMER = zstandard.ZstdCompressionDict("\n".join(IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
+_compressors: list[zstandard.ZstdCompressor] = []
+
+
 def novelty(before: str, candidate: str, after: str) -> float:
-    """Compressed bytes that the candidate adds to its surroundings, for each of its characters."""
-    z = zstandard.ZstdCompressor(level=3, dict_data=_PRIMER, write_content_size=False, write_checksum=False)
-    around = (before + after).encode()
+    """Compressed bytes that the candidate adds to its surroundings, without copies of itself, for each of its characters."""
+    if not _compressors:
+        _compressors.append(zstandard.ZstdCompressor(level=3, dict_data=_PRIMER, write_content_size=False, write_checksum=False))
+    z, around = _compressors[0], (before + after).replace(candidate, " ").encode()
     return (len(z.compress(around + candidate.encode())) - len(z.compress(around))) / len(candidate)
 
 
@@ -45,18 +50,28 @@ def readable(candidate: str) -> bool:
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by start, then kind as listed. A null text has none."""
+    """(kind, start, end) in code points, by start, then kind as listed. A null text has none.
+
+    A candidate inside a span of the fixed patterns is not tried; one that a fixed span overlaps in part is. Its surroundings are
+    sensitive if one of the words begins or ends within AROUND characters before or after it."""
     if not text:
         return []
     spans = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     spans += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     spans += [("hex", *m.span()) for m in HEX.finditer(text)]
     if words := [m.span() for m in SENSITIVE.finditer(text)]:
-        ends, fixed = [b for _, b in words], list(spans)
+        ends = [b for _, b in words]
+        fixed = sorted(x[1:] for x in spans)
+        starts, reach = [a for a, _ in fixed], list(itertools.accumulate((b for _, b in fixed), max))
         for m in CANDIDATE.finditer(text):
             a, b = m.span()
             k = bisect_left(ends, a - AROUND)
-            if k < len(ends) and words[k][0] <= b + AROUND and not any(x <= a and b <= y for _, x, y in fixed) and not readable(m[0]) and novelty(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= NOVELTY:
+            if k == len(ends) or words[k][0] > b + AROUND:
+                continue
+            n = bisect_right(starts, a)
+            if (n and reach[n - 1] >= b) or readable(m[0]):
+                continue
+            if novelty(text[max(0, a - AROUND) : a], m[0], text[b : b + AROUND]) >= NOVELTY:
                 spans.append(("novel", a, b))
     return sorted(set(spans), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -91,7 +106,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with each span replaced in text, and n_chars as the new text has it."""
+    """docs with each span replaced in text, spans that overlap or touch in part as one, and n_chars as the new text has it where the text
+    changed. Null and empty texts stay as they are, and so do all other columns and every row, repeated ones and those without an id."""
     at = docs.columns.index("text")
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
