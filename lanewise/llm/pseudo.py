@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, pick, ready, small, table
+from .common import cut, forget, partitions, pick, ready, small, table
 from .simhash import LOWER
 
 #: Words that the network knows by themselves, its width, and windows scored and trained at once.
@@ -40,7 +41,8 @@ LETTERS, OTHERS = 28, 224
 _LETTER = np.array([0 if b in b" \t\n\x0b\x0c\r" else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 for b in range(256)], np.int32)
 #: Windows that a task gathers before it deals them, documents at most among them, and copies of a window from which it is dealt once.
 GATHERED, MOST_DOCS, SHARED = 1 << 20, 1 << 15, 64
-ENTRY = np.dtype([("high", "<u4"), ("low", "<u2"), ("word", "<u2"), ("doc", "<u2"), ("p", "<f2")])
+#: A window: 48 bits of its context and 16 of its word, the document's place, the network's log-probability. A change of a document's sum.
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<u2"), ("p", "<f2")])
 CHANGE = np.dtype([("row", "<i8"), ("by", "<f4")])
 #: Kinds of rows between the stages.
 WINDOWS, SHARED_WINDOWS, MEMBERS, TOTALS, CHANGES, REPLIES = range(6)
@@ -70,7 +72,7 @@ def spelling(counts: np.ndarray) -> np.ndarray:
 class Lexicon:
     """What a worker knows of words: the network's number, a hash, and the log-probability of the spelling for rare words."""
 
-    MOST = 500_000
+    MOST = 300_000
 
     def __init__(self, known: list[bytes], letters: np.ndarray):
         self.known, self.letters = known, letters
@@ -144,11 +146,11 @@ class Network:
         self.embed = g.normal(0, 0.3, (self.size, WIDTH)).astype(np.float32)
         self.side = np.full((len(SIDES), WIDTH), 0.5, np.float32) + g.normal(0, 0.1, (len(SIDES), WIDTH)).astype(np.float32)
         self.plant(counts)
-        self.units = np.zeros((max(1, self.size - 2), WIDTH + 1), np.float32)
-        self.units[:, WIDTH] = self.odds
+        self.units = np.zeros((len(self.odds), WIDTH), np.float32)
 
     def plant(self, counts: np.ndarray) -> None:
-        """The tree by Huffman's rule: paths from the root, as units and turns (1 or -1), for each word."""
+        """The tree by Huffman's rule: paths from the root, as units and turns (1 or -1), for each word. A unit's odds are those of the words
+        below it, until it is trained."""
         heap = [(int(n) + 1, k, k) for k, n in enumerate(counts) if k != OUTSIDE]
         heapq.heapify(heap)
         below, mass, at = {}, {}, self.size
@@ -174,17 +176,13 @@ class Network:
         self.path = np.array([x for u, _ in each for x in u], np.uint16)
         self.turn = np.array([x for _, t in each for x in t], np.float32)
 
-    def hidden(self, numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = np.stack([numbers[at + k] for k in SIDES], axis=1)
-        return near, np.tanh(np.einsum("nkw,kw->nw", self.embed[near], self.side))
-
     def steps(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The path entries of the words one after the other, which word each is of, and where each word's begin."""
-        depth = self.depth[words]
+        depth = self.depth.take(words)
         ends = np.cumsum(depth)
         first = ends - depth
         word = np.repeat(np.arange(len(words)), depth)
-        return (self.start[words] - first)[word] + np.arange(ends[-1]), word, first
+        return (self.start.take(words) - first).take(word) + np.arange(ends[-1]), word, first
 
     def log_probabilities(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Of the words at these places given those on both sides."""
@@ -193,31 +191,39 @@ class Network:
             return out
         for k in range(0, len(at), CHUNK):
             own = at[k : k + CHUNK]
-            _, h = self.hidden(numbers, own)
-            entry, word, first = self.steps(numbers[own])
-            u = self.units[self.path[entry]]
-            z = (np.einsum("mw,mw->m", u[:, :WIDTH], h[word]) + u[:, WIDTH]) * self.turn[entry]
-            out[k : k + CHUNK] = np.add.reduceat(-np.log1p(np.exp(np.minimum(-z, 80))), first)
+            _, h = hidden(self.embed, self.side, numbers, own)
+            entry, word, first = self.steps(numbers.take(own))
+            unit = self.path.take(entry)
+            z = np.einsum("mw,mw->m", self.units.take(unit, 0), h.take(word, 0))
+            z += self.odds.take(unit)
+            z *= -self.turn.take(entry)
+            out[k : k + CHUNK] = -np.add.reduceat(np.log1p(np.exp(np.minimum(z, 80, out=z))), first)
         return out
 
     def learner(self) -> Learner:
         return Learner(self)
 
 
+def hidden(embed: np.ndarray, side: np.ndarray, numbers: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The numbers of the neighbours by side, and the hidden layer."""
+    near = [numbers.take(at + k) for k in SIDES]
+    x = sum(embed.take(n, 0) * w for n, w in zip(near, side, strict=True))
+    return near, np.tanh(x, out=x)
+
+
 class Learner:
     """Gradient steps on a copy of a network, with a step size for each row that falls with what the row has been moved."""
 
     def __init__(self, net: Network):
-        self.net = net
-        self.embed, self.units, self.side = net.embed.copy(), net.units.copy(), net.side.copy()
+        self.net, self.side = net, net.side
+        self.embed, self.units, self.odds = net.embed.copy(), net.units.copy(), net.odds.copy()
         self.moved = [np.full(len(x), 1e-2, np.float32) for x in (self.embed, self.units)]
         self.seen = [np.zeros(len(x), np.float32) for x in (self.embed, self.units)]
 
-    def move(self, which: int, rows: np.ndarray, first: np.ndarray, sums: np.ndarray) -> None:
-        """Add the sums of gradients to rows; first is where each row's entries began."""
-        self.moved[which][rows] += np.einsum("nw,nw->n", sums, sums) / sums.shape[1]
-        (self.embed, self.units)[which][rows] += (RATE / np.sqrt(self.moved[which][rows]))[:, None] * sums
-        self.seen[which][rows] += first
+    def rates(self, which: int, rows: np.ndarray, n: np.ndarray, squares: np.ndarray) -> np.ndarray:
+        self.seen[which][rows] += n
+        self.moved[which][rows] += squares
+        return RATE / np.sqrt(self.moved[which].take(rows))
 
     def learn(self, numbers: np.ndarray, at: np.ndarray) -> None:
         net = self.net
@@ -225,31 +231,34 @@ class Learner:
             return
         for k in range(0, len(at), STEP):
             own = at[k : k + STEP]
-            near = np.stack([numbers[own + s] for s in SIDES], axis=1)
-            h = np.tanh(np.einsum("nkw,kw->nw", self.embed[near], self.side))
-            entry, word, first = net.steps(numbers[own])
-            unit = net.path[entry]
-            u, turn = self.units[unit], net.turn[entry]
-            z = np.einsum("mw,mw->m", u[:, :WIDTH], h[word]) + u[:, WIDTH]
-            off = turn / (1 + np.exp(np.clip(turn * z, -30, 30)))
+            near, h = hidden(self.embed, self.side, numbers, own)
+            entry, word, first = net.steps(numbers.take(own))
+            unit, turn = net.path.take(entry), net.turn.take(entry)
+            each, u = h.take(word, 0), self.units.take(unit, 0)
+            z = np.einsum("mw,mw->m", u, each)
+            z += self.odds.take(unit)
+            z *= turn
+            off = turn / (1 + np.exp(np.clip(z, -30, 30, out=z)))
             u *= off[:, None]
-            back = np.add.reduceat(u[:, :WIDTH], first, axis=0) * (1 - h * h)
+            back = np.add.reduceat(u, first, axis=0)
+            back *= 1 - h * h
+            each *= off[:, None]
             order, rows, first, n = grouped(unit)
-            off, sums = off[order], np.empty((len(rows), WIDTH + 1), np.float32)
-            sums[:, :WIDTH] = np.add.reduceat(h[word[order]] * off[:, None], first, axis=0)
-            sums[:, WIDTH] = np.add.reduceat(off, first)
-            self.move(1, rows, n, sums)
-            order, rows, first, n = grouped(near.T.reshape(-1))
-            side, word = np.divmod(order, len(own))
-            self.move(0, rows, n, np.add.reduceat(back[word] * self.side[side], first, axis=0))
+            sums, odds = np.add.reduceat(each.take(order, 0), first, axis=0), np.add.reduceat(off.take(order), first)
+            rate = self.rates(1, rows, n, (np.einsum("nw,nw->n", sums, sums) + odds * odds) / (WIDTH + 1))
+            self.units[rows] += rate[:, None] * sums
+            self.odds[rows] += rate * odds
+            order, rows, first, n = grouped(np.concatenate(near))
+            sums = np.add.reduceat(np.concatenate([back * w for w in self.side]).take(order, 0), first, axis=0)
+            self.embed[rows] += self.rates(0, rows, n, np.einsum("nw,nw->n", sums, sums) / WIDTH)[:, None] * sums
 
 
 def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The order of the entries by row, the rows, where each begins in that order, and how many entries it has."""
     order = np.argsort(rows, kind="stable")
-    rows = rows[order]
+    rows = rows.take(order)
     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    return order, rows[first], first, np.diff(np.append(first, len(rows)))
+    return order, rows.take(first), first, np.diff(np.append(first, len(rows)))
 
 
 _worker: list = [None, None]
@@ -264,7 +273,8 @@ def lexicon(shared) -> Lexicon:
 
 def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
     """The known words, most frequent first, ties by bytes; counts of the network's words; spelling counts; words in all. Counts cover every
-    document; the known words and 28^3 spelling counts come to the driver."""
+    document. Known are the words that occur more than once, from the most frequent on in steps of a sixteenth of a doubling, as long as
+    they are at most KNOWN; they and 28^3 spelling counts come to the driver."""
 
     def run(batches):
         words: Counter[bytes] = Counter()
@@ -289,17 +299,22 @@ def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
         yield out(2, [b""], [total])
 
     found = small(pick(docs, "text").select(F.col("text").cast("binary"))).mapInArrow(run, "kind int, key binary, n long")
-    top = found.groupBy("kind", "key").agg(F.sum("n").alias("n")).orderBy(F.desc("kind"), F.desc("n"), "key").limit(1 + LETTERS**3 + KNOWN)
-    known, counts, letters, total = [], [], np.zeros(LETTERS**3), 0
-    for kind, key, n in top.collect():
+    found = cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("kind > 0 or n > 1"))
+    letters, total = np.zeros(LETTERS**3), 0
+    for kind, key, n in found.where("kind > 0").collect():
         if kind == 2:
             total = n
-        elif kind == 1:
+        else:
             letters[int.from_bytes(key, "big")] = n
-        elif len(known) < KNOWN:
-            known.append(bytes(key))
-            counts.append(n)
-    return known, np.array([total - sum(counts), 0, *counts]), letters, total
+    step, held, least = F.floor(F.log2("n") * 16), 0, None
+    for s, n in found.where("kind = 0").groupBy(step.alias("step")).agg(F.count("*")).orderBy(F.desc("step")).collect():
+        if (held := held + n) > KNOWN:
+            break
+        least = s
+    words = [] if least is None else [(bytes(r["key"]), r["n"]) for r in found.where(F.col("kind") == 0).where(step >= least).collect()]
+    words.sort(key=lambda x: (-x[1], x[0]))
+    forget(found)
+    return [w for w, _ in words], np.array([total - sum(n for _, n in words), 0, *(n for _, n in words)]), letters, total
 
 
 #: Rows of a network's matrix that are averaged together.
@@ -316,7 +331,8 @@ def trained(docs: DataFrame, words, counts: np.ndarray) -> Network:
         learner, lex = shared.value[2].learner(), lexicon(shared)
         for batch in batches:
             learner.learn(*lex.plain(batch.column(0).to_pylist()))
-        for which, (rows, seen) in enumerate(zip((learner.embed, learner.units), learner.seen, strict=True)):
+        units = np.concatenate([learner.units, learner.odds[:, None]], axis=1)
+        for which, (rows, seen) in enumerate(zip((learner.embed, units), learner.seen, strict=True)):
             for k in range(0, len(rows), BLOCK):
                 n = seen[k : k + BLOCK, None]
                 if n.any():
@@ -332,39 +348,52 @@ def trained(docs: DataFrame, words, counts: np.ndarray) -> Network:
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["block", "sums"])
 
     parts = small(pick(docs, "text").select(F.col("text").cast("binary"))).mapInArrow(run, "block int, sums binary")
+    units = np.concatenate([net.units, net.odds[:, None]], axis=1)
     for block, sums in parts.repartition("block").mapInArrow(add, "block int, sums binary").collect():
-        rows = (net.embed, net.units)[block >> 20]
+        rows = (net.embed, units)[block >> 20]
         x = np.frombuffer(sums).reshape(-1, rows.shape[1] + 1)
         k = (block & (1 << 20) - 1) * BLOCK
         moved = x[:, -1] > 0
         rows[k : k + len(x)][moved] = (x[moved, :-1] / x[moved, -1:]).astype(np.float32)
+    net.units, net.odds = units[:, :WIDTH].copy(), units[:, WIDTH].copy()
     return net
 
 
-def contexts(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits of the two words on either side, and 16 of the word between them."""
+def keys_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """48 bits of the two words on either side, then 16 of the word between them."""
     h = np.zeros(len(at), np.uint64)
     for k, side in enumerate(SIDES):
-        h = (h ^ hashes[at + side] * np.uint64(2 * k + 0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= hashes.take(at + side) * np.uint64(2 * k + 0x9E3779B97F4A7C15)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(31)
-    return h, (hashes[at] >> np.uint64(48)).astype(np.uint16)
+    return h & np.uint64(0xFFFFFFFFFFFF0000) | hashes.take(at) >> np.uint64(48)
 
 
 def part_of(rows: np.ndarray, parts: int) -> np.ndarray:
     return ((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
+def packed(entries: np.ndarray) -> bytes:
+    """Entries byte by byte in planes, compressed: of keys in order the first bytes take next to nothing."""
+    return zstandard.compress(entries.view(np.uint8).reshape(len(entries), -1).T.tobytes(), 1)
+
+
+def unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
 def batch_of(**columns) -> pa.RecordBatch:
     n = max(len(x) for x in columns.values())
     names = [x.split()[0] for x in _ROWS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(columns.get(k, [None] * n), t) for k, t in zip(names, _TYPES, strict=True)], names=names)
 
 
-def sliced(part: np.ndarray, kind: int, packed: np.ndarray, key: int | None = None) -> pa.RecordBatch:
+def sliced(part: np.ndarray, kind: int, entries: np.ndarray, key: int | None = None) -> pa.RecordBatch:
     """One row for each part, with the part's entries; parts ascend."""
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     ends = np.append(first[1:], len(part))
-    return batch_of(part=part[first], kind=[kind] * len(first), key=[key] * len(first), blob=[packed[a:b].tobytes() for a, b in zip(first, ends, strict=True)])
+    return batch_of(part=part[first], kind=[kind] * len(first), key=[key] * len(first), blob=[packed(entries[a:b]) for a, b in zip(first, ends, strict=True)])
 
 
 class Gatherer:
@@ -380,32 +409,33 @@ class Gatherer:
     def full(self, docs: int, words: int) -> bool:
         return self.size and (self.size + words > GATHERED or self.next - self.first + docs > MOST_DOCS)
 
-    def add(self, context: np.ndarray, word: np.ndarray, doc: np.ndarray, p: np.ndarray, docs: int) -> None:
-        self.held.append((context, word, doc + (self.next - self.first), p))
+    def add(self, key: np.ndarray, doc: np.ndarray, p: np.ndarray, docs: int) -> None:
+        self.held.append((key, (doc + (self.next - self.first)).astype(np.uint16), p))
         self.next += docs
-        self.size += len(context)
+        self.size += len(key)
 
     def deal(self) -> Iterator[pa.RecordBatch]:
         """Windows by context; those that many of these documents share once, with the list of the documents dealt apart."""
         if self.size:
-            context, word, doc, p = (np.concatenate(x) for x in zip(*self.held, strict=True))
-            order = np.lexsort((word, context))
-            context, word, doc, p = (x[order] for x in (context, word, doc, p))
-            first = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (word[1:] != word[:-1])))
-            n = np.diff(np.append(first, len(context)))
-            part = ((context >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+            key, doc, p = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            self.held.clear()
+            order = np.argsort(key)
+            e = np.empty(len(key), ENTRY)
+            e["key"], e["doc"], e["p"] = key[order], doc[order], p[order]
+            key = e["key"]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            n = np.diff(np.append(first, len(key)))
+            part = ((key >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int32)
             alone = np.repeat(n < SHARED, n)
-            packed = np.zeros(len(context), ENTRY)
-            packed["high"], packed["low"], packed["word"], packed["doc"], packed["p"] = context & np.uint64(0xFFFFFFFF), context >> np.uint64(32) & np.uint64(0xFFFF), word, doc, p
             if alone.any():
-                yield sliced(part[alone], WINDOWS, packed[alone], self.first)
+                yield sliced(part[alone], WINDOWS, e[alone], self.first)
             for k, size in zip(first[n >= SHARED].tolist(), n[n >= SHARED].tolist(), strict=True):
-                key = self.first << 21 | k
-                yield batch_of(part=[part[k]], kind=[SHARED_WINDOWS], key=[key], n=[size], blob=[packed[k : k + 1].tobytes()])
-                docs, times = np.unique(doc[k : k + size], return_counts=True)
+                name = self.first << 21 | k
+                yield batch_of(part=[part[k]], kind=[SHARED_WINDOWS], key=[name], n=[size], blob=[packed(e[k : k + 1])])
+                docs, times = np.unique(e["doc"][k : k + size], return_counts=True)
                 members = np.zeros(len(docs), CHANGE)
-                members["row"], members["by"] = docs + self.first, times
-                yield batch_of(part=[key % self.parts], kind=[MEMBERS], key=[key], blob=[members.tobytes()])
+                members["row"], members["by"] = docs.astype(np.int64) + self.first, times
+                yield batch_of(part=[name % self.parts], kind=[MEMBERS], key=[name], blob=[packed(members)])
         self.clear()
 
 
@@ -425,7 +455,7 @@ def dealt(docs: DataFrame, words, net: Network, parts: int) -> DataFrame:
             if held.full(len(sizes), len(at)):
                 yield from held.deal()
             rows = held.next + np.arange(len(sizes))
-            held.add(*contexts(hashes, at), doc, p, len(sizes))
+            held.add(keys_of(hashes, at), doc, p, len(sizes))
             yield batch_of(part=part_of(rows, parts), kind=[TOTALS] * len(rows), key=rows, doc_id=batch.column(0), n=sizes, value=np.bincount(doc, p.astype(np.float64), len(sizes)))
         yield from held.deal()
 
@@ -459,27 +489,27 @@ def remembered(windows: DataFrame, parts: int) -> DataFrame:
                 yield batch.filter(pa.array(rest))
             for kind, key, n, blob in zip(kinds.tolist(), *(batch.column(k).to_pylist() for k in (2, 4, 6)), strict=True):
                 if kind == WINDOWS:
-                    entries.append(np.frombuffer(blob, ENTRY))
+                    entries.append(unpacked(blob, ENTRY))
                     docs.append(np.full(len(entries[-1]), key, np.int64))
                 elif kind == SHARED_WINDOWS:
-                    shared.append((blob, key, n))
+                    shared.append((unpacked(blob, ENTRY), key, n))
         alone = sum(map(len, entries))
-        e = np.concatenate([*entries, np.frombuffer(b"".join(x[0] for x in shared), ENTRY)])
-        if not len(e):
+        if not alone and not shared:
             return
+        e = np.concatenate([*entries, *(x[0] for x in shared)])
         entries.clear()
         row = np.concatenate([*docs, np.array([x[1] for x in shared], np.int64)])
         docs.clear()
         row[:alone] += e["doc"][:alone]
         n = np.ones(len(e), np.int64)
         n[alone:] = [x[2] for x in shared]
-        key = e["low"].astype(np.uint64) << np.uint64(48) | e["high"].astype(np.uint64) << np.uint64(16) | e["word"]
-        order = np.argsort(key)
-        by, again = changes(key[order], n[order], e["p"][order].astype(np.float64))
+        order = np.argsort(e["key"])
+        by, again = changes(e["key"][order], n[order], e["p"][order].astype(np.float64))
         at = order[again]
         of_all = at >= alone
         if of_all.any():
-            yield batch_of(part=[0] * int(of_all.sum()), kind=[REPLIES] * int(of_all.sum()), key=row[at[of_all]], value=by[of_all])
+            names = row[at[of_all]]
+            yield batch_of(part=names % parts, kind=[REPLIES] * len(names), key=names, value=by[of_all])
         rows, place = np.unique(row[at[~of_all]], return_inverse=True)
         if len(rows):
             yield changed(rows, np.bincount(place, by[~of_all]), parts)
@@ -488,24 +518,43 @@ def remembered(windows: DataFrame, parts: int) -> DataFrame:
 
 
 def changed(rows: np.ndarray, by: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Changes by row, ascending, as they are dealt to the rows' parts."""
     part = part_of(rows, parts)
     order = np.argsort(part, kind="stable")
-    packed = np.zeros(len(rows), CHANGE)
-    packed["row"], packed["by"] = rows[order], by[order]
-    return sliced(part[order], CHANGES, packed)
+    out = np.zeros(len(rows), CHANGE)
+    out["row"], out["by"] = rows[order], by[order]
+    return sliced(part[order], CHANGES, out)
 
 
-def answered(found: DataFrame, parts: int) -> DataFrame:
-    """The changes of windows that many documents share, for each of these documents."""
-    members, replies = found.where(F.col("kind") == MEMBERS).select("key", "blob"), found.where(F.col("kind") == REPLIES).select("key", "value")
+def settled(found: DataFrame, parts: int) -> DataFrame:
+    """Totals with the changes of their rows added; windows that many documents share as changes for each of these."""
 
     def run(batches):
+        totals, each, members, replies = [], [], [], {}
         for batch in batches:
-            for blob, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                m = np.frombuffer(blob, CHANGE)
-                yield changed(m["row"], m["by"] * value, parts)
-
-    return members.join(replies, "key").select("blob", "value").mapInArrow(run, _ROWS)
+            kinds = batch.column(1).to_numpy()
+            if (own := kinds == TOTALS).any():
+                totals.append(batch.filter(pa.array(own)))
+            for kind, key, value, blob in zip(kinds.tolist(), *(batch.column(k).to_pylist() for k in (2, 5, 6)), strict=True):
+                if kind == CHANGES:
+                    each.append(unpacked(blob, CHANGE))
+                elif kind == MEMBERS:
+                    members.append((key, blob))
+                elif kind == REPLIES:
+                    replies[key] = value
+        shared = [(unpacked(blob, CHANGE), replies[key]) for key, blob in members if key in replies]
+        if shared:
+            rows, place = np.unique(np.concatenate([m["row"] for m, _ in shared]), return_inverse=True)
+            yield changed(rows, np.bincount(place, np.concatenate([m["by"] * v for m, v in shared])), parts)
+        if totals:
+            t = pa.Table.from_batches(totals).sort_by("key").combine_chunks()
+            sums = t["value"].to_numpy().copy()
+            if each:
+                c = np.concatenate(each)
+                sums += np.bincount(np.searchsorted(t["key"].to_numpy(), c["row"]), c["by"], len(sums))
+            yield from t.set_column(5, "value", pa.array(sums)).to_batches()
+
+    return found.repartition(parts, "part").mapInArrow(run, _ROWS)
 
 
 def pseudo_scores(docs: DataFrame) -> DataFrame:
@@ -518,26 +567,10 @@ def pseudo_scores(docs: DataFrame) -> DataFrame:
     words = (known, spelling(letters))
     net = trained(docs, words, counts)
     parts = partitions(docs)
-    found = cut(remembered(dealt(docs, words, net, parts), parts))
-
-    def run(batches):
-        totals, packed = [], []
-        for batch in batches:
-            own = pa.compute.equal(batch.column(1), TOTALS)
-            totals.append(batch.filter(own))
-            packed += [np.frombuffer(x, CHANGE) for x in batch.filter(pa.compute.invert(own)).column(6).to_pylist()]
-        if not totals or not (t := pa.Table.from_batches(totals)).num_rows:
-            return
-        t = t.sort_by("key")
-        rows, sums = t["key"].to_numpy(), t["value"].to_numpy().copy()
-        if packed:
-            each = np.concatenate(packed)
-            np.add.at(sums, np.searchsorted(rows, each["row"]), each["by"])
-        n = t["n"].to_numpy()
-        yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), t["n"].combine_chunks(), pa.array(sums), pa.array(sums / np.maximum(1, n))], names=["doc_id", "n_tokens", "score", "mean_score"])
-
-    every = found.where(F.col("kind").isin(TOTALS, CHANGES)).unionByName(answered(found, parts))
-    return every.repartition(parts, "part").mapInArrow(run, "doc_id long, n_tokens long, score double, mean_score double")
+    # Windows go to their context's part, changes to their documents', those of shared windows once more. Between the last two little is left.
+    sums = settled(settled(remembered(dealt(docs, words, net, parts), parts), parts), parts)
+    score = F.col("value").alias("score")
+    return sums.where(F.col("kind") == TOTALS).select("doc_id", F.col("n").alias("n_tokens"), score, (F.col("value") / F.greatest(F.col("n"), F.lit(1))).alias("mean_score"))
 
 
 def op3_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
