@@ -31,7 +31,7 @@ from .common import cut, forget, partitions, pick, ready, small, table
 from .simhash import LOWER
 
 #: Words that the network knows by themselves, its width, and windows scored and trained at once.
-KNOWN, WIDTH, CHUNK, STEP = 1 << 15, 8, 1 << 12, 1 << 10
+KNOWN, WIDTH, CHUNK, STEP = 1 << 15, 8, 1 << 12, 1 << 11
 RATE, SEED = 0.3, 7
 #: Numbers of the rare word and of what lies outside a text; known words follow.
 RARE, OUTSIDE = 0, 1
@@ -40,7 +40,7 @@ SIDES = (-2, -1, 1, 2)
 LETTERS, OTHERS = 28, 224
 _LETTER = np.array([0 if b in b" \t\n\x0b\x0c\r" else b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else 27 for b in range(256)], np.int32)
 #: Windows that a task gathers before it deals them, documents at most among them, and copies of a window from which it is dealt once.
-GATHERED, MOST_DOCS, SHARED = 1 << 20, 1 << 15, 64
+GATHERED, MOST_DOCS, SHARED = 1 << 19, 1 << 15, 64
 #: A window: 48 bits of its context and 16 of its word, the document's place, the network's log-probability. A change of a document's sum.
 ENTRY = np.dtype([("key", "<u8"), ("doc", "<u2"), ("p", "<f2")])
 CHANGE = np.dtype([("row", "<i8"), ("by", "<f4")])
@@ -54,12 +54,15 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(LOWER).split()
 
 
-def spelling_counts(text: bytes) -> np.ndarray:
-    """How often each letter follows two others inside words; before a word's first letter there is nothing."""
-    c = np.concatenate([[0, 0], _LETTER[np.frombuffer(text, np.uint8)], [0]])
+def spelling_counts(words: dict[bytes, int]) -> np.ndarray:
+    """How often each letter follows two others in these words, which occur so many times; before a word's first letter there is nothing."""
+    if not words:
+        return np.zeros(LETTERS**3, np.int64)
+    c = np.concatenate([[0, 0], _LETTER[np.frombuffer(b"\n".join([*words, b""]), np.uint8)]])
     a, b, c = np.where(c[1:-1] == 0, 0, c[:-2]), c[1:-1], c[2:]
-    inside = (b != 0) | (c != 0)  # white space after white space ends no word
-    return np.bincount(((a * LETTERS + b) * LETTERS + c)[inside], minlength=LETTERS**3)
+    n = np.fromiter(words.values(), np.int64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    return np.bincount((a * LETTERS + b) * LETTERS + c, np.repeat(n, sizes), LETTERS**3).astype(np.int64)
 
 
 def spelling(counts: np.ndarray) -> np.ndarray:
@@ -72,7 +75,7 @@ def spelling(counts: np.ndarray) -> np.ndarray:
 class Lexicon:
     """What a worker knows of words: the network's number, a hash, and the log-probability of the spelling for rare words."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, known: list[bytes], letters: np.ndarray):
         self.known, self.letters = known, letters
@@ -123,7 +126,7 @@ class Lexicon:
         every = [w for x in lists for w in x]
         found = np.fromiter(map(self.of.get, every, itertools.repeat(-1)), np.int64, len(every))
         if len(new := np.flatnonzero(found < 0)):
-            self.add(sorted({every[k] for k in new.tolist()}))
+            self.add(dict.fromkeys(every[k] for k in new.tolist()))
             found[new] = [self.of[every[k]] for k in new.tolist()]
         at = 2 + np.arange(len(every)) + 2 * np.repeat(np.arange(len(lists)), sizes)
         flat = np.full(len(every) + 2 * len(lists) + 2, -1, np.int64)
@@ -283,17 +286,18 @@ def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
         def out(kind, keys, counts):
             return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
 
+        def flush():
+            nonlocal total, letters
+            total, letters = total + words.total(), letters + spelling_counts(words)
+            yield out(0, list(words), list(words.values()))
+            words.clear()
+
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                if t:
-                    words.update(words_of(t))
-                    letters += spelling_counts(t)
-            if len(words) > 400_000:
-                total += words.total()
-                yield out(0, list(words), list(words.values()))
-                words.clear()
-        total += words.total()
-        yield out(0, list(words), list(words.values()))
+                words.update(words_of(t))
+            if len(words) > 300_000:
+                yield from flush()
+        yield from flush()
         used = np.flatnonzero(letters)
         yield out(1, [int(k).to_bytes(4, "big") for k in used], letters[used])
         yield out(2, [b""], [total])
@@ -474,14 +478,15 @@ def changes(key: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
 
     same, near = sums(key), sums(key >> np.uint64(16))
     again = near > 1
-    q = np.exp(p[again])
-    return np.log((same[again] - 1 + q) / near[again]) - p[again], again
+    p = p[again].astype(np.float64)
+    return np.log((same[again] - 1 + np.exp(p)) / near[again]) - p, again
 
 
 def remembered(windows: DataFrame, parts: int) -> DataFrame:
     """Windows that recur, as changes of documents' sums; totals and members as they are."""
 
     def run(batches):
+        _worker[:] = None, None  # what the stage before held in this process
         entries, docs, shared = [], [], []
         for batch in batches:
             kinds = batch.column(1).to_numpy()
@@ -504,7 +509,8 @@ def remembered(windows: DataFrame, parts: int) -> DataFrame:
         n = np.ones(len(e), np.int64)
         n[alone:] = [x[2] for x in shared]
         order = np.argsort(e["key"])
-        by, again = changes(e["key"][order], n[order], e["p"][order].astype(np.float64))
+        by, again = changes(e["key"][order], n[order], e["p"][order])
+        del e, n
         at = order[again]
         of_all = at >= alone
         if of_all.any():
