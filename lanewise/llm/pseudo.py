@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -276,21 +277,28 @@ def lexicon(shared) -> Lexicon:
 
 def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
     """The known words, most frequent first, ties by bytes; counts of the network's words; spelling counts; words in all. Counts cover every
-    document. Known are the words that occur more than once, from the most frequent on in steps of a sixteenth of a doubling, as long as
-    they are at most KNOWN; they and 28^3 spelling counts come to the driver."""
+    document; a task's different words are dealt by hash in packed lists. Known are the words that occur more than once, from the most
+    frequent on in steps of a sixteenth of a doubling, as long as they are at most KNOWN; they and 28^3 spelling counts come to the driver."""
+    parts = partitions(docs)
 
-    def run(batches):
+    def count(batches):
         words: Counter[bytes] = Counter()
-        letters, total = np.zeros(LETTERS**3, np.int64), 0
-
-        def out(kind, keys, counts):
-            return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], names=["kind", "key", "n"])
+        letters = np.zeros(LETTERS**3 + 1, np.int64)
 
         def flush():
-            nonlocal total, letters
-            total, letters = total + words.total(), letters + spelling_counts(words)
-            yield out(0, list(words), list(words.values()))
+            if not words:
+                return
+            letters[:-1] += spelling_counts(words)
+            letters[-1] += words.total()
+            each, n = list(words), np.fromiter(words.values(), np.int64, len(words))
             words.clear()
+            part = np.fromiter(map(zlib.crc32, each), np.int64, len(each)) % parts
+            order = np.argsort(part, kind="stable")
+            part, n = part[order], n[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(first[1:], len(part))
+            lists = [zstandard.compress(b"\n".join([each[k] for k in order[a:b].tolist()]), 1) for a, b in zip(first, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[first], pa.int32()), pa.array(lists, pa.binary()), pa.array([n[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], names=["part", "words", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -298,18 +306,29 @@ def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
             if len(words) > 300_000:
                 yield from flush()
         yield from flush()
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([letters.tobytes()], pa.binary())], names=["part", "words", "n"])
+
+    def add(batches):
+        total: dict[bytes, int] = {}
+        letters = np.zeros(LETTERS**3 + 1, np.int64)
+        for batch in batches:
+            for words, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if words is None:
+                    letters += np.frombuffer(n, np.int64)
+                    continue
+                for w, k in zip(zstandard.decompress(words).split(b"\n"), np.frombuffer(n, np.int64).tolist(), strict=True):
+                    total[w] = total.get(w, 0) + k
+        found = [(w, n) for w, n in total.items() if n > 1]
         used = np.flatnonzero(letters)
-        yield out(1, [int(k).to_bytes(4, "big") for k in used], letters[used])
-        yield out(2, [b""], [total])
-
-    found = small(pick(docs, "text").select(F.col("text").cast("binary"))).mapInArrow(run, "kind int, key binary, n long")
-    found = cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("kind > 0 or n > 1"))
-    letters, total = np.zeros(LETTERS**3), 0
-    for kind, key, n in found.where("kind > 0").collect():
-        if kind == 2:
-            total = n
-        else:
-            letters[int.from_bytes(key, "big")] = n
+        keys = [w for w, _ in found] + [int(k).to_bytes(4, "big") for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(found) + [1] * len(used), pa.int32()), pa.array(keys, pa.binary()), pa.array([n for _, n in found] + letters[used].tolist(), pa.int64())], names=["kind", "key", "n"])
+
+    dealt_ = small(pick(docs, "text").select(F.col("text").cast("binary"))).mapInArrow(count, "part int, words binary, n binary")
+    found = cut(dealt_.repartition(parts, "part").mapInArrow(add, "kind int, key binary, n long"))
+    letters = np.zeros(LETTERS**3 + 1)
+    for _, key, n in found.where("kind = 1").collect():
+        letters[int.from_bytes(key, "big")] = n
+    total = int(letters[-1])
     step, held, least = F.floor(F.log2("n") * 16), 0, None
     for s, n in found.where("kind = 0").groupBy(step.alias("step")).agg(F.count("*")).orderBy(F.desc("step")).collect():
         if (held := held + n) > KNOWN:
@@ -318,7 +337,7 @@ def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
     words = [] if least is None else [(bytes(r["key"]), r["n"]) for r in found.where(F.col("kind") == 0).where(step >= least).collect()]
     words.sort(key=lambda x: (-x[1], x[0]))
     forget(found)
-    return [w for w, _ in words], np.array([total - sum(n for _, n in words), 0, *(n for _, n in words)]), letters, total
+    return [w for w, _ in words], np.array([total - sum(n for _, n in words), 0, *(n for _, n in words)]), letters[:-1], total
 
 
 #: Rows of a network's matrix that are averaged together.
