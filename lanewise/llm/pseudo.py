@@ -501,35 +501,18 @@ def changes(key: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
     return np.log((same[again] - 1 + np.exp(p)) / near[again]) - p, again
 
 
-def remembered(windows: DataFrame, parts: int) -> DataFrame:
-    """Windows that recur, as changes of documents' sums; totals and members as they are."""
+def remembered(windows: DataFrame, parts: int, tasks: int) -> DataFrame:
+    """Windows that recur, as changes of documents' sums, part by part; totals and members as they are."""
 
-    def run(batches):
-        _worker[:] = None, None  # what the stage before held in this process
-        entries, docs, shared = [], [], []
-        for batch in batches:
-            kinds = batch.column(1).to_numpy()
-            if (rest := (kinds == TOTALS) | (kinds == MEMBERS)).any():
-                yield batch.filter(pa.array(rest))
-            for kind, key, n, blob in zip(kinds.tolist(), *(batch.column(k).to_pylist() for k in (2, 4, 6)), strict=True):
-                if kind == WINDOWS:
-                    entries.append(unpacked(blob, ENTRY))
-                    docs.append(np.full(len(entries[-1]), key, np.int64))
-                elif kind == SHARED_WINDOWS:
-                    shared.append((unpacked(blob, ENTRY), key, n))
+    def resolved(entries: list, docs: list, shared: list) -> Iterator[pa.RecordBatch]:
         alone = sum(map(len, entries))
-        if not alone and not shared:
-            return
         e = np.concatenate([*entries, *(x[0] for x in shared)])
-        entries.clear()
         row = np.concatenate([*docs, np.array([x[1] for x in shared], np.int64)])
-        docs.clear()
         row[:alone] += e["doc"][:alone]
         n = np.ones(len(e), np.int64)
         n[alone:] = [x[2] for x in shared]
         order = np.argsort(e["key"])
         by, again = changes(e["key"][order], n[order], e["p"][order])
-        del e, n
         at = order[again]
         of_all = at >= alone
         if of_all.any():
@@ -539,7 +522,27 @@ def remembered(windows: DataFrame, parts: int) -> DataFrame:
         if len(rows):
             yield changed(rows, np.bincount(place, by[~of_all]), parts)
 
-    return windows.repartition(parts, "part").mapInArrow(run, _ROWS)
+    def run(batches):
+        _worker[:] = None, None  # what the stage before held in this process
+        now, entries, docs, shared = None, [], [], []
+        for batch in batches:
+            kinds = batch.column(1).to_numpy()
+            if (rest := (kinds == TOTALS) | (kinds == MEMBERS)).any():
+                yield batch.filter(pa.array(rest))
+            for part, kind, key, n, blob in zip(batch.column(0).to_pylist(), kinds.tolist(), *(batch.column(k).to_pylist() for k in (2, 4, 6)), strict=True):
+                if part != now:
+                    if entries or shared:
+                        yield from resolved(entries, docs, shared)
+                    now, entries, docs, shared = part, [], [], []
+                if kind == WINDOWS:
+                    entries.append(unpacked(blob, ENTRY))
+                    docs.append(np.full(len(entries[-1]), key, np.int64))
+                elif kind == SHARED_WINDOWS:
+                    shared.append((unpacked(blob, ENTRY), key, n))
+        if entries or shared:
+            yield from resolved(entries, docs, shared)
+
+    return windows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, _ROWS)
 
 
 def changed(rows: np.ndarray, by: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -551,7 +554,7 @@ def changed(rows: np.ndarray, by: np.ndarray, parts: int) -> pa.RecordBatch:
     return sliced(part[order], CHANGES, out)
 
 
-def settled(found: DataFrame, parts: int) -> DataFrame:
+def settled(found: DataFrame, parts: int, tasks: int) -> DataFrame:
     """Totals with the changes of their rows added; windows that many documents share as changes for each of these."""
 
     def run(batches):
@@ -579,7 +582,7 @@ def settled(found: DataFrame, parts: int) -> DataFrame:
                 sums += np.bincount(np.searchsorted(t["key"].to_numpy(), c["row"]), c["by"], len(sums))
             yield from t.set_column(5, "value", pa.array(sums)).to_batches()
 
-    return found.repartition(parts, "part").mapInArrow(run, _ROWS)
+    return found.repartition(tasks, "part").mapInArrow(run, _ROWS)
 
 
 def pseudo_scores(docs: DataFrame) -> DataFrame:
@@ -591,9 +594,10 @@ def pseudo_scores(docs: DataFrame) -> DataFrame:
     known, counts, letters, _ = counted(docs)
     words = (known, spelling(letters))
     net = trained(docs, words, counts)
-    parts = partitions(docs)
+    tasks = partitions(docs)
+    parts = 4 * tasks  # more parts than tasks: they are dealt by hash, and a task takes one at a time
     # Windows go to their context's part, changes to their documents', those of shared windows once more. Between the last two little is left.
-    sums = settled(settled(remembered(dealt(docs, words, net, parts), parts), parts), parts)
+    sums = settled(settled(remembered(dealt(docs, words, net, parts), parts, tasks), parts, tasks), parts, tasks)
     score = F.col("value").alias("score")
     return sums.where(F.col("kind") == TOTALS).select("doc_id", F.col("n").alias("n_tokens"), score, (F.col("value") / F.greatest(F.col("n"), F.lit(1))).alias("mean_score"))
 
