@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.operators.errors import EngineError
+from lanewise.session import ship
 
 #: Fixed values of MRG32k3a.
 M1, M2 = 4294967087, 4294944443
 A1 = [[0, 1, 0], [0, 0, 1], [-810728, 1403580, 0]]
 A2 = [[0, 1, 0], [0, 0, 1], [-1370589, 0, 527612]]
+SCALE = 2.328306549295727688e-10
 
 
 def _mul(a, b, m):
@@ -28,6 +33,15 @@ def _power(a, n, m):
 
 
 J1, J2 = _power(A1, 1 << 127, M1), _power(A2, 1 << 127, M2)
+#: Jumps by powers of two of streams, as far as an offset and an element reach.
+_JUMPS = [(J1, J2)]
+
+
+def jump(bit: int) -> tuple[list, list]:
+    while len(_JUMPS) <= bit:
+        a, b = _JUMPS[-1]
+        _JUMPS.append((_mul(a, a, M1), _mul(b, b, M2)))
+    return _JUMPS[bit]
 
 
 def check_seed(seed) -> tuple[int, int]:
@@ -69,23 +83,90 @@ def seek(state: list[int], k: int) -> list[int]:
     return [_signed(sum(a * b for a, b in zip(r, s[:3], strict=True)) % M1) for r in p] + [_signed(sum(a * b for a, b in zip(r, s[3:], strict=True)) % M2) for r in q]
 
 
+def _apply(states: np.ndarray, jumps: tuple[list, list]) -> np.ndarray:
+    """Columns of six words, each moved by the same jumps. A product of two words fits 64 bits, so each is reduced by itself."""
+    out = np.empty_like(states)
+    for half, (matrix, m) in enumerate(zip(jumps, (M1, M2), strict=True)):
+        m = np.uint64(m)
+        s = states[3 * half : 3 * half + 3]
+        for i, row in enumerate(matrix):
+            total = sum((s[j] * np.uint64(x) % m for j, x in enumerate(row) if x), np.zeros(s.shape[1], np.uint64))
+            out[3 * half + i] = total % m
+    return out
+
+
+def many(state: list[int], ks: np.ndarray) -> np.ndarray:
+    """The states ks streams further, as six columns. Numbers that follow one another take one step each from those before them: a run
+    doubles until it is long enough; others are moved bit by bit, all at once."""
+    words = np.array([[x % (1 << 32)] for x in state], np.uint64)
+    n = len(ks)
+    if n and (np.diff(ks) == 1).all():
+        out = np.empty((6, n), np.uint64)
+        out[:, :1] = np.array([[x % (1 << 32)] for x in seek(state, int(ks[0]))], np.uint64)
+        have, bit = 1, 0
+        while have < n:
+            more = min(have, n - have)
+            out[:, have : have + more] = _apply(out[:, :more], jump(bit))
+            have, bit = have + more, bit + 1
+    else:
+        out = np.repeat(words, n, axis=1)
+        for bit in range(int(ks.max()).bit_length() if n else 0):
+            if (own := np.flatnonzero(ks >> bit & 1)).size:
+                out[:, own] = _apply(out[:, own], jump(bit))
+    return out
+
+
+def signed_words(states: np.ndarray) -> np.ndarray:
+    x = states.astype(np.int64)
+    return np.where(x >= 1 << 31, x - (1 << 32), x)
+
+
+def uniforms(states: np.ndarray) -> np.ndarray:
+    """The first number of each stream, between 0 and 1."""
+    s = states.astype(np.int64)
+    p = (A1[2][0] * s[0] + A1[2][1] * s[1]) % M1
+    q = (A2[2][0] * s[3] + A2[2][2] * s[5]) % M2
+    return (p - q) % M1 * SCALE
+
+
 def uniform(state: list[int]) -> float:
-    """The first number of a stream, between 0 and 1."""
-    s = [x % (1 << 32) for x in state]
-    return ((A1[2][0] * s[0] + A1[2][1] * s[1]) % M1 - (A2[2][0] * s[3] + A2[2][2] * s[5]) % M2) % M1 * 2.328306549295727688e-10
+    return float(uniforms(np.array([[x % (1 << 32)] for x in state], np.uint64))[0])
+
+
+class Stream:
+    """The numbers of one element's stream, one after the other."""
+
+    def __init__(self, state: list[int]):
+        self.words = [x % (1 << 32) for x in state]
+
+    def uniform(self) -> float:
+        """Above 0 and below 1."""
+        a, b, c, d, e, f = self.words
+        p, q = (A1[2][0] * a + A1[2][1] * b) % M1, (A2[2][0] * d + A2[2][2] * f) % M2
+        self.words = [b, c, p, e, f, q]
+        return ((p - q) % M1 or M1) * SCALE
+
+    def normal(self) -> float:
+        """By Box and Muller's rule, of two numbers."""
+        return math.sqrt(-2 * math.log(self.uniform())) * math.cos(2 * math.pi * self.uniform())
+
+    def below(self, n: int) -> int:
+        """A whole number from 0 to n - 1."""
+        return min(n - 1, int(self.uniform() * n))
 
 
 def streams(table: DataFrame, seed) -> DataFrame:
     """ix, state (six words) and the stream's first uniform number: a function of ix alone, whatever the partitions."""
     s, offset = check_seed(seed)
     first = base(s)
+    ship(table.sparkSession)
 
     def run(batches):
         for b in batches:
-            at, out = None, []
-            for ix in b.column(0).to_pylist():
-                at = (ix, seek(at[1], 1) if at and at[0] == ix - 1 else seek(first, ix + offset))
-                out.append(at[1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64())), pa.array([uniform(x) for x in out])], names=["ix", "state", "u"])
+            if b.num_rows:
+                states = many(first, b.column(0).to_numpy() + offset)
+                flat = pa.array(np.ascontiguousarray(signed_words(states).T).reshape(-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 6 * b.num_rows + 1, 6, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(uniforms(states))], names=["ix", "state", "u"])
 
     return table.select(F.col("ix").cast("long")).mapInArrow(run, "ix long, state array<long>, u double")

@@ -41,6 +41,12 @@ def morsel_count(n: int, size: int) -> int:
     return -(-n // size)
 
 
+def morsel_frame(spark: SparkSession, n: int, size: int) -> DataFrame:
+    """(morsel, lo, hi) of each morsel from 0, elements from 1, inclusive."""
+    m = F.col("morsel")
+    return spark.range(morsel_count(n, size)).select(F.col("id").alias("morsel")).select("morsel", (m * size + 1).alias("lo"), F.least((m + 1) * size, F.lit(n)).cast("long").alias("hi"))
+
+
 def morsel_span(first: int, k: int, size: int, n: int) -> tuple[int, int]:
     return first * size + 1, min((first + k) * size, n)
 

@@ -17,6 +17,11 @@ def lost_ranges(spans: DataFrame, runs: DataFrame) -> DataFrame:
     return gaps.where("a > to").select("run", (F.col("to") + 1).cast("long").alias("lo"), F.col("a").cast("long").alias("hi")).distinct()
 
 
+def lost_chunks(chunks: DataFrame, finished: DataFrame) -> DataFrame:
+    """(run, lo, hi) of the chunks (run, k, lo, hi) that no row of finished (run, k) names: the exact range of each chunk that died."""
+    return chunks.join(finished.select("run", "k").distinct(), ["run", "k"], "left_anti").select("run", "lo", "hi")
+
+
 def label(ranges: Column) -> Column:
     """"lo-hi" of each range, by lo, joined by a comma and a blank; (none) without any."""
     text = F.array_join(F.transform(F.array_sort(ranges), lambda r: F.concat(r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string"))), ", ")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor, wait
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ def map_in_slices(table: DataFrame, n: int, f: Callable[[DataFrame], DataFrame],
     """The rows of f over slices of a table with a dense ix from 1 to n, with at most the window's jobs at a time.
 
     A slice filters ix, which reaches the scan, and writes its own folder below out, a path that all executors share. The result is the
-    same as f over the whole table when f maps rows. The first lost slice by position is raised with its range; no slice is left out."""
+    same as f over the whole table when f maps rows. Once a slice is lost those that have not begun are not tried; the ranges of all lost
+    ones are raised in order, with the error of the first."""
     spark = table.sparkSession
     if n <= 0:
         return f(table.limit(0))
@@ -29,8 +30,16 @@ def map_in_slices(table: DataFrame, n: int, f: Callable[[DataFrame], DataFrame],
 
     with ThreadPoolExecutor(window) as jobs:
         futures = [jobs.submit(one, k) for k in range(chunks)]
-        wait(futures)
-    for (lo, hi), done in zip(spans, futures, strict=True):
-        if error := done.exception():
-            raise WorkerDied(f"slice {lo}-{hi} was lost: {error}", lost=[(lo, hi)]) from error
+        wait(futures, return_when=FIRST_EXCEPTION)
+        for x in futures:
+            x.cancel()
+    errors = [(span, x.exception()) for span, x in zip(spans, futures, strict=True) if not x.cancelled() and x.exception()]
+    if errors:
+        lost = [span for span, _ in errors]
+        raise WorkerDied(f"slices {', '.join(f'{lo}-{hi}' for lo, hi in lost)} were lost: {errors[0][1]}", lost=lost) from errors[0][1]
     return spark.read.parquet(out).drop("part_of")
+
+
+def batch_frame(table: DataFrame, key: str, size: int) -> DataFrame:
+    """(batch, first, last, n) of a table dealt into batches of so many keys, without a sort."""
+    return table.groupBy(F.floor(F.col(key) / size).alias("batch")).agg(F.min(key).alias("first"), F.max(key).alias("last"), F.count("*").alias("n"))

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import codec, rng
-from lanewise.operators import element, geometry, lost, tasks
+from lanewise.operators import element, geometry, lost, slices, tasks
 from lanewise.sources import arrow_io
+from lanewise.streaming import channel
 
 QUERIES, SQL = {}, {}
 
@@ -48,8 +49,34 @@ def map_template_widen(spark, d):
 
 @query("select p_partkey + 1 ix, 'lo' as row_name, p_size::bigint as value from part union all select p_partkey + 1, 'hi', p_size * 2 from part")
 def map_template_matrix(spark, d):
-    m = element.map_columns(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: F.array(x, x * 2), "int", 2)
-    return m.select("ix", F.posexplode("value").alias("k", "v")).select("ix", F.element_at(F.array(F.lit("lo"), F.lit("hi")), F.col("k") + 1).alias("row_name"), F.col("v").cast("long").alias("value"))
+    m = element.matrix(element.map_columns(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: F.array(x, x * 2), "int", 2), ["lo", "hi"])
+    return m.select("ix", "row_name", F.col("value").cast("long").alias("value"))
+
+
+@query("select p_partkey + 1 ix, 'lo' as row_name, p_size::double as value from part union all select p_partkey + 1, 'hi', p_size * 2 from part")
+def map_python_matrix(spark, d):
+    m = element.map_python(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: {"lo": x, "hi": 2 * x}, "double", size=2)
+    return element.matrix(m, ["lo", "hi"]).select("ix", "row_name", "value")
+
+
+@query("select p_partkey + 1 ix, p_size::double as re, -p_size::double as im from part")
+def map_python_complex(spark, d):
+    m = element.map_python(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: complex(x, -x), "complex")
+    return m.select("ix", "value.re", "value.im")
+
+
+@query("""select p_partkey + 1 ix, case when p_size % 10 <> 3 then p_size end::integer as value,
+ case when p_size % 10 = 3 then 'TemplateMismatch: ' || (3000000000 + p_size) || ' is out of the range of type ''int''' end as error from part""")
+def map_python_range(spark, d):
+    """A value beyond its template's range is its element's error."""
+    return element.map_python(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: 3_000_000_000 + x if x % 10 == 3 else x, "int")
+
+
+@query("select p_partkey + 1 ix, '490104' || lpad(lower(to_hex(octet_length(encode(p_brand)))), 2, '0') || '000000' || lower(hex(encode(p_brand))) as stream from part")
+def map_python_any(spark, d):
+    """Values of any kind, as byte streams."""
+    m = element.map_python(_elements(spark, d, "part", "p_partkey", "p_brand"), lambda x: x, "any")
+    return m.select("ix", F.lower(F.hex("value")).alias("stream"))
 
 
 @query("select c_custkey + 1 ix, upper(c_name) as value from customer")
@@ -91,8 +118,7 @@ def chunk_membership(spark, d):
 
 @query("select o_orderkey // 58 as morsel, min(o_orderkey) + 1 as lo, max(o_orderkey) + 1 as hi from orders group by 1")
 def morsel_spans(spark, d):
-    t, size = _t(spark, d, "orders"), 58
-    return t.groupBy(F.floor(F.col("o_orderkey") / size).alias("morsel")).agg((F.min("o_orderkey") + 1).alias("lo"), (F.max("o_orderkey") + 1).alias("hi"))
+    return geometry.morsel_frame(spark, _t(spark, d, "orders").count(), 58)
 
 
 @query("select w.workers::bigint as workers, greatest(1, least(n, 32 * w.workers))::bigint as chunks, greatest(1, least(n, 32 * w.workers, 2 * w.workers))::bigint as in_flight from (select count(*) n from nation), (values (1), (2), (4)) w(workers)")
@@ -103,20 +129,23 @@ def stream_window(spark, d):
 
 @query("select l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_extendedprice / l_quantity as unit_price from lineitem")
 def enrich_frame(spark, d):
-    return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity"))
+    """A task that is given a frame and returns it with one more column."""
+    with tasks.local_pool(spark, 1) as pool:
+        frame = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+        return tasks.collect(pool.submit(lambda df: df.withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity")), df=frame))
 
 
-@query("""with c as (select event_id + 1 ix, cast(round(value * 100) as bigint) v from events where event_id < 5999), s as (select ix, sum(v) over w as s1, sum(v * v) over w as s2
- from c window w as (order by ix rows between current row and 999 following)) select ix, s1::bigint as s1, s2::bigint as s2 from s where ix <= 5000""")
+@query("""with c as (select event_id + 1 ix, cast(round(value * 100) as bigint) v from events)
+ select ix, (sum(v) over w)::bigint as s1, (sum(v * v) over w)::bigint as s2, count(*) over w as n from c window w as (order by ix rows between current row and 999 following)""")
 def sliding_window(spark, d):
-    """Sums of the 1,000 values from each of the first 5,000 starts. Blocks of 1,000 elements and their copies for the block before
-    them make the window a partitioned one: no task holds the whole table."""
-    v = _t(spark, d, "events").where("event_id < 5999").select((F.col("event_id") + 1).alias("ix"), F.round(F.col("value") * 100).cast("long").alias("v"))
+    """Count, sum and sum of squares, in cents, of the 1,000 values from each start; windows at the end hold what is left. Blocks of 1,000
+    elements and their copies for the block before them make the window a partitioned one: no task holds the whole table."""
+    v = _t(spark, d, "events").select((F.col("event_id") + 1).alias("ix"), F.round(F.col("value") * 100).cast("long").alias("v"))
     block = F.floor((F.col("ix") - 1) / 1000)
     rows = v.select("ix", "v", F.explode(F.array(block, block - 1)).alias("block"))
     w = Window.partitionBy("block").orderBy("ix").rowsBetween(0, 999)
-    out = rows.select("ix", "block", F.sum("v").over(w).alias("s1"), F.sum(F.col("v") * F.col("v")).over(w).alias("s2"))
-    return out.where((block == F.col("block")) & (F.col("ix") <= 5000)).select("ix", "s1", "s2")
+    out = rows.select("ix", "block", F.sum("v").over(w).alias("s1"), F.sum(F.col("v") * F.col("v")).over(w).alias("s2"), F.count("*").over(w).alias("n"))
+    return out.where(block == F.col("block")).select("ix", "s1", "s2", "n")
 
 
 @query("select l_returnflag, sum(cast(round(l_quantity * 100) as bigint))::bigint as cents, count(*) as n from lineitem group by 1")
@@ -132,7 +161,19 @@ def nested_map_sum(spark, d):
 
 @query("select sum(s)::bigint as total, count(*) as parts from (select o_orderkey % 10 p, sum(o_orderkey + 1) s from orders group by 1)")
 def nested_tasks(spark, d):
-    return _t(spark, d, "orders").groupBy((F.col("o_orderkey") % 10).alias("p")).agg(F.sum(F.col("o_orderkey") + 1).alias("s")).agg(F.sum("s").alias("total"), F.count("*").alias("parts"))
+    """A task that submits one task a part to its own pool and adds up what they give."""
+    keys = _t(spark, d, "orders").select("o_orderkey")
+
+    def part(p: int):
+        return keys.where(F.col("o_orderkey") % 10 == p).agg(F.sum(F.col("o_orderkey") + 1)).first()[0]
+
+    def whole():
+        sums = tasks.collect_all([tasks.current_pool().submit(part, p=p) for p in range(10)])
+        return [s for s in sums if s is not None]
+
+    with tasks.local_pool(spark, 2) as pool:
+        sums = tasks.collect(pool.submit(whole))
+    return spark.createDataFrame([(sum(sums), len(sums))], "total long, parts long")
 
 
 @query("select quantile_cont(p_retailprice, 0.25) as q1, quantile_cont(p_retailprice, 0.5) as q2, quantile_cont(p_retailprice, 0.75) as q3 from part")
@@ -158,14 +199,53 @@ def list_fold(spark, d):
     return element.map_columns(_elements(spark, d, "embeddings", "vec_id", "embedding"), f, "double")
 
 
-@query("select 42::bigint as seed, unnest([1,2,3,4,5,6])::bigint as word, unnest([-2133391687, 507561766, 1260545903, 1362917092, -1772566379, -1344458670])::bigint as value")
+#: The generator's constants and steps in SQL, in whole numbers of 128 bits: words of a seed's base state, and powers of the jump's matrices.
+_CONSTANTS = ", ".join(f"{x % n}::hugeint" for m, n in ((rng.A1, rng.M1), (rng.A2, rng.M2)) for row in m for x in row)
+_SQUARES = ", ".join(f"({' + '.join(f'{m}{3 * i + j + 1} * {m}{3 * j + c + 1}' for j in range(3))}) % {n}" for m, n in (("a", rng.M1), ("b", rng.M2)) for i in range(3) for c in range(3))
+_MOVED = ", ".join(f"case when (ix >> bit) & 1 = 1 then ({' + '.join(f'{m}{3 * i + j + 1} * s{h + j + 1}' for j in range(3))}) % {n} else s{h + i + 1} end" for m, n, h in (("a", rng.M1, 0), ("b", rng.M2, 3)) for i in range(3))
+_ENTRIES = ", ".join(f"{m}{k}" for m in "ab" for k in range(1, 10))
+_RNG = f"""with recursive lcg(k, s) as (select 0, 42::hugeint union all select k + 1, (69069 * s + 1) % 4294967296 from lcg where k < 80),
+ word as (select row_number() over (order by k) w, s from (select k, s from lcg where k > 50 and s < {rng.M2} order by k limit 6)),
+ base as (select {", ".join(f"max(s) filter (w = {k}) s{k}" for k in range(1, 7))} from word),
+ pw(k, {_ENTRIES}) as (select 0, {_CONSTANTS} union all select k + 1, {_SQUARES} from pw where k < 160)"""
+_AT = _RNG + """, moved(bit, ix, s1, s2, s3, s4, s5, s6) as (select 0, {ix}, base.* from {rows}, base union all select bit + 1, ix, """ + _MOVED + """ from moved join pw on pw.k = 127 + bit where bit < {bits})"""
+_WORDS = ", ".join(f"(case when s{k} >= 2147483648 then s{k} - 4294967296 else s{k} end)::bigint as s{k}" for k in range(1, 7))
+_SEEKS = (0, 1, 7, 1000, 123456789, 4294967295)
+
+
+@query(_RNG + " select 42::bigint as seed, w::bigint as word, (case when s >= 2147483648 then s - 4294967296 else s end)::bigint as value from word")
 def rng_base(spark, d):
     return spark.createDataFrame([(42, k, w) for k, w in enumerate(rng.base(42), 1)], "seed long, word long, value long")
 
 
-@query()
+@query(_AT.format(ix="x.k", rows=f"(select unnest({list(_SEEKS)})::bigint k) x", bits=32) + f" select ix as k, {_WORDS} from moved where bit = 32")
+def rng_seek(spark, d):
+    return spark.createDataFrame([(k, *rng.seek(rng.base(42), k)) for k in _SEEKS], "k long, " + ", ".join(f"s{k} long" for k in range(1, 7)))
+
+
+@query(_AT.format(ix="o_orderkey + 1", rows="orders", bits=24) + f""" select ix, {_WORDS},
+ (((-810728 * s1 + 1403580 * s2) % {rng.M1} + {rng.M1}) % {rng.M1} - ((-1370589 * s4 + 527612 * s6) % {rng.M2} + {rng.M2}) % {rng.M2} + {rng.M1}) % {rng.M1} * {rng.SCALE!r}::double as u from moved where bit = 24""")
 def rng_streams(spark, d):
-    return rng.streams(_elements(spark, d, "orders", "o_orderkey", "o_orderkey"), 42)
+    """The state of each element's stream and its first number. The SQL follows elements up to 2^24, the map itself to 2^53."""
+    found = rng.streams(_elements(spark, d, "orders", "o_orderkey", "o_orderkey"), 42)
+    return found.select("ix", *[F.col("state")[k].alias(f"s{k + 1}") for k in range(6)], "u")
+
+
+@query("select p_partkey + 1 ix, true as same, true as inside from part")
+def map_seeded(spark, d):
+    """Draws of a seeded map by the element's own stream: the same for two deals of the table."""
+    t = _elements(spark, d, "part", "p_partkey", "p_size")
+    one, two = (element.map_python(x, lambda x, rng: rng.uniform(), "double", seed=7).select("ix", F.col("value").alias(n)) for x, n in ((t, "v"), (t.repartition(7, "x"), "w")))
+    return one.join(two, "ix").select("ix", (F.col("v") == F.col("w")).alias("same"), ((F.col("v") > 0) & (F.col("v") < 1)).alias("inside"))
+
+
+@query("select p_partkey + 1 ix, p_size::bigint + 1 + r as value, r::bigint as run from part, (values (0), (1), (2)) t(r)")
+def prepared_runs(spark, d):
+    """A prepared map, run over three tables."""
+    t = _elements(spark, d, "part", "p_partkey", "p_size")
+    staged = element.Prepared(t, lambda x: x + 1, "int")
+    runs = [staged.run(t.withColumn("x", (F.col("x") + r).cast("int")), collect="view").select("ix", F.col("value").cast("long").alias("value"), F.lit(r).cast("long").alias("run")) for r in range(3)]
+    return runs[0].union(runs[1]).union(runs[2])
 
 
 @query("select count(*) as n, true as same from orders")
@@ -189,18 +269,18 @@ def _log(spark, d):
 
 @query(f"select grp, arg_min(pos, ended * 1000000 + pos)::bigint as position, min(ended) as ended from ({_LOG}) group by 1")
 def collect_any(spark, d):
-    return _log(spark, d).groupBy("grp").agg(F.min_by(F.col("pos").cast("long"), F.col("ended") * 1000000 + F.col("pos")).alias("position"), F.min("ended").alias("ended"))
+    return tasks.first_ended(_log(spark, d))
 
 
-@query(f"select grp, string_agg(event_id::varchar, ',' order by pos) as ids, count(*) as n from ({_LOG}) group by 1")
+@query(f"select grp, pos::bigint as pos, event_id, ended from ({_LOG}) where grp not in (select grp from ({_LOG}) where failed)")
 def collect_all(spark, d):
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "event_id"))), lambda x: x["event_id"].cast("string"))
-    return _log(spark, d).groupBy("grp").agg(F.concat_ws(",", ids).alias("ids"), F.count("*").alias("n"))
+    """What the groups without a failure give, by position."""
+    return tasks.in_order(_log(spark, d)).select("grp", F.col("pos").cast("long").alias("pos"), "event_id", "ended")
 
 
 @query(f"select grp, min(pos) filter (failed)::bigint as index from ({_LOG}) group by 1")
 def collect_all_error_index(spark, d):
-    return _log(spark, d).groupBy("grp").agg(F.min(F.when(F.col("failed"), F.col("pos"))).cast("long").alias("index"))
+    return tasks.first_failed(_log(spark, d))
 
 
 @query("select min(o_orderkey) + 1 as ix, 'ValueError: ' || min(o_orderkey) as error from orders where o_orderkey % 1000 = 999")
@@ -226,31 +306,66 @@ def lost_ranges(spark, d):
     return lost.lost_ranges(spans, runs)
 
 
-@query("select s.status, count(e.event_id) as n from (values (0, 'free'), (1, 'pending'), (2, 'running'), (3, 'ok'), (4, 'err'), (5, 'cancel'), (6, 'died'), (7, 'lost')) s(code, status) join events e on e.event_id % 8 = s.code group by 1")
+@query("""select u.run, c.k * 100 + 1 as lo, least((c.k + 1) * 100, 1050) as hi from (select distinct user_id as run from events) u, (select unnest(range(0, 11)) k) c
+ where not exists (select 1 from events e where e.user_id = u.run and e.event_id % 11 = c.k and e.event_type <> 'error')""")
+def lost_ranges_chunks(spark, d):
+    """Chunks of 100 of 1,050 elements, of which each run's events finish some."""
+    e = _t(spark, d, "events")
+    k = F.col("k")
+    chunks = e.select(F.col("user_id").alias("run")).distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(10)))).select("run", k.cast("long").alias("k"), (k * 100 + 1).cast("long").alias("lo"), F.least((k + 1) * 100, F.lit(1050)).cast("long").alias("hi"))
+    return lost.lost_chunks(chunks, e.where("event_type <> 'error'").select(F.col("user_id").alias("run"), (F.col("event_id") % 11).alias("k")))
+
+
+@query("select s.state, count(e.event_id) as n from (values (0, 'free'), (1, 'pending'), (2, 'running'), (3, 'ok'), (4, 'err'), (5, 'cancel'), (6, 'died'), (7, 'lost')) s(code, state) join events e on e.event_id % 8 = s.code group by 1")
 def task_state_counts(spark, d):
-    states = F.array(*map(F.lit, ("free", "pending", "running", "ok", "err", "cancel", "died", "lost")))
-    return _t(spark, d, "events").select(F.element_at(states, (F.col("event_id") % 8 + 1).cast("int")).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    return tasks.state_counts(_t(spark, d, "events").select((F.col("event_id") % 8).alias("code")))
+
+
+def _submitted(spark, d, name: str) -> DataFrame:
+    """Each event as a task that was submitted; all but the views have begun."""
+    begun = F.when(F.col("event_type") != "view", F.array(F.lit("submit"), F.lit("start"))).otherwise(F.array(F.lit("submit")))
+    return _t(spark, d, "events").select(F.col("user_id").alias(name), F.explode(begun).alias("event"))
 
 
 @query("select user_id as worker, count(*) as injected, count(*) filter (event_type <> 'view') as claimed, count(*) - count(*) filter (event_type <> 'view') as queued from events group by 1")
 def pool_stats(spark, d):
-    claimed = F.count_if(F.col("event_type") != "view")
-    return _t(spark, d, "events").groupBy(F.col("user_id").alias("worker")).agg(F.count("*").alias("injected"), claimed.alias("claimed"), (F.count("*") - claimed).alias("queued"))
+    return tasks.stats(_submitted(spark, d, "worker"))
+
+
+@query("select user_id as submitter, count(*) filter (event_type = 'view') as queued from events group by 1")
+def queued(spark, d):
+    return tasks.stats(_submitted(spark, d, "submitter"), "submitter").select("submitter", "queued")
 
 
 @query("select event_id // 256 as batch, min(event_id) as first, max(event_id) as last, count(*) as n from events group by 1")
 def stream_batches(spark, d):
-    return _t(spark, d, "events").groupBy(F.floor(F.col("event_id") / 256).alias("batch")).agg(F.min("event_id").alias("first"), F.max("event_id").alias("last"), F.count("*").alias("n"))
+    return slices.batch_frame(_t(spark, d, "events"), "event_id", 256)
 
 
 @query("select event_id as seq, user_id as value from events where event_id >= 100 order by seq limit 64")
 def recv_batch_n(spark, d):
-    return _t(spark, d, "events").where("event_id >= 100").select(F.col("event_id").alias("seq"), F.col("user_id").alias("value")).orderBy("seq").limit(64)
+    return channel.next_batch(_t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("value")), 100, 64)
 
 
-@query("select p_partkey, p_size::double as wide, p_name as s, cast(null as integer) as least from part")
+@query("select p_partkey, p_size::double as wide, p_name as s, p_size::integer as narrow, case when p_size % 5 <> 0 then p_size end::integer as least from part")
 def arrow_landing(spark, d):
-    return _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("wide"), F.col("p_name").alias("s"), F.nullif(F.lit(-(2**31)), F.lit(-(2**31))).alias("least"))
+    """Columns of a table in the types they land in; the least int is a missing value."""
+    least = F.when(F.col("p_size") % 5 == 0, F.lit(-(2**31))).otherwise(F.col("p_size").cast("int")).alias("least")
+    return arrow_io.land_frame(_t(spark, d, "part").select("p_partkey", F.col("p_size").cast("float").alias("wide"), F.col("p_name").alias("s"), F.col("p_size").cast("smallint").alias("narrow"), least))
+
+
+@query("select event_id, case when event_id % 7 <> 0 then event_id end as seq, value, isnan(x) as nan, x is null as missing from (select event_id, value, case event_id % 3 when 0 then 'nan'::double when 1 then value end as x from events)")
+def na_sentinel(spark, d):
+    """The least bigint lands as a missing value; not-a-number stays itself and a missing double stays missing."""
+    k = F.col("event_id")
+    x = F.when(k % 3 == 0, F.lit(float("nan"))).when(k % 3 == 1, F.col("value")).alias("x")
+    t = arrow_io.land_frame(_t(spark, d, "events").select("event_id", F.when(k % 7 == 0, F.lit(-(2**63))).otherwise(k).alias("seq"), "value", x))
+    return t.select("event_id", "seq", "value", F.when(F.col("x").isNotNull(), F.isnan("x")).alias("nan"), F.col("x").isNull().alias("missing"))
+
+
+@query("select event_id, user_id * 1.0::double as s, user_id * 0.001::double as ms, user_id * 0.000001::double as us, user_id * 0.000000001::double as ns from events")
+def duration_units(spark, d):
+    return _t(spark, d, "events").select("event_id", *[arrow_io.seconds(F.col("user_id"), u).alias(u) for u in ("s", "ms", "us", "ns")])
 
 
 @query("select level, row_number() over (order by f) as code from (select p_brand as level, min(p_partkey) f from part group by 1)")

@@ -2,42 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.operators.errors import NotPortable
+from lanewise.session import cut
 
 #: Where the widths land.
 LANDS = {"int8": "int32", "int16": "int32", "uint16": "int32", "int32": "int32", "uint32": "double", "halffloat": "double", "float": "double", "double": "double", "int64": "int64", "bool": "bool", "string": "string", "large_string": "string", "date32[day]": "date32[day]"}
+#: The least whole number of a width stands for a missing value.
+LEAST = {"int32": -(2**31), "int64": -(2**63)}
+#: Where Spark's own widths land.
+COLUMNS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "bigint", "float": "double", "double": "double", "boolean": "boolean", "string": "string", "date": "date"}
+#: Seconds in each unit of a duration.
+UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9}
+
+
+def landed(c: pa.ChunkedArray | pa.Array, name: str) -> pa.ChunkedArray | pa.Array:
+    """The column in the type that it lands in; kinds that have no home decline."""
+    kind = str(c.type)
+    if pa.types.is_dictionary(c.type) and pa.types.is_string(c.type.value_type):
+        return c.cast(pa.string())
+    if kind == "uint8" and not c.null_count:
+        return c.cast(pa.int16())
+    if pa.types.is_timestamp(c.type) or pa.types.is_duration(c.type):
+        return c
+    if kind not in LANDS:
+        raise NotPortable(f"column '{name}' of type {kind} has no home here", path=name, reason=kind, remedy="convert it first")
+    c = c.cast(pa.type_for_alias("float64" if LANDS[kind] == "double" else "date32" if kind.startswith("date32") else LANDS[kind]))
+    return pc.if_else(pc.equal(c, pa.scalar(LEAST[kind], c.type)), pa.scalar(None, c.type), c) if kind in LEAST else c
 
 
 def land(table: pa.Table) -> pa.Table:
-    """The table with each column in the type it lands in. The least int32 and int64 are missing values; kinds that have no home decline."""
+    """The table with each column in the type it lands in. The least int32 and int64 are missing values."""
     if not table.num_columns or len(set(table.column_names)) != table.num_columns:
         raise NotPortable("a frame has at least one column, and names of its own", reason="columns")
+    return pa.table({n: landed(c, n) for n, c in zip(table.column_names, table.columns, strict=True)})
+
+
+def read(spark: SparkSession, source: pa.Table | pa.RecordBatch | pa.RecordBatchReader | Iterable[pa.RecordBatch]) -> DataFrame:
+    """A frame from a table, a batch, or a stream of batches, which is consumed; the source is on the driver."""
+    if isinstance(source, pa.RecordBatch):
+        source = pa.Table.from_batches([source])
+    elif isinstance(source, pa.RecordBatchReader):
+        source = source.read_all()
+    elif not isinstance(source, pa.Table):
+        source = pa.Table.from_batches(list(source))
+    return spark.createDataFrame(land(source))
+
+
+def vector(array: pa.Array | pa.ChunkedArray) -> tuple[list, list[str] | None, bool]:
+    """(values, levels, whether they are ordered) of an array that is no struct. A dictionary gives codes from 1 and its levels, those of all
+    batches in the order first seen; an ordered one whose batches disagree in their order declines. Others have no levels."""
+    chunks = array.chunks if isinstance(array, pa.ChunkedArray) else [array]
+    if not pa.types.is_dictionary(array.type):
+        return landed(array, "value").to_pylist(), None, False
+    levels: dict[str, int] = {}
+    values: list[int | None] = []
+    for c in chunks:
+        own = c.dictionary.to_pylist()
+        if array.type.ordered and levels and own != list(levels):
+            raise NotPortable("batches of an ordered dictionary with other levels", reason="ordered", remedy="unify the dictionaries")
+        at = [levels.setdefault(x, len(levels) + 1) for x in own]
+        values += [None if k is None else at[k] for k in c.indices.to_pylist()]
+    return values, list(levels), bool(array.type.ordered)
+
+
+def land_frame(df: DataFrame) -> DataFrame:
+    """The frame's columns in the types they land in, as one projection: narrow whole numbers widen, the least int and bigint are missing."""
     out = []
-    for name, c in zip(table.column_names, table.columns, strict=True):
-        kind = str(c.type)
-        if pa.types.is_dictionary(c.type) and pa.types.is_string(c.type.value_type):
-            out.append(c.cast(pa.string()))
-        elif kind == "uint8" and not c.null_count:
-            out.append(c.cast(pa.int16()))
-        elif pa.types.is_timestamp(c.type) or pa.types.is_duration(c.type):
-            out.append(c)
-        elif kind in LANDS:
-            c = c.cast(pa.type_for_alias("float64" if LANDS[kind] == "double" else "date32" if kind.startswith("date32") else LANDS[kind]))
-            if kind in ("int32", "int64"):
-                least = -(2**31) if kind == "int32" else -(2**63)
-                c = pa.chunked_array([pa.array([None if x == least else x for x in p.to_pylist()], c.type) for p in c.chunks], c.type)
-            out.append(c)
-        else:
-            raise NotPortable(f"column '{name}' of type {kind} has no home here", path=name, reason=kind, remedy="convert it first")
-    return pa.table(dict(zip(table.column_names, out, strict=True)))
-
-
-def read(spark: SparkSession, table: pa.Table) -> DataFrame:
-    return spark.createDataFrame(land(table))
+    for name, kind in df.dtypes:
+        if kind.startswith(("timestamp", "interval", "decimal")) or kind not in COLUMNS:
+            if not kind.startswith("timestamp"):
+                raise NotPortable(f"column '{name}' of type {kind} has no home here", path=name, reason=kind, remedy="convert it first")
+            out.append(F.col(f"`{name}`"))
+            continue
+        c = F.col(f"`{name}`").cast(COLUMNS[kind])
+        least = {"int": -(2**31), "bigint": -(2**63)}.get(kind)
+        out.append((c if least is None else F.when(c != F.lit(least), c)).alias(name))
+    return df.select(*out)
+
+
+def seconds(amount: Column, unit: str) -> Column:
+    """A duration of so many units, in seconds."""
+    if unit not in UNITS:
+        raise NotPortable(f"durations in '{unit}' have no home here", reason=unit)
+    return amount.cast("double") * F.lit(UNITS[unit])
 
 
 def write(df: DataFrame) -> pa.Table:
@@ -46,8 +100,20 @@ def write(df: DataFrame) -> pa.Table:
     return t.cast(pa.schema([pa.field(f.name, pa.large_string() if pa.types.is_string(f.type) else f.type) for f in t.schema]))
 
 
-def factor_levels(df: DataFrame, ix: str, x: str) -> DataFrame:
-    """level, code: levels in the order first seen. The levels, not the rows, meet in one task."""
-    from pyspark.sql import Window
+def write_vector(values: list, kind: pa.DataType | None = None) -> pa.Array:
+    """A list as one array: strings as large_string, not-a-number kept, None null."""
+    a = pa.array(values, kind, from_pandas=False)
+    return a.cast(pa.large_string()) if pa.types.is_string(a.type) else a
+
 
-    return df.groupBy(F.col(x).alias("level")).agg(F.min(ix).alias("first")).where("level is not null").select("level", F.row_number().over(Window.orderBy("first")).cast("long").alias("code"))
+def factor_levels(df: DataFrame, ix: str, x: str) -> DataFrame:
+    """level, code: levels in the order first seen. Levels are dealt by range of that order, and each range adds the sizes of those before
+    it, one number a range."""
+    seen = df.groupBy(F.col(x).alias("level")).agg(F.min(ix).alias("first")).where("level is not null")
+    dealt = cut(seen.repartitionByRange("first").withColumn("shard", F.spark_partition_id()))
+    start, at = {}, 0
+    for shard, n in dealt.groupBy("shard").agg(F.count("*")).orderBy("shard").collect():
+        start[shard], at = at, at + n
+    starts = F.create_map(*[F.lit(v) for kv in start.items() for v in kv]) if start else F.create_map(F.lit(0), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("shard").orderBy("first"))
+    return dealt.select("level", (own + starts[F.col("shard")]).cast("long").alias("code"))

@@ -2,54 +2,174 @@
 
 from __future__ import annotations
 
+import asyncio
+import threading
+import time
 from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanewise.operators.errors import CLOSED, FULL, RemoteError
+from lanewise.operators.errors import CLOSED, FULL, PEER_GONE, TIMEOUT, EngineError, RemoteError, is_sentinel
+
+#: Messages of a burst that a handler is given at once.
+BURST = 2048
 
 
 class Channel:
-    """A peer that handles batches of a file stream in order: each file is one message batch, taken at most `quantum` at a time."""
+    """A peer that handles batches of a file stream in order: each file is one message batch, taken at most `quantum` at a time.
+
+    What the peer makes of a batch is written below the checkpoint folder and given out once the batch is done, so a batch that fails
+    gives nothing and none is given twice. After the peer's error, which is received as a value, the channel is at its end."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, f: Callable[[DataFrame], DataFrame], checkpoint: str, capacity: int = 64, quantum: int = 1):
+        if capacity < 1 or quantum < 1:
+            raise EngineError("a channel has room for one message, and takes one batch at least")
         self.spark, self.folder, self.schema, self.capacity = spark, folder, schema, capacity
         self.f, self.checkpoint, self.quantum = f, checkpoint, quantum
-        self.sent, self.closed, self.out, self.error = 0, False, deque(), None
-
-    def send_batch(self, rows: list[tuple]) -> int:
-        """How many messages were accepted: never waits."""
-        room = self.capacity - len(self.out) - self.sent
-        now = rows[: max(0, room)]
-        if now and not self.closed:
-            self.spark.createDataFrame(now, self.schema).coalesce(1).write.mode("append").parquet(self.folder)
-            self.sent += len(now)
+        self.sent, self.closed, self.gone, self.out = 0, False, False, deque()
+        self.accepted = self.received = self.batches = 0
+        self.lock, self.arrived = threading.RLock(), threading.Condition()
+        self.done: set[int] = set()
+        self.worker, self.draining, self.handler = ThreadPoolExecutor(1), None, None
+
+    def __repr__(self) -> str:
+        return f"<channel, {len(self.out)} to receive, {self.sent} sent, {'closed' if self.closed else 'open'}>"
+
+    def send_batch(self, rows: list[tuple]):
+        """How many messages were accepted: never waits. CLOSED once the channel is closed, PEER_GONE after the peer's error."""
+        with self.lock:
+            if self.closed or self.gone:
+                return CLOSED if self.closed else PEER_GONE
+            now = rows[: max(0, self.capacity - len(self.out) - self.sent)]
+            if now:
+                self.spark.createDataFrame(now, self.schema).coalesce(1).write.mode("append").parquet(self.folder)
+                self.sent += len(now)
+                self.accepted += len(now)
+        with self.arrived:
+            self.arrived.notify_all()
         return len(now)
 
     def send(self, row: tuple):
-        return None if self.send_batch([row]) else FULL
+        """None, or FULL, CLOSED or PEER_GONE."""
+        n = self.send_batch([row])
+        return n if is_sentinel(n) else None if n else FULL
 
     def drain(self) -> None:
         """Let the peer handle all that has been sent."""
+        with self.lock:
+            if self.gone:
+                return
+            ready: list[int] = []
+
+            def take(df: DataFrame, batch: int) -> None:
+                self.f(df).write.mode("overwrite").parquet(self.place(batch))
+                ready.append(batch)
+
+            stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.quantum).parquet(self.folder)
+            error = None
+            try:
+                stream.writeStream.foreachBatch(take).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+            except Exception as e:  # noqa: BLE001  the peer's error is delivered as a value
+                error = RemoteError(str(e))
+            for batch in ready:
+                if batch not in self.done:
+                    self.done.add(batch)
+                    self.batches += 1
+                    self.out.extend(tuple(r) for r in self.spark.read.parquet(self.place(batch)).orderBy("seq").toLocalIterator())
+            if error:
+                self.out.append(error)
+                self.gone = True
+            self.sent = 0
+        with self.arrived:
+            self.arrived.notify_all()
+
+    def place(self, batch: int) -> str:
+        return f"{self.checkpoint}/given/batch={batch}"
+
+    def end(self):
+        return PEER_GONE if self.gone and not self.closed else CLOSED
+
+    def recv_batch(self, n: int, timeout: float | None = 0):
+        """From 1 to n messages in order, without waiting to fill; CLOSED after the last, PEER_GONE after the peer's error. Without any it waits
+        for the time given, None for ever, and gives TIMEOUT; with 0, as it stands, an empty list."""
+        limit = None if timeout is None else time.monotonic() + timeout
+        while not self.out:
+            if self.sent:
+                if timeout == 0:
+                    self.drain()
+                    continue
+                if self.draining is None or self.draining.done():
+                    self.draining = self.worker.submit(self.drain)
+            elif self.closed or self.gone:
+                return self.end()
+            left = None if limit is None else limit - time.monotonic()
+            if left is not None and left <= 0:
+                return TIMEOUT if timeout else []
+            with self.arrived:
+                if not self.out:
+                    self.arrived.wait(0.2 if left is None else min(left, 0.2))
+        out = [self.out.popleft() for _ in range(min(n, len(self.out)))]
+        self.received += len(out)
+        return out
 
-        def take(df: DataFrame, _: int) -> None:
-            self.out.extend(tuple(r) for r in self.f(df).orderBy("seq").toLocalIterator())
+    def recv(self, timeout: float | None = None):
+        """The next message in order, an error of the peer as a value, or TIMEOUT, CLOSED or PEER_GONE."""
+        if timeout == 0:
+            got = self.recv_batch(1, 0)
+            return TIMEOUT if got == [] else got if is_sentinel(got) else got[0]
+        got = self.recv_batch(1, timeout)
+        return got if is_sentinel(got) else got[0]
 
-        stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.quantum).parquet(self.folder)
-        try:
-            stream.writeStream.foreachBatch(take).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
-        except Exception as e:  # noqa: BLE001  the peer's error is delivered as a value
-            self.out.append(RemoteError(str(e)))
-        self.sent = 0
+    async def recv_async(self, timeout: float | None = None):
+        """recv() without holding up the event loop; those that wait are served in the order in which they asked."""
+        return await self._asked(lambda: self.recv(timeout))
 
-    def recv_batch(self, n: int):
-        """From 1 to n messages in order, or CLOSED after the last."""
-        if not self.out and self.sent:
-            self.drain()
-        if not self.out:
-            return CLOSED if self.closed else []
-        return [self.out.popleft() for _ in range(min(n, len(self.out)))]
+    async def recv_batch_async(self, n: int, timeout: float | None = None):
+        """recv_batch() without holding up the event loop."""
+        return await self._asked(lambda: self.recv_batch(n, timeout))
+
+    async def _asked(self, f: Callable):
+        if self.handler is not None:
+            raise EngineError("the channel has a handler")
+        if not hasattr(self, "askers"):
+            self.askers = ThreadPoolExecutor(1)
+        return await asyncio.wrap_future(self.askers.submit(f))
+
+    def recv_handler(self, fn: Callable, batch: bool = False) -> threading.Thread:
+        """Call fn with each message, or with bursts of them, until the end, whose sentinel it is given last. An error in fn ends it. While it
+        runs nothing else receives."""
+        if self.handler is not None and self.handler.is_alive():
+            raise EngineError("the channel has a handler")
+
+        def run() -> None:
+            try:
+                while not is_sentinel(got := self.recv_batch(BURST, None)):
+                    for x in [got] if batch else got:
+                        fn(x)
+                fn(got)
+            finally:
+                self.handler = None
+
+        self.handler = threading.Thread(target=run, daemon=True)
+        self.handler.start()
+        return self.handler
 
     def close(self) -> None:
+        """No more messages are accepted; what was sent can be received."""
         self.closed = True
+        with self.arrived:
+            self.arrived.notify_all()
+
+    def alive(self) -> bool:
+        return not self.closed and not self.gone
+
+    def info(self) -> dict:
+        return {"capacity": self.capacity, "quantum": self.quantum, "accepted": self.accepted, "received": self.received, "waiting": len(self.out), "sent": self.sent, "batches": self.batches, "closed": self.closed, "peer_gone": self.gone}
+
+
+def next_batch(messages: DataFrame, after: int, n: int, seq: str = "seq") -> DataFrame:
+    """The next n messages in order, from a number on: one batch of a table of messages."""
+    return messages.where(F.col(seq) >= after).orderBy(seq).limit(n)

@@ -32,7 +32,7 @@ def test_maps(spark):
     with pytest.raises(errors.EngineError) as e:
         element.collect(element.map_python(t, lambda x: 1 // (x - 3) if x < 5 else 1 // 0, "int"))
     assert e.value.index == 3
-    assert element.collect(element.Prepared(lambda x: x + 1).run(t)) == [2, 3, 4, 5, 6]
+    assert element.Prepared(t, lambda x: x + 1).run() == [2, 3, 4, 5, 6]
 
 
 def test_calls():
