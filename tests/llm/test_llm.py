@@ -1,5 +1,3 @@
-import hashlib
-import itertools
 import random
 
 import numpy as np
@@ -49,33 +47,11 @@ def test_bpe_equals_library(encoder, library):
         assert encoder.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_bpe_odd_rows(odd, empty, encoder):
-    rows = bpe.digests(bpe.encode_texts(odd)).collect()
-    assert len(rows) == len(ODD) and sorted(r["n_tokens"] for r in rows)[:2] == [0, 0]
-    assert bpe.encode_texts(empty).count() == 0
-
-
 def test_components_of_a_chain(spark):
     e = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {tuple(r) for r in simhash.components(e).collect()} == {(k, 0) for k in range(1, 41)} | {(101, 100)}
 
 
-def test_digest_equals_brute_force(spark, odd, empty):
-    g = random.Random(5)
-    docs = [(k * 3, "".join(g.choice("abc défß\n") for _ in range(g.randint(0, 90)))) for k in range(60)] + [(500, None), (501, "")]
-    got = {r["doc_id"]: r for r in digest.compare_edits(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    order = sorted(docs, reverse=True)
-    for k, (i, t) in enumerate(order):
-        t, other = t or "", order[(k + 1) % len(order)][1] or ""
-        e = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
-        r = got[i]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        a, b, c = (digest.digest(x.encode()) for x in (t, e, other))
-        assert (r["fingerprint"], r["edited_fingerprint"]) == (a.hex(), b.hex())
-        assert (r["near_edited"], r["near_next"]) == (digest.likeness(a, b), digest.likeness(a, c))
-    assert digest.compare_edits(odd).count() == len(ODD) and digest.compare_edits(empty).count() == 0
-
-
 def test_digest_across_shards(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
     placed = digest.neighbours(docs, per_shard=700)
