@@ -76,7 +76,7 @@ def spelling(counts: np.ndarray) -> np.ndarray:
 class Lexicon:
     """What a worker knows of words: the network's number, a hash, and the log-probability of the spelling for rare words."""
 
-    MOST = 200_000
+    MOST = 400_000
 
     def __init__(self, known: list[bytes], letters: np.ndarray):
         self.known, self.letters = known, letters
@@ -303,7 +303,7 @@ def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
         for batch in batches:
             for t in batch.column(0).to_pylist():
                 words.update(words_of(t))
-            if len(words) > 300_000:
+            if len(words) > 500_000:
                 yield from flush()
         yield from flush()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([letters.tobytes()], pa.binary())], names=["part", "words", "n"])
