@@ -32,7 +32,7 @@ from .common import cut, forget, partitions, pick, ready, small, table
 from .simhash import LOWER
 
 #: Words that the network knows by themselves, its width, and windows scored and trained at once.
-KNOWN, WIDTH, CHUNK, STEP = 1 << 15, 8, 1 << 12, 1 << 11
+KNOWN, WIDTH, CHUNK, STEP = 20_000, 8, 1 << 12, 1 << 11
 RATE, SEED = 0.3, 7
 #: Numbers of the rare word and of what lies outside a text; known words follow.
 RARE, OUTSIDE = 0, 1
@@ -73,6 +73,14 @@ def spelling(counts: np.ndarray) -> np.ndarray:
     return p
 
 
+def placed(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, int, np.ndarray]:
+    """The words of all texts, their places with two free ones before and after each text, how many places there are, and words by text."""
+    lists = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    every = [w for x in lists for w in x]
+    return every, 2 + np.arange(len(every)) + 2 * np.repeat(np.arange(len(lists)), sizes), len(every) + 2 * len(lists) + 2, sizes
+
+
 class Lexicon:
     """What a worker knows of words: the network's number, a hash, and the log-probability of the spelling for rare words."""
 
@@ -104,33 +112,21 @@ class Lexicon:
 
     def plain(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The network's numbers of all words, with two places outside before and after each text, and where the words are."""
-        get, rare, outside = self.first.get, itertools.repeat(RARE), [OUTSIDE] * 2
-        flat = list(outside)
-        ends = []
-        for t in texts:
-            flat += map(get, words_of(t), rare)
-            ends.append(len(flat))
-            flat += outside
-        numbers = np.array(flat, np.uint16)
-        words = np.ones(len(flat), bool)
-        words[:2] = False
-        ends = np.array(ends, np.int64)
-        words[ends] = words[ends + 1] = False
-        return numbers, np.flatnonzero(words)
+        every, at, size, _ = placed(texts)
+        numbers = np.full(size, OUTSIDE, np.uint16)
+        numbers[at] = np.fromiter(map(self.first.get, every, itertools.repeat(RARE)), np.uint16, len(every))
+        return numbers, at
 
     def windows(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All words of the texts with two places outside before and after each text, -1 there; where the words are; how many each has."""
-        lists = [words_of(t) for t in texts]
+        every, at, size, sizes = placed(texts)
         if len(self.of) > self.MOST:
             self.clear()
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        every = [w for x in lists for w in x]
         found = np.fromiter(map(self.of.get, every, itertools.repeat(-1)), np.int64, len(every))
         if len(new := np.flatnonzero(found < 0)):
             self.add(dict.fromkeys(every[k] for k in new.tolist()))
             found[new] = [self.of[every[k]] for k in new.tolist()]
-        at = 2 + np.arange(len(every)) + 2 * np.repeat(np.arange(len(lists)), sizes)
-        flat = np.full(len(every) + 2 * len(lists) + 2, -1, np.int64)
+        flat = np.full(size, -1, np.int64)
         flat[at] = found
         return flat, at, sizes
 
