@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewise.session import ship
+
 from . import geometry
 from .errors import WorkerDied
 
 
-def map_in_slices(table: DataFrame, n: int, f: Callable[[DataFrame], DataFrame], out: str, workers: int, n_chunks: int | None = None) -> DataFrame:
+def first_attempt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, in a task's first attempt only."""
+    if (n := TaskContext.get().attemptNumber()) > 0:
+        raise WorkerDied(f"attempt {n} of a slice that is not tried again")
+    yield from batches
+
+
+def map_in_slices(table: DataFrame, n: int, f: Callable[[DataFrame], DataFrame], out: str, workers: int, n_chunks: int | None = None, retry: bool = True) -> DataFrame:
     """The rows of f over slices of a table with a dense ix from 1 to n, with at most the window's jobs at a time.
 
     A slice filters ix, which reaches the scan, and writes its own folder below out, a path that all executors share. The result is the
     same as f over the whole table when f maps rows. Once a slice is lost those that have not begun are not tried; the ranges of all lost
-    ones are raised in order, with the error of the first."""
+    ones are raised in order, with the error of the first. Without retry a slice whose worker was lost is not computed a second time."""
     spark = table.sparkSession
+    ship(spark)
     if n <= 0:
         return f(table.limit(0))
     chunks, window = geometry.stream_window(n, workers, n_chunks=n_chunks)
@@ -26,7 +38,8 @@ def map_in_slices(table: DataFrame, n: int, f: Callable[[DataFrame], DataFrame],
 
     def one(k: int) -> None:
         lo, hi = spans[k]
-        f(table.where(F.col("ix").between(lo, hi))).write.mode("overwrite").parquet(f"{out}/part_of={k}")
+        own = table.where(F.col("ix").between(lo, hi))
+        f(own if retry else own.mapInArrow(first_attempt, own.schema)).write.mode("overwrite").parquet(f"{out}/part_of={k}")
 
     with ThreadPoolExecutor(window) as jobs:
         futures = [jobs.submit(one, k) for k in range(chunks)]

@@ -13,7 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewise.operators.errors import EngineError
+from lanewise.operators.errors import EngineError, Stopped
 
 _shipped: set[str] = set()
 _cleaned: set[str] = set()
@@ -22,6 +22,8 @@ _cleaned: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Send this library to the Python workers, once for each application, so that maps run whatever folder they were started from."""
     sc = spark.sparkContext
+    if sc._jsc is None:
+        raise Stopped("the session has stopped")
     if sc.applicationId in _shipped:
         return
     root, folder = Path(__file__).resolve().parent, tempfile.mkdtemp(prefix="lanewise-")

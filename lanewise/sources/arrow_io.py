@@ -72,6 +72,12 @@ def vector(array: pa.Array | pa.ChunkedArray) -> tuple[list, list[str] | None, b
     return values, list(levels), bool(array.type.ordered)
 
 
+def levels(table: pa.Table) -> dict[str, tuple[list[str], bool]]:
+    """The levels of each dictionary column, those of all batches in the order first seen, and whether they are ordered: what landing as text
+    leaves out."""
+    return {n: vector(c)[1:] for n, c in zip(table.column_names, table.columns, strict=True) if pa.types.is_dictionary(c.type)}
+
+
 def land_frame(df: DataFrame) -> DataFrame:
     """The frame's columns in the types they land in, as one projection: narrow whole numbers widen, the least int and bigint are missing."""
     out = []

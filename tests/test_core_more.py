@@ -239,6 +239,7 @@ def test_all_lost_slices_are_named(spark, tmp_path):
         slices.map_in_slices(t, 40, f, str(tmp_path / "a"), workers=4, n_chunks=4)
     assert (1, 10) in e.value.lost and set(e.value.lost) <= {(1, 10), (21, 30)}
     assert slices.map_in_slices(t, 40, lambda df: df, str(tmp_path / "b"), 2).count() == 40
+    assert slices.map_in_slices(t, 40, lambda df: df, str(tmp_path / "c"), 2, retry=False).count() == 40
 
 
 def test_labels_of_lost_ranges(spark):
@@ -319,6 +320,7 @@ def test_arrow_sources_and_vectors(spark):
         assert [r["a"] for r in arrow_io.read(spark, source).collect()] == [1, None, None]
     two = pa.chunked_array([pa.array(["b", "a", None]).dictionary_encode(), pa.array(["c", "b"]).dictionary_encode()])
     assert arrow_io.vector(two) == ([1, 2, None, 3, 1], ["b", "a", "c"], False)
+    assert arrow_io.levels(pa.table({"f": two, "n": [1, 2, 3, 4, 5]})) == {"f": (["b", "a", "c"], False)}
     ordered = pa.DictionaryArray.from_arrays(pa.array([0, 1], pa.int8()), pa.array(["lo", "hi"]), ordered=True)
     assert arrow_io.vector(ordered) == ([1, 2], ["lo", "hi"], True)
     other = pa.DictionaryArray.from_arrays(pa.array([0, 1], pa.int8()), pa.array(["hi", "lo"]), ordered=True)
