@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lanewise.operators.errors import EngineError, NotPortable
+from lanewise.session import ship
 
 # Fixed values of the format: header, tags, missing values, depth.
 HEADER = b"\x49\x01"
-NIL, LOGICAL, INT, REAL, TEXT, BYTES, LOGICALS, INTS, REALS, COMPLEXES, RAWS, TEXTS, LIST, DICT, INT64S, ATTR, COMPLEX, FAILURE = range(18)
+NIL, LOGICAL, INT, REAL, TEXT, BYTES, LOGICALS, INTS, REALS, COMPLEXES, RAWS, TEXTS, LIST, DICT, INT64S, ATTR, COMPLEX, FAILURE, TASK, REF = range(20)
 NA_32, NA_64, DEEPEST = -(1 << 31), -(1 << 63), 64
 
 
@@ -60,6 +61,28 @@ class Failure:
     index: int | None = None
 
 
+@dataclass(frozen=True)
+class Ref:
+    """What stands for a large value kept elsewhere, by its identifier; only inside a task's arguments."""
+
+    name: str
+
+
+@dataclass
+class TaskCall:
+    """A call to run elsewhere: language is a number of LANGUAGES, kind says what code is, identity tells tasks apart."""
+
+    language: int
+    kind: int
+    identity: int
+    code: str
+    args: list = field(default_factory=list)
+    named: dict = field(default_factory=dict)
+
+
+#: Languages, and the kinds of a task's code.
+LANGUAGES, BY_NAME, BY_SOURCE, RUNNER = {1: "bytes", 2: "R", 3: "Python"}, 0, 1, 2
+
 #: Vectors of a fixed width: tag, format of an element, what stands for None (nothing: None is declined).
 FIXED = {"logical": (LOGICALS, "i", NA_32), "int": (INTS, "i", NA_32), "real": (REALS, "d", None), "int64": (INT64S, "q", NA_64)}
 OF_TAG = {tag: (kind, form, na) for kind, (tag, form, na) in FIXED.items()}
@@ -78,6 +101,18 @@ def write(value: object) -> bytes:
     return bytes(out)
 
 
+def write_task(task: TaskCall) -> bytes:
+    """The stream of a task. Its arguments may hold references."""
+    if task.language not in LANGUAGES or task.kind not in (BY_NAME, BY_SOURCE, RUNNER) or not 0 <= task.identity < 1 << 64:
+        raise _decline("task", "an unknown language or kind, or an identity beyond 64 bits", "name a known one")
+    if not isinstance(task.code, str) or not isinstance(task.args, list) or not isinstance(task.named, dict):
+        raise _decline("task", "a task has code, a list and a dictionary", "give all three")
+    out = bytearray(HEADER) + struct.pack("<BBBHQ", TASK, task.language, task.kind, 0, task.identity)
+    for value, path in ((task.code, "code"), (task.args, "args"), (task.named, "named")):
+        _put(out, value, path, 0, refs=True)
+    return bytes(out)
+
+
 def _decline(path: str, reason: str, remedy: str = "send a plain value") -> NotPortable:
     return NotPortable(f"{path}: {reason}; {remedy}", path=path, reason=reason, remedy=remedy)
 
@@ -87,7 +122,7 @@ def _text(out: bytearray, s: str | None) -> None:
     out += struct.pack("<i", -1 if s is None else len(raw)) + raw
 
 
-def _put(out: bytearray, v: object, path: str, depth: int) -> None:
+def _put(out: bytearray, v: object, path: str, depth: int, refs: bool = False) -> None:
     if depth > DEEPEST:
         raise _decline(path, f"deeper than {DEEPEST} levels", "flatten it")
     match v:
@@ -120,9 +155,12 @@ def _put(out: bytearray, v: object, path: str, depth: int) -> None:
         case list() | tuple():
             out += struct.pack("<BQ", LIST, len(v))
             for k, x in enumerate(v):
-                _put(out, x, f"{path}[{k}]", depth + 1)
+                _put(out, x, f"{path}[{k}]", depth + 1, refs)
         case dict():
-            _put_dict(out, v, path, depth)
+            _put_dict(out, v, path, depth, refs)
+        case Ref() if refs and 0 < len(v.name.encode()) < 256:
+            raw = v.name.encode()
+            out += struct.pack("<BB", REF, len(raw)) + raw
         case Attributed():
             if reason := misshapen(v):
                 raise _decline(path, reason)
@@ -135,13 +173,13 @@ def _put(out: bytearray, v: object, path: str, depth: int) -> None:
             raise _decline(path, f"no form for {type(v).__name__}")
 
 
-def _put_dict(out: bytearray, v: dict, path: str, depth: int) -> None:
+def _put_dict(out: bytearray, v: dict, path: str, depth: int, refs: bool = False) -> None:
     out += struct.pack("<BQ", DICT, len(v))
     for k, x in v.items():
         if not isinstance(k, str):
             raise _decline(path, "a key that is not text", "name it")
         _text(out, k)
-        _put(out, x, f"{path}[{k!r}]", depth + 1)
+        _put(out, x, f"{path}[{k!r}]", depth + 1, refs)
 
 
 def _put_vector(out: bytearray, v: Vector, path: str) -> None:
@@ -209,8 +247,8 @@ def misshapen(v: Attributed) -> str | None:
 
 
 class _Reader:
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw, 0
+    def __init__(self, raw: bytes, refs: bool = False):
+        self.raw, self.at, self.refs = raw, 0, refs
 
     def take(self, n: int) -> bytes:
         if n < 0 or self.at + n > len(self.raw):
@@ -302,6 +340,14 @@ class _Reader:
                 return out
             case 16:
                 return complex(*self.unpack("dd"))
+            case 19 if self.refs:
+                (n,) = self.unpack("B")
+                if not n:
+                    raise BadStream("a reference to nothing")
+                try:
+                    return Ref(self.take(n).decode())
+                except UnicodeDecodeError as e:
+                    raise BadStream("text that is not UTF-8") from e
         raise BadStream(f"tag {tag} at the place of a value")
 
     def failure(self) -> Failure:
@@ -330,6 +376,42 @@ def read(raw: bytes) -> object:
     return out
 
 
+def read_task(raw: bytes) -> TaskCall:
+    """The task of a stream, which is no value."""
+    r = _Reader(raw, refs=True)
+    if r.take(2) != HEADER or r.take(1) != bytes((TASK,)):
+        raise BadStream("no task")
+    language, kind, flags, identity = r.unpack("BBHQ")
+    if language not in LANGUAGES or kind not in (BY_NAME, BY_SOURCE, RUNNER) or flags:
+        raise BadStream("an unknown language, kind or flag")
+    code, args, named = (r.value(0) for _ in range(3))
+    if not isinstance(code, str) or not isinstance(args, list) or not isinstance(named, dict):
+        raise BadStream("a task without code, a list and a dictionary")
+    if r.at != len(raw):
+        raise BadStream("bytes after the task")
+    return TaskCall(language, kind, identity, code, args, named)
+
+
+def run_task(task: TaskCall, refs: dict[str, object] | None = None) -> object:
+    """The value of a task for Python, by name or by source; references are looked up."""
+    from lanewise.operators.element import call
+
+    if task.language != 3 or task.kind == RUNNER:
+        raise NotPortable(f"a task for {LANGUAGES[task.language]} or of a runner cannot run here", reason="language")
+
+    def found(v: object) -> object:
+        if isinstance(v, Ref):
+            if v.name not in (refs or {}):
+                raise EngineError(f"nothing is kept under {v.name}")
+            return refs[v.name]
+        if isinstance(v, Vector):
+            return v.values
+        return [found(x) for x in v] if isinstance(v, list) else {k: found(x) for k, x in v.items()} if isinstance(v, dict) else v
+
+    f = call(task.code) if task.kind == BY_NAME else call(source=task.code)
+    return f(*found(task.args), **found(task.named))
+
+
 def _rows(f, name: str, kind: pa.DataType, batches):
     for batch in batches:
         ix, x = batch.columns
@@ -338,9 +420,11 @@ def _rows(f, name: str, kind: pa.DataType, batches):
 
 def pack(table: DataFrame) -> DataFrame:
     """(ix, stream) of a table (ix, x); arrays are lists, structs and maps with text keys dictionaries, null is nil."""
+    ship(table.sparkSession)
     return table.select("ix", "x").mapInArrow(partial(_rows, write, "stream", pa.binary()), "ix long, stream binary")
 
 
 def unpack(table: DataFrame, kind: str, arrow: pa.DataType) -> DataFrame:
     """(ix, x) of (ix, stream), as values of one declared type."""
+    ship(table.sparkSession)
     return table.select("ix", "stream").mapInArrow(partial(_rows, read, "x", arrow), f"ix long, x {kind}")

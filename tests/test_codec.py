@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lanewise.functions import codec
 from lanewise.functions.codec import NA_INT, NA_LOGICAL, NA_TEXT, Attributed, BadStream, Failure, Vector
 from lanewise.operators import slices, tasks
-from lanewise.operators.errors import TIMEOUT, Cancelled, NotPortable, WorkerDied
+from lanewise.operators.errors import TIMEOUT, Cancelled, EngineError, NotPortable, WorkerDied
 
 FACTOR = Attributed(Vector("int", [1, None]), {"levels": Vector("text", ["x", "y"]), "class": "factor"})
 VALUES = [
@@ -87,3 +87,84 @@ def test_trace_dump_and_async(spark):
     state = dict(map(tuple, tasks.dump(tasks.event_frame(pool)).collect()))
     assert (state[1], state[2], state[3]) == ("ok", "err", "cancel") and (1, "submit") in seen
     assert dict(map(tuple, tasks.info(tasks.event_frame(pool)).collect())) == {"ok": 4, "err": 1, "cancel": 1}
+
+
+# Fixed values of the format: streams of scalars, vectors, nested values, attributes, errors and tasks, by what they hold.
+STREAMS = {
+    "nil": "490100",
+    "false": "49010100",
+    "true": "49010101",
+    "missing logical": "49010102",
+    "zero": "4901020000000000000000",
+    "one": "4901020100000000000000",
+    "minus one": "490102ffffffffffffffff",
+    "the greatest of 32 bits": "490102ffffff7f00000000",
+    "the greatest of 64 bits": "490102ffffffffffffff7f",
+    "missing whole number": "4901020000000000000080",
+    "real zero": "4901030000000000000000",
+    "real minus zero": "4901030000000000000080",
+    "named reals": "49010f080300000000000000000000000000f03f000000000000004000000000000008400d0100000000000000050000006e616d65730b0300000000000000010000006101000000620100000063",
+    "two names, one missing": "49010f07020000000000000001000000020000000d0100000000000000050000006e616d65730b02000000000000000100000061ffffffff",
+    "named numbers of 64 bits": "49010f0e0200000000000000010000000000000002000000000000000d0100000000000000050000006e616d65730b020000000000000001000000610100000062",
+    "no rows, three columns": "49010f0700000000000000000d01000000000000000300000064696d0702000000000000000000000003000000",
+    "one dimension": "49010f080200000000000000000000000000f03f00000000000000400d01000000000000000300000064696d020200000000000000",
+    "dates": "49010f08020000000000000000000000008ed24000000000408ed2400d010000000000000005000000636c617373040400000044617465",
+    "minutes, one missing": "49010f080200000000000000000000000000f83fa20700000000f07f0d020000000000000005000000636c61737304080000006469666674696d6505000000756e69747304040000006d696e73",
+    "error": "49011100000a00000056616c75654572726f7204000000626f6f6d00000000",
+    "error of an element": "490111010029000000000000000b000000576f726b65724572726f720e000000656c656d656e74206661696c656400000000",
+}
+TASKS = {
+    "490112030000000200000007000000040a0000006e756d70792e6d65616e0c0100000000000000080300000000000000000000000000f03f000000000000004000000000000008400d0000000000000000": ("numpy.mean", 2.0),
+    "490112030100000200000007000000040500000078202b20310c00000000000000000d01000000000000000100000078022900000000000000": ("x + 1", 42),
+    "4901120200000003000000070000000408000000626173653a3a70690c00000000000000000d0000000000000000": ("base::pi", None),
+}
+REFUSED = [
+    "490113056d697a75", "49011300", "49017f", "490200", "4901020102", "49010000ff", "49010d0100000000000000ffffffff", "49010f0f", "49010f0000", "490106050000000000000000000000", "49010c020000000000000000",
+    "49010d020000000000000000", "49010b020000000000000004000000", "49010103", "49010c0100000000000000110000000000000000", "4901110200000000000000000000000000", "49010401000000ff", "490104feffffff",
+]
+REFUSED_TASKS = [
+    "490112020001000000000000000000", "490112026300000000000000000000", "49011202000000000000000000000004000000000c00000000000000000d000000000000000000", "4901120300000002000000070000000401000000660c0000000000000000",
+    "4901120300000002000000070000000201000000000000000c00000000000000000d0000000000000000", "490100",
+]
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_fixed_streams_come_back_byte_by_byte(name):
+    raw = bytes.fromhex(STREAMS[name])
+    assert codec.write(codec.read(raw)) == raw
+
+
+@pytest.mark.parametrize("said", REFUSED)
+def test_fixed_bad_streams_are_refused(said):
+    with pytest.raises(BadStream):
+        codec.read(bytes.fromhex(said))
+
+
+def test_tasks_travel_and_run():
+    for said, (code, value) in TASKS.items():
+        raw = bytes.fromhex(said)
+        task = codec.read_task(raw)
+        assert task.code == code and codec.write_task(task) == raw
+        with pytest.raises(BadStream):
+            codec.read(raw)
+        if value is None:
+            with pytest.raises(NotPortable):
+                codec.run_task(task)
+        else:
+            assert codec.run_task(task) == value
+    call = codec.TaskCall(3, codec.BY_SOURCE, 7, "sum(xs) + n", [], {"xs": [codec.Ref("kept_1"), 2], "n": 3})
+    again = codec.read_task(codec.write_task(call))
+    assert again == call and codec.run_task(again, {"kept_1": 5}) == 10
+    with pytest.raises(EngineError):
+        codec.run_task(again)
+    with pytest.raises(NotPortable):
+        codec.write([codec.Ref("kept_1")])
+    for bad in (codec.TaskCall(9, 0, 0, "f"), codec.TaskCall(3, 0, 0, 1), codec.TaskCall(3, 0, 0, "f", [codec.Ref("")])):
+        with pytest.raises(NotPortable):
+            codec.write_task(bad)
+
+
+@pytest.mark.parametrize("said", REFUSED_TASKS)
+def test_bad_tasks_are_refused(said):
+    with pytest.raises(BadStream):
+        codec.read_task(bytes.fromhex(said))
