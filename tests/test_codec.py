@@ -119,7 +119,7 @@ TASKS = {
     "4901120200000003000000070000000408000000626173653a3a70690c00000000000000000d0000000000000000": ("base::pi", None),
 }
 REFUSED = [
-    "490113056d697a75", "49011300", "49017f", "490200", "4901020102", "49010000ff", "49010d0100000000000000ffffffff", "49010f0f", "49010f0000", "490106050000000000000000000000", "49010c020000000000000000",
+    "4901130561626364", "49011300", "49017f", "490200", "4901020102", "49010000ff", "49010d0100000000000000ffffffff", "49010f0f", "49010f0000", "490106050000000000000000000000", "49010c020000000000000000",
     "49010d020000000000000000", "49010b020000000000000004000000", "49010103", "49010c0100000000000000110000000000000000", "4901110200000000000000000000000000", "49010401000000ff", "490104feffffff",
 ]
 REFUSED_TASKS = [
