@@ -73,6 +73,19 @@ def fitted(v, template: str):
     return float(v) if template == "double" else int(v) if template == "int" else v
 
 
+_EXACT = {"boolean": bool, "int": int, "double": float, "bigint": int, "string": str}
+
+
+def plain(values: list, template: str) -> bool:
+    """Whether all values are of the template's own kind already, and within its range."""
+    if (own := _EXACT.get(template)) is None or not set(map(type, values)) <= {own, type(None)}:
+        return False
+    if not (bits := _RANGE.get(template)):
+        return True
+    there = [v for v in values if v is not None]
+    return not there or -(1 << bits) <= min(there) and max(there) < 1 << bits
+
+
 def fitted_many(v, template: str, size: int) -> list:
     """The values of an element with several, in the template's kind; a dict gives its values in order."""
     values = list(v.values()) if isinstance(v, dict) else list(v) if isinstance(v, (list, tuple)) else [v]
@@ -102,20 +115,28 @@ def map_python(table: DataFrame, f: Callable, template: str, constants: tuple =
         from .transport import flatten
 
         for b in batches:
-            values, errors, failures = [], [], []
             xs = b.column(b.num_columns - 1).to_pylist()
-            states = rng.signed_words(rng.many(first, b.column(0).to_numpy() + offset)).T.tolist() if first and xs else [None] * len(xs)
-            for x, state in zip(xs, states, strict=True):
-                v = e = c = None
+            values, errors, failures = [], [None] * len(xs), [None] * len(xs)
+
+            def failed(k: int, e: Exception, errors=errors, failures=failures) -> None:
+                errors[k] = f"{type(e).__name__}: {e}"
+                failures[k] = flatten(e, budget) if budget is not None else None
+
+            states = rng.signed_words(rng.many(first, b.column(0).to_numpy() + offset)).T.tolist() if first and xs else None
+            for k, x in enumerate(xs):
                 try:
-                    v = f(x, *constants) if state is None else f(x, *constants, rng=rng.Stream(state))
-                    v = fitted(v, template) if size == 1 else fitted_many(v, template, size)
-                except Exception as x_:  # noqa: BLE001  the element's own error is data here
-                    v, e = None, f"{type(x_).__name__}: {x_}"
-                    c = flatten(x_, budget) if budget is not None else None
-                values.append(v)
-                errors.append(e)
-                failures.append(c)
+                    values.append(f(x, *constants) if states is None else f(x, *constants, rng=rng.Stream(states[k])))
+                except Exception as e:  # noqa: BLE001  the element's own error is data here
+                    values.append(None)
+                    failed(k, e)
+            if size > 1 or not plain(values, template):
+                for k, v in enumerate(values):
+                    if errors[k] is None:
+                        try:
+                            values[k] = fitted(v, template) if size == 1 else fitted_many(v, template, size)
+                        except Exception as e:  # noqa: BLE001  so is a value that doesn't fit
+                            values[k] = None
+                            failed(k, e)
             more = [pa.array(failures, pa.binary())] if budget is not None else []
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(values, kind), pa.array(errors, pa.string()), *more], names=names)
 
