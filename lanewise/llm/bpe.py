@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, small, table
+from .common import held, pick, small, table
 
 #: Fixed by the byte-level BPE format: the pre-token pattern of the vocabulary files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -29,7 +29,7 @@ _PRE = regex.compile(PATTERN)
 _INNER = regex.compile(r"\s (?!\S)")
 #: Bytes that one generation of a worker's memory of pieces holds; two are kept. What an entry takes besides its text and ids, and the
 #: longest piece that is remembered.
-CACHE, ENTRY, LONGEST = 130_000_000, 150, 1000
+CACHE, ENTRY, LONGEST = 100_000_000, 200, 1000
 
 
 def byte_letters() -> dict[str, int]:
@@ -272,15 +272,9 @@ class Encoder:
         return b"".join([table[i] for i in np.frombuffer(packed, "<u4").tolist()]).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(vocabulary: Vocabulary) -> Encoder:
     """One for each worker process and vocabulary."""
-    if (e := _encoders.get(vocabulary.key)) is None:
-        _encoders.clear()
-        e = _encoders[vocabulary.key] = Encoder(vocabulary)
-    return e
+    return held(f"bpe {vocabulary.key}", lambda: Encoder(vocabulary))
 
 
 def default_path() -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewise.session import cut, forget, ship, with_batches
 
-__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table"]
+__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table"]
 
 #: Rows of one Arrow batch. Long texts make large rows, so batches hold few of them.
 BATCH_ROWS = 256
@@ -82,6 +82,17 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], dict[str, list]],
     return small(df).mapInArrow(run, schema)
 
 
+_held: list = [None, None]
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What this worker process keeps for one operator and its broadcast, or its name: made once, and dropped when another takes the place."""
+    if _held[0] is not key and not (isinstance(key, str) and _held[0] == key):
+        _held[:] = None, None
+        _held[:] = key, make()
+    return _held[1]
+
+
 def carry(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over all columns, which keep their places, types and names, even names that differ in case alone."""
     flat = df.toDF(*[f"c{k}" for k in range(len(df.columns))])

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, partitions, pick, ready, small, table
+from .common import cut, forget, held, partitions, pick, ready, small, table
 from .simhash import LOWER
 
 #: Words that the network knows by themselves, its width, and windows scored and trained at once.
@@ -261,14 +261,9 @@ def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return order, rows.take(first), first, np.diff(np.append(first, len(rows)))
 
 
-_worker: list = [None, None]
-
-
 def lexicon(shared) -> Lexicon:
     """One for each worker process and corpus."""
-    if _worker[0] is not shared.value[1]:
-        _worker[:] = shared.value[1], Lexicon(*shared.value[:2])
-    return _worker[1]
+    return held(shared.value, lambda: Lexicon(*shared.value[:2]))
 
 
 def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
@@ -325,9 +320,9 @@ def counted(docs: DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray, int]:
     for _, key, n in found.where("kind = 1").collect():
         letters[int.from_bytes(key, "big")] = n
     total = int(letters[-1])
-    step, held, least = F.floor(F.log2("n") * 16), 0, None
+    step, have, least = F.floor(F.log2("n") * 16), 0, None
     for s, n in found.where("kind = 0").groupBy(step.alias("step")).agg(F.count("*")).orderBy(F.desc("step")).collect():
-        if (held := held + n) > KNOWN:
+        if (have := have + n) > KNOWN:
             break
         least = s
     words = [] if least is None else [(bytes(r["key"]), r["n"]) for r in found.where(F.col("kind") == 0).where(step >= least).collect()]
@@ -464,19 +459,19 @@ def dealt(docs: DataFrame, words, net: Network, parts: int) -> DataFrame:
 
     def run(batches):
         lex, net = lexicon(shared), shared.value[2]
-        held = Gatherer(parts, TaskContext.get().partitionId() << 33)
+        gathered = Gatherer(parts, TaskContext.get().partitionId() << 33)
         for batch in batches:
             flat, at, sizes = lex.windows(batch.column(1).to_pylist())
             numbers, hashes = lex.looked(flat)
             # Rounded as the windows carry it, so that what they change fits what is summed here.
             p = (net.log_probabilities(numbers, at) + lex.spelt[flat[at]]).astype(np.float16)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            if held.full(len(sizes), len(at)):
-                yield from held.deal()
-            rows = held.next + np.arange(len(sizes))
-            held.add(keys_of(hashes, at), doc, p, len(sizes))
+            if gathered.full(len(sizes), len(at)):
+                yield from gathered.deal()
+            rows = gathered.next + np.arange(len(sizes))
+            gathered.add(keys_of(hashes, at), doc, p, len(sizes))
             yield batch_of(part=part_of(rows, parts), kind=[TOTALS] * len(rows), key=rows, doc_id=batch.column(0), n=sizes, value=np.bincount(doc, p.astype(np.float64), len(sizes)))
-        yield from held.deal()
+        yield from gathered.deal()
 
     return small(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))).mapInArrow(run, _ROWS)
 
@@ -519,7 +514,7 @@ def remembered(windows: DataFrame, parts: int, tasks: int) -> DataFrame:
             yield changed(rows, np.bincount(place, by[~of_all]), parts)
 
     def run(batches):
-        _worker[:] = None, None  # what the stage before held in this process
+        held("windows", lambda: None)  # drops what the stage before held in this process
         now, entries, docs, shared = None, [], [], []
         for batch in batches:
             kinds = batch.column(1).to_numpy()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carry, cut, held_out, pick, ready, table
+from .common import arrow_map, carry, cut, held, held_out, pick, ready, table
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "*": ""}
@@ -104,7 +104,7 @@ class Decoder:
     def restored(self, token: bytes) -> Sequence[bytes]:
         """The words restored from the disguised parts of a token, mostly none; remembered."""
         if (x := self.known.get(token)) is None:
-            if len(self.known) > 400_000:
+            if len(self.known) > 200_000:
                 self.known.clear()
             signs = TRIGGER.search(token)
             x = [w for m in MIXED.finditer(token) for w in self.restore(m[0])] if signs else ()
@@ -186,14 +186,9 @@ class Decoder:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-_decoders: list = [None, None]
-
-
 def decoder(shared: tuple) -> Decoder:
     """One for each worker process and model, with what it remembers."""
-    if _decoders[0] is not shared:
-        _decoders[:] = shared, Decoder(*shared)
-    return _decoders[1]
+    return held(shared, lambda: Decoder(*shared))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, dict[str, float], float]:
