@@ -57,10 +57,15 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], total: int, n: st
     return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
 
+#: Bytes that a partition holds at most by estimate, and an estimate from which on nothing is known.
+MOST, UNKNOWN = 128 << 20, 1 << 55
+
+
 def partitions(df: DataFrame, each: int = 4 << 20) -> int:
-    """Partitions for a shuffle of the frame as the session has them set, fewer for a small input."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(size) // each)))
+    """Partitions for a shuffle of the frame: as the session has them set, fewer for a small input, more where they would hold over MOST bytes."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
+    return max(n, -(-size // MOST)) if size < UNKNOWN else n
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, digest, edits, licences, pseudo, secrets, simhash, toxicity
+from . import bpe, chat, decontaminate, digest, edits, licences, pseudo, repair, secrets, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,9 +11,9 @@ def queries() -> dict:
     return {
         "op1_chat": chat.op1_chat, "op2_bpe": bpe.op2_bpe, "op3_pseudo": pseudo.op3_pseudo, "op4_toxicity": toxicity.op4_toxicity, "op5_simhash": simhash.op5_simhash,
         "op6_licences": licences.op6_licences, "op7_edits": edits.op7_edits, "op8_secrets": secrets.op8_secrets, "op9_decontaminate": decontaminate.op9_decontaminate, "op10_digest": digest.op10_digest,
-        "pipeline": corpus_pipeline.run,
+        "op11_repair": repair.op11_repair, "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": chat.OP1_SQL, "op6_licences": licences.OP6_SQL}
+    return {"op1_chat": chat.OP1_SQL, "op6_licences": licences.OP6_SQL, "op11_repair": repair.OP11_SQL}
