@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewise.session import cut, forget, ship, with_batches
+from lanewise.session import cut, forget, ship, with_batches, written
 
-__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table"]
+__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table", "written"]
 
 #: Rows of one Arrow batch. Long texts make large rows, so batches hold few of them.
 BATCH_ROWS = 256
@@ -57,15 +57,20 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], total: int, n: st
     return left.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
 
 
-#: Bytes that a partition holds at most by estimate, and an estimate from which on nothing is known.
-MOST, UNKNOWN = 128 << 20, 1 << 55
+#: Bytes of files that a partition stands for at most.
+MOST = 128 << 20
 
 
 def partitions(df: DataFrame, each: int = 4 << 20) -> int:
-    """Partitions for a shuffle of the frame: as the session has them set, fewer for a small input, more where they would hold over MOST bytes."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each)))
-    return max(n, -(-size // MOST)) if size < UNKNOWN else n
+    """Partitions for a shuffle of the frame as the session has them set, fewer for a small input. A frame that is read from files alone gets
+    more where each would stand for over MOST bytes of them; of other frames the planner's estimates may be far too large."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    files = [leaves.apply(k) for k in range(leaves.size())]
+    if not all(x.nodeName().startswith("LogicalRelation") for x in files):
+        return n
+    return max(1, min(n, -(-int(plan.stats().sizeInBytes()) // each)), -(-sum(int(x.stats().sizeInBytes()) for x in files) // MOST))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

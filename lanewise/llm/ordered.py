@@ -54,7 +54,9 @@ def edges(rows: DataFrame, key: list[str]) -> dict[int, tuple]:
                 if own == first:
                     n_first = n_last
         if part is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, list(first), n_first, list(last), n_last)], names=["part", "first", "n_first", "last", "n_last"])
+            values, keys = (part, list(first), n_first, list(last), n_last), pa.list_(pa.int64())
+            kinds = (pa.int32(), keys, pa.int64(), keys, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, kinds, strict=True)], names=["part", "first", "n_first", "last", "n_last"])
 
     found = small(rows.select(*key, "part")).mapInArrow(run, "part int, first array<long>, n_first long, last array<long>, n_last long")
     return {p: (tuple(a), n, tuple(b), m) for p, a, n, b, m in sorted(map(tuple, found.collect()))}
