@@ -42,19 +42,19 @@ _SALT = _G.integers(0, 1 << 63, BANDS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: bytes | None) -> set[bytes]:
+def shingles(text: bytes | None, words: int = WORDS) -> set[bytes]:
     """The distinct shingles; a text of fewer words is one shingle, a text without words has none."""
     parts = (text or b"").translate(LOWER).split()
     joined = b" ".join(parts)
-    if len(parts) <= WORDS:
+    if len(parts) <= words:
         return {joined} if parts else set()
     ends = list(itertools.accumulate(map((1).__add__, map(len, parts))))
-    return {joined[a : b - 1] for a, b in zip([0, *ends], ends[WORDS - 1 :], strict=False)}
+    return {joined[a : b - 1] for a, b in zip([0, *ends], ends[words - 1 :], strict=False)}
 
 
-def similar(a: set[bytes], b: set[bytes]) -> bool:
+def similar(a: set[bytes], b: set[bytes], near: tuple[int, int] = NEAR) -> bool:
     both = len(a & b)
-    return both * NEAR[1] >= (len(a) + len(b) - both) * NEAR[0]
+    return both * near[1] >= (len(a) + len(b) - both) * near[0]
 
 
 def signature(h: np.ndarray) -> bytes | None:
@@ -84,15 +84,16 @@ def banded_by(nodes: DataFrame) -> DataFrame:
 
 
 def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in enough bytes."""
+    """The pairs (a, b, and longs besides) whose signatures agree in enough bytes."""
+    names = ["a", "b", *[c for c in pairs.columns if c not in ("a", "b")]]
     a, b = signs.select(F.col("node").alias("a"), F.col("sign").alias("s")), signs.select(F.col("node").alias("b"), F.col("sign").alias("t"))
 
     def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
+        s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (-2, -1))
         ok = pa.array((s == t).sum(axis=1) >= AGREE)
-        return {"a": batch.column(0).filter(ok), "b": batch.column(1).filter(ok)}
+        return {n: batch.column(k).filter(ok) for k, n in enumerate(names)}
 
-    return arrow_map(pairs.join(b, "b").join(a, "a").select("a", "b", "s", "t"), rows, "a long, b long")
+    return arrow_map(pairs.join(b, "b").join(a, "a").select(*names, "s", "t"), rows, ", ".join(f"{n} long" for n in names))
 
 
 def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
