@@ -8,7 +8,7 @@ corpus: each task trains a copy on its documents, and the copies are averaged ro
 
 Beside it stands a memory of all windows of the corpus, which grows with the corpus: a word seen n times between the same four
 neighbours, m times any word, has the probability (n - 1 + P) / (m - 1 + 1), P being the network's; the occurrence that is scored does
-not count itself. The windows are dealt by their context as packed arrays of 12 bytes each, counted in numpy, and what they change is
+not count itself. The windows are dealt by their context as packed arrays of 14 bytes each, counted in numpy, and what they change is
 dealt back to the documents. A window that very many documents of a task share is dealt once for all of them.
 """
 
@@ -43,7 +43,7 @@ _LETTER = np.array([0 if b in b" \t\n\x0b\x0c\r" else b - 96 if 97 <= b <= 122 e
 #: Windows that a task gathers before it deals them, documents at most among them, and copies of a window from which it is dealt once.
 GATHERED, MOST_DOCS, SHARED = 1 << 19, 1 << 15, 64
 #: A window: 48 bits of its context and 16 of its word, the document's place, the network's log-probability. A change of a document's sum.
-ENTRY = np.dtype([("key", "<u8"), ("doc", "<u2"), ("p", "<f2")])
+ENTRY = np.dtype([("key", "<u8"), ("doc", "<u2"), ("p", "<f4")])
 CHANGE = np.dtype([("row", "<i8"), ("by", "<f4")])
 #: Kinds of rows between the stages.
 WINDOWS, SHARED_WINDOWS, MEMBERS, TOTALS, CHANGES, REPLIES = range(6)
@@ -463,8 +463,9 @@ def dealt(docs: DataFrame, words, net: Network, parts: int) -> DataFrame:
         for batch in batches:
             flat, at, sizes = lex.windows(batch.column(1).to_pylist())
             numbers, hashes = lex.looked(flat)
-            # Rounded as the windows carry it, so that what they change fits what is summed here.
-            p = (net.log_probabilities(numbers, at) + lex.spelt[flat[at]]).astype(np.float16)
+            # As the windows carry it, so that what they change fits what is summed here. A word of very many letters has a log-probability far
+            # below what half a float's bits hold.
+            p = net.log_probabilities(numbers, at) + lex.spelt[flat[at]]
             doc = np.repeat(np.arange(len(sizes)), sizes)
             if gathered.full(len(sizes), len(at)):
                 yield from gathered.deal()
@@ -478,7 +479,8 @@ def dealt(docs: DataFrame, words, net: Network, parts: int) -> DataFrame:
 
 def changes(key: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """By how much the memory changes each window's log-probability, and which windows it does, from keys (48 bits of context, 16 of the
-    word) in order, how often each entry stands, and the network's log-probabilities."""
+    word) in order, how often each entry stands, and the network's log-probabilities. All in logarithms: the probability itself may be less
+    than any float."""
     total = np.concatenate([[0], np.cumsum(n)])
 
     def sums(x: np.ndarray) -> np.ndarray:
@@ -488,8 +490,9 @@ def changes(key: np.ndarray, n: np.ndarray, p: np.ndarray) -> tuple[np.ndarray,
 
     same, near = sums(key), sums(key >> np.uint64(16))
     again = near > 1
-    p = p[again].astype(np.float64)
-    return np.log((same[again] - 1 + np.exp(p)) / near[again]) - p, again
+    p, others = p[again].astype(np.float64), np.full(int(again.sum()), -np.inf)
+    np.log(same[again] - 1, out=others, where=same[again] > 1)
+    return np.logaddexp(others, p) - np.log(near[again]) - p, again
 
 
 def remembered(windows: DataFrame, parts: int, tasks: int) -> DataFrame:
