@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lanewise.session import cut, forget, ship, with_batches, written
 
-__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held", "held_out", "join_hot", "partitions", "pick", "ready", "ship", "small", "table", "written"]
+__all__ = ["BATCH_ROWS", "arrow_map", "carry", "cut", "forget", "fresh", "held", "held_out", "join_hot", "partitions", "pick", "place_of", "ready", "ship", "small", "table", "written"]
 
 #: Rows of one Arrow batch. Long texts make large rows, so batches hold few of them.
 BATCH_ROWS = 256
@@ -32,11 +32,18 @@ def small(df: DataFrame) -> DataFrame:
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, found by place: an extra column that differs from one of them in case alone does not clash."""
-    lower = [c.lower() for c in df.columns]
-    at = [df.columns.index(n) if n in df.columns else lower.index(n.lower()) for n in names]
+    at = [place_of(df, n) for n in names]
+    if None in at:
+        raise ValueError(f"the frame has no column {names[at.index(None)]!r}")
     return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).select(*[F.col(f"c{k}").alias(n) for k, n in zip(at, names, strict=True)])
 
 
+def place_of(df: DataFrame, name: str) -> int | None:
+    """Where a column stands, found as pick finds it; none if there is no such column."""
+    lower = [c.lower() for c in df.columns]
+    return df.columns.index(name) if name in df.columns else lower.index(name.lower()) if name.lower() in lower else None
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have yet, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

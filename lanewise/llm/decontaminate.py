@@ -7,16 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carry, pick, table
+from .common import arrow_map, carry, pick, place_of, table, written
 
 #: Words are runs of 0-9, a-z and bytes from 0x80 on, after A-Z became a-z.
 WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 WINDOW = 10
-#: Test items of more bytes than this in all are dealt over several passes. An item has at most a window for each two of its bytes, and a
+#: Test items of more bytes than this in all are dealt over several passes, a job each. An item has at most a window for each two of its bytes, and a
 #: window takes 24 bytes and up to 4 of the bit table, so a pass holds at most 16 times as much in the driver and in each worker.
 PASS_BYTES = 16_000_000
 #: Bytes of a text that are hashed at once.
@@ -135,15 +136,62 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def passes(benchmark: DataFrame, window: int, pass_bytes: int) -> Iterator[object]:
-    """The items' windows, broadcast, in as many parts as it takes for each to hold about pass_bytes of text. A null id counts as empty."""
+def dealt(benchmark: DataFrame, pass_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text) of the items, and how many passes it takes for each to hold about pass_bytes of text. A null id counts as empty."""
     benchmark = pick(benchmark, "item_id", "text")
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(1, -(-size // pass_bytes))
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text"), max(1, -(-size // pass_bytes))
+
+
+def windows_of(items: DataFrame, parts: int, k: int, window: int) -> Broadcast:
+    """The windows of the items of pass k, broadcast."""
+    own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
+    return items.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], window))
+
+
+def matched(texts: DataFrame, key: str, shared: Broadcast) -> DataFrame:
+    """key, n_words, spans and items of each row of texts (key, text) by one pass."""
+
+    def match(batch: pa.RecordBatch) -> dict[str, list]:
+        windows, out = shared.value, {key: batch.column(0), "n_words": [], "spans": [], "items": []}
+        for text in batch.column(1).to_pylist():
+            n, ranges, own = windows.hits(text)
+            out["n_words"].append(n)
+            out["spans"].append([x for r in ranges for x in r])
+            out["items"].append(sorted(own))
+        return out
+
+    return arrow_map(texts.select(key, "text"), match, f"{key} long, n_words long, spans array<int>, items array<string>")
+
+
+def over_passes(texts: DataFrame, items: DataFrame, parts: int, window: int) -> DataFrame:
+    """row, n_words, spans and items of each row of texts (row, text) by all passes, one job after the other: a worker holds one pass's windows
+    at a time. Each pass goes over the texts as they are; of rows without a hit only the first pass keeps the number of words."""
+    found = []
     for k in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) if parts > 1 else items
-        yield benchmark.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in own.collect()], window))
+        shared = windows_of(items, parts, k, window)
+        hit = matched(texts, "row", shared)
+        found.append(written(hit if k == 0 else hit.where(F.size("spans") > 0)))
+        shared.unpersist()
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+
+    def joined(batch: pa.RecordBatch) -> dict[str, list]:
+        out = {"row": batch.column(0), "n_words": batch.column(1), "spans": [], "items": []}
+        for spans, items in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            ranges = merged([r for s in spans for r in zip(s[::2], s[1::2], strict=True)])
+            out["spans"].append([x for r in ranges for x in r])
+            out["items"].append(sorted({i for x in items for i in x}))
+        return out
+
+    by_row = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    return arrow_map(by_row, joined, "row long, n_words long, spans array<int>, items array<string>")
+
+
+def counted(found: DataFrame, *columns: str) -> DataFrame:
+    n_hit = F.expr("aggregate(spans, 0L, (s, x) -> x - s)")  # ends less beginnings: an even number of alternating terms
+    return found.select(*columns, "n_words", n_hit.alias("n_hit"), "spans", "items")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -152,53 +200,50 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_byt
 
     Null texts have no words; an item without words has no window; an item with a null id counts under the empty string, items that share
     an id count once. Repeated rows give repeated results; an empty table of either kind gives no hits. Other columns are not read.
-    The items' windows are broadcast, if their texts come to pass_bytes at most; beyond that the documents go through as many passes as
-    it takes, one after the other without a shuffle, each with a bounded part of the items.
-    """
-    found = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    for shared in passes(benchmark, window, pass_bytes):
-
-        def match(batch: pa.RecordBatch, shared=shared) -> dict[str, list]:
-            windows, out = shared.value, {"doc_id": batch.column(0), "text": batch.column(1), "n_words": [], "n_hit": [], "spans": [], "items": []}
-            before = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True) if batch.num_columns > 2 else [((), ())] * batch.num_rows
-            for text, (spans, items) in zip(batch.column(1).to_pylist(), before, strict=True):
-                n, ranges, own = windows.hits(text)
-                ranges = merged([*ranges, *zip(spans[::2], spans[1::2], strict=True)])
-                out["n_words"].append(n)
-                out["n_hit"].append(sum(b - a for a, b in ranges))
-                out["spans"].append([x for r in ranges for x in r])
-                out["items"].append(sorted(own.union(items)))
-            return out
-
-        found = arrow_map(found, match, "doc_id long, text binary, n_words long, n_hit long, spans array<int>, items array<string>")
-    return found.drop("text")
+    The items' windows are broadcast, if their texts come to pass_bytes at most; beyond that the documents are written once with a number
+    for each row and go through as many jobs as it takes, each with a bounded part of the items, whose hits are put together by row."""
+    found = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    items, parts = dealt(benchmark, pass_bytes)
+    if parts == 1:
+        return counted(matched(found, "doc_id", windows_of(items, 1, 0, window)), "doc_id")
+    rows = written(found.withColumn("row", F.monotonically_increasing_id()))
+    return counted(rows.select("row", "doc_id").join(over_passes(rows, items, parts, window), "row"), "doc_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def with_spans(docs: DataFrame, items: DataFrame, parts: int, window: int) -> tuple[DataFrame, list[str]]:
+    """docs under plain column names, with spans beside them by all passes, and those names."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    rows = written(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()))
+    texts = rows.select("row", F.col(plain[place_of(docs, "text")]).cast("binary").alias("text"))
+    return rows.join(over_passes(texts, items, parts, window).select("row", "spans"), "row").drop("row"), plain
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """The rows of docs, all columns, in which no window of an item occurs: rows with null or empty texts stay. The items' size is bounded as
-    in report: a row that one pass keeps goes on to the next."""
-    at = docs.columns.index("text")
-    for shared in passes(benchmark, window, pass_bytes):
+    in report."""
+    items, parts = dealt(benchmark, pass_bytes)
+    if parts > 1:
+        found, plain = with_spans(docs, items, parts, window)
+        return found.where(F.size("spans") == 0).select(*plain).toDF(*docs.columns)
+    at, shared = place_of(docs, "text"), windows_of(items, 1, 0, window)
 
-        def keep(batches, shared=shared):
-            for batch in batches:
-                ok = [not shared.value.hits(t.encode() if t else None)[1] for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(ok, pa.bool_()))
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [not shared.value.hits(t.encode() if t else None)[1] for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(ok, pa.bool_()))
 
-        docs = carry(docs, keep)
-    return docs
+    return carry(docs, keep)
 
 
-def without(text: str | None, windows: Windows) -> str | None:
-    """The text without the words inside hit windows, nor what stands between them."""
-    raw = (text or "").encode()
-    ranges = windows.hits(raw)[1]
+def without(text: str | None, ranges: list[tuple[int, int]]) -> str | None:
+    """The text without the words in these ranges, nor what stands between them."""
     if not ranges:
         return text
+    raw = (text or "").encode()
     places = [m.span() for m in _WORD.finditer(raw)]
     out, at = [], 0
     for a, b in ranges:
@@ -208,18 +253,25 @@ def without(text: str | None, windows: Windows) -> str | None:
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """docs with the words inside occurring windows cut from text; every row and other column stays as it is."""
-    at = docs.columns.index("text")
-    for shared in passes(benchmark, window, pass_bytes):
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                cols = list(batch.columns)
-                cols[at] = pa.array([without(t, shared.value) for t in cols[at].to_pylist()], cols[at].type)
-                yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-
-        docs = carry(docs, run)
-    return docs
+    """docs with the words inside occurring windows cut from text; every row and other column stays as it is. What is cut is found on the text
+    as it came, by however many passes, and cut once: a cut neither hides a window nor makes one."""
+    items, parts = dealt(benchmark, pass_bytes)
+    at = place_of(docs, "text")
+    shared = windows_of(items, 1, 0, window) if parts == 1 else None
+    found = docs if shared else with_spans(docs, items, parts, window)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            if shared:
+                ranges = [shared.value.hits(t.encode() if t else None)[1] for t in texts]
+            else:
+                ranges = [list(zip(s[::2], s[1::2], strict=True)) for s in batch.column(batch.num_columns - 1).to_pylist()]
+            cols = list(batch.columns)
+            cols[at] = pa.array([without(t, r) for t, r in zip(texts, ranges, strict=True)], cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+    return carry(found, run) if shared else carry(found, run).drop("spans").toDF(*docs.columns)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

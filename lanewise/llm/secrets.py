@@ -108,8 +108,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """docs with each span replaced in text, spans that overlap or touch in part as one, and n_chars as the new text has it where the text
     changed. Null and empty texts stay as they are, and so do all other columns and every row, repeated ones and those without an id."""
-    at = docs.columns.index("text")
-    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    at, size = place_of(docs, "text"), place_of(docs, "n_chars")
 
     def run(batches):
         for batch in batches:

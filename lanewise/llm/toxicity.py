@@ -249,7 +249,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that score below 0.5. Rows with null or empty texts score by the bias alone and stay, unless most of the
     labelled rows are toxic; repeated rows and rows without an id are judged each by its text."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    at = docs.columns.index("text")
+    at = place_of(docs, "text")
 
     def keep(batches):
         d = decoder(shared.value)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -54,11 +55,34 @@ def test_rows_equal_brute_force(spark, tables, pass_bytes):
     kept = decontaminate.drop_contaminated(frame, bench, pass_bytes=pass_bytes)
     assert kept.columns == frame.columns
     assert sorted((tuple(r)[:2] for r in kept.collect()), key=str) == sorted((d for d, w in zip(docs, want, strict=True) if not w[-1]), key=str)
-    left = decontaminate.remove_spans(frame, bench, pass_bytes=pass_bytes).collect()
-    for r, (_, t) in zip(left, docs, strict=True):
-        if pass_bytes > 100:  # one pass removes what every item hits
-            _, hit, _ = brute(t, named)
-            assert words(r[1]) == [w for k, w in enumerate(words(t)) if k not in hit] and (hit or r[1] == t)
+    left = decontaminate.remove_spans(frame, bench, pass_bytes=pass_bytes)
+    assert left.columns == frame.columns
+    hit = [brute(t, named)[1] for _, t in docs]
+    want = [(i, [w for k, w in enumerate(words(t)) if k not in h]) for (i, t), h in zip(docs, hit, strict=True)]
+    assert sorted(((r[0], words(r[1])) for r in left.collect()), key=str) == sorted(want, key=str)
+    untouched = [d for d, h in zip(docs, hit, strict=True) if not h]
+    assert not Counter(untouched) - Counter(tuple(r)[:2] for r in left.collect())
+
+
+@pytest.mark.parametrize("pass_bytes", [20, 60, decontaminate.PASS_BYTES])
+def test_overlapping_items_are_cut_once(spark, pass_bytes):
+    """Passages that overlap go whole, whichever pass finds them, and a cut makes no new passage."""
+    a, b = [f"w{k}" for k in range(10)], [f"w{k}" for k in range(5, 15)]
+    x = [f"x{k}" for k in range(5)] + [f"y{k}" for k in range(1, 6)]
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(x))], "item_id long, text string")
+    docs = [(1, " ".join(f"w{k}" for k in range(15))), (2, " ".join([*x[:5], *a, *x[5:]])), (3, "clean words"), (4, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, Text string")
+    got = {r[0]: r[1] for r in decontaminate.remove_spans(frame, bench, pass_bytes=pass_bytes).collect()}
+    assert got[1] == "" and words(got[2]) == [w.encode() for w in x] and got[3] == "clean words" and got[4] is None
+    assert {r[0] for r in decontaminate.drop_contaminated(frame, bench, pass_bytes=pass_bytes).collect()} == {3, 4}
+
+
+def test_a_worker_holds_one_pass_at_a_time(spark, tables):
+    docs, items = tables
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for f in (decontaminate.report, decontaminate.drop_contaminated, decontaminate.remove_spans):
+        plan = f(frame, bench, pass_bytes=100)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") <= 1
 
 
 def test_rows_of_a_table_equal_brute_force(spark):
