@@ -82,7 +82,7 @@ def test_a_worker_holds_one_pass_at_a_time(spark, tables):
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for f in (decontaminate.report, decontaminate.drop_contaminated, decontaminate.remove_spans):
         # However many passes there were, what is left to run is one merge of their hits and at most one cut.
-        plans = [f(frame, bench, pass_bytes=n)._jdf.queryExecution().optimizedPlan().toString() for n in (400, 100)]
+        plans = [f(frame, bench, pass_bytes=n)._jdf.queryExecution().optimizedPlan().toString() for n in (150, 60)]
         assert plans[0].count("MapInArrow") == plans[1].count("MapInArrow") <= 2
 
 
