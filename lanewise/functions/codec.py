@@ -117,8 +117,11 @@ def _decline(path: str, reason: str, remedy: str = "send a plain value") -> NotP
     return NotPortable(f"{path}: {reason}; {remedy}", path=path, reason=reason, remedy=remedy)
 
 
-def _text(out: bytearray, s: str | None) -> None:
-    raw = b"" if s is None else s.encode()
+def _text(out: bytearray, s: str | None, path: str = "text") -> None:
+    try:
+        raw = b"" if s is None else s.encode()
+    except UnicodeEncodeError as e:
+        raise _decline(path, "text that has no UTF-8 form", "send bytes") from e
     out += struct.pack("<i", -1 if s is None else len(raw)) + raw
 
 
@@ -147,7 +150,7 @@ def _put(out: bytearray, v: object, path: str, depth: int, refs: bool = False) -
             out += struct.pack("<Bdd", COMPLEX, v.real, v.imag)
         case str():
             out.append(TEXT)
-            _text(out, v)
+            _text(out, v, path)
         case bytes():
             out += struct.pack("<BQ", BYTES, len(v)) + v
         case Vector():
@@ -178,7 +181,7 @@ def _put_dict(out: bytearray, v: dict, path: str, depth: int, refs: bool = False
     for k, x in v.items():
         if not isinstance(k, str):
             raise _decline(path, "a key that is not text", "name it")
-        _text(out, k)
+        _text(out, k, path)
         _put(out, x, f"{path}[{k!r}]", depth + 1, refs)
 
 
@@ -193,13 +196,24 @@ def _put_vector(out: bytearray, v: Vector, path: str) -> None:
         except struct.error as e:
             raise _decline(path, f"an element that is not {v.kind}") from e
     elif v.kind == "complex":
-        out += struct.pack(f"<BQ{2 * n}d", COMPLEXES, n, *[y for x in v.values for y in (x.real, x.imag)])
+        if None in v.values:
+            raise _decline(path, "a missing element among complex", "send a NaN")
+        try:
+            out += struct.pack(f"<BQ{2 * n}d", COMPLEXES, n, *[y for x in v.values for y in (x.real, x.imag)])
+        except (AttributeError, struct.error) as e:
+            raise _decline(path, "an element that is not complex") from e
     elif v.kind == "raw":
-        out += struct.pack("<BQ", RAWS, n) + bytes(v.values)
+        try:
+            raw = bytes(v.values)
+        except (TypeError, ValueError) as e:
+            raise _decline(path, "an element that is not a byte") from e
+        out += struct.pack("<BQ", RAWS, n) + raw
     elif v.kind == "text":
         out += struct.pack("<BQ", TEXTS, n)
         for x in v.values:
-            _text(out, x)
+            if not isinstance(x, str | None):
+                raise _decline(path, "an element that is not text")
+            _text(out, x, path)
     else:
         raise _decline(path, f"no vectors of {v.kind}")
 

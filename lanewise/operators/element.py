@@ -45,6 +45,8 @@ def map_columns(table: DataFrame, f: Callable[[Column], Column], template: str |
     out = table.select(*[c for c in ("ix", "name") if c in table.columns], value.alias("value"))
     if template is None:
         return out
+    if template not in WIDENS:
+        raise TemplateMismatch(f"there is no template '{template}'; it is one of {', '.join(sorted(WIDENS))}")
     kind = dict(out.dtypes)["value"]
     own = kind.removeprefix("array<").removesuffix(">") if size > 1 else kind
     if own not in WIDENS[template]:
@@ -103,6 +105,8 @@ def map_python(table: DataFrame, f: Callable, template: str, constants: tuple =
     what crosses of the error, as a byte stream of at most so many bytes."""
     from lanewise.functions import rng
 
+    if template not in _ARROW:
+        raise TemplateMismatch(f"there is no template '{template}'; it is one of {', '.join(sorted(_ARROW))}")
     ship(table.sparkSession)
     named = "name" in table.columns
     narrow = table.select("ix", *(["name"] if named else []), "x")

@@ -49,7 +49,8 @@ class Pool:
 
     def note(self, event: str, task: int) -> None:
         """Keep what happened to a task and in which thread: submit, start, done, error, died, lost or drop. A watcher that fails changes nothing."""
-        self.events.append((len(self.events) + 1, task, event, time.time(), threading.current_thread().name))
+        with self.lock:
+            self.events.append((len(self.events) + 1, task, event, time.time(), threading.current_thread().name))
         if self.watcher:
             try:
                 self.watcher(event, task)
@@ -57,12 +58,13 @@ class Pool:
                 self.watcher = None
 
     def submit(self, f: Callable, /, **args) -> Task:
-        if self.stopped:
-            raise Stopped("the pool has stopped")
-        if self.capacity is not None and len(self.open) >= self.capacity:
-            raise SlotsExhausted("the pool has no room for another task", capacity=self.capacity)
-        n = next(self.ids)
-        tag = f"lanewise-task-{id(self)}-{n}"
+        with self.lock:  # room is taken where it is found
+            if self.stopped:
+                raise Stopped("the pool has stopped")
+            if self.capacity is not None and len(self.open) >= self.capacity:
+                raise SlotsExhausted("the pool has no room for another task", capacity=self.capacity)
+            n = next(self.ids)
+            tag = self.open[n] = f"lanewise-task-{id(self)}-{n}"
 
         def run():
             self.note("start", n)
@@ -84,24 +86,28 @@ class Pool:
             return value
 
         self.note("submit", n)
-        self.open[n] = tag
-        task = Task(self.executor.submit(run))
+        try:
+            task = Task(self.executor.submit(run))
+        except RuntimeError:  # stopped meanwhile
+            self.open.pop(n, None)
+            raise Stopped("the pool has stopped") from None
         task.id, task.pool, task.run, task.tag = n, self, run, tag
         return task
 
     def submit_batch(self, fs: list[Callable], /, **args) -> list[Task]:
         """A task for each function, with the same arguments; fewer if the pool has no room for all. With no room for any it raises, and
-        so it does when it has stopped, with the number of accepted ones."""
+        so it does when it has stopped, with the accepted ones as tasks that can be collected."""
         out: list[Task] = []
         for f in fs:
             try:
                 out.append(self.submit(f, **args))
-            except SlotsExhausted:
+            except SlotsExhausted as e:
                 if not out:
+                    e.accepted = out
                     raise
                 break
             except Stopped as e:
-                e.accepted = len(out)
+                e.accepted = out
                 raise
         return out
 
@@ -112,7 +118,8 @@ class Pool:
 
     def stop(self) -> None:
         """Tasks that have not begun are lost."""
-        self.stopped = True
+        with self.lock:
+            self.stopped = True
         self.executor.shutdown(cancel_futures=True)
         for n in list(self.open):
             self.note("lost", n)

@@ -24,35 +24,33 @@ def flatten(error: BaseException, budget: int) -> bytes:
     The message has at most half the budget and is cut beyond. Named fields of the error are kept in their order, each while it fits;
     those that the format cannot hold or that don't fit are named in dropped_fields, as many names as fit."""
     classes = [c.__name__ for c in type(error).__mro__ if c is not object]
-    message = str(error).encode()[: budget // 2].decode(errors="ignore")
-    kept: dict[str, object] = {}
-    dropped: list[str] = []
-
-    def stream() -> bytes:
-        return codec.write({"classes": classes, "message": message, "fields": kept} | ({"dropped_fields": named} if (named := dropped[:fit]) else {}))
-
-    fit = 0
+    message = str(error).encode(errors="replace")[: budget // 2].decode(errors="ignore")
+    parts = {"classes": classes, "message": message, "fields": {}}
+    # What an entry adds to a dict, or to a list, is what it takes by itself: sizes are added up, and the stream is written once.
+    size = len(codec.write(parts))
+    dropped: list[tuple[str, int]] = []
     for name, value in vars(error).items():
-        size = _size(value)
-        if size is None:
-            dropped.append(name)
+        own, key = _size(value), _size(name)
+        if key is None:
             continue
-        kept[name] = value
-        if len(stream()) > budget:
-            del kept[name]
-            dropped.append(name)
-    while fit < len(dropped):
-        fit += 1
-        if len(stream()) > budget:
-            fit -= 1
-            break
-    if len(out := stream()) > budget:
-        message, kept = FALLBACK, {}
-        out = stream()
-        if len(out) > budget:
-            fit = 0
-            out = stream()
-    return out
+        if own is not None and size + (key - 1) + own <= budget:
+            parts["fields"][name] = value
+            size += key - 1 + own
+        else:
+            dropped.append((name, key))
+    if size > budget:
+        parts |= {"message": FALLBACK, "fields": {}}
+        size = len(codec.write(parts))
+    if dropped:
+        size += len(codec.write(parts | {"dropped_fields": []})) - len(codec.write(parts))
+        names = []
+        for name, key in dropped:
+            if (size := size + key) > budget:
+                break
+            names.append(name)
+        if names:
+            parts["dropped_fields"] = names
+    return codec.write(parts)
 
 
 def restored(stream: bytes, index: int | None = None) -> RemoteError:

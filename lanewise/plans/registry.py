@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import codec, rng
-from lanewise.operators import element, geometry, lost, slices, tasks
+from lanewise.operators import element, geometry, lost, nested, slices, tasks, tasksets
 from lanewise.sources import arrow_io
 from lanewise.streaming import channel
 
@@ -135,17 +135,24 @@ def enrich_frame(spark, d):
         return tasks.collect(pool.submit(lambda df: df.withColumn("unit_price", F.col("l_extendedprice") / F.col("l_quantity")), df=frame))
 
 
-@query("""with c as (select event_id + 1 ix, cast(round(value * 100) as bigint) v from events)
- select ix, (sum(v) over w)::bigint as s1, (sum(v * v) over w)::bigint as s2, count(*) over w as n from c window w as (order by ix rows between current row and 999 following)""")
+@query("""with c as (select event_id + 1 ix, cast(round(value * 100) as bigint) v from events),
+ w as (select ix, (sum(v) over w)::bigint as s1, (sum(v * v) over w)::bigint as s2, count(*) over w as n from c window w as (order by ix rows between current row and 999 following))
+ select *, s1::double / n / 100 as mean, sqrt((s2::double - s1::double * s1::double / n) / nullif(n - 1, 0)) / 100 as sd from w""")
 def sliding_window(spark, d):
-    """Count, sum and sum of squares, in cents, of the 1,000 values from each start; windows at the end hold what is left. Blocks of 1,000
-    elements and their copies for the block before them make the window a partitioned one: no task holds the whole table."""
+    """Count, sum, sum of squares (in cents), mean and standard deviation of the 1,000 values from each start; windows at the end hold what is
+    left. A block of 1,000 elements and the one behind it hold all windows that start in the block: no task holds the whole table. Sums run
+    on along the two blocks once, and a window's sum is the difference of two of them."""
     v = _t(spark, d, "events").select((F.col("event_id") + 1).alias("ix"), F.round(F.col("value") * 100).cast("long").alias("v"))
     block = F.floor((F.col("ix") - 1) / 1000)
     rows = v.select("ix", "v", F.explode(F.array(block, block - 1)).alias("block"))
-    w = Window.partitionBy("block").orderBy("ix").rowsBetween(0, 999)
-    out = rows.select("ix", "block", F.sum("v").over(w).alias("s1"), F.sum(F.col("v") * F.col("v")).over(w).alias("s2"), F.count("*").over(w).alias("n"))
-    return out.where(block == F.col("block")).select("ix", "s1", "s2", "n")
+    along = Window.partitionBy("block").orderBy("ix")
+    so_far, whole = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    squares = F.col("v") * F.col("v")
+    run = rows.select("ix", "block", "v", F.sum("v").over(so_far).alias("r1"), F.sum(squares).over(so_far).alias("r2"), F.count("*").over(so_far).alias("r0"))
+    until = lambda r: F.coalesce(F.lead(r, 999).over(along), F.last(r).over(whole)) - F.col(r)
+    out = run.select("ix", "block", (until("r1") + F.col("v")).alias("s1"), (until("r2") + squares).alias("s2"), (until("r0") + 1).alias("n")).where(block == F.col("block"))
+    s1, s2, n = F.col("s1").cast("double"), F.col("s2").cast("double"), F.col("n")
+    return out.select("ix", "s1", "s2", "n", (s1 / n / 100).alias("mean"), (F.sqrt((s2 - s1 * s1 / n) / F.nullif(n - 1, F.lit(0))) / 100).alias("sd"))
 
 
 @query("select l_returnflag, sum(cast(round(l_quantity * 100) as bigint))::bigint as cents, count(*) as n from lineitem group by 1")
@@ -161,19 +168,57 @@ def nested_map_sum(spark, d):
 
 @query("select sum(s)::bigint as total, count(*) as parts from (select o_orderkey % 10 p, sum(o_orderkey + 1) s from orders group by 1)")
 def nested_tasks(spark, d):
-    """A task that submits one task a part to its own pool and adds up what they give."""
-    keys = _t(spark, d, "orders").select("o_orderkey")
+    """A task over ten parts, each a task over its own elements, as one scan: the parts' sums, then the sum of these."""
+    parts = _t(spark, d, "orders").select((F.col("o_orderkey") % 10).alias("part"), "o_orderkey")
+    return nested.fold_segments(parts, ["part"], F.col("o_orderkey") + 1, [F.sum, F.sum], "total")
+
+
+@query("""with p as (select p_partkey + 1 ix, p_size::bigint n from part)
+ select ix, n * (n + 1) * (n + 2) // 6 as value, (select max(abs(i * j - 7)) from range(1, n + 1) a(i), range(1, i + 1) b(j)) as furthest from p""")
+def nested_depth(spark, d):
+    """Maps nested three deep: each part's size n is split in 1 to n, each of these in 1 to itself, and the sums of the innermost ones are added
+    up; and with unlike folds, the greatest of the greatest."""
+    t = _elements(spark, d, "part", "p_partkey", "p_size").withColumn("x", F.col("x").cast("long"))
+    to = lambda x: F.sequence(F.lit(1).cast("long"), x)
+    sums = nested.nested_map(t, nested.Nested(to, nested.Nested(to, lambda x: x)))
+    pairs = nested.Nested(to, nested.Nested(lambda i: F.transform(to(i), lambda j: i * j), lambda x: F.abs(x - 7), lambda x: F.max(x)), "max")
+    return sums.join(nested.nested_map(t, pairs).withColumnRenamed("value", "furthest"), "ix")
+
+
+@query("""with e as (select o_orderkey % 200 + 1 as pos, o_orderkey + 1 as ix, o_orderkey as x from orders),
+ t as (select pos, count(*) as n, sum(x * pos)::bigint as total, min(ix) filter (pos % 7 = 0 and x % 1000 >= 990) as ix from e group by 1)
+ select pos, n, case when ix is null then total end as value, ix, case when ix is not null then 'ValueError: ' || (ix - 1) end as error from t""")
+def task_set(spark, d):
+    """Two hundred tasks over the orders in one job: task k adds up k times each of its numbers, and every seventh fails at some."""
+    o = _t(spark, d, "orders")
+
+    def task(k):
+        def f(x):
+            if k % 7 == 0 and x % 1000 >= 990:
+                raise ValueError(x)
+            return k * x
+
+        return f
+
+    elements = tasksets.routed(o, F.col("o_orderkey") % 200 + 1, F.col("o_orderkey") + 1, F.col("o_orderkey"))
+    return tasksets.TaskSet(elements, [task(k) for k in range(1, 201)], "bigint").folds(F.sum)
 
-    def part(p: int):
-        return keys.where(F.col("o_orderkey") % 10 == p).agg(F.sum(F.col("o_orderkey") + 1)).first()[0]
 
-    def whole():
-        sums = tasks.collect_all([tasks.current_pool().submit(part, p=p) for p in range(10)])
-        return [s for s in sums if s is not None]
+@query("""with e as (select o_orderkey % 200 + 1 as pos, o_orderkey + 1 as ix, o_orderkey as x from orders),
+ bad as (select distinct pos from e where pos % 7 = 0 and x % 1000 >= 990) select pos, ix, x + pos as value from e anti join bad using (pos)""")
+def task_set_values(spark, d):
+    """What the tasks of a set without a failure give, in one job."""
+
+    def task(k):
+        def f(x):
+            if k % 7 == 0 and x % 1000 >= 990:
+                raise ValueError(x)
+            return x + k
+
+        return f
 
-    with tasks.local_pool(spark, 2) as pool:
-        sums = tasks.collect(pool.submit(whole))
-    return spark.createDataFrame([(sum(sums), len(sums))], "total long, parts long")
+    elements = tasksets.routed(_t(spark, d, "orders"), F.col("o_orderkey") % 200 + 1, F.col("o_orderkey") + 1, F.col("o_orderkey"))
+    return tasksets.TaskSet(elements, [task(k) for k in range(1, 201)], "bigint").values()
 
 
 @query("select quantile_cont(p_retailprice, 0.25) as q1, quantile_cont(p_retailprice, 0.5) as q2, quantile_cont(p_retailprice, 0.75) as q3 from part")
@@ -258,13 +303,13 @@ def rng_offset_split(spark, d):
     return whole.join(early.union(late), "ix").agg(F.count("*").alias("n"), F.bool_and(F.col("state") == F.col("s2")).alias("same"))
 
 
-#: A task log from the events: groups of tasks by user, an end for each task, some failed.
-_LOG = "select user_id as grp, event_id, row_number() over (partition by user_id order by event_id) as pos, cast(round(value * 100) as bigint) as ended, event_type = 'error' or event_id % 37 = 0 as failed from events"
+#: A task log from the events: groups of tasks by user, an end for each task; of every third group some failed.
+_LOG = "select user_id as grp, event_id, row_number() over (partition by user_id order by event_id) as pos, cast(round(value * 100) as bigint) as ended, (event_type = 'error' or event_id % 37 = 0) and user_id % 3 = 0 as failed from events"
 
 
 def _log(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return _t(spark, d, "events").select(F.col("user_id").alias("grp"), "event_id", F.row_number().over(w).alias("pos"), F.round(F.col("value") * 100).cast("long").alias("ended"), ((F.col("event_type") == "error") | (F.col("event_id") % 37 == 0)).alias("failed"))
+    return _t(spark, d, "events").select(F.col("user_id").alias("grp"), "event_id", F.row_number().over(w).alias("pos"), F.round(F.col("value") * 100).cast("long").alias("ended"), (((F.col("event_type") == "error") | (F.col("event_id") % 37 == 0)) & (F.col("user_id") % 3 == 0)).alias("failed"))
 
 
 @query(f"select grp, arg_min(pos, ended * 1000000 + pos)::bigint as position, min(ended) as ended from ({_LOG}) group by 1")

@@ -30,8 +30,9 @@ class Channel:
         self.spark, self.folder, self.schema, self.capacity = spark, folder, schema, capacity
         self.f, self.checkpoint, self.quantum = f, checkpoint, quantum
         self.sent, self.closed, self.gone, self.out = 0, False, False, deque()
-        self.accepted = self.received = self.batches = 0
-        self.lock, self.arrived = threading.RLock(), threading.Condition()
+        self.accepted = self.received = self.batches = self.written = 0
+        # The lock guards the counts, for no longer than it takes to change them; drained, one drain at a time.
+        self.lock, self.drained, self.arrived = threading.RLock(), threading.Lock(), threading.Condition()
         self.done: set[int] = set()
         self.worker, self.draining, self.handler = ThreadPoolExecutor(1), None, None
 
@@ -39,15 +40,17 @@ class Channel:
         return f"<channel, {len(self.out)} to receive, {self.sent} sent, {'closed' if self.closed else 'open'}>"
 
     def send_batch(self, rows: list[tuple]):
-        """How many messages were accepted: never waits. CLOSED once the channel is closed, PEER_GONE after the peer's error."""
+        """How many messages were accepted, without a wait for the peer. CLOSED once the channel is closed, PEER_GONE after the peer's error."""
         with self.lock:
             if self.closed or self.gone:
                 return CLOSED if self.closed else PEER_GONE
             now = rows[: max(0, self.capacity - len(self.out) - self.sent)]
-            if now:
-                self.spark.createDataFrame(now, self.schema).coalesce(1).write.mode("append").parquet(self.folder)
-                self.sent += len(now)
-                self.accepted += len(now)
+            self.sent += len(now)
+            self.accepted += len(now)
+        if now:
+            self.spark.createDataFrame(now, self.schema).coalesce(1).write.mode("append").parquet(self.folder)
+            with self.lock:
+                self.written += len(now)
         with self.arrived:
             self.arrived.notify_all()
         return len(now)
@@ -59,7 +62,9 @@ class Channel:
 
     def drain(self) -> None:
         """Let the peer handle all that has been sent."""
-        with self.lock:
+        with self.drained:
+            with self.lock:
+                begun = self.written  # what is sent from now on may wait for the next one
             if self.gone:
                 return
             ready: list[int] = []
@@ -79,10 +84,12 @@ class Channel:
                     self.done.add(batch)
                     self.batches += 1
                     self.out.extend(tuple(r) for r in self.spark.read.parquet(self.place(batch)).orderBy("seq").toLocalIterator())
-            if error:
-                self.out.append(error)
-                self.gone = True
-            self.sent = 0
+            with self.lock:
+                if error:
+                    self.out.append(error)
+                    self.gone = True
+                self.sent = 0 if error else max(0, self.sent - begun)
+                self.written -= begun
         with self.arrived:
             self.arrived.notify_all()
 

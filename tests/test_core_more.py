@@ -185,7 +185,7 @@ def test_pools(spark):
         assert tasks.default_pool() is pool and "pool" in repr(pool) and "task" in repr(one)
     with pytest.raises(errors.Stopped) as e:
         pool.submit_batch([lambda: 1])
-    assert e.value.accepted == 0
+    assert e.value.accepted == []
     with pytest.raises(errors.EngineError):
         tasks.default_pool()
     before = tasks.set_default_pool(pool)

@@ -1,0 +1,269 @@
+import itertools
+import os
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from lanewise.functions import codec
+from lanewise.operators import element, errors, nested, slices, tasks, tasksets, transport
+from lanewise.operators.lost import lost_chunks
+from lanewise.operators import geometry
+from lanewise.streaming import channel
+
+
+def jobs(spark, f):
+    """How many jobs f starts."""
+    sc = spark.sparkContext
+    sc.setJobGroup(f"count-{time.time()}", "")
+    try:
+        out = f()
+        return out, len(sc.statusTracker().getJobIdsForGroup(sc.getLocalProperty("spark.jobGroup.id")))
+    finally:
+        sc._jsc.clearJobGroup()
+
+
+def failing(k):
+    def f(x):
+        if k in (3, 5) and x > 40:
+            raise ValueError(f"{k} takes no {x}")
+        return x * k
+
+    return f
+
+
+@pytest.fixture
+def numbers(spark):
+    t = spark.range(200)
+    return tasksets.routed(t, F.col("id") % 6 + 1, F.col("id") + 1, F.col("id"))
+
+
+def test_task_sets(spark, numbers):
+    s = tasksets.TaskSet(numbers, [failing(k) for k in range(1, 7)], "bigint")
+    rows = s.folds(F.sum).collect()
+    want = {k: sum(k * x for x in range(200) if x % 6 + 1 == k) for k in range(1, 7)}
+    bad = {k: min(x for x in range(41, 200) if x % 6 + 1 == k) for k in (3, 5)}
+    assert {tuple(r) for r in rows} == {(k, sum(x % 6 + 1 == k for x in range(200)), None if k in bad else want[k], bad[k] + 1 if k in bad else None, f"ValueError: {k} takes no {bad[k]}" if k in bad else None) for k in want}
+    assert s.first_failure() == (3, bad[3] + 1, f"ValueError: 3 takes no {bad[3]}") and {r["pos"] for r in s.failures().collect()} == {3, 5}
+    assert {r["pos"] for r in s.values().collect()} == {1, 2, 4, 6}
+    with pytest.raises(errors.RemoteError) as e:
+        s.collect_all(F.sum)
+    assert e.value.index == 3 and e.value.element == bad[3] + 1
+    fine = tasksets.TaskSet(numbers.where("pos <> 2"), [lambda x: x] * 6, "bigint")
+    assert fine.collect_all(F.count)[:3] == [34, None, 33] and "6 tasks" in repr(fine)
+
+
+def test_a_set_is_one_job_and_one_scan(spark, tmp_path):
+    spark.range(4000).repartition(3).write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    s = tasksets.TaskSet(tasksets.routed(t, F.col("id") % 200 + 1, F.col("id") + 1, F.col("id")), [failing(k) for k in range(1, 201)], "bigint")
+    plan = s.folds(F.sum)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("MapInArrow") == 1 and plan.count("Exchange") == 1
+    _, n = jobs(spark, lambda: s.folds(F.sum).write.format("noop").mode("overwrite").save())
+    assert n <= 2  # the shuffle's stage under adaptive execution, then the rest
+
+
+def test_frames_of_their_own_and_odd_positions(spark):
+    frames = [spark.createDataFrame([(1, 5), (2, 6)], "ix long, x long"), spark.createDataFrame([(1, None)], "ix long, x long"), spark.createDataFrame([], "ix long, x long")]
+    s = tasksets.TaskSet(tasksets.tagged(frames), [lambda x: x, lambda x: x + 1, lambda x: x], "bigint")
+    assert s.first_failure()[0] == 2 and {tuple(r) for r in s.values().collect()} == {(1, 1, 5), (1, 2, 6)}
+    lost = tasksets.TaskSet(spark.createDataFrame([(9, 1, 1), (None, 2, 2)], "pos long, ix long, x long"), [lambda x: x], "bigint")
+    assert {(r["pos"], r["error"]) for r in lost.rows.collect()} == {(9, "LookupError: there is no task 9"), (None, "LookupError: there is no task None")}
+    with pytest.raises(errors.EngineError):
+        tasksets.TaskSet(spark.createDataFrame([], "pos long, ix long, x long"), [], "bigint")
+
+
+def to(x):
+    return F.when(x > 0, F.sequence(F.lit(1).cast("long"), x)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+
+def test_nested_maps(spark):
+    sizes = [0, 1, 2, 5, 9, 3]
+    t = spark.createDataFrame([(k, n) for k, n in enumerate(sizes, 1)], "ix long, x long")
+    two = nested.nested_map(t, nested.Nested(to, lambda x: x * x))
+    assert {tuple(r) for r in two.collect()} == {(k, sum(x * x for x in range(1, n + 1)) or None) for k, n in enumerate(sizes, 1)}
+    three = nested.Nested(to, nested.Nested(to, nested.Nested(to, lambda x: x)))
+    deep = {tuple(r) for r in nested.nested_map(t, three).collect()}
+    assert deep == {(k, sum(c for a in range(1, n + 1) for b in range(1, a + 1) for c in range(1, b + 1)) or None) for k, n in enumerate(sizes, 1)}
+    assert nested.nested_map(t, three)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    unlike = nested.Nested(to, nested.Nested(to, lambda x: x, lambda x: F.collect_list(x)), lambda x: F.max(F.nullif(F.size(x), F.lit(0))), none=-1)
+    assert {tuple(r) for r in nested.nested_map(t, unlike).collect()} == {(k, n or -1) for k, n in enumerate(sizes, 1)}
+    filled = nested.Nested(lambda x: F.array(F.lit(0).cast("long"), x), nested.Nested(to, lambda x: x, "sum", none=100), "sum")
+    assert {tuple(r) for r in nested.nested_map(t, filled).collect()} == {(k, 100 + (sum(range(n + 1)) or 100)) for k, n in enumerate(sizes, 1)}
+    parts = nested.flat(t, three).where("ix = 4 and part_1 = 3").select("part_2", "part_3", "x").collect()
+    assert {tuple(r) for r in parts} == {(b, c, c) for b in range(1, 4) for c in range(1, b + 1)}
+
+
+def test_segments(spark):
+    rows = [(k % 3, k % 4, k) for k in range(60)]
+    out = nested.fold_segments(spark.createDataFrame(rows, "a long, b long, v long"), ["a", "b"], F.col("v"), [F.max, F.sum, F.min]).collect()
+    least = {k: min(v for a, b, v in rows if (a, b) == k) for k in itertools.product(range(3), range(4))}
+    assert [tuple(r) for r in out] == [(max(sum(least[a, b] for b in range(4)) for a in range(3)), 3)]
+    with pytest.raises(errors.EngineError):
+        nested.fold_segments(spark.range(1), ["id"], F.col("id"), [F.sum])
+
+
+def elements(spark, tmp_path, n=1000):
+    at = str(tmp_path / "elements")
+    spark.range(1, n + 1).select(F.col("id").alias("ix"), F.col("id").alias("x")).repartitionByRange(20, "ix").sortWithinPartitions("ix").write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def mapper(bad):
+    def f(x):
+        if x in bad:
+            raise ValueError(f"no {x}")
+        return x * 2
+
+    return lambda df: element.map_python(df, f, "bigint")
+
+
+def read_slices(out):
+    return sorted(int(x.split("=")[1]) for run in os.listdir(out) if run.startswith("run=") for x in os.listdir(f"{out}/{run}") if "=" in x and os.path.exists(f"{out}/{run}/{x}/_SUCCESS"))
+
+
+def test_an_error_ends_a_streamed_map_early(spark, tmp_path):
+    t, out = elements(spark, tmp_path), str(tmp_path / "out")
+    with pytest.raises(errors.RemoteError) as e:
+        slices.map_in_slices(t, 1000, mapper({7, 650, 3}), out, 2, n_chunks=100, fail_fast=True)
+    assert e.value.index == 3 and "no 3" in str(e.value) and e.value.slice == 0
+    assert len(read_slices(out)) < 5
+    # Errors in later slices: what lies below the least one is finished, so it is the least of all.
+    out = str(tmp_path / "late")
+    with pytest.raises(errors.RemoteError) as e:
+        slices.map_in_slices(t, 1000, mapper({250, 241, 262}), out, 2, n_chunks=100, fail_fast=True)
+    assert e.value.index == 241 and set(range(25)) <= set(read_slices(out)) and len(read_slices(out)) < 33
+    whole = slices.map_in_slices(t, 1000, mapper(set()), str(tmp_path / "fine"), 2, n_chunks=7, fail_fast=True)
+    assert {(r["ix"], r["value"]) for r in whole.collect()} == {(k, 2 * k) for k in range(1, 1001)}
+
+
+def test_a_broken_run_goes_on(spark, tmp_path):
+    t, out, seen = elements(spark, tmp_path), str(tmp_path / "out"), str(tmp_path / "seen")
+    os.mkdir(seen)
+
+    def breaking(df, at=seen, stop=(6, 12)):
+        def run(batches):
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    if (x - 1) // 50 in stop:
+                        raise RuntimeError("the worker is lost")
+                if b.num_rows:
+                    open(f"{at}/{(b.column(0)[0].as_py() - 1) // 50}-{time.time_ns()}", "w").close()
+                yield b
+
+        return df.mapInArrow(run, df.schema)
+
+    with pytest.raises(errors.WorkerDied) as e:
+        slices.map_in_slices(t, 1000, breaking, out, 2, n_chunks=20)
+    assert (301, 350) in e.value.lost
+    chunks = spark.createDataFrame([("r", k, lo, hi) for k, (lo, hi) in enumerate(geometry.balanced_ranges(1000, 20))], "run string, k long, lo long, hi long")
+    done = slices.committed(spark, out)
+    by_query = sorted((r["lo"], r["hi"]) for r in lost_chunks(chunks, done.withColumn("run", F.lit("r"))).collect())
+    assert by_query == slices.missing(spark, out) and (301, 350) in by_query and set(e.value.lost) <= set(by_query)
+    before = {x.split("-")[0] for x in os.listdir(seen)}
+    again = str(tmp_path / "again")
+    os.mkdir(again)
+    got = slices.map_in_slices(t, 1000, lambda df: breaking(df, again, ()), out, 2, n_chunks=20, resume=True)
+    assert sorted(r["ix"] for r in got.collect()) == list(range(1, 1001)) and slices.missing(spark, out) == []
+    # Only what was missing ran again.
+    assert {int(x.split("-")[0]) for x in os.listdir(again)} == {(lo - 1) // 50 for lo, _ in by_query} and len(before) >= 20 - len(by_query)
+
+
+def test_slices_of_an_earlier_run_are_not_read(spark, tmp_path):
+    t, out = elements(spark, tmp_path), str(tmp_path / "out")
+    slices.map_in_slices(t, 1000, lambda df: df, out, 2, n_chunks=10)
+    few = slices.map_in_slices(t, 100, lambda df: df.withColumn("x", F.col("x") + 1), out, 2, n_chunks=3)
+    assert sorted(tuple(r) for r in few.collect()) == [(k, k + 1) for k in range(1, 101)]
+    # Another shape is another run, also with resume.
+    other = slices.map_in_slices(t, 100, lambda df: df, out, 2, n_chunks=4, resume=True)
+    assert sorted(tuple(r) for r in other.collect()) == [(k, k) for k in range(1, 101)]
+
+
+def test_a_send_does_not_wait_for_the_peer(spark, tmp_path):
+    slow = threading.Event()
+
+    def peer(df):
+        slow.set()
+        time.sleep(4)
+        return df
+
+    ch = channel.Channel(spark, str(tmp_path / "in"), "seq long, v long", peer, str(tmp_path / "checkpoint"))
+    ch.send((1, 1))
+    waiting = threading.Thread(target=lambda: ch.recv_batch(1, 30))
+    waiting.start()
+    assert slow.wait(20)
+    began = time.monotonic()
+    assert ch.send((2, 2)) is None and time.monotonic() - began < 3
+    waiting.join()
+    assert ch.recv_batch(5, 30) == [(2, 2)] and ch.info()["accepted"] == 2
+
+
+def test_a_pool_never_holds_more_than_its_room(spark):
+    with tasks.local_pool(spark, 1, capacity=4) as pool:
+        gate, got = threading.Event(), []
+
+        def ask():
+            for _ in range(20):
+                try:
+                    got.append(pool.submit(gate.wait))
+                except errors.SlotsExhausted:
+                    pass
+
+        many = [threading.Thread(target=ask) for _ in range(8)]
+        [t.start() for t in many]
+        [t.join() for t in many]
+        assert len(got) == len(pool.open) == 4 and len({e[0] for e in pool.events}) == len(pool.events)
+        gate.set()
+        assert tasks.collect_all(got) == [True] * 4
+
+
+def test_accepted_tasks_of_a_stopped_batch_can_be_collected(spark):
+    with tasks.local_pool(spark, 2) as pool:
+        def stop():
+            pool.stopped = True
+            return 7
+
+        class Stopping(list):
+            def __iter__(self):
+                yield lambda: 5
+                yield stop
+                while not pool.stopped:
+                    time.sleep(0.01)
+                yield lambda: 6
+
+        with pytest.raises(errors.Stopped) as e:
+            pool.submit_batch(Stopping())
+        assert [tasks.collect(t, 5) for t in e.value.accepted] == [5, 7]
+
+
+def test_values_without_a_form_decline():
+    for value in (codec.Vector("complex", [None]), codec.Vector("complex", ["x"]), "\ud800", {"\udfff": 1}, codec.Vector("raw", [300]), codec.Vector("raw", [None]), codec.Vector("text", [3]), codec.Vector("text", ["\ud800"])):
+        with pytest.raises(errors.NotPortable):
+            codec.write(value)
+
+
+def test_unknown_templates_are_named(spark):
+    t = spark.createDataFrame([(1, 1)], "ix long, x long")
+    for f in (lambda: element.map_columns(t, lambda x: x, "number"), lambda: element.map_python(t, lambda x: x, "number")):
+        with pytest.raises(errors.TemplateMismatch, match="number"):
+            f()
+
+
+def test_many_fields_cross_in_linear_time():
+    def error(n):
+        e = errors.EngineError("m")
+        for k in range(n):
+            setattr(e, f"field_{k}", "v" * 20)
+        return e
+
+    for budget in (0, 60, 200, 1000, 5000):
+        out = transport.flatten(error(100), budget)
+        read = transport.restored(out)
+        assert len(read.fields) + len(read.dropped_fields) <= 100
+        assert len(out) <= max(budget, len(transport.flatten(error(0), 0)))
+        if budget == 5000:
+            assert len(read.fields) == 100 or budget - len(out) < 60
+    began = time.monotonic()
+    transport.flatten(error(20_000), 10_000_000)
+    assert time.monotonic() - began < 3
