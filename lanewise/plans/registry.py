@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import codec, rng
 from lanewise.operators import element, geometry, lost, nested, slices, tasks, tasksets
-from lanewise.sources import arrow_io
+from lanewise.session import shared_path
+from lanewise.sources import arrow_files, arrow_io
 from lanewise.streaming import channel
 
 QUERIES, SQL = {}, {}
@@ -399,6 +400,29 @@ def arrow_landing(spark, d):
     return arrow_io.land_frame(_t(spark, d, "part").select("p_partkey", F.col("p_size").cast("float").alias("wide"), F.col("p_name").alias("s"), F.col("p_size").cast("smallint").alias("narrow"), least))
 
 
+@query("""select l_orderkey, l_linenumber::integer as l_linenumber, l_extendedprice::double as l_extendedprice, case when l_quantity % 5 <> 0 then l_quantity::integer end as quantity, l_shipdate, l_returnflag,
+ case when l_quantity % 3 = 0 then 'nan'::double when l_quantity % 3 = 1 then l_tax end as tax from lineitem""")
+def arrow_files_round_trip(spark, d):
+    """A table written as Arrow files by its tasks and read by others, each column where it lands: the least int is missing, not-a-number stays."""
+    t = _t(spark, d, "lineitem")
+    q = F.col("l_quantity")
+    sent = t.select(
+        "l_orderkey", F.col("l_linenumber").cast("smallint").alias("l_linenumber"), "l_extendedprice", F.when(q % 5 == 0, F.lit(-(2**31))).otherwise(q.cast("int")).alias("quantity"), "l_shipdate", "l_returnflag",
+        F.when(q % 3 == 0, F.lit(float("nan"))).when(q % 3 == 1, F.col("l_tax")).alias("tax"),
+    )
+    at = shared_path(spark)
+    arrow_files.write_arrow(sent, at)
+    return arrow_files.read_arrow(spark, at)
+
+
+@query("select l_returnflag, sum(l_linenumber)::bigint as lines, count(*) as n from lineitem group by 1")
+def arrow_files_columns(spark, d):
+    """Two columns of a table of Arrow files, which are read alone."""
+    at = shared_path(spark)
+    arrow_files.write_arrow(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice"), at)
+    return arrow_files.read_arrow(spark, at, ["l_linenumber", "l_returnflag"]).groupBy("l_returnflag").agg(F.sum("l_linenumber").alias("lines"), F.count("*").alias("n"))
+
+
 @query("select event_id, case when event_id % 7 <> 0 then event_id end as seq, value, isnan(x) as nan, x is null as missing from (select event_id, value, case event_id % 3 when 0 then 'nan'::double when 1 then value end as x from events)")
 def na_sentinel(spark, d):
     """The least bigint lands as a missing value; not-a-number stays itself and a missing double stays missing."""

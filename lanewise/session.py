@@ -70,11 +70,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder, which the driver and all executors share."""
+    checkpoint_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/lanewise_{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared checkpoint folder. Unlike a checkpoint's, its size is known to the planner: what is joined
     round after round goes here, since estimates of joins of joins grow without bound."""
-    checkpoint_folder(df.sparkSession)
-    at = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/lanewise_{uuid.uuid4().hex}"
+    at = shared_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(at)
     out = df.sparkSession.read.schema(df.schema).parquet(at)
     out._lanewise_at = at

@@ -22,25 +22,55 @@ COLUMNS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "bigint"
 UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6, "ns": 1e-9}
 
 
+#: Bytes of a time zone's name at most.
+ZONE = 63
+
+
 def landed(c: pa.ChunkedArray | pa.Array, name: str) -> pa.ChunkedArray | pa.Array:
-    """The column in the type that it lands in; kinds that have no home decline."""
+    """The column in the type that it lands in; kinds that have no home decline by the column's name.
+
+    Whole numbers without a sign of 64 bits land as decimals, which hold them all; durations as seconds, and so do times in nanoseconds, which
+    the engine's microseconds cannot hold. A dictionary of texts lands as text; see levels for what that leaves out."""
     kind = str(c.type)
-    if pa.types.is_dictionary(c.type) and pa.types.is_string(c.type.value_type):
+    decline = lambda why: NotPortable(f"column '{name}': {why}", path=name, reason=kind, remedy="convert it first")
+    if pa.types.is_dictionary(c.type):
+        if not (pa.types.is_string(c.type.value_type) or pa.types.is_large_string(c.type.value_type)):
+            raise decline("a dictionary of values that are not text has no home here")
+        if any(d.dictionary.null_count for d in (c.chunks if isinstance(c, pa.ChunkedArray) else [c])):
+            raise decline("a dictionary with a missing level has no home here")
         return c.cast(pa.string())
-    if kind == "uint8" and not c.null_count:
+    if kind == "uint8":
+        if c.null_count:
+            raise decline("missing values have no home in a column of bytes")
         return c.cast(pa.int16())
-    if pa.types.is_timestamp(c.type) or pa.types.is_duration(c.type):
-        return c
+    if kind == "uint64":
+        return c.cast(pa.decimal128(20, 0))
+    if pa.types.is_duration(c.type) or (pa.types.is_timestamp(c.type) and c.type.unit == "ns"):
+        return pc.multiply(c.cast(pa.int64()).cast(pa.float64(), safe=False), UNITS[c.type.unit])
+    if pa.types.is_timestamp(c.type):
+        if len((c.type.tz or "").encode()) > ZONE:
+            raise decline(f"a time zone of more than {ZONE} bytes has no home here")
+        return c.cast(pa.timestamp("us", c.type.tz))
     if kind not in LANDS:
-        raise NotPortable(f"column '{name}' of type {kind} has no home here", path=name, reason=kind, remedy="convert it first")
+        raise decline(f"type {kind} has no home here")
     c = c.cast(pa.type_for_alias("float64" if LANDS[kind] == "double" else "date32" if kind.startswith("date32") else LANDS[kind]))
     return pc.if_else(pc.equal(c, pa.scalar(LEAST[kind], c.type)), pa.scalar(None, c.type), c) if kind in LEAST else c
 
 
+def check_frame(names: list[str]) -> None:
+    """A frame has a column, and names that differ."""
+    if not names:
+        raise NotPortable("a frame without columns has no home here", reason="columns", remedy="send a vector")
+    if twice := sorted({n for n in names if names.count(n) > 1}):
+        raise NotPortable(f"a frame with several columns named '{twice[0]}' has no home here", path=twice[0], reason="names", remedy="name them apart")
+
+
 def land(table: pa.Table) -> pa.Table:
     """The table with each column in the type it lands in. The least int32 and int64 are missing values."""
-    if not table.num_columns or len(set(table.column_names)) != table.num_columns:
-        raise NotPortable("a frame has at least one column, and names of its own", reason="columns")
+    check_frame(table.column_names)
+    for n, c in zip(table.column_names, table.columns, strict=True):
+        if pa.types.is_dictionary(c.type) and any(not x.dictionary.equals(c.chunks[0].dictionary) for x in c.chunks[1:]):
+            raise NotPortable(f"column '{n}': a dictionary whose levels differ across batches has no home in a frame", path=n, reason="levels", remedy="unify the dictionaries")
     return pa.table({n: landed(c, n) for n, c in zip(table.column_names, table.columns, strict=True)})
 
 
@@ -57,7 +87,7 @@ def read(spark: SparkSession, source: pa.Table | pa.RecordBatch | pa.RecordBatch
 
 def vector(array: pa.Array | pa.ChunkedArray) -> tuple[list, list[str] | None, bool]:
     """(values, levels, whether they are ordered) of an array that is no struct. A dictionary gives codes from 1 and its levels, those of all
-    batches in the order first seen; an ordered one whose batches disagree in their order declines. Others have no levels."""
+    batches in the order first seen, an ordered one too. Others have no levels."""
     chunks = array.chunks if isinstance(array, pa.ChunkedArray) else [array]
     if not pa.types.is_dictionary(array.type):
         return landed(array, "value").to_pylist(), None, False
@@ -65,8 +95,6 @@ def vector(array: pa.Array | pa.ChunkedArray) -> tuple[list, list[str] | None, b
     values: list[int | None] = []
     for c in chunks:
         own = c.dictionary.to_pylist()
-        if array.type.ordered and levels and own != list(levels):
-            raise NotPortable("batches of an ordered dictionary with other levels", reason="ordered", remedy="unify the dictionaries")
         at = [levels.setdefault(x, len(levels) + 1) for x in own]
         values += [None if k is None else at[k] for k in c.indices.to_pylist()]
     return values, list(levels), bool(array.type.ordered)
