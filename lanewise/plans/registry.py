@@ -401,7 +401,7 @@ def arrow_landing(spark, d):
 
 
 @query("""select l_orderkey, l_linenumber::integer as l_linenumber, l_extendedprice::double as l_extendedprice, case when l_quantity % 5 <> 0 then l_quantity::integer end as quantity, l_shipdate, l_returnflag,
- case when l_quantity % 3 = 0 then 'nan'::double when l_quantity % 3 = 1 then l_tax end as tax from lineitem""")
+ case when l_quantity % 3 = 1 then l_tax end as tax, case when l_quantity % 3 < 2 then l_quantity % 3 = 0 end as nan from lineitem""")
 def arrow_files_round_trip(spark, d):
     """A table written as Arrow files by its tasks and read by others, each column where it lands: the least int is missing, not-a-number stays."""
     t = _t(spark, d, "lineitem")
@@ -412,7 +412,8 @@ def arrow_files_round_trip(spark, d):
     )
     at = shared_path(spark)
     arrow_files.write_arrow(sent, at)
-    return arrow_files.read_arrow(spark, at)
+    nan = F.when(F.col("tax").isNotNull(), F.isnan("tax"))
+    return arrow_files.read_arrow(spark, at).withColumns({"nan": nan, "tax": F.when(~F.isnan("tax"), F.col("tax"))})
 
 
 @query("select l_returnflag, sum(l_linenumber)::bigint as lines, count(*) as n from lineitem group by 1")

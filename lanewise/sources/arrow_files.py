@@ -169,7 +169,7 @@ class ArrowFiles(DataSource):
             own = pa.ipc.open_file(f).schema
         check_frame(own.names)
         kept = [own.field(c) for c in self._columns() or own.names]
-        return from_arrow_schema(pa.schema([pa.field(f.name, landed(pa.array([], f.type), f.name).type) for f in kept]))
+        return from_arrow_schema(pa.schema([pa.field(f.name, landed(pa.array([], f.type), f.name).type) for f in kept]), prefer_timestamp_ntz=True)
 
     def reader(self, schema: StructType) -> Reader:
         return Reader(self.options["path"], schema, self._columns())
