@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from lanewise.functions import codec, rng
 from lanewise.operators import element, geometry, lost, nested, slices, tasks, tasksets
-from lanewise.session import shared_path
+from lanewise.session import shared_path, written
 from lanewise.sources import arrow_files, arrow_io
-from lanewise.streaming import channel
+from lanewise.streaming import channel, ordered
 
 QUERIES, SQL = {}, {}
 
@@ -393,6 +393,22 @@ def recv_batch_n(spark, d):
     return channel.next_batch(_t(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("value")), 100, 64)
 
 
+@query("""with m as (select user_id as channel, event_id, row_number() over (partition by user_id order by event_id) - 1 as seq from events)
+ select channel, seq + 1 as at, 'message' as kind, seq, event_id from m union all select channel, count(*) + 1, 'closed', count(*), null from m group by 1""")
+def ordered_delivery(spark, d):
+    """The events as messages of a channel a user, dealt out of order over the batches of a stream, come out by their numbers, and each
+    channel's close behind its last one."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    sent = _t(spark, d, "events").select(F.col("user_id").alias("channel"), (F.row_number().over(w) - 1).cast("long").alias("seq"), "event_id", F.lit(False).alias("last"))
+    ends = sent.groupBy("channel").agg(F.count("*").alias("seq")).select("channel", "seq", F.lit(None).cast("long").alias("event_id"), F.lit(True).alias("last"))
+    arrived = written(sent.union(ends).repartition(6, F.xxhash64("channel", "seq")))
+    at = shared_path(spark)
+    stream = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(arrived._lanewise_at)
+    out = ordered.in_order(stream, closes="last")
+    out.writeStream.format("parquet").option("path", f"{at}/given").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{at}/given").select("channel", "at", "kind", "seq", "event_id")
+
+
 @query("select p_partkey, p_size::double as wide, p_name as s, p_size::integer as narrow, case when p_size % 5 <> 0 then p_size end::integer as least from part")
 def arrow_landing(spark, d):
     """Columns of a table in the types they land in; the least int is a missing value."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import asyncio
+import json
 import threading
 import time
 from collections import deque
@@ -11,46 +12,55 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lanewise.operators.errors import CLOSED, FULL, PEER_GONE, TIMEOUT, EngineError, RemoteError, is_sentinel
 
+from .log import Log, read_log, segments
+
 #: Messages of a burst that a handler is given at once.
 BURST = 2048
 
 
+#: Seconds between looks at a stream, and without messages after which it stops until there are some.
+LOOK, IDLE = 0.1, 2.0
+
+
 class Channel:
-    """A peer that handles batches of a file stream in order: each file is one message batch, taken at most `quantum` at a time.
+    """A peer that handles batches of a message log in order: each send is one segment of the log, taken at most `quantum` at a time.
 
-    What the peer makes of a batch is written below the checkpoint folder and given out once the batch is done, so a batch that fails
-    gives nothing and none is given twice. After the peer's error, which is received as a value, the channel is at its end."""
+    One stream runs as long as there are messages, and goes on from its checkpoint when there are some again, in another process too. What
+    the peer makes of a batch is written below the checkpoint folder and given out once the batch is done, so a batch that fails gives
+    nothing and none is given twice. After the peer's error, which is received as a value, the channel is at its end. folder and checkpoint
+    are paths that the driver and all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, f: Callable[[DataFrame], DataFrame], checkpoint: str, capacity: int = 64, quantum: int = 1):
         if capacity < 1 or quantum < 1:
             raise EngineError("a channel has room for one message, and takes one batch at least")
-        self.spark, self.folder, self.schema, self.capacity = spark, folder, schema, capacity
+        self.spark, self.folder, self.schema, self.capacity = spark, folder, StructType.fromDDL(schema), capacity
         self.f, self.checkpoint, self.quantum = f, checkpoint, quantum
         self.sent, self.closed, self.gone, self.out = 0, False, False, deque()
-        self.accepted = self.received = self.batches = self.written = 0
-        # The lock guards the counts, for no longer than it takes to change them; drained, one drain at a time.
-        self.lock, self.drained, self.arrived = threading.RLock(), threading.Lock(), threading.Condition()
+        self.accepted = self.received = self.batches = 0
+        # The lock guards the counts, for no longer than it takes to change them.
+        self.lock, self.arrived = threading.RLock(), threading.Condition()
         self.done: set[int] = set()
-        self.worker, self.draining, self.handler = ThreadPoolExecutor(1), None, None
+        self.log, self.running, self.handler = Log(folder, self.schema), None, None
+        # What an earlier process sent and no stream has handled.
+        self.before = bool(segments(self.log.fs, self.log.at))
 
     def __repr__(self) -> str:
         return f"<channel, {len(self.out)} to receive, {self.sent} sent, {'closed' if self.closed else 'open'}>"
 
     def send_batch(self, rows: list[tuple]):
-        """How many messages were accepted, without a wait for the peer. CLOSED once the channel is closed, PEER_GONE after the peer's error."""
+        """How many messages were accepted, at once, whatever the peer does. CLOSED once the channel is closed, PEER_GONE after its error."""
         with self.lock:
             if self.closed or self.gone:
                 return CLOSED if self.closed else PEER_GONE
             now = rows[: max(0, self.capacity - len(self.out) - self.sent)]
-            self.sent += len(now)
-            self.accepted += len(now)
-        if now:
-            self.spark.createDataFrame(now, self.schema).coalesce(1).write.mode("append").parquet(self.folder)
-            with self.lock:
-                self.written += len(now)
+            if now:
+                self.log.append(now)
+                self.sent += len(now)
+                self.accepted += len(now)
         with self.arrived:
             self.arrived.notify_all()
         return len(now)
@@ -60,39 +70,65 @@ class Channel:
         n = self.send_batch([row])
         return n if is_sentinel(n) else None if n else FULL
 
-    def drain(self) -> None:
-        """Let the peer handle all that has been sent."""
-        with self.drained:
-            with self.lock:
-                begun = self.written  # what is sent from now on may wait for the next one
-            if self.gone:
-                return
-            ready: list[int] = []
-
-            def take(df: DataFrame, batch: int) -> None:
-                self.f(df).write.mode("overwrite").parquet(self.place(batch))
-                ready.append(batch)
+    def take(self, df: DataFrame, batch: int) -> None:
+        """One batch of the stream, in its thread: the peer's work is done and written before any of it is given out."""
+        self.f(df).write.mode("overwrite").parquet(self.place(batch))
+        given = [tuple(r) for r in self.spark.read.parquet(self.place(batch)).orderBy("seq").toLocalIterator()]
+        with self.lock:
+            if batch not in self.done:
+                self.done.add(batch)
+                self.batches += 1
+                self.out.extend(given)
+            self.sent -= self.log.handled(self.offset(batch))
+        with self.arrived:
+            self.arrived.notify_all()
 
-            stream = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.quantum).parquet(self.folder)
-            error = None
-            try:
-                stream.writeStream.foreachBatch(take).option("checkpointLocation", self.checkpoint).trigger(availableNow=True).start().awaitTermination()
-            except Exception as e:  # noqa: BLE001  the peer's error is delivered as a value
-                error = RemoteError(str(e))
-            for batch in ready:
-                if batch not in self.done:
-                    self.done.add(batch)
-                    self.batches += 1
-                    self.out.extend(tuple(r) for r in self.spark.read.parquet(self.place(batch)).orderBy("seq").toLocalIterator())
-            with self.lock:
-                if error:
-                    self.out.append(error)
-                    self.gone = True
-                self.sent = 0 if error else max(0, self.sent - begun)
-                self.written -= begun
+    def offset(self, batch: int) -> int:
+        """The segment before which a batch of the stream ends."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.checkpoint}/offsets/{batch}")
+        stream = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+        try:
+            text = bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+        finally:
+            stream.close()
+        return json.loads(text.splitlines()[-1])["segment"]
+
+    def begin(self) -> None:
+        """See that the stream runs."""
+        with self.lock:
+            if self.gone or (self.running and self.running.is_alive()):
+                return
+            self.running = threading.Thread(target=self.run, daemon=True)
+            self.running.start()
+
+    def run(self) -> None:
+        """The stream, until there has been nothing to do for a while, or the peer's error."""
+        error, idle = None, 0.0
+        try:
+            stream = read_log(self.spark, self.folder, self.schema, self.quantum)
+            query = stream.writeStream.foreachBatch(self.take).option("checkpointLocation", self.checkpoint).trigger(processingTime=f"{int(LOOK * 1000)} milliseconds").start()
+            while not query.awaitTermination(LOOK):
+                busy = self.sent or query.status["isTriggerActive"] or self.before and segments(self.log.fs, self.log.at) and idle < 2 * IDLE
+                idle = 0.0 if self.sent or query.status["isTriggerActive"] else idle + LOOK
+                if not busy and idle > IDLE:
+                    self.before = False
+                    query.stop()
+        except Exception as e:  # noqa: BLE001  the peer's error is delivered as a value
+            error = RemoteError(str(e))
+        with self.lock:
+            if error:
+                self.out.append(error)
+                self.gone, self.sent = True, 0
         with self.arrived:
             self.arrived.notify_all()
 
+    def drain(self) -> None:
+        """Wait until the peer has handled all that has been sent so far."""
+        while (self.sent or self.before) and not self.gone:
+            self.begin()
+            with self.arrived:
+                self.arrived.wait(LOOK)
+
     def place(self, batch: int) -> str:
         return f"{self.checkpoint}/given/batch={batch}"
 
@@ -104,12 +140,11 @@ class Channel:
         for the time given, None for ever, and gives TIMEOUT; with 0, as it stands, an empty list."""
         limit = None if timeout is None else time.monotonic() + timeout
         while not self.out:
-            if self.sent:
+            if self.sent or self.before:
                 if timeout == 0:
                     self.drain()
                     continue
-                if self.draining is None or self.draining.done():
-                    self.draining = self.worker.submit(self.drain)
+                self.begin()
             elif self.closed or self.gone:
                 return self.end()
             left = None if limit is None else limit - time.monotonic()
