@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,9 @@ M1, M2 = 4294967087, 4294944443
 A1 = [[0, 1, 0], [0, 0, 1], [-810728, 1403580, 0]]
 A2 = [[0, 1, 0], [0, 0, 1], [-1370589, 0, 527612]]
 SCALE = 2.328306549295727688e-10
+#: Steps of a normal's first draw.
+FINE = 1 << 27
+_NORMAL = NormalDist()
 
 
 def _mul(a, b, m):
@@ -147,12 +150,75 @@ class Stream:
         return ((p - q) % M1 or M1) * SCALE
 
     def normal(self) -> float:
-        """By Box and Muller's rule, of two numbers."""
-        return math.sqrt(-2 * math.log(self.uniform())) * math.cos(2 * math.pi * self.uniform())
+        """By inversion of the normal distribution function at a number of 27 bits and then as many as one draw has."""
+        high = int(FINE * self.uniform())
+        return _NORMAL.inv_cdf((high + self.uniform()) / FINE)
+
+    def bits(self, n: int) -> int:
+        """A whole number of n bits, 16 from each draw."""
+        value = 0
+        for _ in range(0, n + 1, 16):
+            value = value << 16 | int(self.uniform() * 65536)
+        return value & (1 << n) - 1
 
     def below(self, n: int) -> int:
-        """A whole number from 0 to n - 1."""
-        return min(n - 1, int(self.uniform() * n))
+        """A whole number from 0 to n - 1, each equally likely: numbers of as many bits as n takes are drawn until one is below it."""
+        if n < 1:
+            raise EngineError("there is no whole number from 0 to below 1")
+        size = (n - 1).bit_length()
+        while (value := self.bits(size)) >= n:
+            pass
+        return value
+
+
+#: Bits of an element's number that one table of jumps stands for.
+DIGIT = 8
+
+
+def jumps(digit: int) -> list[tuple[int, ...]]:
+    """(value, 18 entries of the two matrices) of the jumps by each value of a digit of an element's number."""
+    one = jump(digit * DIGIT)
+    at, rows = ([[int(i == j) for j in range(3)] for i in range(3)],) * 2, []
+    for value in range(1 << DIGIT):
+        rows.append((value, *(x for m in at for r in m for x in r)))
+        at = _mul(at[0], one[0], M1), _mul(at[1], one[1], M2)
+    return rows
+
+
+_tables: dict[int, list] = {}
+
+
+def _product(a, b, m: int):
+    """a * b modulo m of two columns below 2^32: halves of 16 bits keep every product within 64 bits with a sign."""
+    high, low = F.shiftright(a, 16), a.bitwiseAND(F.lit(65535).cast("long"))
+    return (high * b % m * 65536 + low * b) % m
+
+
+def native_streams(table: DataFrame, seed, bits: int = 53) -> DataFrame:
+    """ix, state and u as streams() gives them, by column expressions alone: the element's number is taken digit by digit, and each digit's jump
+    comes from a broadcast table of 2^DIGIT matrices. bits bounds the numbers, offset included; a greater one is an error."""
+    s, offset = check_seed(seed)
+    spark, first = table.sparkSession, [x % (1 << 32) for x in base(s)]
+    k = F.col("ix") + F.lit(offset).cast("long")
+    fits = F.when((k >= 0) & (k < F.lit(1 << bits).cast("long")), k).otherwise(F.raise_error(F.lit(f"an element's number is beyond {bits} bits")))
+    out = table.select(F.col("ix").cast("long").alias("ix")).select("ix", fits.alias("_k"), *[F.lit(x).cast("long").alias(f"_s{j}") for j, x in enumerate(first)])
+    entries = [f"_m{j}" for j in range(18)]
+    for digit in range(-(-bits // DIGIT)):
+        rows = _tables.setdefault(digit, jumps(digit))
+        by = F.broadcast(spark.createDataFrame(rows, "_digit long, " + ", ".join(f"{e} long" for e in entries)))
+        own = F.shiftrightunsigned("_k", digit * DIGIT).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long"))
+        moved = []
+        for half, m in enumerate((M1, M2)):
+            for i in range(3):
+                terms = [_product(F.col(f"_m{9 * half + 3 * i + j}"), F.col(f"_s{3 * half + j}"), m) for j in range(3)]
+                moved.append(((terms[0] + terms[1] + terms[2]) % m).alias(f"_s{3 * half + i}"))
+        out = out.withColumn("_own", own).join(by, F.col("_own") == F.col("_digit")).select("ix", "_k", *moved)
+    a, b, d, f = (F.col(f"_s{j}") for j in (0, 1, 3, 5))
+    # Of the two factors of a recurrence one is negative: it is added to its modulus first.
+    p = (_product(F.lit(A1[2][0] % M1).cast("long"), a, M1) + _product(F.lit(A1[2][1]).cast("long"), b, M1)) % M1
+    q = (_product(F.lit(A2[2][0] % M2).cast("long"), d, M2) + _product(F.lit(A2[2][2]).cast("long"), f, M2)) % M2
+    signed = lambda c: F.when(c >= F.lit(1 << 31), c - F.lit(1 << 32)).otherwise(c)
+    return out.select("ix", F.array(*[signed(F.col(f"_s{j}")) for j in range(6)]).alias("state"), (F.pmod(p - q, F.lit(M1).cast("long")).cast("double") * SCALE).alias("u"))
 
 
 def streams(table: DataFrame, seed) -> DataFrame:

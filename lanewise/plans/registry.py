@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions import codec, rng
-from lanewise.operators import element, geometry, lost, nested, slices, tasks, tasksets
+from lanewise.functions import quantiles as ranks
+from lanewise.operators import element, geometry, lost, matrices, nested, slices, tasks, tasksets
 from lanewise.session import shared_path, written
 from lanewise.sources import arrow_files, arrow_io
 from lanewise.streaming import channel, ordered
@@ -60,6 +61,25 @@ def map_python_matrix(spark, d):
     return element.matrix(m, ["lo", "hi"]).select("ix", "row_name", "value")
 
 
+@query("""with e as (select o_orderkey + 1 as col, o_orderstatus as col_name, unnest([1, 2, 3])::bigint as row, unnest(['price', 'half', 'key']) as row_name, unnest([o_totalprice, o_totalprice / 2, o_orderkey]) as value from orders)
+ select row, row_name, (col - 1) // 1024 as block, min(col) as first, count(*) as n, list(value order by col)[1] as head, list(value order by col)[-1] as tail, string_agg(col_name, '' order by col) as names from e group by all""")
+def matrix_tiles(spark, d):
+    """A map with three values an element as a matrix of three rows, turned over in tiles of 1,024 columns, with the names of both sides."""
+    t = _elements(spark, d, "orders", "o_orderkey", "o_totalprice", "o_orderstatus")
+    m = matrices.of_map(element.map_columns(t, lambda x: F.array(x, x / 2, (F.col("ix") - 1).cast("double")), "double", 3), 3, ["price", "half", "key"])
+    block = F.floor((F.col("col") - 1) / matrices.BLOCK)
+    names = m.col_names.groupBy(block.alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", "name"))), lambda x: x["name"]), "").alias("names"))
+    tiles = m.tiles().join(m.row_names.withColumnRenamed("name", "row_name"), "row").join(names, "block")
+    return tiles.select("row", "row_name", "block", "first", F.size("values").cast("long").alias("n"), F.element_at("values", 1).alias("head"), F.element_at("values", -1).alias("tail"), "names")
+
+
+@query("select p_partkey * 2 + unnest([1, 2]) as pos, unnest([p_size, p_size * 2])::double as value from part")
+def matrix_column_major(spark, d):
+    """The entries of a matrix of two rows in the order of a flat vector, column after column, from a map in Python."""
+    made = element.map_python(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: [x, 2 * x], "double", size=2)
+    return matrices.of_map(made, 2).column_major()
+
+
 @query("select p_partkey + 1 ix, p_size::double as re, -p_size::double as im from part")
 def map_python_complex(spark, d):
     m = element.map_python(_elements(spark, d, "part", "p_partkey", "p_size"), lambda x: complex(x, -x), "complex")
@@ -228,6 +248,14 @@ def quantiles(spark, d):
     return _t(spark, d, "part").agg(q.alias("q")).select(*[F.col("q")[k].alias(f"q{k + 1}") for k in range(3)])
 
 
+@query("select unnest([0.25, 0.5, 0.75, 0.999])::double as p, unnest(quantile_cont(l_extendedprice, [0.25, 0.5, 0.75, 0.999]))::double as value from lineitem")
+def quantiles_narrowed(spark, d):
+    """Quantiles of a large column by histograms of ever narrower ranges: what a pass keeps does not grow with the rows."""
+    probs = [0.25, 0.5, 0.75, 0.999]
+    found = ranks.quantiles(_t(spark, d, "lineitem"), F.col("l_extendedprice"), probs)
+    return spark.createDataFrame(list(zip(probs, found, strict=True)), "p double, value double")
+
+
 @query("select p_partkey + 1 ix, round(ln(p_retailprice), 9) as value from part")
 def spec_log(spark, d):
     m = element.map_python(_elements(spark, d, "part", "p_partkey", "p_retailprice"), element.call("math.log"), "double")
@@ -277,12 +305,29 @@ def rng_streams(spark, d):
     return found.select("ix", *[F.col("state")[k].alias(f"s{k + 1}") for k in range(6)], "u")
 
 
-@query("select p_partkey + 1 ix, true as same, true as inside from part")
+@query(_AT.format(ix="o_orderkey + 1", rows="orders", bits=24) + f""" select ix, {_WORDS},
+ (((-810728 * s1 + 1403580 * s2) % {rng.M1} + {rng.M1}) % {rng.M1} - ((-1370589 * s4 + 527612 * s6) % {rng.M2} + {rng.M2}) % {rng.M2} + {rng.M1}) % {rng.M1} * {rng.SCALE!r}::double as u from moved where bit = 24""")
+def rng_native(spark, d):
+    """The same streams by column expressions alone."""
+    found = rng.native_streams(_elements(spark, d, "orders", "o_orderkey", "o_orderkey"), 42)
+    return found.select("ix", *[F.col("state")[k].alias(f"s{k + 1}") for k in range(6)], "u")
+
+
+#: The numbers of each element's stream in SQL, twenty of them; the first is a uniform draw, and whole numbers below 1,000 take ten bits of one
+#: number each until one is below.
+_DRAWN = _AT.format(ix="p_partkey + 1", rows="part", bits=24) + f""", number(n, ix, s1, s2, s3, s4, s5, s6) as (select 0, ix, s1, s2, s3, s4, s5, s6 from moved where bit = 24 union all
+ select n + 1, ix, s2, s3, ((-810728 * s1 + 1403580 * s2) % {rng.M1} + {rng.M1}) % {rng.M1}, s5, s6, ((-1370589 * s4 + 527612 * s6) % {rng.M2} + {rng.M2}) % {rng.M2} from number where n < 20),
+ drawn as (select ix, n, case when (s3 - s6) % {rng.M1} = 0 then {rng.M1} else ((s3 - s6) % {rng.M1} + {rng.M1}) % {rng.M1} end * {rng.SCALE!r}::double as u from number where n > 0),
+ tried as (select ix, n, floor(u * 65536)::bigint % 1024 as k from drawn where n > 1)
+ select ix, max(u) as value, (arg_min(k, tried.n) filter (k < 1000))::bigint as whole from (select ix, u from drawn where n = 1) f join tried using (ix) group by ix"""
+
+
+@query(_DRAWN.replace("select 0, 42::hugeint", "select 0, 7::hugeint"))
 def map_seeded(spark, d):
-    """Draws of a seeded map by the element's own stream: the same for two deals of the table."""
+    """Draws of a seeded map by the element's own stream: a uniform number, then a whole number below 1,000 by rejection."""
     t = _elements(spark, d, "part", "p_partkey", "p_size")
-    one, two = (element.map_python(x, lambda x, rng: rng.uniform(), "double", seed=7).select("ix", F.col("value").alias(n)) for x, n in ((t, "v"), (t.repartition(7, "x"), "w")))
-    return one.join(two, "ix").select("ix", (F.col("v") == F.col("w")).alias("same"), ((F.col("v") > 0) & (F.col("v") < 1)).alias("inside"))
+    drawn = element.map_python(t.repartition(7, "x"), lambda x, rng: [rng.uniform(), float(rng.below(1000))], "double", seed=7, size=2)
+    return drawn.select("ix", F.col("value")[0].alias("value"), F.col("value")[1].cast("long").alias("whole"))
 
 
 @query("select p_partkey + 1 ix, p_size::bigint + 1 + r as value, r::bigint as run from part, (values (0), (1), (2)) t(r)")
@@ -459,6 +504,15 @@ def factor_levels(spark, d):
     return arrow_io.factor_levels(_t(spark, d, "part"), "p_partkey", "p_brand")
 
 
+@query("""with b as (select p_brand l, row_number() over (order by min(p_partkey)) c from part group by 1), n as (select p_name l, row_number() over (order by min(p_partkey)) c from part group by 1),
+ t as (select p_type l, row_number() over (order by min(p_partkey)) c from part group by 1)
+ select p_partkey, b.c as p_brand, n.c as p_name, t.c as p_type from part join b on b.l = p_brand join n on n.l = p_name join t on t.l = p_type""")
+def dictionary_codes(spark, d):
+    """Three text columns as codes of their levels, which are counted in the order first seen in one pass."""
+    t = _t(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type")
+    return arrow_io.encode_columns(t, "p_partkey", ["p_brand", "p_name", "p_type"])[0]
+
+
 @query("""select c_custkey + 1 ix, '490104' || lpad(lower(to_hex(octet_length(encode(c_name)))), 2, '0') || '000000' || lower(hex(encode(c_name))) as stream from customer""")
 def codec_text(spark, d):
     rows = _elements(spark, d, "customer", "c_custkey", "c_name")

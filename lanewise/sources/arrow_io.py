@@ -140,6 +140,52 @@ def write_vector(values: list, kind: pa.DataType | None = None) -> pa.Array:
     return a.cast(pa.large_string()) if pa.types.is_string(a.type) else a
 
 
+#: Levels of all columns up to which codes are looked up in one broadcast map.
+LOOKED_UP = 100_000
+
+
+def column_levels(df: DataFrame, ix: str, columns: list[str]) -> DataFrame:
+    """column, level, code: the levels of these text columns in the order first seen, each column's codes from 1. All columns are read in one
+    pass, with sums before the one shuffle; ranges of (column, first place) add the sizes of those before them, one number a range."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("level"), F.col(ix).alias("first")) for c in columns])).alias("e")
+    seen = df.select(each).where("e.level is not null").groupBy("e.column", "e.level").agg(F.min("e.first").alias("first"))
+    dealt = cut(seen.repartitionByRange("column", "first", "level").withColumn("shard", F.spark_partition_id()))
+    sizes = sorted(map(tuple, dealt.groupBy("column", "shard").agg(F.count("*")).collect()))
+    start: dict[tuple[str, int], int] = {}
+    for (column, shard, n), before in zip(sizes, [None, *sizes], strict=False):
+        start[column, shard] = start[column, before[1]] + before[2] if before and before[0] == column else 0
+    starts = F.create_map(*[F.lit(x) for (c, k), v in start.items() for x in (f"{k}:{c}", v)]) if start else F.create_map(F.lit(""), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("shard", "column").orderBy("first", "level"))
+    return dealt.select("column", "level", (own + starts[F.concat(F.col("shard").cast("string"), F.lit(":"), F.col("column"))]).cast("long").alias("code"))
+
+
+def encode_columns(df: DataFrame, ix: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the frame with each of these text columns as codes, missing ones missing; the levels as column_levels gives them). Up to LOOKED_UP
+    levels in all are looked up in one broadcast row of maps, more of them by a join a column."""
+    levels = cut(column_levels(df, ix, columns))
+    if levels.count() <= LOOKED_UP:
+        maps = levels.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("level", "code"))).alias("codes"))
+        by = F.map_from_entries(F.collect_list(F.struct("column", "codes"))).alias("_levels")
+        row = maps.agg(by).withColumn("_one", F.lit(1))
+        held = df.withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one").drop("_one")  # one row beside each
+        coded = held.withColumns({c: F.col("_levels")[c][F.col(f"`{c}`").cast("string")] for c in columns}).drop("_levels")
+        return coded, levels
+    out = df
+    for c in columns:
+        own = levels.where(F.col("column") == c).select(F.col("level").alias("_level"), F.col("code").alias("_code"))
+        out = out.withColumn("_text", F.col(f"`{c}`").cast("string")).join(own, F.col("_text") == F.col("_level"), "left").withColumn(c, F.col("_code")).drop("_text", "_level", "_code")
+    return out, levels
+
+
+def level_conflicts(batches: DataFrame) -> DataFrame:
+    """batch, level, before: where an ordered column's batches (batch, pos, level) disagree with the order first seen over all of them: in that
+    batch level stands right behind before, which the order puts after it. A batch holds each of its levels once."""
+    merged = column_levels(batches.withColumn("_at", F.struct("batch", "pos")), "_at", ["level"]).select("level", "code")
+    w = Window.partitionBy("batch").orderBy("pos")
+    behind = batches.join(merged, "level").select("batch", "level", "code", F.lag("code").over(w).alias("_code"), F.lag("level").over(w).alias("before"))
+    return behind.where("_code > code").select("batch", "level", "before")
+
+
 def factor_levels(df: DataFrame, ix: str, x: str) -> DataFrame:
     """level, code: levels in the order first seen. Levels are dealt by range of that order, and each range adds the sizes of those before
     it, one number a range."""
