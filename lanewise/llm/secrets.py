@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, carry, pick, table
+from .common import arrow_map, carry, pick, place_of, table
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed by the query's contract.
