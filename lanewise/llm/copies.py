@@ -2,118 +2,29 @@
 
 Texts of equal words are merged first. Candidates come from the trie self-join of the texts' five-word SimHash fingerprints, which
 finds close copies; at 0.8 two fingerprints differ in about ten bits, and a walk with that budget would visit nearly all pairs of
-nodes. So each text has a signature of 128 min-hashes besides, a byte of each, and 64 bands of eight of them; texts that share a band
-are candidates. A pair at 0.8 shares none with a probability of about 1e-5, a pair at 0.9 with 1e-15. Candidates whose signatures agree
-in fewer than 77 bytes are dropped (a pair at 0.8 agrees in 102, give or take 4.5), all others are verified on the shingles themselves.
-
-Members of a band are compared with its most central one, the one with the most neighbours in all its bands: of a text and its edited
-copies that is the text itself, or what is nearest to it, and one comparison each finds the group however large it is. Where several
-components are left in a band of at most CROWD members, all of its pairs are compared. In a crowded band the most central member outside
-the first one's component comes next, round after round as long as a round finds links. exact=True compares all pairs there too, which
-takes rows with the square of a crowded band's members.
+nodes. So the rest come from the LSH forest over the texts' min-hash signatures (see forest): no region's members are left uncompared
+because there are many of them, crowded regions only ask for longer beginnings and compare with their central text. Every link is
+verified on the shingles; the text that many are compared with is dealt once for a bounded number of them.
 """
 
 from __future__ import annotations
 
-import itertools
-
-import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.session import bucketed
 
-from .common import arrow_map, cut, partitions
+from .common import arrow_map, cut, forget, partitions, place_of, written
+from .forest import candidates, confirmed
+from .signatures import HASHES, agreeing, signature
 from .simhash import LOWER, components, links, majority, shingle_hashes, signed
 
+__all__ = ["HASHES", "NEAR", "WORDS", "drop_near_copies", "groups", "shingle_hashes", "signature"]
+
 #: Words of a shingle; the similarity is at least NEAR[0] / NEAR[1].
 WORDS, NEAR = 5, (4, 5)
-HASHES, BANDS, BAND = 128, 64, 8
-#: Bytes in which signatures agree at least, and members of a band that are compared in pairs.
-AGREE, CROWD = 77, 32
-_G = np.random.default_rng(5)
-_TIMES = _G.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _G.integers(0, 1 << 63, HASHES, np.uint64)
-#: Which min-hashes make each band: every one is in BANDS * BAND / HASHES of them.
-_CHOSEN = np.concatenate([_G.permutation(HASHES) for _ in range(BANDS * BAND // HASHES)]).reshape(BANDS, BAND)
-_SALT = _G.integers(0, 1 << 63, BANDS, np.uint64)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingles(text: bytes | None, words: int = WORDS) -> set[bytes]:
-    """The distinct shingles; a text of fewer words is one shingle, a text without words has none."""
-    parts = (text or b"").translate(LOWER).split()
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return {joined} if parts else set()
-    ends = list(itertools.accumulate(map((1).__add__, map(len, parts))))
-    return {joined[a : b - 1] for a, b in zip([0, *ends], ends[words - 1 :], strict=False)}
-
-
-def similar(a: set[bytes], b: set[bytes], near: tuple[int, int] = NEAR) -> bool:
-    both = len(a & b)
-    return both * near[1] >= (len(a) + len(b) - both) * near[0]
-
-
-def signature(h: np.ndarray) -> bytes | None:
-    """A byte of each min-hash of the shingles' hashes; none for a text without words, which has no near copies but its exact ones."""
-    if not len(h):
-        return None
-    h = np.unique(h)
-    least = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 512):
-        np.minimum(least, (h[k : k + 512, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    return (least * _MIX >> np.uint64(56)).astype(np.uint8).tobytes()
-
-
-def bands(signs: list[bytes]) -> np.ndarray:
-    """The numbers of each signature's bands, a row for each."""
-    each = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, HASHES)[:, _CHOSEN]
-    return ((np.ascontiguousarray(each).view(np.uint64).reshape(-1, BANDS) ^ _SALT) * _MIX).view(np.int64)
-
-
-def banded_by(nodes: DataFrame) -> DataFrame:
-    """(band, node) of nodes (node, sign)."""
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        return {"node": batch.column(0), "bands": list(bands(batch.column(1).to_pylist()))}
-
-    return arrow_map(nodes.select("node", "sign"), rows, "node long, bands array<long>").select(F.explode("bands").alias("band"), "node")
-
-
-def agreeing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
-    """The pairs (a, b, and longs besides) whose signatures agree in enough bytes."""
-    names = ["a", "b", *[c for c in pairs.columns if c not in ("a", "b")]]
-    a, b = signs.select(F.col("node").alias("a"), F.col("sign").alias("s")), signs.select(F.col("node").alias("b"), F.col("sign").alias("t"))
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (-2, -1))
-        ok = pa.array((s == t).sum(axis=1) >= AGREE)
-        return {n: batch.column(k).filter(ok) for k, n in enumerate(names)}
-
-    return arrow_map(pairs.join(b, "b").join(a, "a").select(*names, "s", "t"), rows, ", ".join(f"{n} long" for n in names))
-
-
-def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingles are similar. Texts that no pair asks for are not dealt."""
-    wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
-    texts = cut(source.select("row", "text").join(wanted, "row", "left_semi"))
-    a, b = (texts.select(F.col("row").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-
-    def rows(batch: pa.RecordBatch) -> dict[str, list]:
-        out: dict[str, list] = {"a": [], "b": []}
-        last, held = None, set()
-        for x, y, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if x != last:
-                last, held = x, shingles(s)
-            if similar(held, shingles(t)):
-                out["a"].append(x)
-                out["b"].append(y)
-        return out
-
-    return arrow_map(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b"), rows, "a long, b long")
 
 
 def trie_candidates(nodes: DataFrame) -> DataFrame:
@@ -125,61 +36,7 @@ def trie_candidates(nodes: DataFrame) -> DataFrame:
     return cut(equal.union(linked))
 
 
-def rooted(banded: DataFrame, edges: DataFrame) -> DataFrame:
-    """The rows of banded with each node's root."""
-    return cut(banded.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node")))
-
-
-def ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def central() -> Column:
-    """The most central member of a group, of several the least."""
-    return F.max(F.struct("weight", (-F.col("node")).alias("minus"), "root")).alias("p")
-
-
-def crossing(now: DataFrame) -> DataFrame:
-    """All pairs (a, b) of members of a band that lie in different components, from (band, node, root)."""
-    one, two = now.select("band", F.col("node").alias("a"), F.col("root").alias("x")), now.select("band", F.col("node").alias("b"), F.col("root").alias("y"))
-    return one.join(two, "band").where("a < b and x <> y").select("a", "b")
-
-
-def next_round(now: DataFrame) -> DataFrame:
-    """Pairs of each band's most central member outside its first one's component with those in neither component."""
-    first = now.groupBy("band").agg(central()).select("band", F.col("p.root").alias("top"))
-    rest = now.join(first, "band").where("root <> top").drop("top")
-    second = rest.groupBy("band").agg(central()).select("band", (-F.col("p.minus")).alias("other"), F.col("p.root").alias("top"))
-    return rest.join(second, "band").where("root <> top").select(*ordered("node", "other"))
-
-
-def linked(banded: DataFrame, near: DataFrame, signs: DataFrame, source: DataFrame, exact: bool) -> DataFrame:
-    """The links (a, b) between nodes, from banded (band, node, n) and other candidates near (a, b)."""
-    weight = banded.groupBy("node").agg(F.sum("n").alias("weight"))
-    banded = cut(banded.join(weight, "node").withColumn("root", F.col("node")))
-    first = banded.groupBy("band").agg(central()).select("band", F.col("p.root").alias("first"))
-    banded = cut(banded.drop("root"))
-    asked = banded.join(first, "band").where("node <> first").select(*ordered("node", "first")).union(near)
-    tried = cut(agreeing(asked.distinct(), signs))
-    edges = cut(verified(tried, source))
-    few = None
-    while True:
-        now = rooted(banded, edges)
-        crowded = now.where(F.col("n") > CROWD)
-        pairs = crossing(crowded) if exact else next_round(crowded)
-        if few is None:
-            few = crossing(now.where(F.col("n") <= CROWD))
-            pairs = pairs.union(few)
-        pairs = cut(agreeing(pairs.distinct().join(tried, ["a", "b"], "left_anti"), signs))
-        found = cut(verified(pairs, source))
-        if found.isEmpty():
-            return edges
-        tried, edges = tried.union(pairs), edges.union(found)
-        if exact:
-            return edges
-
-
-def groups(rows: DataFrame, exact: bool = False) -> DataFrame:
+def groups(rows: DataFrame) -> DataFrame:
     """row, doc_id, text_hash and group of every row of rows (row, a unique number, doc_id, text): equal groups are near copies."""
 
     def read(batch: pa.RecordBatch) -> dict[str, list]:
@@ -197,15 +54,17 @@ def groups(rows: DataFrame, exact: bool = False) -> DataFrame:
     prints = cut(arrow_map(source, read, "row long, doc_id long, text_hash binary, words binary, fp long, sign binary"))
     nodes = cut(prints.groupBy("words").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("sign").alias("sign")))
     signs = nodes.where("sign is not null").select("node", "fp", "sign")
-    near = trie_candidates(signs)
-    each = banded_by(signs)
-    shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    edges = linked(cut(each.join(shared, "band")), near, signs, source, exact)
+    near = trie_candidates(signs).select("a", "b", F.col("a").alias("hub"))
+    found = candidates(signs)
+    asked = written(agreeing(near.unionByName(found).groupBy("a", "b").agg(F.min("hub").alias("hub")), signs))
+    edges = written(confirmed(asked, source, WORDS, NEAR))
+    for x in (found, asked):
+        forget(x)
     by_words = nodes.join(components(edges), "node", "left").select("words", F.coalesce("root", "node").alias("group"))
     return prints.join(by_words, "words").select("row", "doc_id", "text_hash", "group")
 
 
-def drop_near_copies(docs: DataFrame, exact: bool = False) -> DataFrame:
+def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, one of each group of near copies: that of the least doc_id, ids before nulls, then of the least
     hash of its text. Rows count by themselves, so rows without an id or with a shared one are kept like any other.
 
@@ -213,9 +72,8 @@ def drop_near_copies(docs: DataFrame, exact: bool = False) -> DataFrame:
     names, n = docs.columns, partitions(docs)
     plain = [f"c{k}" for k in range(len(names))]
     rows = bucketed(docs.toDF(*plain).withColumn("row", F.monotonically_increasing_id()).repartition(n, "row"), n, "row")
-    lower = [c.lower() for c in names]
-    doc_id, text = (plain[names.index(c) if c in names else lower.index(c)] for c in ("doc_id", "text"))
-    found = cut(groups(rows.select("row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), exact))
+    doc_id, text = (plain[place_of(docs, c)] for c in ("doc_id", "text"))
+    found = cut(groups(rows.select("row", F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash", "row")
     kept = found.groupBy("group").agg(F.min(order).alias("first")).select("group", F.col("first.row").alias("kept"))
     gone = found.join(kept, "group").where("row <> kept").select("row")

@@ -4,7 +4,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from lanewise.llm import copies
+from lanewise.llm import copies, forest
 
 SCHEMA = "doc_id long, text string"
 
@@ -65,10 +65,10 @@ def test_each_group_keeps_one_row_with_an_id_or_not(spark):
     assert got == sorted([(None, ["b", "b", "b"]), (None, ["c", "c"]), (3, ["an", "other", "text"]), (7, ["c", "d"]), (2, ["a"]), (8, ["z"])], key=str)
 
 
-@pytest.mark.parametrize("exact", [False, True])
-def test_crowded_bands(spark, monkeypatch, exact):
-    """Texts around one passage crowd the bands; near copies among them are found, with and without comparing all pairs."""
-    monkeypatch.setattr(copies, "CROWD", 3)
+@pytest.mark.parametrize("region", [3, forest.REGION])
+def test_crowded_regions(spark, monkeypatch, region):
+    """Texts around one passage crowd the regions; near copies among them are found, however few a region may hold."""
+    monkeypatch.setattr(forest, "REGION", region)
     g = random.Random(7)
     words = [f"w{k}" for k in range(3000)]
     passage = [g.choice(words) for _ in range(150)]
@@ -81,17 +81,36 @@ def test_crowded_bands(spark, monkeypatch, exact):
             other[g.randrange(len(other))] = "changed"
             texts.append(" ".join(other))
     want = brute_groups(texts)
-    kept = copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA), exact).collect()
+    kept = copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
     at = [next(x for x in want if r["doc_id"] in x) for r in kept]
     assert 30 < len(want) < len(texts) and len(at) == len(set(at)) == len(want)
 
 
-def test_bands_of_equal_and_other_signatures():
+def test_spots_of_equal_and_other_signatures():
     g = random.Random(1)
     one = copies.signature(copies.shingle_hashes([b"w%d" % g.randrange(99) for _ in range(80)], 5))
     assert len(one) == copies.HASHES and copies.signature(copies.shingle_hashes([], 5)) is None
-    both = copies.bands([one, one, bytes(128)])
-    assert both.shape == (3, copies.BANDS) and (both[0] == both[1]).all() and not set(both[0]) & set(both[2])
+    both = forest.first_spots([one, one, bytes(128)])
+    assert both.shape == (3, forest.TREES) and (both[0] == both[1]).all() and not set(both[0]) & set(both[2])
+
+
+@pytest.mark.parametrize(("words_off", "copies_of"), [(3, 100), (9, 60)])
+def test_no_near_copy_of_a_crowd_is_lost(spark, words_off, copies_of):
+    """Copies at 0.85 to 0.95 of their text, many of them not near one another, beside a second such group that shares most words."""
+    g = random.Random(words_off)
+    one = [f"w{k}" for k in range(300)]
+    two = one[:270] + [f"v{k}" for k in range(30)]
+    texts = []
+    for base in (one, two):
+        texts.append(" ".join(base))
+        for _ in range(copies_of):
+            other = list(base)
+            for k in g.sample(range(300), words_off):
+                other[k] = f"new{g.random()}"
+            texts.append(" ".join(other))
+    want = brute_groups(texts)
+    kept = copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()
+    assert len(kept) == len(want)
 
 
 def test_a_text_and_very_many_edited_copies(spark):
