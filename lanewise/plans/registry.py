@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions import codec, rng
+from lanewise.functions import codec, columnar, rng
 from lanewise.functions import quantiles as ranks
 from lanewise.operators import element, geometry, lost, matrices, nested, slices, tasks, tasksets
 from lanewise.session import shared_path, written
@@ -519,6 +519,13 @@ def codec_text(spark, d):
     return codec.pack(rows).select("ix", F.lower(F.hex("stream")).alias("stream"))
 
 
+@query("select c_custkey, c_name, c_nationkey, c_acctbal, case when c_custkey % 3 > 0 then c_mktsegment end as c_mktsegment from customer")
+def codec_columns(spark, d):
+    """A table's columns as one stream each a batch, and back."""
+    t = _t(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")))
+    return columnar.unpack_columns(columnar.pack_columns(t), "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+
+
 @query("select o_orderkey + 1 ix, o_totalprice as x from orders")
 def codec_round_trip(spark, d):
     return codec.unpack(codec.pack(_elements(spark, d, "orders", "o_orderkey", "o_totalprice")), "double", pa.float64())
