@@ -111,5 +111,5 @@ def test_matrices(spark):
     assert {tuple(r) for r in matrices.product(m, F.col("w"), by).collect()} == {(1, 3), (2, 5), (3, -3)}
     with pytest.raises(errors.TemplateMismatch):
         matrices.of_map(t, 2, ["a"])
-    with pytest.raises(Exception, match="element 1"):
+    with pytest.raises(Exception, match="template length mismatch at element"):
         matrices.of_map(element.map_columns(t, lambda x: F.array(x)), 2).tiles().collect()
