@@ -3,6 +3,9 @@
 A nested map splits each element into parts, maps them (by another nested map if need be) and folds the results. Executors start no jobs,
 so nothing is nested while it runs: each level is one explode that numbers its parts, the innermost function is a projection, and the
 folds go back up one level after the other. Folds of one kind that only add up (sum, min, max) are done at once.
+
+The elements are dealt before they are split, at most about DEALT to a task however many there are; all parts of an element then lie in one
+task, which folds every level without another shuffle and holds the folds of its own elements only.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from .errors import EngineError
 
 #: Folds of folds that equal one fold of all.
 ASSOCIATIVE = {"sum": F.sum, "min": F.min, "max": F.max}
+#: Elements that one task splits and folds.
+DEALT = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -49,9 +54,10 @@ def flat(table: DataFrame, nest: Nested) -> DataFrame:
 
 
 def nested_map(table: DataFrame, nest: Nested) -> DataFrame:
-    """(ix, value) of a nested map over the elements (ix, x) of a table, to any depth: one scan, and one shuffle if all levels fold alike by
-    sum, min or max and none names a value for no parts, else one a level."""
-    levels, out = nest.levels(), flat(table, nest)
+    """(ix, value) of a nested map over the elements (ix, x) of a table, to any depth: the elements are counted, scanned and shuffled once. They
+    are folded at once if all levels fold alike by sum, min or max and none names a value for no parts, else level by level."""
+    table = table.select("ix", "x")
+    levels, out = nest.levels(), flat(table.repartition(-(-table.count() // DEALT) or 1, "ix"), nest)
     alike = {level.fold if isinstance(level.fold, str) else None for level in levels}
     if len(alike) == 1 and None not in alike and all(level.none is None for level in levels[1:]):
         return out.groupBy("ix").agg(levels[0].fold_of(F.col("x")).alias("value"))
