@@ -3,7 +3,7 @@
 Texts of equal words are merged first. Candidates come from the trie self-join of the texts' five-word SimHash fingerprints, which
 finds close copies; at 0.8 two fingerprints differ in about ten bits, and a walk with that budget would visit nearly all pairs of
 nodes. So the rest come from the LSH forest over the texts' min-hash signatures (see forest): no region's members are left uncompared
-because there are many of them, crowded regions only ask for longer beginnings and compare with their central text. Every link is
+because there are many of them, crowded regions compare with their central text and what that leaves apart in full. Every link is
 verified on the shingles; the text that many are compared with is dealt once for a bounded number of them.
 """
 
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from lanewise.session import bucketed
 
-from .common import arrow_map, cut, forget, partitions, place_of, written
-from .forest import candidates, confirmed
-from .signatures import HASHES, agreeing, signature
+from .common import arrow_map, cut, partitions, place_of
+from .forest import linked
+from .signatures import HASHES, signature
 from .simhash import LOWER, components, links, majority, shingle_hashes, signed
 
 __all__ = ["HASHES", "NEAR", "WORDS", "drop_near_copies", "groups", "shingle_hashes", "signature"]
@@ -55,11 +55,7 @@ def groups(rows: DataFrame) -> DataFrame:
     nodes = cut(prints.groupBy("words").agg(F.min("row").alias("node"), F.first("fp").alias("fp"), F.first("sign").alias("sign")))
     signs = nodes.where("sign is not null").select("node", "fp", "sign")
     near = trie_candidates(signs).select("a", "b", F.col("a").alias("hub"))
-    found = candidates(signs)
-    asked = written(agreeing(near.unionByName(found).groupBy("a", "b").agg(F.min("hub").alias("hub")), signs))
-    edges = written(confirmed(asked, source, WORDS, NEAR))
-    for x in (found, asked):
-        forget(x)
+    edges = linked(signs, source, WORDS, NEAR, near)
     by_words = nodes.join(components(edges), "node", "left").select("words", F.coalesce("root", "node").alias("group"))
     return prints.join(by_words, "words").select("row", "doc_id", "text_hash", "group")
 

@@ -1,15 +1,15 @@
 """Near-duplicates by an LSH forest over min-hash signatures, confirmed on the full shingle sets.
 
 Each tree orders the signatures (128 min-hashes, a byte of each) by the same bytes in another sequence. Signatures that share a beginning
-in that order are candidates, and how much they must share depends on the region: a beginning of four bytes is tried first, and where more
-than REGION signatures share it, of 8, 16, 32, 64 and all 128. Within a region of REGION or fewer all pairs are candidates. In a crowded
-one each member is compared with the most central one, which stands in the most crowded regions of all trees and levels: the text that the
-others are copies of. Then it goes on into its own deeper region.
-
-Two sets at 0.85 share a beginning of four bytes in none of 32 trees with a probability of 6e-11. In a crowded region they are apart only
-where they part ways with the crowd, and there the regions are small again: a pair is lost if that happens in none of the trees while
-neither is linked to the regions' central texts. Candidates whose signatures agree in fewer than 77 of 128 bytes (a pair at 0.85 agrees in
-109, give or take 4) are dropped, all others are confirmed.
+in that order are candidates, and how much they must share depends on the region: a beginning of four bytes is tried first. Within a region
+of REGION or fewer all pairs are candidates. In a crowded one each member is compared with the most central one, which stands in the most
+crowded regions of all trees: the text that the others are copies of. Where that leaves a region in several groups, the members outside the
+largest group go on into regions of 8, 16, 32, 64 and all 128 bytes. What is still in several groups then is compared in full: every pair of
+members of unlike groups, block by block in bounded memory, which is quadratic in such a region by nature but gives links only.
+
+Two sets at 0.85 share a beginning of four bytes in none of 32 trees with a probability of 6e-11, and all that do are compared or connected by
+others. Candidates whose signatures agree in fewer than 77 of 128 bytes (a pair at 0.85 agrees in 109, give or take 4) are dropped, all
+others are confirmed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from lanewise.session import bucketed
 
 from .common import arrow_map, cut, forget, join_hot, partitions, pick, ready, small, table, written
 from .prefixes import united
-from .signatures import HASHES, agreeing, shingles, signature, similar
+from .signatures import AGREE, HASHES, agreeing, shingles, signature, similar
 from .simhash import components
 
 WORDS, NEAR = 3, (85, 100)
@@ -35,6 +35,8 @@ TREES, REGION = 32, 32
 DEPTHS = (4, 8, 16, 32, 64, 128)
 #: Members of a hub that one copy of its text serves.
 SERVED = 256
+#: Members of a block of a crowd, and bytes of their texts, about.
+BLOCK, BLOCK_BYTES = 1 << 12, 1 << 24
 _G = np.random.default_rng(13)
 #: Each tree's sequence of the signature's bytes.
 ORDER = np.stack([_G.permutation(HASHES) for _ in range(TREES)])
@@ -87,27 +89,20 @@ def central(crowded: DataFrame) -> DataFrame:
     return crowded.join(weights, "node").groupBy("spot").agg(most, F.count("*").alias("n")).select("spot", (-F.col("m.minus")).alias("hub"), "n")
 
 
-def candidates(signs: DataFrame) -> DataFrame:
-    """Pairs (a, b), a below b, and hub, the one of them that others are compared with, of nodes of signs (node, sign)."""
-    pairs, crowds, made = [], [], []
-    rows = planted(signs)
-    for level in range(len(DEPTHS)):
-        sizes = rows.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1")
-        rows = written(rows.join(sizes, "spot"))
-        made.append(rows)
-        few = rows.where(F.col("n") <= REGION)
-        one, two = few.select("spot", F.col("node").alias("a")), few.select("spot", F.col("node").alias("b"))
-        pairs.append(one.join(two, "spot").where("a < b").select("a", "b", F.col("a").alias("hub")))
-        crowded = rows.where(F.col("n") > REGION)
-        if crowded.isEmpty():
-            break
-        crowds.append(crowded.select("spot", "node", "n"))
-        if level + 1 < len(DEPTHS):
-            rows = deeper(crowded.select("tree", "node"), signs, level + 1)
-    if crowds:
-        every = united(crowds)
-        made.append(written(central(every)))
-        led = join_hot(every.select("spot", "node"), made[-1], ["spot"], every.count())
+def regions(rows: DataFrame) -> DataFrame:
+    """The rows (tree, spot, node) of regions with several members, written, with the region's size n."""
+    return written(rows.join(rows.groupBy("spot").agg(F.count("*").alias("n")).where("n > 1"), "spot"))
+
+
+def tried(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b), a below b, and hub, the one of them that others are compared with, of regions' rows: all pairs of small regions, the
+    members of crowded ones with the central one."""
+    few, crowded, made = rows.where(F.col("n") <= REGION), rows.where(F.col("n") > REGION), []
+    one, two = few.select("spot", F.col("node").alias("a")), few.select("spot", F.col("node").alias("b"))
+    pairs = [one.join(two, "spot").where("a < b").select("a", "b", F.col("a").alias("hub"))]
+    if total := crowded.count():
+        made.append(written(central(crowded.select("spot", "node", "n"))))
+        led = join_hot(crowded.select("spot", "node"), made[-1], ["spot"], total)
         pairs.append(led.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"), "hub"))
     out = written(united(pairs).groupBy("a", "b").agg(F.min("hub").alias("hub")))
     for x in made:
@@ -115,6 +110,141 @@ def candidates(signs: DataFrame) -> DataFrame:
     return out
 
 
+def candidates(signs: DataFrame) -> DataFrame:
+    """Pairs (a, b, hub) of nodes of signs (node, sign) that share a beginning of four bytes: all in small regions, in crowded ones those with
+    the central member."""
+    rows = regions(planted(signs))
+    out = tried(rows)
+    forget(rows)
+    return out
+
+
+def open_regions(crowded: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (tree, spot, node, group) of crowded regions whose members the links (a, b) do not connect yet."""
+    rows = crowded.select("tree", "spot", "node").join(components(links), "node", "left").withColumn("group", F.coalesce("root", "node"))
+    several = rows.groupBy("spot").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    return written(rows.join(several, "spot", "left_semi").select("tree", "spot", "node", "group"))
+
+
+def deeper_candidates(left: DataFrame, signs: DataFrame) -> list[DataFrame]:
+    """Pairs (a, b, hub) by longer beginnings among those members of open regions that are not in their region's largest group."""
+    groups = left.groupBy("spot", "group").agg(F.count("*").alias("k"))
+    largest = groups.groupBy("spot").agg(F.max(F.struct("k", "group"))["group"].alias("most"))
+    rows, pairs = left.join(largest, "spot").where("group <> most"), []
+    for level in range(1, len(DEPTHS)):
+        now = regions(deeper(rows.select("tree", "node"), signs, level))
+        pairs.append(tried(now))
+        rows = now.where(F.col("n") > REGION)
+        if rows.isEmpty():
+            break
+    return pairs
+
+
+def the_rest(left: DataFrame, signs: DataFrame, texts: DataFrame, words: int, near: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between unlike groups of open regions, from all pairs of their members, and not more of them than connect the groups.
+
+    Regions with a member in common are worked on together, so that a pair that shares many regions is met once. Their members are dealt to
+    blocks by hash, and a task compares two blocks: signatures first, then the sets of those that agree in AGREE bytes."""
+    star = left.select("spot", "node").join(left.groupBy("spot").agg(F.min("node").alias("first")), "spot").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    members = left.select("node", "group").distinct().join(components(star), "node", "left").select("node", "group", F.coalesce("root", "node").alias("crowd")).join(signs.select("node", "sign"), "node")
+    members = written(texts.select(F.col("row").alias("node"), "text").join(members, "node"))
+    sizes = members.groupBy("crowd").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.length("text")) / F.lit(BLOCK_BYTES))).cast("int").alias("blocks"))
+    own = members.join(F.broadcast(sizes), "crowd").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    met = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "group", "sign", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for crowd, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (crowd, i, j):
+                    yield from links_of(held, words, near)
+                    now, held = (crowd, i, j), []
+                held.append(member)
+        yield from links_of(held, words, near)
+
+    dealt = met.repartition(partitions(texts), "crowd", "i", "j").sortWithinPartitions("crowd", "i", "j", "own", "node")
+    out = written(small(dealt).mapInArrow(run, "a long, b long"))
+    forget(members)
+    return out
+
+
+def links_of(members: list[list], words: int, near: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Links between unlike groups of members (block, node, group, sign, text) in the order of their blocks, which are two or one."""
+    if len(members) < 2 or len({m[2] for m in members}) < 2:
+        return
+    signs = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(-1, HASHES)
+    ids, sets = np.unique(np.array([m[2] for m in members]), return_inverse=True)[1], []
+    for m in members:
+        sets.append(np.array([xxhash.xxh64_intdigest(x) for x in shingles(m[4], words)], np.uint64))
+    size = np.array([len(x) for x in sets])
+    every = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    flat, start = every.astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+    second = next((k for k, m in enumerate(members) if m[0] != members[0][0]), 0)
+    root, columns, a, b = list(range(int(ids.max()) + 1)), np.ascontiguousarray(signs.T), [], []
+    in_a = np.zeros(int(flat.max(initial=0)) + 1, bool)
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in range(0, second or len(members), 256):
+        these = slice(k, min(k + 256, second or len(members)))
+        agree = np.zeros((these.stop - k, len(members) - second), np.uint8)
+        for c in columns:
+            agree += c[these, None] == c[None, second:]
+        ok = (agree >= AGREE) & (ids[these, None] != ids[None, second:])
+        n, m = size[these, None], size[None, second:]
+        ok &= np.minimum(n, m) * near[1] >= np.maximum(n, m) * near[0]
+        for r in np.flatnonzero(ok.any(axis=1)).tolist():
+            x = k + r
+            those = np.flatnonzero(ok[r]) + second
+            those = those[those > x]
+            if not len(those):
+                continue
+            in_a[flat[start[x] : start[x + 1]]] = True
+            ends = np.cumsum(size[those])
+            places = np.repeat(start[those] - (ends - size[those]), size[those]) + np.arange(ends[-1])
+            both = np.add.reduceat(in_a[flat[places]], ends - size[those], dtype=np.int64)
+            in_a[flat[start[x] : start[x + 1]]] = False
+            for y in those[both * near[1] >= (size[x] + size[those] - both) * near[0]].tolist():
+                one, two = top(int(ids[x])), top(int(ids[y]))
+                if one != two and similar(shingles(members[x][4], words), shingles(members[y][4], words), near):
+                    root[max(one, two)] = min(one, two)
+                    a.append(min(members[x][1], members[y][1]))
+                    b.append(max(members[x][1], members[y][1]))
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+
+
+def linked(signs: DataFrame, texts: DataFrame, words: int, near: tuple[int, int], more: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that connect all nodes of signs (node, sign) that are similar and share a beginning of four bytes in a tree, and those of
+    the candidates more (a, b, hub), every one confirmed on the texts (row, text; see confirmed)."""
+
+    def checked(pairs: list[DataFrame]) -> DataFrame:
+        asked = written(agreeing(united(pairs).groupBy("a", "b").agg(F.min("hub").alias("hub")), signs))
+        out = written(confirmed(asked, texts, words, near))
+        for x in (*pairs, asked):
+            forget(x)
+        return out
+
+    rows = regions(planted(signs))
+    links = [checked([tried(rows), *([more] if more is not None else [])])]
+    crowded = rows.where(F.col("n") > REGION)
+    for step in range(0 if crowded.isEmpty() else 2):
+        left = open_regions(crowded, united(links))
+        if left.isEmpty():
+            forget(left)
+            break
+        if step == 1:
+            links.append(the_rest(left, signs, texts, words, near))
+        elif pairs := deeper_candidates(left, signs):
+            links.append(checked(pairs))
+        forget(left)
+    forget(rows)
+    return united(links)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, near: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose shingle sets are similar, from a, b and hub (one of the two) and texts (row, text), which are not moved if they
     lie in buckets by row. A hub's text is sent once for each SERVED of its pairs, the other texts once a pair."""
@@ -169,12 +299,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, near: tuple[int, int] =
     prints = cut(arrow_map(rows.select("row", "doc_id", "text"), read, "row long, doc_id long, n_shingles long, words binary, sign binary"))
     nodes = written(prints.where("n_shingles > 0").groupBy("words").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("sign").alias("sign")))
     signs = nodes.select("node", "sign")
-    tried = candidates(signs)
-    asked = written(agreeing(tried, signs))
-    links = written(confirmed(asked, rows, words, near))
-    for x in (tried, asked):
-        forget(x)
-    rooted = nodes.join(components(links), "node", "left").select("words", "least", "n", F.coalesce("root", "node").alias("group"))
+    rooted = nodes.join(components(linked(signs, rows, words, near)), "node", "left").select("words", "least", "n", F.coalesce("root", "node").alias("group"))
     rooted = written(rooted)
     ids = rooted.groupBy("group").agg(F.min("least").alias("component_id"))
     named = written(rooted.join(ids, "group").select("words", "n", "component_id"))
